@@ -38,6 +38,12 @@ def with_content(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"c1": F.xxhash64(t), "c2": F.xxhash64(F.lit(20011), t)})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows round robin.  A join right above an aggregation on its keys reuses that
+    exchange and AQE cannot split it; after this it gets exchanges of its own, which AQE splits."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def units_of(block, unit: str):
     """(unit hashes, first unit of each row, end unit of each row)"""
     if unit == "byte":
@@ -77,7 +83,7 @@ def candidates(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
         .filter("l0 != l1")
         .select("key", F.expr("x0 != x1").alias("multi"))
     )
-    out = scratch.table(found.join(known, "key"), f"candidates-{unit}")
+    out = scratch.table(found.join(spread(known), "key"), f"candidates-{unit}")
     scratch.drop(docs.sparkSession, path)
     return out
 
@@ -95,7 +101,7 @@ def contexts(cand: DataFrame) -> DataFrame:
 def expand(docs: DataFrame, ctxs: DataFrame, make: Callable, schema: str) -> DataFrame:
     """Reads contexts again from their texts: make(block rows) for docs that hold a representative."""
     per_text = ctxs.groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("want"))
-    return docs.join(per_text, ["c1", "c2"]).select("text", "want").mapInArrow(make, schema)
+    return docs.join(spread(per_text), ["c1", "c2"]).select("text", "want").mapInArrow(make, schema)
 
 
 def _wanted(batch: pa.RecordBatch, unit: str):
@@ -154,7 +160,7 @@ def shared_windows(windows: DataFrame) -> DataFrame:
         .filter("x0 != x1")
         .select("w1", "w2")
     )
-    listed = windows.join(twice, ["w1", "w2"]).groupBy("key", "ctx").agg(F.collect_set("i").alias("i"))
+    listed = windows.join(spread(twice), ["w1", "w2"]).groupBy("key", "ctx").agg(F.collect_set("i").alias("i"))
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +179,7 @@ def shared_windows(windows: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, cand: DataFrame, ctxs: DataFrame, shared: DataFrame) -> DataFrame:
     """Per text (c1, c2): run_lo, run_hi of repeated window starts; copied: the whole text occurs twice."""
     whole = cand.filter("not multi").select("c1", "c2", F.col("lo").alias("a"), F.expr("lo + n - 1").alias("b"))
-    full = cand.join(ctxs.filter("full").select("key", "ctx"), ["key", "ctx"]).select("c1", "c2", F.col("lo").alias("a"), F.expr("lo + n - 1").alias("b"))
+    full = cand.join(spread(ctxs.filter("full").select("key", "ctx")), ["key", "ctx"]).select("c1", "c2", F.col("lo").alias("a"), F.expr("lo + n - 1").alias("b"))
     single = ctxs.filter("not full").select("key", "ctx", "c1", "c2", "lo")
     part = (
         single.join(shared, ["key", "ctx"])
@@ -181,9 +187,9 @@ def removals(docs: DataFrame, cand: DataFrame, ctxs: DataFrame, shared: DataFram
         .select("c1", "c2", F.expr("lo + r.run_lo").alias("a"), F.expr("lo + r.run_hi").alias("b"))
     )
     copies = docs.groupBy("c1", "c2").count().filter("count > 1").select("c1", "c2")
-    ranges = whole.unionByName(full).unionByName(part).join(copies, ["c1", "c2"], "left_anti")
+    ranges = whole.unionByName(full).unionByName(part).join(spread(copies), ["c1", "c2"], "left_anti")
     marked = ranges.unionByName(copies.select("c1", "c2", F.lit(-1).alias("a"), F.lit(-1).alias("b")))
-    return marked.groupBy("c1", "c2").agg(F.collect_list("a").alias("run_lo"), F.collect_list("b").alias("run_hi"))
+    return spread(marked.groupBy("c1", "c2").agg(F.collect_list("a").alias("run_lo"), F.collect_list("b").alias("run_hi")))
 
 
 def covered(n: int, length: int, run_lo, run_hi) -> np.ndarray:

@@ -41,7 +41,7 @@ class Roller:
         self.inverse = pow(self.base, -1, 1 << 64)
         self._up = self._down = np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
             m = max(n, BLOCK_BYTES + 4096)
             self._up = _geometric(self.base, m)
@@ -49,14 +49,14 @@ class Roller:
         return self._up, self._down
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        up, _ = self._powers(len(values) + 1)
+        up, _ = self.powers(len(values) + 1)
         out = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=out[1:])
         return out
 
     def ranges(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Hash of values[lo:hi], independent of where the range lies."""
-        _, down = self._powers(len(prefix))
+        _, down = self.powers(len(prefix))
         return (prefix[hi] - prefix[lo]) * down[lo]
 
 
@@ -143,24 +143,36 @@ def window_hashes(values: np.ndarray, starts: np.ndarray, length: int, which: in
     return mix64(roll.ranges(prefix, starts, starts + length))
 
 
+def gram_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of values[i:i+length] for every i."""
+    prefix = _WORDS[0].prefix(values)
+    out = prefix[length:] - prefix[:-length]
+    out *= _WORDS[0].powers(len(out))[1][: len(out)]
+    return mix64(out)
+
+
 def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
     roll = _WORDS[which]
     prefix = roll.prefix(values if which == 0 else values ^ _U(0x5851F42D4C957F2D))
     return mix64(roll.ranges(prefix, lo, hi) + (hi - lo).astype(np.uint64))
 
 
-def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Index of the rightmost minimum of h[i:i+width], for every full window i."""
+def window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """Index of the minimum of h[i:i+width], for every full window i; the rightmost of equals.
+
+    The low bits of each hash make room for its index, so plain minima carry it along."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    at, have = np.arange(len(h)), 1
+    bits = _U(max(1, (len(h) - 1).bit_length()))
+    low = (_U(1) << bits) - _U(1)
+    best = (h & ~low) | np.arange(len(h), dtype=np.uint64)[::-1]
+    have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = at[:-step], at[step:]
-        at = np.where(h[b] <= h[a], b, a)
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return at[:n]
+    return (len(h) - 1) - (best[:n] & low).astype(np.int64)
 
 
 class Anchors:
@@ -176,11 +188,10 @@ class Anchors:
             self.at = self.lo = self.hi = self.row = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
             return
-        grams = window_hashes(values, np.arange(n - gram + 1), gram)
-        pick = leftmost_minima(grams, length - gram + 1)
+        grams = gram_hashes(values, gram)
+        pick = window_minima(grams, length - gram + 1)
         sizes = row_hi - row_lo
         row = np.repeat(np.arange(len(row_lo)), sizes)
-        ok = np.zeros(n, bool)
         for_row = np.maximum(sizes - length + 1, 0)
         edge = np.zeros(n + 1, np.int32)
         np.add.at(edge, row_lo[for_row > 0], 1)
