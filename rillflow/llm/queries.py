@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bagminhash import near_duplicates
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
 
@@ -26,8 +27,14 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, threshold=0.8).select("doc_id", "class_id", "class_size", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_bagminhash": op5_bagminhash,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
 
