@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .bagminhash import near_duplicates
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
@@ -32,8 +33,16 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, threshold=0.8).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, column="score")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_compression_toxicity": op7_compression_toxicity,
     "op5_bagminhash": op5_bagminhash,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
