@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .bagminhash import near_duplicates
+from .packing import pack
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
 
@@ -40,9 +41,22 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    pieces = pack(docs, word_tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_compression_toxicity": op7_compression_toxicity,
+    "op8_mixture_packing": op8_mixture_packing,
     "op5_bagminhash": op5_bagminhash,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
