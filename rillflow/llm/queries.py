@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .bagminhash import near_duplicates
+from .decontaminate import contaminated
 from .packing import pack
+from .quality import COUNTS, risk_controlled
 from .substring import remove_repeats
 from .suffix import remove_repeated_bytes
 
@@ -53,10 +55,24 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "best_item", "best_score", "n_items", "contaminated")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = risk_controlled(docs, _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_compression_toxicity": op7_compression_toxicity,
     "op8_mixture_packing": op8_mixture_packing,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
     "op5_bagminhash": op5_bagminhash,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }

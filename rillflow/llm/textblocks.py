@@ -20,8 +20,8 @@ import pyarrow as pa
 BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -82,19 +82,19 @@ class Block:
         self.buf, self.lo, self.hi, self.first = buf, lo, hi, first
         self.n = len(lo)
 
-    def words(self) -> Words:
-        return Words(self)
+    def words(self, separators: np.ndarray | None = None) -> Words:
+        return Words(self, SPACE if separators is None else separators)
 
     def text(self, row: int) -> bytes:
         return self.buf[self.lo[row] : self.hi[row]].tobytes()
 
 
 class Words:
-    """Words (maximal runs of non-space bytes) of a block, in row order."""
+    """Words (maximal runs of bytes that are no separators) of a block, in row order."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, separators: np.ndarray):
         self.block = block
-        inside = ~_SPACE[block.buf]
+        inside = ~separators[block.buf]
         start, stop = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         stop[:-1] &= ~inside[1:]
