@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import revisits, ring, tagpaths, toxicity
 from .bagminhash import near_duplicates
 from .decontaminate import contaminated
 from .packing import pack
@@ -20,6 +20,44 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """Crawl records made from pages: a full response each, and a revisit in a later crawl.
+
+    Every seventh page has changed (another tag), every fifth revisit has no tag but a date, every eleventh no validator."""
+    body, n = F.coalesce(F.col("html"), F.lit("")), F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(body.cast("binary")), 1, 16), F.lit('"'))
+    date = F.concat(F.lit("day "), (n % 365).cast("string"))
+    first = pages.select(
+        (n * 2).alias("record_id"), "url", (n * 60).alias("ts"), F.lit("response").alias("kind"), F.when(n % 13 == 0, 404).otherwise(200).alias("http_status"),
+        tag.alias("etag"), date.alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), F.concat(F.lit("t"), n.cast("string"))).alias("headers"),
+    )
+    seen = F.when(n % 7 == 0, F.lit('"changed"')).when(n % 3 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
+    bare = n % 11 == 0
+    again = pages.select(
+        (n * 2 + 1).alias("record_id"), "url", (n * 60 + 600_000).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("http_status"),
+        F.when(~bare & (n % 5 != 0), seen).alias("etag"), F.when(~bare & (n % 5 == 0), date).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("date"), F.concat(F.lit("r"), n.cast("string")), F.lit("expires"), F.lit("later"), F.lit("server"), F.lit("x")).alias("headers"),
+    )
+    return first.unionByName(again)
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve(page_records(_read(spark, sf_dir, "pages")))
+    flat = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select("record_id", "canonical", "response_id", "status", flat.alias("headers"))
+
+
+def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.place(_read(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tagpaths.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, length=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,6 +106,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_bounded_ring": op2_bounded_ring,
+    "op6_tag_path_text": op6_tag_path_text,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_compression_toxicity": op7_compression_toxicity,
     "op8_mixture_packing": op8_mixture_packing,
