@@ -1,10 +1,5 @@
 """Registered queries of the library (without the llm subpackage) and their SQL."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
