@@ -20,6 +20,7 @@ and repeated rows are packed like any other row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+_END = re.compile(r"(?<=[^\W_])[.,]+(?=\s|\Z)")  # signs that end a word are a chunk of their own
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts as bytes of 32-bit ids, white-space separated chunks remembered.
+    """Token ids of texts as bytes of 32-bit ids, chunk by chunk, chunks remembered.
 
-    The tokenizers that this is for split at white space, so a text's ids are those of its
-    chunks; `verify` in the tests compares with whole texts."""
+    The tokenizers that this is for fold case and split at white space and between letters and
+    signs, so a text's ids are those of its chunks; the tests compare with whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,16 +49,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes new chunks as one text; each token belongs to the chunk in which it starts."""
+        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
+        cut, ids = (4 * np.searchsorted(at, starts)).tolist(), np.array(got.ids, "<u4").tobytes()
+        for chunk, lo, hi in zip(chunks, cut, cut[1:], strict=False):
+            self.known[chunk] = ids[lo:hi]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
+        chunks = [_END.sub(r" \g<0>", t.lower() if t.isascii() else t).split() for t in texts]
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(known) > CACHE_WORDS:  # short words come again
+            self.known = known = {k: v for k, v in known.items() if len(k) <= 7}
+            if len(known) > CACHE_WORDS // 2:
+                known.clear()
         new = list({c for x in chunks for c in x if c not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
+        for at in range(0, len(new), 5000):
+            self.learn(new[at : at + 5000])
         return [b"".join(map(known.__getitem__, x)) for x in chunks]
 
 
