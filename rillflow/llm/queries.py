@@ -118,4 +118,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_RECORDS = """
+SELECT page_id * 2 AS record_id, url, page_id * 60 AS ts, TRUE AS is_full, CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS http_status,
+  '"' || substring(md5(coalesce(html, '')), 1, 16) || '"' AS etag, 'day ' || (page_id % 365) AS last_modified, page_id FROM pages
+UNION ALL SELECT page_id * 2 + 1, url, page_id * 60 + 600000, FALSE, 304,
+  CASE WHEN page_id % 11 <> 0 AND page_id % 5 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 3 = 0 THEN 'W/"' || substring(md5(coalesce(html, '')), 1, 16) || '"' ELSE '"' || substring(md5(coalesce(html, '')), 1, 16) || '"' END END,
+  CASE WHEN page_id % 11 <> 0 AND page_id % 5 = 0 THEN 'day ' || (page_id % 365) END, page_id FROM pages"""
+_CANONICAL = r"""
+SELECT *, host || path || CASE WHEN parts <> '' THEN '?' || parts ELSE '' END AS canonical FROM (
+ SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  coalesce((SELECT string_agg(q, '&' ORDER BY q) FROM (SELECT unnest(string_split(regexp_extract(rest, '\?(.*)$', 1), '&')) AS q) WHERE q <> ''), '') AS parts
+ FROM (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM ({})))"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc_revisits": f"""WITH c AS ({_CANONICAL.format(_RECORDS)}),
+ m AS (SELECT r.record_id, r.canonical, r.etag, r.last_modified, r.page_id, o.record_id AS old_id, o.etag AS old_etag, o.last_modified AS old_modified, o.page_id AS old_page,
+   row_number() OVER (PARTITION BY r.record_id ORDER BY o.ts DESC NULLS LAST, o.record_id DESC) AS k
+  FROM (SELECT * FROM c WHERE NOT is_full) r LEFT JOIN (SELECT * FROM c WHERE is_full AND http_status = 200) o ON o.canonical = r.canonical AND o.ts < r.ts),
+ s AS (SELECT *, CASE WHEN old_id IS NULL THEN 'no_response' WHEN regexp_replace(etag, '^W/', '') <> old_etag OR last_modified <> old_modified THEN 'mismatch'
+   WHEN etag IS NULL AND last_modified IS NULL THEN 'no_validator' ELSE 'resolved' END AS status FROM m WHERE k = 1)
+ SELECT record_id, canonical, old_id AS response_id, status, CASE WHEN status = 'resolved' THEN 'content-type=text/html;date=r' || page_id || ';etag=' || old_etag || ';expires=later' END AS headers FROM s""",
+    "op3_substring_dedup": r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ p AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+ win AS (SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM p),
+ hit AS (SELECT DISTINCT rid, i + k AS pos FROM (SELECT rid, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)), (SELECT unnest(range(0, 35)) AS k)),
+ wd AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+ kept AS (SELECT wd.rid, string_agg(wd.word, ' ' ORDER BY wd.pos) AS t, count(*) AS n FROM wd LEFT JOIN hit ON hit.rid = wd.rid AND hit.pos = wd.pos WHERE hit.rid IS NULL GROUP BY wd.rid)
+ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.rid = d.rid""",
+}
