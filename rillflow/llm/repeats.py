@@ -38,6 +38,18 @@ def with_content(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"c1": F.xxhash64(t), "c2": F.xxhash64(F.lit(20011), t)})
 
 
+def carried(docs: DataFrame, text: str) -> DataFrame:
+    """text, and row: a struct of all other columns (so no name of theirs can clash)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
+def restored(out: DataFrame, docs: DataFrame, text: str, added: list[str]) -> DataFrame:
+    """The columns of docs again, except those that `added` replaces, then `added`."""
+    kept = [c for c in docs.columns if c not in added]
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], *added)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows round robin.  A join right above an aggregation on its keys reuses that
     exchange and AQE cannot split it; after this it gets exchanges of its own, which AQE splits."""
@@ -118,11 +130,11 @@ def _wanted(batch: pa.RecordBatch, unit: str):
         yield b, values, key[s:e], ctx[s:e], row_lo[row] + lo[s:e], n[s:e].astype(np.int64)
 
 
-WINDOW = "w1 long, w2 long, key long, ctx long, i int"
+WINDOW = "w long, key long, ctx long, i int"
 
 
 def windows_of(unit: str, length: int) -> Callable:
-    """Extension by hashes: every window of a context is hashed as a whole (128 bits)."""
+    """Extension by hashes: every window of a context is hashed as a whole (128 bits with its anchor's)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +146,12 @@ def windows_of(unit: str, length: int) -> Callable:
                 start = lo[which] + i
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(window_hashes(values, start, length, 0))),
                         pa.array(signed(window_hashes(values, start, length, 1))),
                         pa.array(key[which]),
                         pa.array(ctx[which]),
                         pa.array(i.astype(np.int32)),
                     ],
-                    names=["w1", "w2", "key", "ctx", "i"],
+                    names=["w", "key", "ctx", "i"],
                 )
 
     return make
@@ -155,12 +166,12 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shared_windows(windows: DataFrame) -> DataFrame:
     """Runs of windows that two different contexts hold: RUNS."""
     twice = (
-        windows.groupBy("w1", "w2")
+        windows.groupBy("w", "key")
         .agg(F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
         .filter("x0 != x1")
-        .select("w1", "w2")
+        .select("w", "key")
     )
-    listed = windows.join(spread(twice), ["w1", "w2"]).groupBy("key", "ctx").agg(F.collect_set("i").alias("i"))
+    listed = windows.join(spread(twice), ["w", "key"]).groupBy("key", "ctx").agg(F.collect_set("i").alias("i"))
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

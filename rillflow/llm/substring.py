@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import WINDOW, candidates, contexts, covered, expand, removals, shared_windows, windows_of, with_content
+from .repeats import WINDOW, candidates, carried, contexts, covered, expand, removals, restored, shared_windows, windows_of, with_content
 
 SEED_WORDS = 8
 SPACES = b" \t\n\x0b\x0c\r"
@@ -31,7 +31,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", joiner
     joiner "space": kept words joined by one space.  joiner "source": the text
     as it was, without the removed words and the white space after them."""
     seed = min(seed, length)
-    base = with_content(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
+    base = with_content(carried(docs, text))
     cand = candidates(base, "word", length, seed)
     ctxs = contexts(cand)
     shared = shared_windows(expand(base, ctxs, windows_of("word", length), WINDOW))
@@ -56,15 +56,14 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", joiner
                 else:
                     kept.append(without(raw, words, mask))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["row", "n_words", "n_removed", "kept"],
+                [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["row", "text", "n_words", "n_removed", "kept"],
             )
 
     row = base.schema["row"].dataType.simpleString()
     wide = base.join(found, ["c1", "c2"], "left").select("row", "text", "run_lo", "run_hi")
-    out = wide.mapInArrow(cut, f"row {row}, n_words long, n_removed long, kept string")
-    taken = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    return out.select(*[F.col("row").getField(c).alias(c) for c in taken], "n_words", "n_removed", "kept")
+    out = wide.mapInArrow(cut, f"row {row}, text string, n_words long, n_removed long, kept string")
+    return restored(out, docs, text, ["n_words", "n_removed", "kept"])
 
 
 def without(raw: bytes, words: list[bytes], mask: np.ndarray) -> bytes:
