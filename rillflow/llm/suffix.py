@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import RUNS, WINDOW, _wanted, candidates, contexts, covered, expand, removals, runs, shared_windows, spread, windows_of, with_content
+from .repeats import RUNS, WINDOW, _wanted, candidates, carried, contexts, covered, expand, removals, restored, runs, shared_windows, spread, windows_of, with_content
 
 SEED_BYTES = 40
-HOT = 512
+HOT = 16384
 BLOCK = 1 << 20
 SEGMENT = "key long, ctx long, n int, bytes binary"
 
@@ -36,7 +36,7 @@ SEGMENT = "key long, ctx long, n int, bytes binary"
 class SuffixOrder:
     """Suffixes at `starts` ordered by their first `cap` bytes; ranks at each doubled length."""
 
-    def __init__(self, data: np.ndarray, cap: int):
+    def __init__(self, data: np.ndarray, cap: int, levels: bool = True):
         n = len(data)
         self.n, self.cap = n, cap
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
@@ -70,7 +70,7 @@ class SuffixOrder:
                 size = np.diff(np.append(np.flatnonzero(split), len(order)))
                 live = live[order][np.repeat(size > 1, size)]
             width += step
-            self.levels.append((width, rank))
+            self.levels = [*(self.levels if levels else []), (width, rank)]  # lengths of matches need all levels
         self.rank, self.tied = rank, live
 
     def order(self, among: np.ndarray | None = None) -> np.ndarray:
@@ -176,7 +176,7 @@ def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 
     def flush() -> pa.RecordBatch:
         data, starts = joined(parts)
-        order = SuffixOrder(data, length)
+        order = SuffixOrder(data, length, levels=False)
         earlier, later = (longest_previous_factor(data, length, later=x, order=order, full=True)[0] for x in (False, True))
         hit = (earlier >= length) | (later >= length)
         lo, hi = zip(*(runs(hit[s : s + n]) for s, n in zip(starts.tolist(), counts, strict=True)), strict=True)
@@ -200,7 +200,7 @@ def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", seed: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (remaining bytes, binary) to every row."""
     seed = min(seed, length)
-    base = with_content(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
+    base = with_content(carried(docs, text))
     cand = candidates(base, "byte", length, seed)
     ctxs = contexts(cand)
     sized = ctxs.join(spread(ctxs.groupBy("key").agg((F.count("*") > hot).alias("hot"))), "key")
@@ -228,12 +228,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text"
                     spans.append(len(runs(mask)[0]))
                     kept.append(np.frombuffer(raw, np.uint8)[~mask].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=["row", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     row = base.schema["row"].dataType.simpleString()
     wide = base.join(found, ["c1", "c2"], "left").select("row", "text", "run_lo", "run_hi")
-    out = wide.mapInArrow(cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
-    added = ("n_bytes", "n_removed", "n_spans", "kept")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
+    out = wide.mapInArrow(cut, f"row {row}, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    return restored(out, docs, text, ["n_bytes", "n_removed", "n_spans", "kept"])
