@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textblocks import _SYMBOLS, Anchors, blocks, mix64, range_hashes, signed, window_hashes
-
-_U = np.uint64
-OCCURRENCE = "key long, ctx long, c1 long, c2 long, lo int, n int, loc long"
+from .textblocks import _SYMBOLS, Anchors, blocks, range_hashes, signed, window_hashes
+OCCURRENCE = "key long, ctx long, c1 long, c2 long, lo int, n int"
+LOC = F.xxhash64  # place of an occurrence: LOC("c1", "c2", "lo")
 RUNS = "key long, ctx long, run_lo array<int>, run_hi array<int>"
 
 
@@ -76,11 +75,10 @@ def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
                 if not len(a.at):
                     continue
                 row, lo = a.row + b.first, (a.lo - row_lo[a.row])
-                loc = mix64(mix64(c1[row].view(np.uint64)) + mix64(c2[row].view(np.uint64) ^ lo.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
                 ctx = range_hashes(values, a.lo, a.hi + length, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (signed(a.key), signed(ctx), c1[row], c2[row], lo.astype(np.int32), (a.hi - a.lo + 1).astype(np.int32), signed(loc))],
-                    names=["key", "ctx", "c1", "c2", "lo", "n", "loc"],
+                    [pa.array(x) for x in (signed(a.key), signed(ctx), c1[row], c2[row], lo.astype(np.int32), (a.hi - a.lo + 1).astype(np.int32))],
+                    names=["key", "ctx", "c1", "c2", "lo", "n"],
                 )
 
     return docs.select("text", "c1", "c2").mapInArrow(find, OCCURRENCE)
@@ -91,7 +89,7 @@ def candidates(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
     found, path = scratch.stored(occurrences(docs, unit, length, gram), f"anchors-{unit}")
     known = (
         found.groupBy("key")
-        .agg(F.min("loc").alias("l0"), F.max("loc").alias("l1"), F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
+        .agg(F.min(LOC("c1", "c2", "lo")).alias("l0"), F.max(LOC("c1", "c2", "lo")).alias("l1"), F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
         .filter("l0 != l1")
         .select("key", F.expr("x0 != x1").alias("multi"))
     )
@@ -105,7 +103,7 @@ def contexts(cand: DataFrame) -> DataFrame:
     return (
         cand.filter("multi")
         .groupBy("key", "ctx")
-        .agg((F.min("loc") != F.max("loc")).alias("full"), F.min(F.struct("c1", "c2", "lo", "n")).alias("at"))
+        .agg((F.min(LOC("c1", "c2", "lo")) != F.max(LOC("c1", "c2", "lo"))).alias("full"), F.min(F.struct("c1", "c2", "lo", "n")).alias("at"))
         .select("key", "ctx", "full", "at.*")
     )
 
