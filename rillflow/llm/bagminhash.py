@@ -11,9 +11,9 @@ above its weight.  Only points up to a time limit are drawn (all registers are
 filled by then, else the limit is doubled), so a document costs about
 m (ln m + 4) points plus one draw a shingle, whatever the weights are.
 
-Signatures are banded; members of a bucket are compared with pivots of the bucket,
-never with each other in all pairs, and every comparison counts the true multiset
-overlap.  See `near_duplicates` for the rounds.
+Signatures are banded; members of a bucket are compared with the bucket's pivot first,
+then those of different classes with each other, and every comparison counts the true
+multiset overlap.  See `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -34,7 +33,8 @@ from .textblocks import Block, blocks, mix64, range_hashes, signed
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-PIVOTS = 16
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
+STEP = 1 << 18
 _U = np.uint64
 
 
@@ -158,30 +158,183 @@ def overlaps(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
 
 
 def plausible(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b, sa, sb, rank) -> different (a, b, rank, alike: equal registers) whose sketches agree in a share of at least `least`."""
+    """pairs(a, b, sa, sb, rank) -> different (a, b, rank) whose sketches agree in a share of at least `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
-                alike = (x == y).sum(axis=1).astype(np.int32)
-                keep = pa.array(np.flatnonzero(alike >= least * x.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(keep) for i in (0, 1, 4)), pa.array(alike).take(keep)], names=["a", "b", "rank", "alike"])
+                keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least * x.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(i).take(keep) for i in (0, 1, 4)], names=["a", "b", "rank"])
+
+    return pairs.mapInArrow(run, "a long, b long, rank long").distinct()
+
+
+def in_blocks(rest: DataFrame, texts: int, shingle: int) -> DataFrame:
+    """rest(bucket, v, c, n, ...) -> for every two blocks of a bucket (i, j), their rows; `mine` is the row's block.
+
+    Buckets with one class only have no rows.  A large bucket is dealt into blocks of about `texts` texts or
+    `shingle` shingles by a hash of the text; its largest class has blocks of its own, which need not meet each other."""
+    per_class = rest.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    size = per_class.groupBy("bucket").agg(F.max(F.struct("k", "s", "c")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    count = lambda k, s: F.ceil(F.greatest(k / texts, s / shingle)).cast("int")
+    small = (F.col("k") <= texts) & (F.col("s") <= shingle)
+    few = F.when(small, 1).otherwise(count(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")))
+    size = size.select("bucket", F.when(~small, F.col("top.c")).alias("main"), few.alias("few"), count(F.col("top.k"), F.col("top.s")).alias("most"))
+    in_main = F.coalesce(F.col("c") == F.col("main"), F.lit(False))
+    deal = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    mine = F.when(in_main, F.col("few") + deal(F.col("most"))).otherwise(deal(F.col("few")))
+    last = F.when(in_main | F.col("main").isNull(), F.col("few") - 1).otherwise(F.col("few") + F.col("most") - 1)
+    dealt = rest.join(spread(size), "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    kept = [c for c in rest.columns if c != "bucket"]
+    return dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *kept)
+
+
+def grouped(df: DataFrame) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of `grouped` rows, cut again at group ends to about `most` shingles: the rows, and where groups start and end."""
+
+    def pieces(t: pa.Table, cut: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        total = np.append(0, np.cumsum(t["n"].to_numpy()))[cut]
+        at = 0
+        while at < len(cut) - 1:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+            yield t.slice(cut[at], cut[to] - cut[at]), cut[at : to + 1] - cut[at]
+            at = to
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([np.diff(t[name].to_numpy()) != 0 for name in ("bucket", "i", "j")], axis=0)
+        cut = np.flatnonzero(new)
+        yield from pieces(t, cut)
+        held = t.slice(cut[-1]).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.array([0, t.num_rows])
+
+
+def rivals(t: pa.Table, cut: np.ndarray, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (a, b) and equal registers of every pair to compare: of two blocks and two classes, in the first bucket that
+    both share, with lengths and sketches that allow the threshold."""
+    bucket, i, j, mine, c, n = (t[name].to_numpy() for name in ("bucket", "i", "j", "mine", "c", "n"))
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    bands = t["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    later = np.repeat(cut[1:], np.diff(cut)) - np.arange(t.num_rows) - 1
+    total = np.append(0, np.cumsum(later))
+    out, lo = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16))], 0
+    while lo < t.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + STEP, "right")) - 1)
+        a = np.repeat(np.arange(lo, hi), later[lo:hi])
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], later[lo:hi])
+        keep = (c[a] != c[b]) & ((i[a] == j[a]) | (mine[a] != mine[b])) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+        a, b, lo = a[keep], b[keep], hi
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            alike = (sketch[x] == sketch[y]).sum(axis=1, dtype=np.int16)
+            good = alike >= least * sketch.shape[1]
+            x, y, alike = x[good], y[good], alike[good]
+            first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket[x]
+            out.append((x[first].astype(np.int32), y[first].astype(np.int32), alike[first]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def in_rivalry(blocks_: DataFrame, threshold: float, least: float) -> DataFrame:
+    """The rows that some other row of their group is to be compared with."""
 
-    return pairs.mapInArrow(run, "a long, b long, rank long, alike int").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in whole_groups(batches, 1 << 22):
+            a, b, _ = rivals(t, cut, threshold, least)
+            yield from t.take(pa.array(np.union1d(a, b))).to_batches()
+
+    return grouped(blocks_).mapInArrow(run, blocks_.schema)
+
+
+def multiset(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, cut): the shingles of each text as a set of numbers, the k-th repeat of one as a number of its own."""
+    (block,) = blocks(column, 1 << 62)
+    row, h, w = bags(*shingles(block, size))
+    repeat = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    row, h = np.repeat(row, w), np.repeat(h, w)
+    h = np.where(repeat > 0, mix64(h + mix64(repeat.astype(np.uint64))), h)
+    return np.unique(h, return_inverse=True)[1], np.searchsorted(row, np.arange(block.n + 1))
+
+
+def shared_counts(number: np.ndarray, cut: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sets (a sorted)."""
+    out, mark, size = np.zeros(len(a), np.int64), np.zeros(int(number.max(initial=-1)) + 1, bool), np.diff(cut)
+    edge = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+    for s, e in zip(edge, np.append(edge[1:], len(a)) if len(a) else [], strict=True):
+        own = number[cut[a[s]] : cut[a[s] + 1]]
+        mark[own] = True
+        for lo in range(s, e, 256):
+            with_ = b[lo : min(e, lo + 256)]
+            start = np.cumsum(size[with_]) - size[with_]
+            flat = np.repeat(cut[with_] - start, size[with_]) + np.arange(int(size[with_].sum()))
+            out[lo : lo + len(with_)] = np.add.reduceat(mark[number[flat]], start, dtype=np.int64)
+        mark[own] = False
+    return out
+
+
+def block_links(rows: DataFrame, threshold: float, least: float, size: int) -> DataFrame:
+    """Compares all pairs of `rivals` that no link found in the same task has joined meanwhile, likeliest first; the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in whole_groups(batches, 1 << 20):
+            a, b, alike = rivals(t, cut, threshold, least)
+            if not len(a):
+                continue
+            order = np.argsort(-alike, kind="stable")
+            a, b = a[order], b[order]
+            number, ends = multiset(t["text"], size)
+            n, v = np.diff(ends), t["v"].to_numpy()
+            c = np.unique(t["c"].to_numpy(), return_inverse=True)[1]
+            root = np.arange(int(c.max()) + 1)
+            at, many, links = 0, t.num_rows, []
+            while at < len(a):
+                x, y = a[at : at + many], b[at : at + many]
+                at, many = at + many, min(2 * many, 1 << 17)
+                apart = root[c[x]] != root[c[y]]
+                x, y = x[apart], y[apart]
+                turn = np.argsort(x, kind="stable")
+                x, y = x[turn], y[turn]
+                both = shared_counts(number, ends, x, y)
+                linked = both >= threshold * (n[x] + n[y] - both) - 1e-9
+                x, y = x[linked], y[linked]
+                for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                    s, r = root[c[p]], root[c[q]]
+                    while root[s] != s:
+                        s = root[s]
+                    while root[r] != r:
+                        r = root[r]
+                    if r != s:
+                        root[max(r, s)] = min(r, s)
+                        links.append((p, q))
+                while (up := root[root]).tolist() != root.tolist():
+                    root = up
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(v[found[:, 0]]), pa.array(v[found[:, 1]])], names=["a", "b"])
+
+    return scratch.table(grouped(rows).mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """Every row with class_id (least id of its class), class_size, n_links of its text to pivots, and class_key.
+    """Every row with class_id (least id of its class), class_size, n_links (links found at its text, see below) and class_key.
 
-    Rounds: in every bucket that holds several classes the most central texts of some classes are
-    pivots (one class in the first round, PIVOTS later); every text of another class is
-    compared with them unless that was done before; linked classes merge and the pivots'
-    classes leave the bucket.  Rounds end when no bucket holds two classes, so each text has
-    met a pivot of every class that ever shared a bucket with it, without all pairs of a
-    bucket.  Comparisons whose sketches are 4.5 standard deviations below the threshold are
-    skipped; links within one class change nothing and are not looked for.
+    1. In every bucket the most central text is the pivot; every other text is compared with it.
+    2. The pivot, which has met all, leaves the bucket.  The others are compared in all pairs of different classes, in
+       blocks (`in_blocks`): a pair in the first bucket that it shares, unless links found in that task already join it.
+
+    So any two texts that share a bucket have been compared or are joined by links.  Comparisons whose sketches are 4.5
+    standard deviations below the threshold are skipped; links within one class change nothing and are not looked for.
 
     Equal texts are one vertex.  Texts without words (null and empty alike) join only equal
     texts.  A null id never becomes the class id unless the class has no other.  Ties and repeated
@@ -201,54 +354,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     del member, shared, met, wanted
     scratch.release(spark)
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    tested = edges = spark.createDataFrame([], "a long, b long")
+    edges = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "v long, c long")
 
-    def merge(fresh: DataFrame) -> None:
-        nonlocal tested, edges, label
-        tested = scratch.table(tested.unionByName(fresh), "pairs")
-        found = overlaps(fresh, texts, threshold, size)
+    def merge(found: DataFrame) -> None:
+        nonlocal edges, label
         if found.limit(1).count():
             edges = scratch.table(edges.unionByName(found), "links")
             label = scratch.table(components(edges), "classes")
         scratch.release(spark)
 
     def with_classes(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different classes now, with these."""
+        """Pairs whose ends are in different classes now."""
         ends = [label.select(F.col("v").alias(s), F.col("c").alias(f"c{s}")) for s in "ab"]
         known = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-        return known.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca != cb")
-
-    many = 1
-    while held.limit(1).count():
-        classed = scratch.table(held.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")), "buckets")
-        best = classed.groupBy("bucket", "c").agg(F.min(F.struct("rank", "v", "n", "sketch")).alias("p"))
-        order = W.partitionBy("bucket").orderBy("p.rank", "p.v")
-        pivots = scratch.table(best.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= many).select("bucket", F.col("c").alias("pc"), "p"), "pivots")
-        fits = F.least("n", "p.n") >= threshold * F.greatest("n", "p.n") - 1e-9
-        met = classed.join(pivots, "bucket").filter((F.col("c") != F.col("pc")) & fits)
-        pairs = plausible(met.select(F.col("v").alias("a"), F.col("p.v").alias("b"), F.col("sketch").alias("sa"), F.col("p.sketch").alias("sb"), F.col("p.rank").alias("rank")), least)
-        pairs = scratch.table(pairs, "pairs")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("member"), "rank", "alike")
-        if many == 1:  # a member's most central pivot settles most copies
-            first = pairs.groupBy("member").agg(F.min(F.struct("rank", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        else:  # the likeliest pairs of two classes join them if any does
-            between = W.partitionBy("x", "y").orderBy(F.desc("alike"), "a", "b")
-            first = with_classes(pairs).select("a", "b", "alike", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).distinct()
-            first = first.join(tested, ["a", "b"], "left_anti").withColumn("k", F.row_number().over(between)).filter("k <= 2").select("a", "b")
-        first = scratch.table(first, "pairs")
-        if first.limit(1).count():
-            merge(first)
-            # what is still apart after that is compared in full
-            rest = with_classes(pairs.select("a", "b").distinct()).select("a", "b").join(tested, ["a", "b"], "left_anti")
-            rest = scratch.table(rest, "pairs")
-            if rest.limit(1).count():
-                merge(rest)
-        left = classed.join(pivots.select("bucket", F.col("pc").alias("c")), ["bucket", "c"], "left_anti") if many > 1 else classed
-        left = left.drop("c").join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        open_ = left.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("bucket")
-        held = scratch.table(left.drop("c").join(spread(open_), "bucket").select("bucket", "v", "rank", "n", "sketch"), "buckets")
-        many = PIVOTS
+        return known.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+    pivots = scratch.table(held.groupBy("bucket").agg(F.min(F.struct("rank", "v", "n", "sketch")).alias("p")), "pivots")
+    fits = F.least("n", "p.n") >= threshold * F.greatest("n", "p.n") - 1e-9
+    met = held.join(pivots, "bucket").filter((F.col("v") != F.col("p.v")) & fits)
+    pairs = plausible(met.select(F.col("v").alias("a"), F.col("p.v").alias("b"), F.col("sketch").alias("sa"), F.col("p.sketch").alias("sb"), F.col("p.rank").alias("rank")), least)
+    pairs = scratch.table(pairs, "pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("member"), "rank")
+    # a member's most central pivot settles most copies
+    first = scratch.table(pairs.groupBy("member").agg(F.min(F.struct("rank", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    merge(overlaps(first, texts, threshold, size))
+    # what is still apart after that is compared in full
+    rest = scratch.table(with_classes(pairs.select("a", "b").distinct()).join(first, ["a", "b"], "left_anti"), "pairs")
+    merge(overlaps(rest, texts, threshold, size))
+
+    others = held.join(pivots.select("bucket", F.col("p.v").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v", "n")
+    others = scratch.table(others.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")), "buckets")
+    wide = in_blocks(others, BLOCK_TEXTS, BLOCK_SHINGLES).join(signs.select("v", "sketch", "bands"), "v")
+    wide = scratch.table(in_rivalry(wide, threshold, least), "rivals")
+    scratch.release(spark)
+    if wide.limit(1).count():
+        merge(block_links(wide.join(texts, "v"), threshold, least, size))
     links = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").count().withColumnRenamed("count", "links")
     vertex = scratch.table(base.groupBy(F.col("c1").alias("v")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "vertices")
     named = scratch.table(vertex.join(label, "v", "left").join(links, "v", "left").withColumn("c", F.coalesce("c", "v")), "vertices")

@@ -158,6 +158,32 @@ def test_near_duplicates(docs):
     assert one.columns == docs.columns and one.count() == len(mine)
 
 
+def test_near_duplicates_of_a_hot_family(spark, monkeypatch):
+    """Classes of one family around the threshold are those of all its links inside shared buckets, also across blocks."""
+    rng = random.Random(11)
+    base, texts = [f"w{k}" for k in range(200)], set()
+    for i in range(300):
+        body = list(base)
+        for k in rng.sample(range(200), rng.randint(2, 4)):
+            body[k] = f"x{i}y{k}"
+        texts.add(" ".join(body))
+    texts = sorted(texts)
+    (block,) = textblocks.blocks(pa.array(texts))
+    sig = bagminhash.signatures(*bagminhash.bags(*bagminhash.shingles(block)), len(texts), bagminhash.BANDS * bagminhash.ROWS)
+    keys, bags, group = bagminhash.band_keys(sig, bagminhash.BANDS, bagminhash.ROWS), [set(bag(t)) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (keys[i] == keys[j]).any() and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    family = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1024, 40):
+        monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", most, raising=False)
+        got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(family).collect()}
+        assert len(set(group)) > 1
+        assert len({(got[i], g) for i, g in enumerate(group)}) == len(set(group)) == len(set(got.values()))
+
+
 def test_ring():
     for slack in (0.0, 0.1):
         loads = {c: c % 7 for c in range(0, ring.CELLS, 5)} | {3: 5000}
