@@ -1,9 +1,7 @@
-"""Benchmark decontamination by rare seeds and local alignment (operator 9).
+"""Benchmark decontamination by seeds and local alignment (operator 9).
 
-1. Every n-gram of a test item is a possible seed; one pass over all documents
-   counts in how many documents each occurs.
-2. An item keeps the rarer half of its seeds (so every item keeps some).
-3. Documents meet the items whose rare seeds they hold; around each such place a
+1. Every n-gram of a test item is a seed; none is left out, however often documents hold it.
+2. Documents meet the items whose seeds they hold; around each such place a
    Smith-Waterman alignment of words (match 2, mismatch -1, gap -1) scores the best
    copy, edited or not, as a share of the item's perfect score.
 
@@ -29,6 +27,7 @@ from .textblocks import Block, blocks, gram_hashes, signed
 
 SEED_WORDS = 3
 BLOCK_WORDS = 400_000
+CELLS = 1 << 14
 THRESHOLD = 0.45
 MATCH, MISMATCH, GAP = 2, -1, -1
 _APART = np.ones(256, bool)
@@ -46,6 +45,30 @@ def align(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+def align_many(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """`align` of many pairs, those of similar passage length together."""
+    out = np.zeros(len(items), np.int64)
+    size = np.array([len(p) for p in passages], np.int64)
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        many = max(1, int(np.searchsorted(size[order[at:]] * np.arange(1, len(order) - at + 1), CELLS, "right")))
+        mine = order[at : at + many]
+        at += many
+        wide, deep = int(size[mine].max()), max(len(items[i]) for i in mine)
+        text, inside = np.zeros((len(mine), wide), np.uint64), np.arange(wide) < size[mine][:, None]
+        words, long = np.zeros((len(mine), deep), np.uint64), np.array([len(items[i]) for i in mine])
+        for k, i in enumerate(mine):
+            text[k, : size[i]], words[k, : long[k]] = passages[i], items[i]
+        h, j, best = np.zeros((len(mine), wide + 1), np.int32), np.arange(1, wide + 1, dtype=np.int32), np.zeros(len(mine), np.int32)
+        for k in range(deep):  # cells beyond an item or a passage are mismatches and never the best
+            same = (text == words[:, k, None]) & inside & (k < long)[:, None]
+            new = np.maximum(0, np.maximum(h[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), h[:, 1:] + np.int32(GAP)))
+            h[:, 1:] = np.maximum(new, np.maximum.accumulate(new - GAP * j, axis=1) + GAP * j)
+            np.maximum(best, h.max(axis=1), out=best)
+        out[mine] = best
+    return out
+
+
 class Items:
     """A block of test items: word hashes, and where each seed stands in which item."""
 
@@ -79,23 +102,6 @@ class Items:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[self.keys & self.mask] = True
 
-    def keep_rare(self, frequency: np.ndarray) -> Items:
-        """Each item's seeds up to its median document frequency (frequency: by self.keys)."""
-        f = np.repeat(frequency, np.diff(self.first))
-        keep = np.zeros(len(f), bool)
-        for i in np.unique(self.item):
-            mine = np.flatnonzero(self.item == i) if len(self.words) < 64 else self._of(i)
-            keep[mine] = f[mine] <= np.median(f[mine])
-        self.seed, self.item, self.place = self.seed[keep], self.item[keep], self.place[keep]
-        self.index()
-        return self
-
-    def _of(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_by_item"):
-            self._by_item = np.argsort(self.item, kind="stable")
-            self._cut = np.searchsorted(self.item[self._by_item], np.arange(len(self.words) + 1))
-        return self._by_item[self._cut[i] : self._cut[i + 1]]
-
     def hits(self, block: Block):
         """Word hashes of a block, and (row, word place in row, index of the seed in keys) of every seed in it."""
         w = block.words(_APART)
@@ -113,7 +119,7 @@ class Items:
         return w, values, row, at - w.row_lo[row], k
 
     def matches(self, block: Block) -> Iterator[tuple[int, int, float, int]]:
-        """(row, item, score, aligned score) of every document and item that share a rare seed."""
+        """(row, item, score, aligned score) of every document and item that share a seed."""
         w, values, row, at, k = self.hits(block)
         n = self.first[k + 1] - self.first[k]
         hit = np.repeat(np.arange(len(k)), n)
@@ -122,14 +128,21 @@ class Items:
         order = np.lexsort((diagonal, item, row))
         row, item, diagonal = row[order], item[order], diagonal[order]
         cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else []
+        pairs, part, own, text = [], [], [], []
         for a, b in zip(cut, np.append(cut[1:], len(row)) if len(row) else [], strict=True):
             r, i = int(row[a]), int(item[a])
-            mine, text = self.words[i], values[w.row_lo[r] : w.row_hi[r]]
-            slack, best, d = len(mine) // 4 + 2, 0, diagonal[a:b]
+            mine, whole = self.words[i], values[w.row_lo[r] : w.row_hi[r]]
+            slack, d = len(mine) // 4 + 2, diagonal[a:b]
             parts = np.flatnonzero(np.diff(d) > len(mine) + 2 * slack)
             for lo, hi in zip(d[np.append(0, parts + 1)], d[np.append(parts, len(d) - 1)], strict=True):
-                best = max(best, align(mine, text[max(0, lo - slack) : hi + len(mine) + slack]))
-            yield r, i, best / (MATCH * len(mine)), best
+                part.append(len(pairs))
+                own.append(mine)
+                text.append(whole[max(0, lo - slack) : hi + len(mine) + slack])
+            pairs.append((r, i))
+        best = np.zeros(len(pairs), np.int64)
+        np.maximum.at(best, np.array(part, np.int64), align_many(own, text))
+        for (r, i), top in zip(pairs, best.tolist(), strict=True):
+            yield r, i, top / (MATCH * len(self.words[i])), top
 
 
 def item_blocks(items: DataFrame, id_col: str, text: str, size: int) -> Iterator[Items]:
@@ -142,33 +155,12 @@ def item_blocks(items: DataFrame, id_col: str, text: str, size: int) -> Iterator
         yield Items([r[0] for r in rows], [r[1] for r in rows], size)
 
 
-def seed_frequency(docs: DataFrame, items: Items, text: str) -> np.ndarray:
-    """Number of documents that hold each seed; one count per seed and task is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.keys), np.int64)
-        for batch in batches:
-            for block in blocks(pc.utf8_lower(batch.column(0))):
-                _, _, row, _, k = items.hits(block)
-                pair = np.unique(row * max(1, len(items.keys)) + k)
-                total += np.bincount(pair % max(1, len(items.keys)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(items.keys[some])), pa.array(total[some])], names=["seed", "n"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(items.keys), np.int64)
-    if found:  # at most one row for each seed of the block
-        keys = np.array([r[0] for r in found], np.int64).view(np.uint64)
-        out[np.searchsorted(items.keys, keys)] = [r[1] for r in found]
-    return out
-
-
 def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text", threshold: float = THRESHOLD, least_words: int = 8, size: int = SEED_WORDS) -> DataFrame:
-    """Adds best_item, best_score (0 without a shared rare seed), n_items (items at the threshold) and contaminated."""
+    """Adds best_item, best_score (0 without a shared seed), n_items (items at the threshold) and contaminated."""
     added = ("best_item", "best_score", "n_items", "contaminated")
     out = docs.drop(*added).withColumns({"best_item": F.lit(None).cast(items.schema[item_id].dataType), "best_score": F.lit(0.0), "n_items": F.lit(0)})
     for block in item_blocks(items, item_id, item_text, size):
-        out = _scan(out, block.keep_rare(seed_frequency(docs, block, text)), text, threshold, least_words)
+        out = _scan(out, block, text, threshold, least_words)
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 

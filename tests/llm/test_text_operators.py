@@ -278,6 +278,32 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contaminated(nothing, items).count() == 0
 
 
+def test_decontamination_of_edited_and_partial_copies(spark):
+    """The only leak of an item is an edited copy of few surviving seeds, or the half that is leaked more often."""
+    rng = random.Random(8)
+    items = [[f"i{k}w{n}" for n in range(40)] for k in range(20)]
+    texts = []
+    for words in items[:10]:
+        edited = [w if n % 4 else f"new{rng.randint(0, 10**6)}" for n, w in enumerate(words)]
+        texts.append("before it " + " ".join(edited) + " after it")
+    for words in items[10:]:
+        texts += [f"hot {n} " + " ".join(words[:20]) for n in range(4)] + ["rare " + " ".join(words[20:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, table).collect()}
+    for i, t in enumerate(texts):
+        scores = [smith_waterman(words, t.split()) / 80 for words in items]
+        assert max(scores) >= 0.45 and got[i].contaminated
+        assert got[i].best_score == round(max(scores), 6) and got[i].best_item == scores.index(max(scores))
+
+
+def test_alignments_in_batches():
+    rng = np.random.default_rng(2)
+    a, b = ([rng.integers(0, 4, rng.integers(1, most)).astype(np.uint64) for _ in range(300)] for most in (15, 300))
+    assert decontaminate.align_many(a, b).tolist() == [decontaminate.align(x, y) for x, y in zip(a, b, strict=True)]
+    assert len(decontaminate.align_many([], [])) == 0
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (5, 0, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
