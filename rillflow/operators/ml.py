@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,11 +17,16 @@ from pyspark.sql import functions as F
 
 
 def assembled(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and context.master.startswith("local"):  # boosting cuts its lineage there
+        folder = tempfile.mkdtemp(prefix="rillflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     full = df.select(*[F.col(c).cast("double").alias(c) for c in (*names, target)]).na.drop()
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(full)
 
 
-def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: int = 20, depth: int = 5, seed: int = 42) -> list[tuple[str, float]]:
+def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: int = 150, depth: int = 12, seed: int = 42) -> list[tuple[str, float]]:
     model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(df, names, target))
     return list(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
@@ -28,7 +36,7 @@ def boosted(names: Sequence[str], target: str, trees: int = 300, depth: int = 6,
     return GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy=share, minInstancesPerNode=20, seed=seed)
 
 
-def cross_validated(df: DataFrame, names: Sequence[str], target: str, folds: int = 3, fold_key: str | None = None, **options) -> list[tuple[int, float, float]]:
+def cross_validated(df: DataFrame, names: Sequence[str], target: str, folds: int = 5, fold_key: str | None = None, **options) -> list[tuple[int, float, float]]:
     """(fold, R2, RMSE); folds by a hash of the row, so they do not depend on partitions."""
     data = assembled(df, names, target).withColumn("fold", F.pmod(F.xxhash64(*([fold_key] if fold_key else names)), F.lit(folds)).cast("int")).cache()
     out = []

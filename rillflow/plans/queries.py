@@ -515,18 +515,18 @@ def ridge_fit(spark, sf_dir):
 
 @query()
 def rf_importance(spark, sf_dir):
-    rows = ml.forest_importance(_features(spark, sf_dir), FEATURES, "l_extendedprice", trees=10, depth=5)
+    rows = ml.forest_importance(_features(spark, sf_dir), FEATURES, "l_extendedprice")
     return spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "feature string, importance double")
 
 
 @query()
 def gbt_cv_metrics(spark, sf_dir):
-    rows = ml.cross_validated(_features(spark, sf_dir), FEATURES, "l_extendedprice", folds=2, trees=8, depth=4)
+    rows = ml.cross_validated(_features(spark, sf_dir), FEATURES, "l_extendedprice")
     return spark.createDataFrame([(k, round(r2, 6), round(rmse, 4)) for k, r2, rmse in rows], "fold int, r2 double, rmse double")
 
 
 @query()
 def tree_shap_summary(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = ml.boosted(FEATURES, "l_extendedprice", trees=5, depth=4).fit(ml.assembled(df, FEATURES, "l_extendedprice"))
+    model = ml.boosted(FEATURES, "l_extendedprice").fit(ml.assembled(df, FEATURES, "l_extendedprice"))
     return ml.shap_summary(model, df, FEATURES).select("feature", F.round("mean_abs_shap", 4).alias("mean_abs_shap"), F.round("mean_shap", 4).alias("mean_shap"))

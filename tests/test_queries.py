@@ -21,3 +21,37 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_model_queries_have_the_size_of_the_reference(spark, sf_dir, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from rillflow.operators import ml
+
+    made = []
+
+    class Fake:
+        def __init__(self, **options):
+            made.append((options.get("numTrees", options.get("maxIter")), options["maxDepth"]))
+            self.featureImportances = self
+
+        def fit(self, data):
+            return self
+
+        def transform(self, data):
+            return data.withColumn("prediction", F.lit(0.0))
+
+        def toArray(self):
+            return np.zeros(9)[: len(queries.FEATURES)]
+
+    from rillflow.plans import queries
+
+    monkeypatch.setattr(ml, "RandomForestRegressor", Fake)
+    monkeypatch.setattr(ml, "GBTRegressor", Fake)
+    monkeypatch.setattr(ml, "shap_summary", lambda model, df, names: spark.createDataFrame([("x", 0.0, 0.0)], "feature string, mean_abs_shap double, mean_shap double"))
+    QUERIES["rf_importance"](spark, sf_dir)
+    assert made == [(150, 12)]
+    assert QUERIES["gbt_cv_metrics"](spark, sf_dir).count() == 5
+    QUERIES["tree_shap_summary"](spark, sf_dir)
+    assert made[1:] == [(300, 6)] * 6
