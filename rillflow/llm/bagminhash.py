@@ -11,9 +11,9 @@ above its weight.  Only points up to a time limit are drawn (all registers are
 filled by then, else the limit is doubled), so a document costs about
 m (ln m + 4) points plus one draw a shingle, whatever the weights are.
 
-Signatures are banded; members of a bucket are compared with the bucket's pivot first,
-then those of different classes with each other, and every comparison counts the true
-multiset overlap.  See `near_duplicates`.
+Signatures are banded; a text is compared with the most central text of its buckets first,
+then texts of different classes in one bucket with each other, and every comparison counts the
+true multiset overlap.  See `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -111,11 +111,10 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def signed_texts(base: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """One row per different text with words: v (its hash), n shingles, band keys."""
+    """One row per different text with words: v (its number), c1 and c2 (its 128-bit hash), n shingles, band keys, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(0), 1 << 20):
                 row, h = shingles(b, size)
                 row, h, w = bags(row, h)
@@ -127,10 +126,30 @@ def signed_texts(base: DataFrame, bands: int, rows: int, size: int) -> DataFrame
                 keys, small = band_keys(sig, bands, rows), sketches(sig)
                 flat = pa.array(signed(keys.reshape(-1)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[full + b.first]), pa.array(n[full]), lists, pa.array([x.tobytes() for x in small], pa.binary())], names=["v", "n", "bands", "sketch"])
+                at = pa.array(full + b.first)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(n[full]), lists, pa.array([x.tobytes() for x in small], pa.binary())], names=["c1", "c2", "n", "bands", "sketch"])
 
-    found = base.select("text", F.col("c1").alias("v")).mapInArrow(sign, "v long, n long, bands array<long>, sketch binary")
-    return found.groupBy("v").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    found = base.select("text", "c1", "c2").mapInArrow(sign, "c1 long, c2 long, n long, bands array<long>, sketch binary")
+    one = found.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return one.withColumn("v", F.monotonically_increasing_id())  # fixed by the table it is written to
+
+
+def in_shared_buckets(signs: DataFrame) -> DataFrame:
+    """Signed texts that share a bucket, with those buckets and rank: the centre of a family shares more, and larger,
+    buckets than its other members and has the least."""
+    member = signs.select("v", F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = member.join(spread(shared), "bucket").groupBy("v").agg((-F.sum("k")).alias("rank"), F.collect_list("bucket").alias("buckets"))
+    return met.join(signs, "v")
+
+
+def central_pairs(held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every text and the most central pivot (least rank) of its buckets, where lengths allow the threshold."""
+    at = held.select("v", "rank", "n", F.explode("buckets").alias("bucket"))
+    pivots = at.groupBy("bucket").agg(F.min(F.struct("rank", "v", "n")).alias("p"))
+    fits = F.least("n", "p.n") >= threshold * F.greatest("n", "p.n") - 1e-9
+    met = at.join(spread(pivots), "bucket").filter((F.col("v") != F.col("p.v")) & fits)
+    return met.groupBy("v").agg(F.min(F.struct("p.rank", "p.v")).alias("p")).select(F.col("v").alias("a"), F.col("p.v").alias("b"))
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -154,21 +173,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at)], names=["a", "b"])
 
-    return scratch.table(joined.select("ta", "tb", "a", "b").mapInArrow(verify, "a long, b long"), "links")
-
-
-def plausible(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b, sa, sb, rank) -> different (a, b, rank) whose sketches agree in a share of at least `least`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
-                keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least * x.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(i).take(keep) for i in (0, 1, 4)], names=["a", "b", "rank"])
-
-    return pairs.mapInArrow(run, "a long, b long, rank long").distinct()
+    return joined.select("ta", "tb", "a", "b").mapInArrow(verify, "a long, b long")
 
 
 def in_blocks(rest: DataFrame, texts: int, shingle: int) -> DataFrame:
@@ -323,80 +328,52 @@ def block_links(rows: DataFrame, threshold: float, least: float, size: int) -> D
             found = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(v[found[:, 0]]), pa.array(v[found[:, 1]])], names=["a", "b"])
 
-    return scratch.table(grouped(rows).mapInArrow(run, "a long, b long"), "links")
+    return grouped(rows).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """Every row with class_id (least id of its class), class_size, n_links (links found at its text, see below) and class_key.
 
-    1. In every bucket the most central text is the pivot; every other text is compared with it.
-    2. The pivot, which has met all, leaves the bucket.  The others are compared in all pairs of different classes, in
-       blocks (`in_blocks`): a pair in the first bucket that it shares, unless links found in that task already join it.
+    1. Every text is compared with one pivot, the most central text of its buckets: one pair a text, however large a
+       family is.  Texts with the same pivot are one class from here on.
+    2. In every bucket, texts of different classes are compared in blocks (`in_blocks`), each pair in the first bucket
+       that it shares and unless links found in that task already join it.
 
     So any two texts that share a bucket have been compared or are joined by links.  Comparisons whose sketches are 4.5
     standard deviations below the threshold are skipped; links within one class change nothing and are not looked for.
 
-    Equal texts are one vertex.  Texts without words (null and empty alike) join only equal
+    Equal texts (128 bits of hash) are one vertex.  Texts without words (null and empty alike) join only equal
     texts.  A null id never becomes the class id unless the class has no other.  Ties and repeated
-    rows share their class.  Vertices are 64-bit hashes of texts."""
-    spark = docs.sparkSession
+    rows share their class.  Columns of the names added here are replaced; an empty table gives no rows."""
+    scope = scratch.Scope(docs.sparkSession)
     base = with_content(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
-    signs = scratch.table(signed_texts(base, bands, rows, size), "signatures")
-    member = signs.select("v", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("v").alias("least"), F.max("v").alias("top"), F.count(F.lit(1)).alias("k")).filter("least != top").select("bucket", "k")
-    met = scratch.table(member.join(spread(shared), "bucket"), "buckets")
-    # the centre of a family shares more, and larger, buckets than its other members: it comes first as pivot
-    central = met.groupBy("v").agg((-F.sum("k")).alias("rank")).join(signs.select("v", "n", "sketch"), "v")
-    central = scratch.table(central, "centres")
-    held = scratch.table(met.select("bucket", "v").join(central, "v"), "buckets")
-    wanted = base.select(F.col("c1").alias("v"), "text").join(spread(central.select("v")).hint("merge"), "v")  # one plan at every size
-    texts = scratch.table(wanted.groupBy("v").agg(F.first("text").alias("text")), "texts")  # copies are equal, any will do
-    del member, shared, met, wanted
-    scratch.release(spark)
+    signs = scope.table(signed_texts(base, bands, rows, size), "signatures")
+    held = scope.table(in_shared_buckets(signs), "members")
+    # copies of a text that a third of all rows may be are collapsed in each task before they are shuffled
+    copies = scope.table(base.join(spread(held.select("c1", "c2", "v")).hint("merge"), ["c1", "c2"]).select("v", "text"), "copies")
+    texts = scope.table(copies.groupBy("v").agg(F.first("text").alias("text")), "texts")
     least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-    edges = spark.createDataFrame([], "a long, b long")
-    label = spark.createDataFrame([], "v long, c long")
-
-    def merge(found: DataFrame) -> None:
-        nonlocal edges, label
-        if found.limit(1).count():
-            edges = scratch.table(edges.unionByName(found), "links")
-            label = scratch.table(components(edges), "classes")
-        scratch.release(spark)
-
-    def with_classes(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different classes now."""
-        ends = [label.select(F.col("v").alias(s), F.col("c").alias(f"c{s}")) for s in "ab"]
-        known = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-        return known.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-    pivots = scratch.table(held.groupBy("bucket").agg(F.min(F.struct("rank", "v", "n", "sketch")).alias("p")), "pivots")
-    fits = F.least("n", "p.n") >= threshold * F.greatest("n", "p.n") - 1e-9
-    met = held.join(pivots, "bucket").filter((F.col("v") != F.col("p.v")) & fits)
-    pairs = plausible(met.select(F.col("v").alias("a"), F.col("p.v").alias("b"), F.col("sketch").alias("sa"), F.col("p.sketch").alias("sb"), F.col("p.rank").alias("rank")), least)
-    pairs = scratch.table(pairs, "pairs")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("member"), "rank")
-    # a member's most central pivot settles most copies
-    first = scratch.table(pairs.groupBy("member").agg(F.min(F.struct("rank", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-    merge(overlaps(first, texts, threshold, size))
-    # what is still apart after that is compared in full
-    rest = scratch.table(with_classes(pairs.select("a", "b").distinct()).join(first, ["a", "b"], "left_anti"), "pairs")
-    merge(overlaps(rest, texts, threshold, size))
-
-    others = held.join(pivots.select("bucket", F.col("p.v").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v", "n")
-    others = scratch.table(others.join(label, "v", "left").withColumn("c", F.coalesce("c", "v")), "buckets")
-    wide = in_blocks(others, BLOCK_TEXTS, BLOCK_SHINGLES).join(signs.select("v", "sketch", "bands"), "v")
-    wide = scratch.table(in_rivalry(wide, threshold, least), "rivals")
-    scratch.release(spark)
-    if wide.limit(1).count():
-        merge(block_links(wide.join(texts, "v"), threshold, least, size))
-    links = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").count().withColumnRenamed("count", "links")
-    vertex = scratch.table(base.groupBy(F.col("c1").alias("v")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "vertices")
-    named = scratch.table(vertex.join(label, "v", "left").join(links, "v", "left").withColumn("c", F.coalesce("c", "v")), "vertices")
-    classes = named.groupBy("c").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    per_text = named.join(spread(classes), "c").select(F.col("v").alias("c1"), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("n_links"), F.col("c").alias("class_key"))
+
+    starred = scope.table(overlaps(scope.table(central_pairs(held, threshold), "pairs"), texts, threshold, size), "links")
+    hop = starred.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    label = starred.join(hop, "b", "left").select(F.col("a").alias("v"), F.coalesce("top", "b").alias("c"))
+    others = held.select("v", "n", "sketch", "bands", F.explode("buckets").alias("bucket")).join(spread(label), "v", "left").withColumn("c", F.coalesce("c", "v"))
+    others = scope.table(others, "buckets")
+    rivals_ = scope.table(in_rivalry(in_blocks(others, BLOCK_TEXTS, BLOCK_SHINGLES), threshold, least), "rivals")
+    found = scope.table(block_links(rivals_.join(texts, "v"), threshold, least, size), "links")
+
+    edges = starred.unionByName(found)
+    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
+    named = components(edges).join(ends, "v").join(signs.select("v", "c1", "c2"), "v").select("c1", "c2", "c", "n_links")
+    vertex = base.groupBy("c1", "c2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    vertex = scope.table(vertex.join(spread(named), ["c1", "c2"], "left"), "vertices")
+    classes = vertex.filter("c is not null").groupBy("c").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    alone = vertex.filter("c is null").select("c1", "c2", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.struct("c1", "c2").alias("class_key"))
+    joined = vertex.filter("c is not null").join(spread(classes), "c").select("c1", "c2", "class_id", "class_size", "n_links", F.struct(F.col("c").alias("c1"), F.lit(-1).cast("long").alias("c2")).alias("class_key"))
+    per_text = scratch.table(alone.unionByName(joined), "classes")
+    scope.close()
     held_rows = with_content(carried(docs, text))
-    return restored(held_rows.join(spread(per_text), "c1"), docs, text, ["class_id", "class_size", "n_links", "class_key"])
+    return restored(held_rows.join(spread(per_text), ["c1", "c2"]), docs, text, ["class_id", "class_size", "n_links", "class_key"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

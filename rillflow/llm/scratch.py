@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -14,17 +13,25 @@ _local: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a local folder."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
+    """spark.checkpoint.dir, or the folder given to setCheckpointDir; a folder of the driver only in local mode."""
+    context = spark.sparkContext
+    if shared := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return shared
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="rillflow-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return f"file://{_local[0]}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once and returns a reader of it: lineage ends at the files."""
+    """Writes `df` once and returns a reader of it: lineage ends at the files, which go when the driver ends."""
     return stored(df, name)[0]
 
 
@@ -32,15 +39,28 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, where = _hadoop(spark, path)
+    system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished jobs now, not at the driver's next garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop(spark: SparkSession, path: str) -> None:
+    system, where = _hadoop(spark, path)
+    system.delete(where, True)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+class Scope:
+    """Tables that are not needed once the operator has written its last one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        self.paths.append(path)
+        return out
+
+    def close(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+        self.paths.clear()

@@ -43,7 +43,7 @@ class Roller:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            m = max(n, BLOCK_BYTES + 4096)
+            m = max(n, 2 * len(self._up), 1 << 16)
             self._up = _geometric(self.base, m)
             self._down = _geometric(self.inverse, m)
         return self._up, self._down
