@@ -1,81 +1,109 @@
 """Toxicity by compression distance (operator 7).
 
-Two zstandard dictionaries are trained: one on ordinary labelled text, one on
-toxic text (passages around words that toxic documents hold far more often,
-besides the ordinary content, so that common language costs the same under
-both).  A text is cut into windows of about WINDOW bytes at word ends; the
-difference of a window's compressed lengths says how much better the toxic
-dictionary explains it.  Each byte is first written as three fixed bytes without
-structure, so that a matched word saves much more than a match costs.  A
-logistic calibration on held-back labelled rows turns the differences of all
-windows of a text into a score.
-
-The model is fitted on the driver from at most `per_class` labelled rows of each
-class, chosen by a hash of the id; labels never reach the scoring.
+Two zstandard dictionaries are trained: one on windows of ordinary labelled text, one on
+windows of toxic text.  A window's lengths after compression with the ordinary dictionary and
+with ordinary plus toxic dictionary are compared: the difference (gain) says how much
+better the toxic dictionary explains it.  A logistic calibration on held-back labelled rows
+turns the gains of all windows of a text into a score.
+
+A toxic text holds mostly ordinary language, so the toxic dictionary is refined in ROUNDS:
+windows of toxic texts are dealt into two halves by their content (copies fall into one
+half); a dictionary trained on one half picks from the other the windows whose gain is
+above that of a share QUANTILE of ordinary windows not used for training; each picked
+window is narrowed to the passage around the word whose removal costs most gain.  A window
+never explains itself this way, only what different windows share is kept.
+
+The model is fitted on the driver from at most `per_class` labelled rows and `most_bytes` bytes
+of each class, chosen by a hash of the id (a text longer than a sixteenth of most_bytes is
+not used for fitting); labels never reach the scoring.  Scoring takes whole texts.
 
 Defined results: null and empty texts have no windows and get the score of all
-zero differences; rows with equal texts score the same; without labels of
-both classes every score is the share of toxic labels (0 without labels).
+zero gains; rows with equal texts score the same; without labels of
+both classes every score is the share of toxic labels (0 without labels).  Repeated ids: the
+least of their texts is fitted on, each row is scored by its own.  A column named as the
+score is replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .textblocks import Block, blocks
+
 PER_CLASS = 3000
-WINDOW = 40
-BASE_BYTES, TOXIC_BYTES = 1 << 16, 512
-LEVEL = 5
-STRIP = b".,;:!?\"'()[]*#$%&"
-STEPS = (6, 8, 10, 12)
-_WIDE = np.random.default_rng(7).integers(0, 256, (256, 3), dtype=np.uint8)
-
-
-def wide(data: bytes) -> bytes:
-    return _WIDE[np.frombuffer(data, np.uint8)].tobytes()
-
-
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Lower-case words joined by one space, cut at the first word end after `size` bytes; the whole text."""
-    out, held, n = [], [], 0
-    for word in (text or "").lower().encode("utf-8", "replace").split():
-        held.append(word)
-        n += len(word) + 1
-        if n >= size:
-            out.append(b" ".join(held))
-            held, n = [], 0
-    if held:
-        out.append(b" ".join(held))
-    return out
-
-
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's content; too few samples for the trainer: the most frequent ones themselves."""
+MOST_BYTES = 12 << 20
+WINDOW, TRAIN_WINDOW = 96, 64
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 4096
+SEGMENT = 14  # bytes of the pieces that the trainer puts a toxic dictionary together from
+QUANTILE, ROUNDS = 0.98, 6
+LEVEL = 12
+STEPS = (3, 5, 7)
+Cuts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def windows(b: Block, size: int) -> Cuts:
+    """(row, from, to) of every window of a block: the words that start in `size` bytes of a text; longer ones than
+    four times that are cut evenly.  Each byte of a word is in exactly one window."""
+    w = b.words()
+    row = w.rows()
+    if not w.n:
+        return row, w.lo, w.hi
+    k = (w.lo - b.lo[row]) // size
+    new = np.ones(w.n, bool)
+    new[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1])
+    first = np.flatnonzero(new)
+    lo, hi, row = w.lo[first], w.hi[np.append(first[1:], w.n) - 1], row[first]
+    parts = -(-(hi - lo) // (4 * size))
+    step = -(-(hi - lo) // parts)
+    i = np.repeat(np.arange(len(lo)), parts)
+    at = lo[i] + (np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)) * step[i]
+    return row[i], at, np.minimum(at + step[i], hi[i])
+
+
+def packed(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples as one buffer, and where each starts and ends."""
+    size = np.array([len(x) for x in samples], np.int64)
+    return np.frombuffer(b"".join(samples), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+
+
+def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """A trained dictionary's content; with too few samples for the trainer, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **({"k": segment, "d": 6} if segment else {})).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(x for x, _ in Counter(samples).most_common())[:size]
+        return b" ".join(dict.fromkeys(samples))[:size]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    raw = zstandard.ZstdCompressionDict(wide(content or b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, dict_size=len(raw), source_size=256, window_log=18, chain_log=18, hash_log=18, search_log=7, min_match=3,
+        LEVEL, dict_size=len(raw), source_size=WINDOW, window_log=18, chain_log=18, hash_log=18, search_log=6, min_match=3,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     raw.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=how)
 
 
+def compressed(with_: zstandard.ZstdCompressor, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Compressed length of every window, each on its own, in one call."""
+    if not len(lo):
+        return np.zeros(0, np.int64)
+    cuts = np.stack([lo, hi - lo], axis=1).astype(np.uint64)
+    got = with_.multi_compress_to_buffer(zstandard.BufferWithSegments(np.ascontiguousarray(buf), cuts.tobytes()), threads=1)
+    return np.fromiter(map(len, got), np.int64, len(lo))
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -91,76 +119,95 @@ class Model:
 
 
 class Scorer:
-    """A model with its compressors, made once in each Python worker."""
+    """A model with its compressors, made once in each task."""
 
     def __init__(self, model: Model):
         self.model = model
         if model.fitted:
-            self.plain, self.toxic = compressor(model.ordinary), compressor(model.toxic)
-
-    def differences(self, text: str | None) -> np.ndarray:
-        plain, toxic = self.plain.compress, self.toxic.compress
-        return np.array([len(plain(x)) - len(toxic(x)) for x in map(wide, windows(text))], float)
-
-    def features(self, text: str | None) -> np.ndarray:
-        d = self.differences(text)
-        if not len(d):
-            return np.zeros(4 + len(STEPS) + 1)
-        s = np.sort(d)[::-1]
-        top = np.zeros(3)
-        top[: min(3, len(s))] = s[:3]
-        return np.array([*top, s[:8].mean(), *(min(4, int((d >= t).sum())) for t in STEPS), min(3.0, d.mean())])
-
-    def score(self, text: str | None) -> float:
+            self.plain, self.toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
+
+    def gains(self, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return compressed(self.plain, buf, lo, hi) - compressed(self.toxic, buf, lo, hi)
+
+    def features(self, b: Block) -> np.ndarray:
+        """For each text: its three largest gains, mean gain, windows (as logarithms) with at least STEPS, their share
+        with more than 3, and the number of windows (as a logarithm)."""
+        row, lo, hi = windows(b, WINDOW)
+        gain, cut = self.gains(b.buf, lo, hi), np.searchsorted(row, np.arange(b.n + 1))
+        out = np.zeros((b.n, 6 + len(STEPS)))
+        for i in np.flatnonzero(np.diff(cut)):
+            g = np.sort(gain[cut[i] : cut[i + 1]])[::-1].astype(float)
+            out[i, : min(3, len(g))] = g[:3]
+            out[i, 3:] = [g.mean(), *(math.log1p((g >= t).sum()) for t in STEPS), (g > 3).mean(), math.log(len(g))]
+        return out
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         m = self.model
         if not m.fitted:
-            return m.share
-        x = (self.features(text) - np.asarray(m.centre)) / np.asarray(m.scale)
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, m.weights[0] + float(x @ np.asarray(m.weights[1:])))))))
-
-
-def telling_words(docs: list[tuple[str, int]]) -> set[bytes]:
-    """Words in 2 % of the toxic texts or more, and far more often there than in others; copies count once."""
-    found, seen, count = {0: Counter(), 1: Counter()}, set(), {0: 0, 1: 0}
-    for text, label in docs:
-        words = [w.strip(STRIP) for w in (text or "").lower().encode("utf-8", "replace").split()]
-        ends = (b" ".join(words[:12]), b" ".join(words[-12:]))
-        if ends[0] in seen or ends[1] in seen:
-            continue
-        seen.update(ends)
-        found[label].update(set(words) - {b""})
-        count[label] += 1
-    a, b = max(1, count[1]), max(1, count[0])
-
-    def z(word: bytes) -> float:
-        p, q = found[1][word] / a, found[0][word] / b
-        mean = (found[1][word] + found[0][word]) / (a + b)
-        return (p - q) / math.sqrt(max(mean * (1 - mean), 1e-9) * (1 / a + 1 / b))
-
-    return {w for w, n in found[1].items() if n >= max(5, 0.02 * a) and z(w) > 8}
+            return np.full(len(texts), m.share)
+        x = [self.features(b) for b in blocks(pc.utf8_lower(texts))]
+        x = (np.concatenate(x) if x else np.zeros((0, 6 + len(STEPS)))) - np.asarray(m.centre)
+        z = m.weights[0] + (x / np.asarray(m.scale)) @ np.asarray(m.weights[1:])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def window_samples(texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+    """The different windows of some texts in two halves by content."""
+    found: set[bytes] = set()
+    for b in blocks(pc.utf8_lower(pa.array(texts, pa.string()))):
+        _, lo, hi = windows(b, TRAIN_WINDOW)
+        found.update(b.buf[s:e].tobytes() for s, e in zip(lo.tolist(), hi.tolist(), strict=True))
+    halves: tuple[list[bytes], list[bytes]] = ([], [])
+    for x in sorted(found):
+        halves[zlib.crc32(x) % 2].append(x)
+    return halves
+
+
+def narrowed(samples: list[bytes], scorer: Scorer) -> list[bytes]:
+    """Each window cut to the word whose removal costs most gain and its neighbours."""
+    words = [x.split() for x in samples]
+    own = [(i, k) for i, w in enumerate(words) for k in range(len(w))]
+    if not own:
+        return samples
+    at = np.array([i for i, _ in own])
+    loss = scorer.gains(*packed([b" ".join(w) for w in words]))[at] - scorer.gains(*packed([b" ".join(words[i][:k] + words[i][k + 1 :]) or b" " for i, k in own]))
+    best: dict[int, tuple[int, int]] = {}
+    for (i, k), x in zip(own, loss.tolist(), strict=True):
+        if i not in best or x > best[i][0]:
+            best[i] = (x, k)
+    return [b" " + b" ".join(words[i][max(0, k - 1) : k + 2]) + b" " for i, (_, k) in best.items()]
+
+
+def toxic_dictionary(ordinary: bytes, plain: list[bytes], halves: tuple[list[bytes], list[bytes]]) -> bytes:
+    """The refined toxic dictionary; `plain` are ordinary windows that the ordinary dictionary was not trained on."""
+    chosen = list(halves)
+    for _ in range(ROUNDS):
+        following = []
+        for k in (1, 0):  # what half k teaches picks from the other half
+            scorer = Scorer(Model(ordinary, trained(chosen[k], TOXIC_BYTES, SEGMENT), [], [], [], 0.0))
+            limit = np.quantile(scorer.gains(*packed(plain)), QUANTILE) if plain else 0
+            gain = scorer.gains(*packed(halves[1 - k]))
+            following.append(narrowed([halves[1 - k][i] for i in np.flatnonzero(gain > limit)], scorer))
+        if not any(following):
+            break
+        chosen = following
+    return trained(chosen[0] + chosen[1], TOXIC_BYTES, SEGMENT)
 
 
 def fit(docs: list[tuple[str, int]], toxic_share: float) -> Model:
     """docs: (text, label 0/1), in a fixed order; every other one of a class calibrates."""
-    by = {k: [d for d in docs if d[1] == k] for k in (0, 1)}
+    by = {k: [t for t, y in docs if y == k] for k in (0, 1)}
     if min(map(len, by.values())) < 4:
         return Model(b"", b"", [0.0], [], [], toxic_share, fitted=False)
-    learn, hold = by[0][::2] + by[1][::2], by[0][1::2] + by[1][1::2]
-    telling = telling_words(learn)
-    plain = [w for text, label in learn if not label for w in windows(text)]
-    passages = []
-    for text, label in learn:
-        if label:
-            passages += [w for w in (text or "").lower().encode("utf-8", "replace").split() if w.strip(STRIP) in telling]
-    passages = passages or [w for text, label in learn if label for w in windows(text)]
-    groups = [b" ".join(passages[i : i + 4]) for i in range(0, len(passages), max(1, len(passages) // 4000))]
-    base = trained(plain[:: max(1, len(plain) // 80000)], BASE_BYTES)
-    model = Model(base, trained(groups, TOXIC_BYTES) + base, [], [], [], toxic_share)
-    scorer = Scorer(model)
-    x, y = np.array([scorer.features(t) for t, _ in hold]), np.array([k for _, k in hold], float)
+    learn, plain = window_samples(by[0][::2])
+    ordinary = trained(learn, ORDINARY_BYTES)
+    model = Model(ordinary, toxic_dictionary(ordinary, plain, window_samples(by[1][::2])), [], [], [], toxic_share)
+    hold = by[0][1::2] + by[1][1::2]
+    scorer, y = model.scorer(), np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
+    x = np.concatenate([scorer.features(b) for b in blocks(pc.utf8_lower(pa.array(hold, pa.string())))])
     # the sample is balanced by class; weights restore the share of toxic labels
     weight = np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
-    centre, scale = np.average(x, axis=0, weights=weight), x.std(axis=0) + 1e-9
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a, w = np.c_[np.ones(len(x)), (x - centre) / scale], np.zeros(x.shape[1] + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -174,7 +221,7 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Model:
     """Fits on labelled rows that are not held out.  An id with several labels counts as toxic if one says so."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
@@ -184,7 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return fit([], share)
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in pick], f"{id_col} {docs.schema[id_col].dataType.simpleString()}"))  # 2 x per_class ids at most
-    rows = docs.select(id_col, text).join(chosen, id_col).dropDuplicates([id_col]).join(known, id_col).orderBy(order, id_col).select(text, "y").collect()
+    short = F.octet_length(F.coalesce(F.col(text), F.lit(""))) <= most_bytes // 16
+    rows = docs.select(id_col, text).join(chosen, id_col).filter(short).groupBy(id_col).agg(F.min(text).alias("t")).join(known, id_col)
+    before = F.sum(F.octet_length(F.coalesce("t", F.lit("")))).over(W.partitionBy("y").orderBy(order, id_col).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("bytes", before).filter(F.col("bytes") <= most_bytes).orderBy(order, id_col).select("t", "y").collect()
     return fit([(r[0], int(r[1])) for r in rows], share)
 
 
@@ -194,9 +244,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "toxi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
+            found = pa.array(scorer.scores(batch.column(batch.schema.get_field_index(text))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
     plain = docs.drop(column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
