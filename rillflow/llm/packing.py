@@ -11,16 +11,20 @@ one token of its target; a queue that runs dry leaves its share to the others.
 
 Steps: tokens are written once with their place in their partition's queues;
 totals per (partition, queue) give global places; documents are then cut in the
-order stored.  No row is shuffled.
+order stored.  Token rows are joined with those places by broadcast while that table is
+small, so they are not shuffled.
 
 Defined results: null text is empty (one end token); sources beyond the
-`max_queues` largest share one queue; a null source is a queue of its own; ties
-and repeated rows are packed like any other row; an empty table gives no rows.
+`max_queues` largest (a window cannot hold tokens of more sources than it has tokens) share
+one queue, whose share is the sum of theirs; a null source is a queue of its own; ties
+and repeated rows are packed like any other row; an empty table gives no rows; other
+columns are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import re
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,44 +35,117 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch
+from .textblocks import _SYMBOLS, Block, blocks, range_hashes
 
-CACHE_WORDS = 800_000
-_END = re.compile(r"(?<=[^\W_])[.,]+(?=\s|\Z)")  # signs that end a word are a chunk of their own
+CACHE_UNITS = 500_000
+MAX_QUEUES = 1024
+BLOCK = 1 << 20
 _encoders: dict[str, Encoder] = {}
 
+# Kinds of bytes: 0 white space, 1 ASCII letter, 2 other ASCII sign, 3 apostrophe or part of another character.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[:128] = 2
+_KIND[list(b" \t\n\x0b\x0c\r")] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x27] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def byte_signs() -> dict[int, int]:
+    """How byte-level tokenizers write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in set(plain)]
+    return {x: 256 + i for i, x in enumerate(rest)}
+
+
+def pack_ids(*ids: int) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class Encoder:
-    """Token ids of texts as bytes of 32-bit ids, chunk by chunk, chunks remembered.
+    """Token ids of whole texts, unit by unit, units remembered.
 
-    The tokenizers that this is for fold case and split at white space and between letters and
-    signs, so a text's ids are those of its chunks; the tests compare with whole texts."""
+    The tokenizers that this is for fold case, drop white space and split between letters, digits and signs
+    before they merge, so a text's ids are those of its units: runs of bytes cut at ASCII white space and
+    between an ASCII letter and another ASCII sign but the apostrophe.  A unit of letters goes to the merges
+    directly, any other through the whole tokenizer; a text that spells a special token is encoded as a whole.
+    The tests compare with whole texts."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks as one text; each token belongs to the chunk in which it starts."""
-        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
-        cut, ids = (4 * np.searchsorted(at, starts)).tolist(), np.array(got.ids, "<u4").tobytes()
-        for chunk, lo, hi in zip(chunks, cut, cut[1:], strict=False):
-            self.known[chunk] = ids[lo:hi]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_END.sub(r" \g<0>", t.lower() if t.isascii() else t).split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:  # short words come again
-            self.known = known = {k: v for k, v in known.items() if len(k) <= 7}
-            if len(known) > CACHE_WORDS // 2:
-                known.clear()
-        new = list({c for x in chunks for c in x if c not in known})
-        for at in range(0, len(new), 5000):
-            self.learn(new[at : at + 5000])
-        return [b"".join(map(known.__getitem__, x)) for x in chunks]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge, self.signs = self.tokenizer.model.tokenize, byte_signs()
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, units: list[bytes]) -> None:
+        merge, known, odd = self.merge, self.known, []
+        for unit in units:
+            if unit.isalpha():  # ASCII letters, lower case by now
+                word = unit.decode()
+            else:
+                word = unit.decode("utf-8", "replace")
+                low = word.lower()
+                if not word.isalpha() or not low.isalpha() or max(word) >= "\u0250":
+                    odd.append((unit, word))
+                    continue
+                word = low.encode().decode("latin-1").translate(self.signs)
+            known[unit] = pack_ids(*[t.id for t in merge(word)])
+        for (unit, _), got in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False), strict=True):
+            known[unit] = pack_ids(*got.ids)
+
+    def units(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        kind = _KIND[b.buf]
+        inside = kind > 0
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | ((kind[1:] ^ kind[:-1]) == 3)
+        full = b.hi > b.lo
+        first, last = b.lo[full], b.hi[full] - 1
+        start[first] = inside[first]
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | start[1:]
+        stop[last] = inside[last]
+        return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+    def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of each row's ids)"""
+        b = Block(_LOWER[b.buf], b.lo, b.hi, b.first)
+        lo, hi = self.units(b)
+        if not len(lo):
+            return np.zeros(0, np.uint32), np.zeros(b.n, np.int64)
+        _, at, which = np.unique(range_hashes_of_bytes(b.buf, lo, hi), return_index=True, return_inverse=True)
+        raw = b.buf.tobytes()
+        found = [raw[s:e] for s, e in zip(lo[at].tolist(), hi[at].tolist(), strict=True)]
+        if len(self.known) > CACHE_UNITS:  # short units come again
+            self.known = {k: v for k, v in self.known.items() if len(k) <= 7}
+            if len(self.known) > CACHE_UNITS // 2:
+                self.known.clear()
+        self.learn([x for x in found if x not in self.known])
+        parts = [self.known[x] for x in found]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begin, n = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size, size[which]
+        ends = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(lo, b.hi)] - ends[np.searchsorted(lo, b.lo)]
+
+    def encode_rows(self, b: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` with the end id after every row."""
+        ids, n = self.encode(b)
+        whole = [i for i in range(b.n) if any(x in b.text(i) for x in self.special)] if any(x in b.buf.tobytes() for x in self.special) else []
+        if whole:
+            rows = np.split(ids, np.cumsum(n)[:-1])
+            for i in whole:
+                rows[i] = np.array(self.tokenizer.encode(b.text(i).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            ids, n = np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
+        return np.insert(ids, np.cumsum(n), end).astype("<u4"), n + 1
+
+
+def range_hashes_of_bytes(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return range_hashes(_SYMBOLS[buf], lo, hi)
 
 
 def encoder(path: str) -> Encoder:
@@ -78,12 +155,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def ids_array(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Binary array of rows of n ids."""
+    ends = pa.py_buffer(np.append(0, 4 * np.cumsum(n)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(np.ascontiguousarray(ids))])
+
+
 class Plan:
     """Cumulative allocation C_s(t); few numbers, sent along with the tasks."""
 
     def __init__(self, lengths: list[int], shares: list[float], window: int):
-        if len(lengths) > window // 4:
-            raise ValueError("more queues than a quarter of the window")
+        if len(lengths) > window:
+            raise ValueError("more queues than a window has tokens")
         self.n, self.window = np.array(lengths, np.int64), window
         w = np.array(shares, float)
         self.w = w / w.sum() if len(w) else w
@@ -97,6 +180,10 @@ class Plan:
 
     def allocated(self, t: np.ndarray) -> np.ndarray:
         """C_s(t) for all t: an array (len(t), queues)."""
+        step = max(1, (1 << 20) // max(1, len(self.n)))
+        return np.concatenate([self._allocated(t[i : i + step]) for i in range(0, max(1, len(t)), step)])
+
+    def _allocated(self, t: np.ndarray) -> np.ndarray:
         goal = np.minimum(np.maximum(t, 0) * self.window, self.total)
         v = np.interp(goal, self.filled, self.times)
         got = np.minimum(self.n, np.floor(self.w * v[:, None] + 0.5).astype(np.int64))
@@ -132,17 +219,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str, id_col: str, q
     """id, queue, part, place (in this partition's queue), n and ids of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc, end = TaskContext.get().partitionId(), {}, encoder(path), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [x + end for x in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
-                n, place = [len(x) // 4 for x in ids], []
-                for q, k in zip(batch.column(2).to_pylist(), n, strict=True):
+        part, seen, enc = TaskContext.get().partitionId(), {}, encoder(path)
+        for batch in batches:
+            for b in blocks(batch.column(1), BLOCK):
+                mine = batch.slice(b.first, b.n)
+                ids, n = enc.encode_rows(b, end_id)
+                place = []
+                for q, k in zip(mine.column(2).to_pylist(), n.tolist(), strict=True):
                     place.append(seen.get(q, 0))
                     seen[q] = place[-1] + k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [mine.column(0), mine.column(2), pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64()), pa.array(n), ids_array(ids, n)],
                     names=["id", "queue", "part", "place", "n", "ids"],
                 )
 
@@ -150,23 +237,29 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str, id_col: str, q
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(queue).alias("queue")).mapInArrow(run, f"id {kind}, queue int, part int, place long, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, source: str = "source", text: str = "text", id_col: str = "doc_id", window: int = 2048, end_id: int = 1, shares: dict[str, float] | None = None, max_queues: int = 256) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, source queue.
+def pack(docs: DataFrame, tokenizer: str, source: str = "source", text: str = "text", id_col: str = "doc_id", window: int = 2048, end_id: int = 1, shares: dict[str, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
+    """One row per piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     shares: target share of tokens by source; default: the shares that the corpus has."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    sized = docs.groupBy(name.alias("s")).count().orderBy(F.desc("count"), "s").limit(max_queues).collect()
+    most = min(max_queues, window - 1)
+    sized = docs.groupBy(name.alias("s")).count().orderBy(F.desc("count"), "s").limit(most).collect()
     number = {r["s"]: i for i, r in enumerate(sized)}
     pairs = [x for s, i in number.items() for x in (F.lit(s), F.lit(i))]
-    queue = F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit(max_queues)) if pairs else F.lit(max_queues)
+    queue = F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit(most)) if pairs else F.lit(most)
     tokens = scratch.table(tokenized(docs.withColumn("queue#", queue), tokenizer, end_id, text, id_col, "queue#"), "tokens")
-    held = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: r["n"] for r in held.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    held = scratch.table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "held")
+    totals = {r["queue"]: r["n"] for r in held.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one row a queue
     order = sorted(totals)
-    wanted = {number.get("=" + s, max_queues): x for s, x in (shares or {}).items()}
+    wanted: dict[int, float] = {}
+    for s, x in (shares or {}).items():  # sources that share a queue add up
+        q = number.get("=" + s, most)
+        wanted[q] = wanted.get(q, 0.0) + x
     plan = Plan([totals[q] for q in order], [wanted.get(q, totals[q] if not shares else 1e-9) for q in order], window)
     rank = {q: i for i, q in enumerate(order)}
     ahead = held.withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    # read from files, its size is known: Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and shuffles beyond
+    ahead = scratch.table(ahead, "ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,15 +268,12 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source", text: str = "t
                 q = np.array([rank[x] for x in batch.column(1).to_pylist()], np.int64)
                 n, place = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
                 doc, start, length, t, offset = plan.cut(q, place, n)
-                ids = batch.column(4)
-                pieces, last, raw = [], -1, b""
-                for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True):
-                    if d != last:
-                        last, raw = d, ids[d].as_buffer().to_pybytes()
-                    pieces.append(raw[4 * s : 4 * (s + k)])
-                take = pa.array(doc)
+                _, ends, raw = batch.column(4).buffers()
+                begin = np.frombuffer(ends, np.int32)[batch.column(4).offset :][: batch.num_rows].astype(np.int64) // 4
+                ids, first = np.frombuffer(raw, "<u4"), np.cumsum(length) - length
+                pieces = ids[np.repeat(begin[doc] + start - first, length) + np.arange(int(length.sum()))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(start), pa.array(length), pa.array(pieces, pa.binary()), pa.array(n[doc]), pa.array(t), pa.array(offset)],
+                    [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), ids_array(pieces, length), pa.array(n[doc]), pa.array(t), pa.array(offset)],
                     names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
