@@ -1,19 +1,23 @@
 """Main text of web pages by tag-path ratios (operator 6).
 
 A page is cut into text nodes.  Nodes with the same root-to-leaf tag path share
-statistics: characters and punctuation marks for each node.  The fused ratio of a
-path is (characters / nodes) x (1 + punctuation / nodes); it is smoothed over
-neighbouring nodes of the page, and paths above a share of the best one hold
-content.  The smallest element that encloses nearly all of that content is the
-article: short nodes inside it (headings, one-word paragraphs) are taken when
-their smoothed ratio passes, nodes outside it are not.
+statistics: characters and punctuation marks for each block, where text of links counts
+nothing.  The fused ratio of a path is (characters / blocks) x (1 + marks / blocks); it is
+smoothed over neighbouring runs of one path, and paths above a share of the best one hold
+content.  The smallest container that encloses nearly all of that content is the
+article.  Nodes inside it are taken when their own or their smoothed ratio passes, so short
+ones (headings, list items) go with the text around them; rows of blocks that are nothing
+but links are menus and left out.
 
-Elements that are never main text (navigation, page header and footer, sidebars,
-forms, scripts, styles, adverts, notices, reader comments: by tag, role, class or
-id) are left out before the ratios are taken.
+Names of elements that are never main text (navigation, footers, forms, adverts, notices, reader
+comments: by tag, role, class or id) only help: their text counts nothing in the ratios and is not
+taken.  Where a page holds such parts beside the article, the ratios leave them out without any name.
+
+Every step is linear in the page: open elements are counted, paths and elements have numbers.
 
 Defined results: null or empty html, or a page without content, gives an empty
-text; unclosed and stray tags are tolerated; rows are independent of each other.
+text; unclosed and stray tags are tolerated; rows, repeated or not, are independent of each other;
+a column named as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ _BAD = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _PUNCT = re.compile(r"[.,;:!?…、。，！？]")
-SHARE, INSIDE = 0.08, 0.9
+SHARE, INSIDE = 0.08, 0.8
 
 
 def _out(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -67,102 +71,173 @@ def _out(tag: str, attrs: str, inside_article: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("path", "block", "text", "linked")
-
-    def __init__(self, path: tuple[str, ...], block: int, text: str, linked: bool):
-        self.path, self.block, self.text, self.linked = path, block, text, linked
-
-
-def nodes(page: str) -> list[Node]:
-    """Text nodes outside the elements that are left out, with their tag path and block number."""
-    stack: list[tuple[str, bool]] = []  # open elements: tag, left out from here on
-    path: tuple[str, ...] = ()
-    out, block = [], 0
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if not (stack and stack[-1][1]) and (shown := entities.unescape(text)).strip():
-                out.append(Node(path, block, shown, any(t == "a" for t, _ in stack)))
-            elif out and out[-1].block == block and text:
-                out[-1].text += " "
-            continue
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag == "br" or tag == "hr":
-            if tag == "hr":
-                block += 1
-            elif out and out[-1].block == block:
-                out[-1].text += " "
-            continue
+    """A text node: path and element numbers, block number, parts of its text, and whether it is in a link or a named part."""
+
+    __slots__ = ("path", "element", "block", "parts", "linked", "named")
+
+    def __init__(self, path: int, element: int, block: int, text: str, linked: bool, named: bool):
+        self.path, self.element, self.block, self.parts, self.linked, self.named = path, element, block, [text], linked, named
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+
+class Page:
+    """Text nodes of a page and its block elements, numbered as they open: the elements inside e are e to end[e] - 1."""
+
+    def __init__(self, page: str):
+        self.nodes: list[Node] = []
+        self.parent, self.end, self.tag = [-1], [0], [""]
+        self._paths: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # open elements: tag, element, path, named
+        self._outer: list[int] = [0]  # places of the block elements in the stack
+        self._open: dict[str, int] = defaultdict(int)
+        self._block = 0
+        for m in _TOKEN.finditer(page):
+            if m["text"] is not None:
+                self._text(m["text"])
+            elif m["tag"]:
+                self._tagged(m["tag"].lower(), m["attrs"], bool(m["close"]))
+        self._cut(1)
+        self.end[0] = len(self.parent)
+
+    def _cut(self, at: int) -> None:
+        """Closes the elements from that place of the stack on."""
+        while len(self._stack) > at:
+            tag, element, _, _ = self._stack.pop()
+            self._open[tag] -= 1
+            if self._outer[-1] == len(self._stack):
+                self._outer.pop()
+                self.end[element] = len(self.parent)
+
+    def _text(self, text: str) -> None:
+        _, element, path, named = self._stack[-1]
+        shown = entities.unescape(text)
+        if shown.strip():
+            self.nodes.append(Node(path, element, self._block, shown, self._open["a"] > 0, named))
+        elif self.nodes and self.nodes[-1].block == self._block:
+            self.nodes[-1].parts.append(" ")
+
+    def _tagged(self, tag: str, attrs: str, close: bool) -> None:
+        if tag == "br" and self.nodes and self.nodes[-1].block == self._block:
+            self.nodes[-1].parts.append(" ")
         if tag in VOID:
-            continue
-        if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            else:
-                continue
+            self._block += tag == "hr"
+            return
+        inline = tag in INLINE
+        if close:
+            if not self._open[tag]:
+                return
+            at = len(self._stack) - 1
+            while self._stack[at][0] != tag:
+                at -= 1
+            self._cut(at)
         else:
-            if tag not in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    open_ = stack[i][0]
-                    if open_ == "p" or (open_ == tag and tag in OWN_SIBLING):
-                        del stack[i:]
-                        break
-                    if open_ not in INLINE:
-                        break
-            if not m["attrs"].endswith("/") or tag in ("p", "div"):
-                held = bool(stack) and stack[-1][1]
-                stack.append((tag, held or _out(tag, m["attrs"], any(t == "article" for t, _ in stack))))
-        if tag not in INLINE:
-            block += 1
-        path = tuple(t for t, _ in stack if t not in INLINE or t == "a")
-    return out
-
-
-def selected(found: list[Node]) -> list[Node]:
-    """Nodes whose path, smoothed and fused, is content, inside the smallest element around them."""
-    if not found:
-        return []
-    chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(set)
+            if not inline:
+                top = self._stack[self._outer[-1]][0]
+                if top == "p" or (top == tag and tag in OWN_SIBLING):
+                    self._cut(self._outer[-1])
+            if not attrs.endswith("/") or tag in ("p", "div"):
+                _, element, path, named = self._stack[-1]
+                if not inline or tag == "a":
+                    path = self._paths.setdefault((path, tag), len(self._paths) + 1)
+                named = named or _out(tag, attrs, self._open["article"] > 0)
+                if not inline:
+                    self.parent.append(element)
+                    self.end.append(0)
+                    self.tag.append(tag)
+                    element = len(self.parent) - 1
+                    self._outer.append(len(self._stack))
+                self._stack.append((tag, element, path, named))
+                self._open[tag] += 1
+        if not inline:
+            self._block += 1
+
+
+def path_ratios(found: list[Node]) -> dict[int, float]:
+    """Fused ratio of every path: characters for each block times (1 + marks for each block)."""
+    chars, marks, count, last = defaultdict(int), defaultdict(int), defaultdict(int), {}
+    for x in found:
+        if last.get(x.path) != x.block:
+            count[x.path] += 1
+            last[x.path] = x.block
+        if not (x.linked or x.named):
+            chars[x.path] += len(x.text.strip())
+            marks[x.path] += len(_PUNCT.findall(x.text))
+    return {p: chars[p] / n * (1 + marks[p] / n) for p, n in count.items()}
+
+
+def smoothed(found: list[Node], fused: dict[int, float]) -> list[float]:
+    """For every node, the Gaussian mean of the ratios of its run of one path and two runs on either side."""
+    run, values = [], []
+    for i, x in enumerate(found):
+        if not i or x.path != found[i - 1].path:
+            values.append(fused[x.path])
+        run.append(len(values) - 1)
+    weights = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+    mean = [sum(w * values[j] for w, j in zip(weights, range(i - 2, i + 3), strict=True) if 0 <= j < len(values)) / sum(weights) for i in range(len(values))]
+    return [mean[r] for r in run]
+
+
+def article(page: Page, core: list[Node], fused: dict[int, float]) -> int:
+    """The smallest container of nearly all of the core's text, weighted by its ratios; an article or main element
+    around it, if there is one."""
+    held, containers, whole = [0.0] * len(page.parent), set(), 0.0
+    for x in core:
+        held[x.element] += len(x.text) * fused[x.path]
+        whole += len(x.text) * fused[x.path]
+    filled = {x.element for x in page.nodes}
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+        if e in filled or e in containers:
+            containers.add(page.parent[e])
+    best = 0
+    for e in range(1, len(held)):
+        if e in containers and held[e] >= INSIDE * whole:
+            best = e  # those that hold so much lie in one another, the inner ones later
+    e = best
+    while e > 0:
+        if page.tag[e] in ("article", "main"):
+            return e
+        e = page.parent[e]
+    return best
+
+
+def menus(found: list[Node]) -> set[int]:
+    """Blocks of links only with another such block beside them."""
+    text, linked = defaultdict(int), defaultdict(int)
     for x in found:
-        path = x.path
-        chars[path] += 0 if x.linked else len(x.text.strip())
-        marks[path] += 0 if x.linked else len(_PUNCT.findall(x.text))
-        count[path].add(x.block)
-    fused = {p: chars[p] / len(count[p]) * (1 + marks[p] / len(count[p])) for p in count}
-    best = max(fused.values())
-    if best <= 0:
+        n = len(x.text.strip())
+        text[x.block] += n
+        linked[x.block] += n * x.linked
+    order = sorted(text)
+    only = [text[b] == linked[b] for b in order]
+    return {b for i, b in enumerate(order) if only[i] and (only[i - 1 : i] == [True] or only[i + 1 : i + 2] == [True])}
+
+
+def selected(page: Page) -> list[Node]:
+    """Nodes whose path, fused and smoothed, is content, inside the article."""
+    fused = path_ratios(page.nodes)
+    limit = SHARE * max(fused.values(), default=0.0)
+    if limit <= 0:
         return []
-    weights = [math.exp(-0.5 * (k / 1.0) ** 2) for k in range(-2, 3)]
-    row = [fused[x.path] for x in found]
-    smooth = [sum(w * row[j] for w, j in zip(weights, range(i - 2, i + 3), strict=True) if 0 <= j < len(row)) / sum(weights) for i in range(len(row))]
-    limit = SHARE * best
-    core = [x for x in found if fused[x.path] >= limit and not x.linked]
-    whole, article = sum(len(x.text) for x in core), ()
-    while True:
-        inside = defaultdict(int)
-        for x in core:
-            if len(x.path) > len(article) + 1 and x.path[: len(article)] == article:
-                inside[x.path[: len(article) + 1]] += len(x.text)
-        following = max(inside, key=inside.__getitem__, default=None)
-        if following is None or inside[following] < INSIDE * whole:
-            break
-        article = following
-    return [x for x, s in zip(found, smooth, strict=True) if x.path[: len(article)] == article and max(s, fused[x.path]) >= limit]
+    core = [x for x in page.nodes if fused[x.path] >= limit and not (x.linked or x.named)]
+    top = article(page, core, fused)
+    inside = [top <= x.element < page.end[top] and not x.named for x in page.nodes]
+    links = menus([x for x, i in zip(page.nodes, inside, strict=True) if i])
+    return [x for x, i, s in zip(page.nodes, inside, smoothed(page.nodes, fused), strict=True) if i and x.block not in links and max(s, fused[x.path]) >= limit]
 
 
 def main_text(page: str | None) -> str:
     """Content blocks in page order, one a line; white space inside a block is one space."""
     lines: list[list[str]] = []
     last = None
-    for x in selected(nodes(page or "")):
+    for x in selected(Page(page or "")):
         if x.block != last:
             lines.append([])
             last = x.block
-        lines[-1].append(x.text)
+        lines[-1] += x.parts
     cleaned = (" ".join("".join(parts).split()) for parts in lines)
     return "\n".join(x for x in cleaned if x)
 

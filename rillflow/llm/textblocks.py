@@ -160,12 +160,12 @@ def range_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     """Index of the minimum of h[i:i+width], for every full window i; the rightmost of equals.
 
-    The low bits of each hash make room for its index, so plain minima carry it along."""
+    The low 31 bits of each hash make room for its index, so plain minima carry it along.  What is left of the hash
+    does not depend on the block, and neither does the choice among equals: equal windows choose the same place."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = _U(max(1, (len(h) - 1).bit_length()))
-    low = (_U(1) << bits) - _U(1)
+    low = _U((1 << 31) - 1)
     best = (h & ~low) | np.arange(len(h), dtype=np.uint64)[::-1]
     have = 1
     while have < width:
