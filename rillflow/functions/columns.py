@@ -15,10 +15,6 @@ def canonical_key(c: Column, width: int = 8) -> Column:
     return F.when(F.length(bare) > width, bare).otherwise(F.lpad(bare, width, "0"))
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def clip(c: Column, lo: float, hi: float) -> Column:
     """greatest/least skip nulls, so nulls are kept apart."""
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
@@ -29,8 +25,10 @@ def rounded(c: Column, digits: int) -> Column:
     return F.round(c + F.signum(c) * 10.0 ** -(digits + 5), digits)
 
 
-def safe_ratio(x: Column, y: Column) -> Column:
-    return x / F.nullif(y, F.lit(0))
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over rows where both have values; null where one of them is constant (where `corr` divides by zero)."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def season(month: Column) -> dict[str, Column]:
@@ -43,6 +41,13 @@ def resolve_columns(df: DataFrame, want: Sequence[str] | Callable[[str], bool])
     return [c for c in df.columns if want(c)] if callable(want) else [c for c in want if c in df.columns]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: a lambda variable instead of a copy of the expression at each use.
+
+    Without it, nested polynomials grow beyond what the JVM compiles."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
     out = F.lit(coefficients[0])
     for c in coefficients[1:]:
@@ -51,33 +56,38 @@ def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
 
 
 # Acklam's rational approximation of the normal quantile function.
-_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-_LOW = 0.02425
+A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+LOW = 0.02425
 
 
 def norm_ppf(p: Column) -> Column:
     """Standard normal quantile of p in (0, 1)."""
-    centre = p - 0.5
-    square = centre * centre
-    middle = _polynomial(square, _A) * centre / _polynomial(square, _B)
+
+    def middle(centre: Column) -> Column:
+        return let(centre * centre, lambda s: _polynomial(s, A) / _polynomial(s, B)) * centre
 
     def tail(q: Column) -> Column:
-        r = F.sqrt(-2 * F.log(q))
-        return _polynomial(r, _C) / _polynomial(r, _D)
+        return let(F.sqrt(-2 * F.log(q)), lambda r: _polynomial(r, C) / _polynomial(r, D))
+
+    def quantile(x: Column) -> Column:
+        inside = (x > 0) & (x < 1)
+        return F.when(inside & (x < LOW), tail(x)).when(inside & (x <= 1 - LOW), middle(x - 0.5)).when(inside, -tail(1 - x))
 
-    inside = (p > 0) & (p < 1)
-    return F.when(inside & (p < _LOW), tail(p)).when(inside & (p <= 1 - _LOW), middle).when(inside, -tail(1 - p))
+    return let(p, quantile)
 
 
 def glo_cdf(x: Column, xi: Column, alpha: Column, kappa: Column) -> Column:
     """Generalised logistic distribution function, kept away from 0 and 1."""
-    y = (x - xi) / F.nullif(alpha, F.lit(0.0))
-    flat = 1 / (1 + F.exp(-y))
-    bent = 1 / (1 + F.pow(F.greatest(1 - kappa * y, F.lit(1e-10)), 1 / F.when(F.abs(kappa) >= 1e-6, kappa)))
-    return F.when(y.isNotNull(), clip(F.when(F.abs(kappa) < 1e-6, flat).otherwise(bent), 1e-6, 1 - 1e-6))
+
+    def share(y: Column) -> Column:
+        flat = 1 / (1 + F.exp(-y))
+        bent = 1 / (1 + F.pow(F.greatest(1 - kappa * y, F.lit(1e-10)), 1 / F.when(F.abs(kappa) >= 1e-6, kappa)))
+        return F.when(y.isNotNull(), clip(F.when(F.abs(kappa) < 1e-6, flat).otherwise(bent), 1e-6, 1 - 1e-6))
+
+    return let((x - xi) / F.nullif(alpha, F.lit(0.0)), share)
 
 
 def glo_parameters(l1: Column, l2: Column, l3: Column, variant: str = "inverted") -> dict[str, Column]:

@@ -21,33 +21,33 @@ from .series import positions
 ONSET, TERMINATION = -1.0, -0.5
 
 
-def detect(series: DataFrame, column: str = "index", onset: float = ONSET, termination: float = TERMINATION, monthly: bool = True) -> DataFrame:
-    """gauge, period, `column` -> one row per event with positions, dates, severity, peak, intensity and false recoveries."""
-    rows = positions(series.select("gauge", "period", F.col(column).alias("v"))).select("gauge", "period", "v", "idx")
-    w = W.partitionBy("gauge").orderBy("idx")
+def detect(series: DataFrame, column: str = "index", onset: float = ONSET, termination: float = TERMINATION, monthly: bool = True, by: Sequence[str] = ("gauge",)) -> DataFrame:
+    """by, period, `column` -> one row per event with positions, dates, severity, peak, intensity and false recoveries."""
+    rows = positions(series.select(*by, "period", F.col(column).alias("v")), by)
+    w = W.partitionBy(*by).orderBy("idx")
     low = F.col("v") <= onset
     after = F.lead("v", 1).over(w)
     marked = rows.withColumns({
         "start": F.coalesce(low & (after <= onset) & (F.lead("v", 2).over(w) <= onset), F.lit(False)),
         "stop": F.coalesce((F.col("v") > onset) & (after > termination), F.lit(False)),
-        "n": F.count(F.lit(1)).over(W.partitionBy("gauge")),
+        "n": F.count(F.lit(1)).over(W.partitionBy(*by)),
     })
     # next stop at least three rows on: descending order keeps the frame incremental
-    back = W.partitionBy("gauge").orderBy(F.col("idx").desc()).rowsBetween(W.unboundedPreceding, -3)
+    back = W.partitionBy(*by).orderBy(F.col("idx").desc()).rowsBetween(W.unboundedPreceding, -3)
     marked = marked.withColumn("next", F.min(F.when(F.col("stop"), F.col("idx"))).over(back))
-    spans = marked.filter("start").groupBy("gauge", F.coalesce("next", "n").alias("next")).agg(F.min("idx").alias("onset_idx"))
-    spans = spans.select("gauge", "onset_idx", (F.col("next") - 1).alias("term_idx"))
-    inside = rows.join(spans, "gauge").filter("idx between onset_idx and term_idx")
+    spans = marked.filter("start").groupBy(*by, F.coalesce("next", "n").alias("next")).agg(F.min("idx").alias("onset_idx"))
+    spans = spans.select(*by, "onset_idx", (F.col("next") - 1).alias("term_idx"))
+    inside = rows.join(spans, list(by)).filter("idx between onset_idx and term_idx")
     first = F.min_by("period", F.when(F.col("v").isNotNull(), F.struct("v", "idx")))
     last = F.max_by("period", "idx")
-    out = inside.groupBy("gauge", "onset_idx", "term_idx").agg(
+    out = inside.groupBy(*by, "onset_idx", "term_idx").agg(
         F.min_by("period", "idx").alias("onset_date"), (F.last_day(last) if monthly else last).alias("term_date"), F.sum("v").alias("total"),
         F.round(F.min("v"), 4).alias("peak"), first.alias("peak_date"), F.min_by("idx", F.when(F.col("v").isNotNull(), F.struct("v", "idx"))).alias("peak_idx"),
         F.count_if(F.col("v") > onset).cast("int").alias("false_recoveries"),
     )
     duration = F.col("term_idx") - F.col("onset_idx") + 1
     return out.select(
-        "gauge", "onset_idx", "term_idx", "onset_date", "term_date", duration.alias("duration"), F.round("total", 4).alias("severity"),
+        *by, "onset_idx", "term_idx", "onset_date", "term_date", duration.alias("duration"), F.round("total", 4).alias("severity"),
         "peak", "peak_date", "peak_idx", rounded(F.col("total") / duration, 4).alias("intensity"), "false_recoveries",
     )
 
@@ -120,3 +120,17 @@ def classify(driver: DataFrame, response: DataFrame, pairs: DataFrame, unused: D
         "leads": F.lit(0), "pct_propagated": share("unique_drivers", "drivers"), "pct_buffered": share("buffered", "drivers"),
         "pct_matched": share("matched", "responses"), "pct_independent": share("independent", "responses"),
     })
+
+
+def accounts(driver: DataFrame, response: DataFrame, pairs: DataFrame, unused: DataFrame, alone: DataFrame, by: Sequence[str] = ("gauge",)) -> DataFrame:
+    """Totals of all events and whether they add up: every driver event is chosen or buffered, every response event
+    matched or independent, and no lag is negative.  One row."""
+    count = lambda df, name, *more: df.agg(F.count(F.lit(1)).alias(name), *more)
+    matched = count(pairs, "matched", F.countDistinct(*by, "d_onset_idx").alias("unique_drivers"), F.coalesce(F.min("propagation_lag"), F.lit(0)).alias("least_lag"))
+    out = count(driver, "drivers")
+    for one in (count(response, "responses"), matched, count(unused, "buffered"), count(alone, "independent")):
+        out = out.join(one)  # one row each
+    return out.select(
+        "drivers", "responses", "matched", "unique_drivers", "buffered", "independent", (F.col("unique_drivers") + F.col("buffered") == F.col("drivers")).alias("drivers_add_up"),
+        (F.col("matched") + F.col("independent") == F.col("responses")).alias("responses_add_up"), (F.col("least_lag") >= 0).alias("lags_not_negative"),
+    )

@@ -41,11 +41,14 @@ def recession_constant(series: DataFrame, least: int = 5, segments: int = 3) ->
 
 
 def recession_ratio(series: DataFrame, least: int = 10) -> DataFrame:
-    """The other definition: median of -q / change over falling days, kept if more than `least` of them and 0 < k < 1000."""
+    """The other definition: median of those ratios -q / change of falling days that lie between 0 and 1000.
+
+    n counts falling days; with no more than `least` of them, or no ratio in between, k is null."""
     w = W.partitionBy("gauge").orderBy("period")
     p = series.filter(F.col("value").isNotNull()).withColumn("change", F.lead("value").over(w) - F.col("value")).filter("change < 0")
-    out = p.groupBy("gauge").agg(F.count(F.lit(1)).alias("n"), F.median(-F.col("value") / F.col("change")).alias("k"))
-    return out.filter((F.col("n") > least) & (F.col("k") > 0) & (F.col("k") < 1000)).select("gauge", "n", F.round("k", 6).alias("k"))
+    ratio = -F.col("value") / F.col("change")
+    out = p.groupBy("gauge").agg(F.count(F.lit(1)).alias("n"), F.median(F.when((ratio > 0) & (ratio < 1000), ratio)).alias("k"))
+    return out.select("gauge", "n", F.when(F.col("n") > least, F.round("k", 6)).alias("k"))
 
 
 def trailing_stats(events: DataFrame, daily: DataFrame, days: int, least: int, inclusive: bool = False) -> DataFrame:
@@ -67,6 +70,23 @@ def trailing_stats(events: DataFrame, daily: DataFrame, days: int, least: int, i
     )
 
 
+def static_features(series: DataFrame, least: int = 365, points: int = 5, segments: int = 5) -> DataFrame:
+    """One row for each gauge over its whole record: values, years, mean, variation, zero share and recession constant.
+
+    Null flow counts as zero in the recessions, so one that ends in a gap gives no slope.  With fewer than `least`
+    values only n_days and data_years are given.  `baseflow_index` gives the share of baseflow."""
+    held = series.groupBy("gauge").agg(
+        F.count("value").alias("n_days"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.avg((F.col("value") == 0).cast("double")).alias("z")
+    )
+    k = recession_constant(series.withColumn("value", F.coalesce("value", F.lit(0.0))), points, segments).select("gauge", "k", "k_iqr")
+    enough = F.col("n_days") >= least
+    return held.join(k, "gauge", "left").select(
+        "gauge", "n_days", rounded(F.col("n_days") / 365.25, 1).alias("data_years"), F.when(enough, F.col("k")).alias("recession_k"), F.when(enough, F.col("k_iqr")).alias("recession_k_iqr"),
+        F.when(enough, rounded(F.col("m"), 2)).alias("mean_value"), F.when(enough & (F.col("m") > 0), F.round(F.col("s") / F.nullif(F.col("m"), F.lit(0.0)), 4)).alias("cv"),
+        F.when(enough, rounded(F.col("z"), 4)).alias("zero_share"),
+    )
+
+
 def baseflow(q: np.ndarray, alpha: float = 0.925, passes: int = 3, definition: str = "A") -> np.ndarray:
     """Recursive digital filter, forward and backward in turn.
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,13 +12,13 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def assembled(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local"):  # boosting cuts its lineage there
-        folder = tempfile.mkdtemp(prefix="rillflow-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:  # boosting cuts its lineage there
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     full = df.select(*[F.col(c).cast("double").alias(c) for c in (*names, target)]).na.drop()
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(full)
 

@@ -17,16 +17,22 @@ def regular(df: DataFrame, keys: Sequence[str], value: Column, period: Column, h
     return df.groupBy(*[F.col(k).alias("gauge") for k in keys], period.alias("period")).agg(rounded(how(value), digits).alias("value"))
 
 
-def densify(series: DataFrame, step: str = "1 month") -> DataFrame:
-    """Every period between a gauge's first and last one; gaps hold null."""
+def densify(series: DataFrame, step: str = "1 month", least: int = 0) -> DataFrame:
+    """Every period between a gauge's first and last one; gaps hold null.  Gauges of fewer than `least` periods go."""
     ends = series.groupBy("gauge").agg(F.min("period").alias("a"), F.max("period").alias("b"))
     grid = ends.select("gauge", F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("period"))
-    return grid.join(series, ["gauge", "period"], "left")
+    return (at_least(grid, least) if least else grid).join(series, ["gauge", "period"], "left")
 
 
-def positions(series: DataFrame) -> DataFrame:
-    """idx: place of a row in its gauge's series, from 0."""
-    return series.withColumn("idx", F.row_number().over(W.partitionBy("gauge").orderBy("period")) - 1)
+def at_least(series: DataFrame, rows: int, by: Sequence[str] = ("gauge",)) -> DataFrame:
+    """Series of at least so many rows, nulls counted."""
+    long = series.groupBy(*by).agg(F.count(F.lit(1)).alias("#")).filter(F.col("#") >= rows).drop("#")
+    return series.join(long, list(by), "left_semi")
+
+
+def positions(series: DataFrame, by: Sequence[str] = ("gauge",)) -> DataFrame:
+    """idx: place of a row in its series, from 0."""
+    return series.withColumn("idx", F.row_number().over(W.partitionBy(*by).orderBy("period")) - 1)
 
 
 def rolling_sum(series: DataFrame, k: int, column: str = "value", out: str = "rolled", by: Sequence[str] = ("gauge",)) -> DataFrame:
@@ -87,10 +93,12 @@ def gamma_fits(rolled: DataFrame, least_valid: int = 20, least_positive: int = 2
     return held.filter(F.col("valid") >= least_valid).join(fits, ["gauge", "month"]).withColumn("zero_share", F.col("zeros") / F.col("valid"))
 
 
-def flow_index(series: DataFrame, k: int, least_valid: int = 20, least_positive: int = 20) -> DataFrame:
-    """Rolling sum, zero-inflated gamma fit for each calendar month, normal quantile, clipped to 4; null where there is no fit."""
+def flow_index(series: DataFrame, k: int, least_valid: int = 20, least_positive: int = 20, least: int = 30) -> DataFrame:
+    """Rolling sum, zero-inflated gamma fit for each calendar month, normal quantile, clipped to 4; null where there is no fit.
+
+    A series of fewer than `least` rows has no fit at all."""
     rolled = rolling_sum(series, k).withColumn("month", F.month("period"))
-    fits = gamma_fits(rolled.drop("month"), least_valid, least_positive)
+    fits = gamma_fits(at_least(rolled.drop("month"), least), least_valid, least_positive)
     x, q = F.col("rolled"), F.col("zero_share")
     mixed = F.when(x == 0, q / 2).when(x > 0, q + (1 - q) * gamma_cdf(x, F.col("shape"), F.col("scale")))
     p = clip(mixed, 1e-6, 1 - 1e-6)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..functions.special import t_two_sided
 
 
@@ -102,28 +103,27 @@ def shapley(gram: Gram, target: str, groups: dict[str, list[str]]) -> list[tuple
 
 
 def screen(df: DataFrame, names: Sequence[str], missing: float = 0.2, least_std: float = 1e-6, most_r: float = 0.70, most_vif: float = 10.0, rounds: int = 5) -> list[str]:
-    """Names left after: missing share, spread, greedy pairwise correlation (the later one goes), variance inflation."""
-    aggs = [x for c in names for x in (F.avg(F.col(c).isNull().cast("double")), F.stddev_samp(F.col(c).cast("double")))]
-    row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
-    kept = [c for i, c in enumerate(names) if (row[2 * i] or 0.0) < missing and (row[2 * i + 1] or 0.0) > least_std]
-    if not kept:
-        return []
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.avg(F.col(c).cast("double")).over(W.partitionBy())).alias(c) if (row[2 * list(names).index(c)] or 0) > 0 else F.col(c) for c in kept])
-    gram = Gram.of(filled, kept)
-    r = np.abs(gram.correlation())
-    out: list[int] = []
-    for i in range(len(kept)):
-        if all(r[i, j] < most_r for j in out):
-            out.append(i)
+    """Names left after: missing share, spread, pairwise correlation, variance inflation.
+
+    Of two columns that correlate the later one goes, also where the earlier one has gone itself; correlations are
+    of rows where both have values.  Inflation is of rows where all that are left have values, for three columns or more."""
+    number = lambda c: F.col(c).cast("double")
+    row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(x for c in names for x in (F.avg(F.col(c).isNull().cast("double")), F.stddev_samp(number(c))))]).first()
+    kept = [c for i, c in enumerate(names) if row[2 * i] is not None and row[2 * i] < missing and (row[2 * i + 1] or 0.0) > least_std]
+    pairs = list(itertools.combinations(range(len(kept)), 2))
+    if pairs:
+        r = df.agg(*[correlation(number(kept[i]), number(kept[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]).first()
+        gone = {j for k, (_, j) in enumerate(pairs) if r[k] is not None and abs(r[k]) >= most_r}
+        kept = [c for i, c in enumerate(kept) if i not in gone]
     for _ in range(rounds):
-        if len(out) < 2:
+        if len(kept) < 3:
             break
-        vif = np.diag(np.linalg.inv(gram.correlation()[np.ix_(out, out)] + 1e-8 * np.eye(len(out))))
+        vif = np.diag(np.linalg.inv(Gram.of(df, kept).correlation() + 1e-8 * np.eye(len(kept))))
         worst = int(vif.argmax())
         if vif[worst] <= most_vif:
             break
-        del out[worst]
-    return [kept[i] for i in out]
+        kept.pop(worst)
+    return kept
 
 
 def stepwise(gram: Gram, target: str, names: Sequence[str], enter: float = 0.05, remove: float = 0.10, most: int = 200) -> dict:
@@ -152,19 +152,28 @@ def average_rank(c: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
 
 
-def spearman(df: DataFrame, names: Sequence[str], target: str, least: int = 10) -> list[tuple[str, int, float, float]]:
-    """(name, n, rho, p) of every name with the target.
+def value_ranks(values: DataFrame, c: str, pieces: int = 64) -> DataFrame:
+    """Every different value of c with its rank among all rows, ties at their mean (column `rank`).
+
+    Values are counted with map-side combination and cut at quantiles, so each piece is ranked by a task of its own."""
+    held = values.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
+    edges = sorted(set(held.approxQuantile(c, [i / pieces for i in range(1, pieces)], 0.25 / pieces))) if pieces > 1 else []
+    held = held.withColumn("piece", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(c))) if edges else F.lit(0))
+    before = held.groupBy("piece").agg(F.sum("k").alias("n"))  # `pieces` rows at most
+    before = before.select("piece", F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("k").over(W.partitionBy("piece").orderBy(c))
+    return held.join(F.broadcast(before), "piece").select(c, (F.col("before") + inside - (F.col("k") - 1) / 2).alias("rank"))
 
-    Ranks come from value counts: distinct values are counted with map-side combination and ranked by a running sum, which needs
-    one ordered pass over distinct values only."""
+
+def spearman(df: DataFrame, names: Sequence[str], target: str, least: int = 10) -> list[tuple[str, int, float, float]]:
+    """(name, n, rho, p) of every name with the target, over rows where both have values."""
     out = []
     for name in names:
         pairs = df.select(F.col(name).cast("double").alias("x"), F.col(target).cast("double").alias("y")).na.drop()
+        ranked = pairs
         for c in "xy":
-            held = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-            ranked = held.select(c, (F.sum("k").over(W.orderBy(c)) - (F.col("k") - 1) / 2).alias(f"r{c}"))
-            pairs = pairs.join(ranked, c)
-        row = pairs.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).first()
+            ranked = ranked.join(value_ranks(pairs, c).withColumnRenamed("rank", f"r{c}"), c)
+        row = ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).first()
         n, rho = row["n"], row["rho"]
         if n < least or rho is None:
             continue
@@ -177,9 +186,87 @@ def grouped_spearman(df: DataFrame, x: str, y: str, by: str = "gauge", least: in
     """Spearman's rho within each group of at least `least` rows."""
     pairs = df.select(by, F.col(x).alias("x"), F.col(y).alias("y")).na.drop()
     ranked = pairs.withColumns({"rx": average_rank("x", [by]), "ry": average_rank("y", [by])})
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).filter(F.col("n") >= least)
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).filter(F.col("n") >= least)
 
 
 def regime(rho: Column, bfi: Column, k: Column) -> Column:
-    """Which process governs recovery."""
-    return F.when((rho < -0.3) & (bfi < 0.4), "climate").when((bfi > 0.6) & (k > 20), "memory").otherwise("mixed")
+    """Which process governs recovery; a null decides nothing."""
+    return F.when((rho < -0.3) & (bfi < 0.4), "Climate-controlled").when((bfi > 0.6) & (k > 20), "Memory-controlled").otherwise("Mixed")
+
+
+def regimes(pairs: DataFrame, x: str, y: str, bfi: str, k: str, by: str = "gauge", least: int = 3) -> DataFrame:
+    """Groups of at least `least` rows: rows, rho of x and y (null below five rows that have both), medians of bfi and k, regime."""
+    held = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median(bfi).alias("bfi"), F.median(k).alias("k")).filter(F.col("n") >= least)
+    out = held.join(grouped_spearman(pairs, x, y, by).select(by, "rho"), by, "left")
+    return out.withColumn("regime", regime(F.col("rho"), F.col("bfi"), F.col("k")))
+
+
+# Names of dynamic and of event predictors.
+DYNAMIC = ("dyn_BFI", "dyn_recession_k_days", "dyn_cv_Q", "antecedent_ssi")
+EVENT = ("spei_intensity", "ssi_intensity", "spei_false_rec", "ssi_false_rec")
+
+
+def predictor_type(name: Column) -> Column:
+    """DYN, EVENT or STATIC."""
+    dynamic = name.isin(*DYNAMIC) | name.startswith("mean_dyn_") | (name == "mean_antecedent_ssi")
+    return F.when(dynamic, "DYN").when(name.isin(*EVENT), "EVENT").otherwise("STATIC")
+
+
+def grid(df: DataFrame, by: str, target: str, names: Sequence[str], least: int = 100, total: str | None = "All") -> list[tuple[str, int, int, float, float, float]]:
+    """(subset, n, predictors, R2, adjusted R2, RMSE) of a fit for each value of `by`, and for all rows; subsets of fewer
+    than `least` complete rows are left out.
+
+    One aggregation gives the matrices of all subsets; that of all rows is their sum."""
+    columns = [target, *names]
+    full = df.select(F.col(by).cast("string").alias("#"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    aggs = [F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]]
+    grams = {}
+    for row in full.groupBy("#").agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).collect():  # one row a subset
+        n, m, values = row["a0"], len(columns), [x or 0.0 for x in row[1:]]
+        cross = np.zeros((m, m))
+        for k, (i, j) in enumerate(pairs):
+            cross[i, j] = cross[j, i] = values[1 + m + k] * n
+        grams[row["#"]] = Gram(columns, n, np.array(values[1 : 1 + m]), cross)
+    if total and grams:
+        n = sum(g.n for g in grams.values())
+        mean = sum(g.n * g.mean for g in grams.values()) / n
+        cross = sum(g.cross + g.n * np.outer(g.mean - mean, g.mean - mean) for g in grams.values())
+        grams[total] = Gram(columns, n, mean, cross)
+    out = []
+    for label, g in sorted(grams.items(), key=lambda x: str(x[0])):
+        if g.n >= least:
+            fit = g.fit(target, list(names))
+            out.append((label, g.n, len(names), float(fit["r2"]), float(fit["adj_r2"]), float(fit["rmse"])))
+    return out
+
+
+def ridge_cv(df: DataFrame, target: str, names: Sequence[str], fold: Column, penalties: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> tuple[float, list[tuple[float, float]]]:
+    """The penalty with the least mean squared error over folds, and all (penalty, error).
+
+    Matrices of all folds come from one aggregation; a fold's training matrix is that of the others together, and its
+    error follows from its own matrix."""
+    columns = [target, *names]
+    full = df.select(fold.alias("#"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    sums = [F.count(F.lit(1)), *[F.sum(c) for c in columns], *[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]]
+    parts, m = [], len(columns)
+    for row in full.groupBy("#").agg(*[a.alias(f"a{i}") for i, a in enumerate(sums)]).collect():  # one row a fold
+        values = list(row[1:])
+        raw = np.zeros((m, m))
+        for k, (i, j) in enumerate(pairs):
+            raw[i, j] = raw[j, i] = values[1 + m + k]
+        parts.append((values[0], np.array(values[1 : 1 + m]), raw))
+    out = []
+    for penalty in penalties:
+        errors = []
+        for held in range(len(parts)):
+            n = sum(p[0] for i, p in enumerate(parts) if i != held)
+            total = sum(p[1] for i, p in enumerate(parts) if i != held)
+            raw = sum(p[2] for i, p in enumerate(parts) if i != held)
+            fit = Gram(columns, n, total / n, raw - np.outer(total, total) / n).fit(target, list(names), ridge=penalty)
+            k, own, square = parts[held]
+            b = np.concatenate(([1.0], -np.asarray(fit["beta"])))  # y - x beta - intercept
+            errors.append((b @ square @ b - 2 * fit["intercept"] * (b @ own) + k * fit["intercept"] ** 2) / k)
+        out.append((penalty, float(np.mean(errors))))
+    return min(out, key=lambda x: x[1])[0], out

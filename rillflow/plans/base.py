@@ -17,14 +17,15 @@ def _month(c: str):
 
 
 def series(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """A: nation-month order totals; B: nation-month shipped quantity; C: user-day event value; D, E: supplier-month quantity and price."""
+    """A: nation-month order totals; B: nation-month shipped quantity; C: user-day event value; D, E: supplier-month quantity and price;
+    F: nation-day shipped quantity."""
     t = lambda name: table(spark, sf_dir, name)
     if which == "A":
         joined = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         return regular(joined.withColumn("g", F.col("c_nationkey").cast("long")), ["g"], F.col("o_totalprice"), _month("o_orderdate"))
-    if which == "B":
+    if which in "BF":
         joined = t("lineitem").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        return regular(joined.withColumn("g", F.col("s_nationkey").cast("long")), ["g"], F.col("l_quantity"), _month("l_shipdate"))
+        return regular(joined.withColumn("g", F.col("s_nationkey").cast("long")), ["g"], F.col("l_quantity"), _month("l_shipdate") if which == "B" else F.to_date("l_shipdate"))
     if which == "C":
         return regular(t("events"), ["user_id"], F.col("value"), F.to_date("ts"))
     return regular(t("lineitem"), ["l_suppkey"], F.col("l_quantity" if which == "D" else "l_extendedprice"), _month("l_shipdate"))
@@ -45,6 +46,7 @@ BASE = {
     "B": "SELECT CAST(s_nationkey AS BIGINT) AS gauge, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, round(sum(l_quantity), 2) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
     "C": "SELECT user_id AS gauge, CAST(ts AS DATE) AS period, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
     "D": "SELECT l_suppkey AS gauge, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1, 2",
+    "F": "SELECT CAST(s_nationkey AS BIGINT) AS gauge, CAST(l_shipdate AS DATE) AS period, round(sum(l_quantity), 2) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
     "E": "SELECT l_suppkey AS gauge, CAST(date_trunc('month', l_shipdate) AS DATE) AS period, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2",
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from ..functions import columns as fc
 from ..operators import events as ev
 from ..operators import hydro, ml, recovery, stats
 from ..operators import series as se
+from ..session import scratch_path
 from ..sources import readers
 from .base import BASE, events_sql, half, index, index_sql, rolled_sql, series, table
 
@@ -102,12 +104,16 @@ def glo_params(spark, sf_dir):
     return m.select("gauge", "n", F.round(p["xi"], 2).alias("xi"), F.round(p["alpha"], 2).alias("alpha"), F.round(p["kappa"], 6).alias("kappa"))
 
 
-_PPF = """CASE WHEN p < 0.02425 THEN (((((-7.784894002430293e-03*q - 3.223964580411365e-01)*q - 2.400758277161838e+00)*q - 2.549732539343734e+00)*q + 4.374664141464968e+00)*q + 2.938163982698783e+00)
- / ((((7.784695709041462e-03*q + 3.224671290700398e-01)*q + 2.445134137142996e+00)*q + 3.754408661907416e+00)*q + 1)
- WHEN p > 0.97575 THEN -(((((-7.784894002430293e-03*u - 3.223964580411365e-01)*u - 2.400758277161838e+00)*u - 2.549732539343734e+00)*u + 4.374664141464968e+00)*u + 2.938163982698783e+00)
- / ((((7.784695709041462e-03*u + 3.224671290700398e-01)*u + 2.445134137142996e+00)*u + 3.754408661907416e+00)*u + 1)
- ELSE (((((-3.969683028665376e+01*r + 2.209460984245205e+02)*r - 2.759285104469687e+02)*r + 1.383577518672690e+02)*r - 3.066479806614716e+01)*r + 2.506628277459239e+00)*(p - 0.5)
- / (((((-5.447609879822406e+01*r + 1.615858368580409e+02)*r - 1.556989798598866e+02)*r + 6.680131188771972e+01)*r - 1.328068155288572e+01)*r + 1) END"""
+
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + {c!r}"
+    return f"({out})"
+
+
+_PPF = f"""CASE WHEN p < {fc.LOW} THEN {_horner(fc.C, 'q')} / {_horner(fc.D, 'q')} WHEN p > {1 - fc.LOW} THEN -{_horner(fc.C, 'u')} / {_horner(fc.D, 'u')}
+ ELSE {_horner(fc.A, 'r')} * (p - 0.5) / {_horner(fc.B, 'r')} END"""
 
 
 @query(f"""SELECT gauge, period, round(greatest(-4.0, least(4.0, {_PPF})), 4) AS index FROM (
@@ -129,7 +135,17 @@ def gamma_params_by_month(spark, sf_dir):
     return fits.select("gauge", "month", F.col("positive").alias("n"), F.round("shape", 6).alias("shape"), F.round("scale", 6).alias("scale"))
 
 
-@query()
+_FITS = f"""SELECT gauge, month, CASE WHEN ok THEN g ELSE mean * mean / variance END AS shape, CASE WHEN ok THEN b0 / g ELSE variance / mean END AS scale FROM (
+ SELECT *, t > 0 AND t < 0.5 AND g > 0 AND g <= 1000 AS ok FROM (SELECT *, (1 - 0.308 * t) / (t - 0.05812 * t * t + 0.01765 * t * t * t) AS g FROM (
+  SELECT *, (2 * b1 - b0) / b0 AS t FROM ({_moments_sql(_MONTHLY, 'gauge, month', 'rolled')}))) ) WHERE n >= 4"""
+
+
+@query(f"""WITH v AS (SELECT gauge, period, month(period) AS month, rolled FROM ({rolled_sql('B', 3)})), f AS ({_FITS}),
+z AS (SELECT gauge, month, count(*) FILTER (WHERE rolled = 0) / count(rolled) AS q FROM v WHERE gauge IN (SELECT gauge FROM v GROUP BY gauge HAVING count(*) >= 30) GROUP BY gauge, month HAVING count(rolled) >= 4),
+c AS (SELECT v.gauge, v.period, CASE WHEN rolled = 0 THEN q / 2 WHEN rolled > 0 THEN q + (1 - q) * list_sum(list_transform(range(0, 600), lambda n: exp((shape + n) * ln(rolled / scale) - rolled / scale - lgamma(shape + n + 1)))) END AS p
+ FROM v LEFT JOIN (SELECT f.*, z.q FROM f JOIN z USING (gauge, month)) g ON g.gauge = v.gauge AND g.month = v.month)
+SELECT gauge, period, CASE WHEN p IS NOT NULL THEN round(greatest(-4.0, least(4.0, {_PPF})), 4) END AS index FROM (SELECT *, sqrt(-2 * ln(p)) AS q, sqrt(-2 * ln(1 - p)) AS u, (p - 0.5) * (p - 0.5) AS r
+ FROM (SELECT gauge, period, CASE WHEN p IS NOT NULL THEN greatest(1e-6, least(1 - 1e-6, p)) END AS p FROM c))""")
 def gamma_index(spark, sf_dir):
     return se.flow_index(series(spark, sf_dir, "B"), 3, least_valid=4, least_positive=4).select("gauge", "period", "index")
 
@@ -179,25 +195,53 @@ def drought_events(spark, sf_dir):
     return out
 
 
-_DRIVER, _RESPONSE = events_sql("D"), events_sql("E")
-_CAND = f"""SELECT r.gauge, d.onset_idx AS d_onset_idx, d.term_idx AS d_term_idx, d.term_date AS d_term_date, d.severity AS d_severity, r.onset_idx AS r_onset_idx, r.term_idx AS r_term_idx,
+
+
+class _Sql:
+    """Texts of matching at one timescale."""
+
+    def __init__(self, k: int = 3):
+        self.driver, self.response = events_sql("D", k), events_sql("E", k)
+        self.cand = f"""SELECT r.gauge, d.onset_idx AS d_onset_idx, d.term_idx AS d_term_idx, d.term_date AS d_term_date, d.severity AS d_severity, r.onset_idx AS r_onset_idx, r.term_idx AS r_term_idx,
  r.onset_date AS r_onset_date, r.severity AS r_severity, r.duration AS r_duration, r.peak AS r_peak, r.peak_idx AS r_peak_idx, r.false_recoveries AS r_false_recoveries,
  greatest(0, least(d.term_idx, r.term_idx) - greatest(d.onset_idx, r.onset_idx) + 1) AS overlap, r.onset_idx - d.onset_idx AS propagation_lag, r.term_idx - d.term_idx AS event_recovery_lag
- FROM ({_RESPONSE}) r JOIN ({_DRIVER}) d ON d.gauge = r.gauge AND d.severity <= -3 AND d.term_idx >= r.onset_idx - 6 AND d.onset_idx <= r.onset_idx"""
-_PAIRS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gauge, r_onset_idx ORDER BY overlap DESC, propagation_lag, d_onset_idx) AS k FROM ({_CAND})) WHERE k = 1"
+ FROM ({self.response}) r JOIN ({self.driver}) d ON d.gauge = r.gauge AND d.severity <= -3 AND d.term_idx >= r.onset_idx - 6 AND d.onset_idx <= r.onset_idx"""
+        self.pairs = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gauge, r_onset_idx ORDER BY overlap DESC, propagation_lag, d_onset_idx) AS k FROM ({self.cand})) WHERE k = 1"
+        self.buffered = f"""SELECT d.*, CASE WHEN severity > -3 THEN 'severity_below_threshold' ELSE 'no_matching_response' END AS reason FROM ({self.driver}) d
+ WHERE NOT EXISTS (SELECT 1 FROM ({self.pairs}) p WHERE p.gauge = d.gauge AND p.d_onset_idx = d.onset_idx)"""
+        self.alone = f"SELECT r.* FROM ({self.response}) r WHERE NOT EXISTS (SELECT 1 FROM ({self.cand}) p WHERE p.gauge = r.gauge AND p.r_onset_idx = r.onset_idx)"
+        self.panel = f"""SELECT a.gauge, a.period, a.index AS driver, b.index AS response, row_number() OVER (PARTITION BY a.gauge ORDER BY a.period) - 1 AS idx, count(*) OVER (PARTITION BY a.gauge) AS n
+ FROM ({index_sql('D', k)}) a JOIN ({index_sql('E', k)}) b ON a.gauge = b.gauge AND a.period = b.period"""
+
+
+_S3 = _Sql(3)
+_DRIVER, _RESPONSE, _CAND, _PAIRS, _BUFFERED, _ALONE = _S3.driver, _S3.response, _S3.cand, _S3.pairs, _S3.buffered, _S3.alone
 _PAIR_COLS = "gauge, d_onset_idx, d_term_idx, d_severity, r_onset_idx, r_term_idx, r_severity, overlap, propagation_lag, event_recovery_lag"
-_BUFFERED = f"""SELECT d.*, CASE WHEN severity > -3 THEN 'severity_below_threshold' ELSE 'no_matching_response' END AS reason FROM ({_DRIVER}) d
- WHERE NOT EXISTS (SELECT 1 FROM ({_PAIRS}) p WHERE p.gauge = d.gauge AND p.d_onset_idx = d.onset_idx)"""
-_ALONE = f"SELECT r.* FROM ({_RESPONSE}) r WHERE NOT EXISTS (SELECT 1 FROM ({_CAND}) p WHERE p.gauge = r.gauge AND p.r_onset_idx = r.onset_idx)"
+_BY = ("gauge", "timescale")
 
 
 class _Matched:
-    """Events of D and E with their pairs and leftovers."""
+    """Events of D and E with their pairs and leftovers; with several timescales, for each of them."""
+
+    def __init__(self, spark, sf_dir, timescales: tuple[int, ...] = ()):
+        self.by = _BY if timescales else ("gauge",)
+        self.driver, self.response = (ev.detect(_indices(spark, sf_dir, w, timescales), by=self.by) for w in "DE")
+        self.pairs = ev.match(self.driver, self.response, self.by)
+        self.buffered, self.alone = ev.buffered(self.driver, self.pairs, self.by), ev.independent(self.response, self.pairs, self.by)
+
 
-    def __init__(self, spark, sf_dir):
-        self.driver, self.response = _events(spark, sf_dir, "D"), _events(spark, sf_dir, "E")
-        self.pairs = ev.match(self.driver, self.response)
-        self.buffered, self.alone = ev.buffered(self.driver, self.pairs), ev.independent(self.response, self.pairs)
+def _indices(spark, sf_dir, which: str, timescales: tuple[int, ...] = ()) -> DataFrame:
+    """gauge, period, index; with timescales (gauge, timescale, period, index) of all of them."""
+    if not timescales:
+        return index(spark, sf_dir, which).select("gauge", "period", "index")
+    parts = [index(spark, sf_dir, which, k).select("gauge", F.lit(k).alias("timescale"), "period", "index") for k in timescales]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _panel(spark, sf_dir, timescales: tuple[int, ...] = ()) -> DataFrame:
+    by = _BY if timescales else ("gauge",)
+    one, two = (_indices(spark, sf_dir, w, timescales).select(*by, "period", F.col("index").alias(name)) for w, name in (("D", "driver"), ("E", "response")))
+    return one.join(two, [*by, "period"])
 
 
 @query(f"SELECT {_PAIR_COLS} FROM ({_PAIRS})")
@@ -244,41 +288,43 @@ def group_classification(spark, sf_dir):
 
 # ---- recovery ----------------------------------------------------------------------------------
 
-_PANEL = f"""SELECT a.gauge, a.period, a.index AS driver, b.index AS response, row_number() OVER (PARTITION BY a.gauge ORDER BY a.period) - 1 AS idx, count(*) OVER (PARTITION BY a.gauge) AS n
- FROM ({index_sql('D')}) a JOIN ({index_sql('E')}) b ON a.gauge = b.gauge AND a.period = b.period"""
-_RECOVERY = f"""WITH panel AS ({_PANEL}), p AS (SELECT *, d_term_idx AS t FROM ({_PAIRS})),
+def _recovery_sql(x: _Sql) -> str:
+    return f"""WITH panel AS ({x.panel}), p AS (SELECT *, d_term_idx AS t FROM ({x.pairs})),
  j AS (SELECT p.*, z.n, z.response AS antecedent, least(p.t + 36, z.n) AS stop FROM p JOIN panel z ON z.gauge = p.gauge AND z.idx = p.t),
  l AS (SELECT j.gauge, j.r_onset_idx, min(CASE WHEN x.idx >= j.t AND x.response > -0.5 THEN x.idx END) AS ok, min(CASE WHEN x.idx > j.r_peak_idx AND x.response >= j.r_peak / 2 THEN x.idx END) AS half,
    avg(CASE WHEN x.idx >= j.t AND x.idx < j.t + 3 THEN x.driver END) AS r3, avg(CASE WHEN x.idx >= j.t AND x.idx < j.t + 6 THEN x.driver END) AS r6,
    coalesce(sum(CASE WHEN x.idx >= j.t AND x.idx < j.t + 6 THEN x.driver END), 0) AS post
    FROM j JOIN panel x ON x.gauge = j.gauge AND x.idx < j.stop GROUP BY j.gauge, j.r_onset_idx)
-SELECT j.gauge, j.r_onset_idx, j.d_term_idx, j.propagation_lag, j.event_recovery_lag, j.r_duration, j.r_severity, coalesce(l.ok, j.stop) - j.t AS recovery_lag, l.ok IS NULL AS recovery_censored, j.antecedent,
+SELECT j.gauge, j.r_onset_idx, j.d_term_idx, j.d_severity, j.propagation_lag, j.event_recovery_lag, j.r_duration, j.r_severity, coalesce(l.ok, j.stop) - j.t AS recovery_lag, l.ok IS NULL AS recovery_censored, j.antecedent,
  CASE WHEN l.half IS NOT NULL THEN l.half - j.r_peak_idx ELSE greatest(j.stop - j.r_peak_idx, 0) END AS half_life, l.half IS NULL AS half_life_censored,
  CAST(month(j.d_term_date) AS INTEGER) AS term_month, round(sin(month(j.d_term_date) * (2 * pi() / 12)), 6) AS term_sin, round(cos(month(j.d_term_date) * (2 * pi() / 12)), 6) AS term_cos,
  {half('l.r3', 4)} AS rebound_3, {half('l.r6', 4)} AS rebound_6, round(l.post, 4) AS post_signal, CASE WHEN j.r_false_recoveries > 0 THEN 1 ELSE 0 END AS had_false_recovery
 FROM j JOIN l ON l.gauge = j.gauge AND l.r_onset_idx = j.r_onset_idx"""
-_RECOVERY_COLS = "gauge r_onset_idx d_term_idx propagation_lag event_recovery_lag r_duration r_severity recovery_lag recovery_censored antecedent half_life half_life_censored term_month term_sin term_cos rebound_3 rebound_6 post_signal had_false_recovery".split()
+
+
+_RECOVERY = _recovery_sql(_S3)
+_RECOVERY_COLS = "gauge r_onset_idx d_term_idx d_severity propagation_lag event_recovery_lag r_duration r_severity recovery_lag recovery_censored antecedent half_life half_life_censored term_month term_sin term_cos rebound_3 rebound_6 post_signal had_false_recovery".split()
 
 
 @query(_RECOVERY)
 def recovery_metrics(spark, sf_dir):
-    panel = index(spark, sf_dir, "D").select("gauge", "period", F.col("index").alias("driver"))
-    panel = panel.join(index(spark, sf_dir, "E").select("gauge", "period", F.col("index").alias("response")), ["gauge", "period"])
-    return recovery.recovery(_Matched(spark, sf_dir).pairs, panel).select(*_RECOVERY_COLS)
-
-
-@query(
-    "SELECT gauge, count(*) AS n_pairs, "
-    + ", ".join(half(f"median({c})", 4) + f" AS median_{c}" for c in recovery.MEDIANS)
-    + ", "
-    + ", ".join(half(f"avg({c})", 4) + f" AS mean_{c}" for c in recovery.MEANS)
-    + f", {half('avg(had_false_recovery)', 4)} AS p_false_recovery FROM ({_RECOVERY}) GROUP BY gauge"
-)
+    return recovery.recovery(_Matched(spark, sf_dir).pairs, _panel(spark, sf_dir)).select(*_RECOVERY_COLS)
+
+
+def _rollup_sql(rows: str, by: str = "gauge") -> str:
+    m = lambda how, c: half(f"{how}({c})", 4)
+    return f"""SELECT {by}, count(recovery_lag) AS n_pairs, {m('median', 'propagation_lag')} AS median_propagation_lag, {m('avg', 'propagation_lag')} AS mean_propagation_lag,
+ {m('median', 'recovery_lag')} AS median_recovery_lag, {m('avg', 'recovery_lag')} AS mean_recovery_lag, {m('median', 'half_life')} AS median_half_life, {m('avg', 'half_life')} AS mean_half_life,
+ {m('avg', 'had_false_recovery')} AS p_false_recovery, {m('avg', 'd_severity')} AS mean_d_severity, {m('avg', 'r_severity')} AS mean_r_severity, {m('median', 'antecedent')} AS median_antecedent,
+ {m('median', 'rebound_3')} AS median_rebound_3, {m('median', 'rebound_6')} AS median_rebound_6 FROM ({rows}) GROUP BY {by}"""
+
+
+@query(_rollup_sql(_RECOVERY))
 def group_recovery_rollup(spark, sf_dir):
     return recovery.rollup(recovery_metrics(spark, sf_dir))
 
 
-@query(f"""SELECT *, CASE WHEN n_buffered >= 2 * n_independent THEN 'buffering' WHEN n_independent >= 2 * n_buffered THEN 'independent' ELSE 'mixed' END AS typology FROM (
+@query(f"""SELECT *, CASE WHEN n_buffered > 2 * n_independent THEN 'buffered' WHEN n_independent > 2 * n_buffered THEN 'independent' ELSE 'mixed' END AS typology FROM (
  SELECT coalesce(a.gauge, b.gauge) AS gauge, coalesce(a.n, 0) AS n_buffered, coalesce(b.n, 0) AS n_independent FROM (SELECT gauge, count(*) AS n FROM ({_BUFFERED}) GROUP BY gauge) a
  FULL JOIN (SELECT gauge, count(*) AS n FROM ({_ALONE}) GROUP BY gauge) b ON a.gauge = b.gauge)""")
 def event_typology(spark, sf_dir):
@@ -332,48 +378,103 @@ def density_grid(spark, sf_dir):
 _POS = "SELECT gauge, period, value AS q, row_number() OVER (PARTITION BY gauge ORDER BY period) - 1 AS idx FROM ({})"
 
 
-def _segments_sql(which: str) -> str:
+def _segments_sql(rows: str) -> str:
     """Islands by the difference of positions and row numbers."""
     return f"""SELECT gauge, start_idx, CAST(points AS BIGINT) AS points, has_zero, slope FROM (
- WITH v AS ({_POS.format(BASE[which])}), f AS (SELECT a.gauge, a.idx FROM v a JOIN v b ON b.gauge = a.gauge AND b.idx = a.idx + 1 WHERE b.q <= a.q AND a.q > 0),
+ WITH v AS ({_POS.format(rows)}), f AS (SELECT a.gauge, a.idx FROM v a JOIN v b ON b.gauge = a.gauge AND b.idx = a.idx + 1 WHERE b.q <= a.q AND a.q > 0),
  g AS (SELECT gauge, idx, idx - row_number() OVER (PARTITION BY gauge ORDER BY idx) AS island FROM f),
  r AS (SELECT gauge, min(idx) AS a, max(idx) + 1 AS b FROM g GROUP BY gauge, island HAVING count(*) >= 4)
  SELECT r.gauge, r.a AS start_idx, count(*) AS points, max(CASE WHEN v.q <= 0 THEN 1 ELSE 0 END) AS has_zero, regr_slope(CASE WHEN v.q > 0 THEN ln(v.q) END, v.idx) AS slope
  FROM r JOIN v ON v.gauge = r.gauge AND v.idx BETWEEN r.a AND r.b GROUP BY r.gauge, r.a)"""
 
 
-@query(f"SELECT gauge, start_idx, points, has_zero, round(slope, 6) AS slope FROM ({_segments_sql('C')})")
+@query(f"SELECT gauge, start_idx, points, has_zero, round(slope, 6) AS slope FROM ({_segments_sql(BASE['C'])})")
 def recession_segments(spark, sf_dir):
     return hydro.recession_segments(series(spark, sf_dir, "C")).select("gauge", "start_idx", "points", "has_zero", F.round("slope", 6).alias("slope"))
 
 
 @query(f"""SELECT gauge, n_segments, n_used, round(-1 / b, 2) AS k, round(iqr, 2) AS k_iqr FROM (SELECT gauge, count(*) AS n_segments, count(s) AS n_used, median(s) AS b,
- quantile_cont(-1 / s, 0.75) - quantile_cont(-1 / s, 0.25) AS iqr FROM (SELECT gauge, CASE WHEN has_zero = 0 AND slope < 0 THEN slope END AS s FROM ({_segments_sql('D')})) GROUP BY gauge) WHERE n_segments >= 1 AND n_used >= 1""")
+ quantile_cont(-1 / s, 0.75) - quantile_cont(-1 / s, 0.25) AS iqr FROM (SELECT gauge, CASE WHEN has_zero = 0 AND slope < 0 THEN slope END AS s FROM ({_segments_sql(BASE['D'])})) GROUP BY gauge) WHERE n_segments >= 1 AND n_used >= 1""")
 def recession_k(spark, sf_dir):
     return hydro.recession_constant(series(spark, sf_dir, "D"), segments=1)
 
 
-@query(f"""SELECT gauge, n, round(k, 6) AS k FROM (SELECT gauge, count(*) AS n, median(-q / d) AS k FROM (SELECT gauge, value AS q, lead(value) OVER (PARTITION BY gauge ORDER BY period) - value AS d FROM ({BASE['C']})) WHERE d < 0 GROUP BY gauge)
- WHERE n > 10 AND k > 0 AND k < 1000""")
+@query(f"""SELECT gauge, n, CASE WHEN n > 10 THEN round(k, 6) END AS k FROM (SELECT gauge, count(*) AS n, median(CASE WHEN -q / d > 0 AND -q / d < 1000 THEN -q / d END) AS k
+ FROM (SELECT gauge, value AS q, lead(value) OVER (PARTITION BY gauge ORDER BY period) - value AS d FROM ({BASE['C']})) WHERE d < 0 GROUP BY gauge)""")
 def recession_k_ratio(spark, sf_dir):
     return hydro.recession_ratio(series(spark, sf_dir, "C"))
 
 
-@query(f"""WITH v AS ({BASE['C']}), e AS (SELECT DISTINCT gauge, onset_date AS event_date FROM ({events_sql('C', 3, False)}))
-SELECT gauge, event_date, n, {half('m', 2)} AS mean_value, round(s / nullif(m, 0), 4) AS cv, {half('z', 4)} AS zero_share FROM (
+def _trailing_sql(rows: str, events: str, days: int, least: int) -> str:
+    return f"""SELECT gauge, event_date, n, {half('m', 2)} AS mean_value, round(s / nullif(m, 0), 4) AS cv, {half('z', 4)} AS zero_share FROM (
  SELECT e.gauge, e.event_date, count(*) AS n, avg(v.value) AS m, stddev_pop(v.value) AS s, avg(CASE WHEN v.value = 0 THEN 1.0 ELSE 0.0 END) AS z
- FROM e JOIN v ON v.gauge = e.gauge AND v.period >= e.event_date - 7 AND v.period < e.event_date GROUP BY 1, 2) WHERE n >= 3""")
+ FROM (SELECT DISTINCT gauge, onset_date AS event_date FROM ({events})) e JOIN ({rows}) v ON v.gauge = e.gauge AND v.period >= e.event_date - {days} AND v.period < e.event_date GROUP BY 1, 2) WHERE n >= {least}"""
+
+
+_TRAILING = _trailing_sql(BASE["C"], events_sql("C", 3, False), 7, 3)
+_LONG_TRAILING = _trailing_sql(BASE["F"], events_sql("B"), 1095, 365)
+
+
+@query(_TRAILING)
 def trailing_window_stats(spark, sf_dir):
     onsets = _events(spark, sf_dir, "C").select("gauge", F.col("onset_date").alias("event_date"))
     return hydro.trailing_stats(onsets, series(spark, sf_dir, "C"), days=7, least=3)
 
 
-@query()
+@query(_LONG_TRAILING)
+def trailing_three_years(spark, sf_dir):
+    """Three years of daily values before each event, 365 of them at least."""
+    onsets = _events(spark, sf_dir, "B").select("gauge", F.col("onset_date").alias("event_date"))
+    return hydro.trailing_stats(onsets, series(spark, sf_dir, "F"), days=1095, least=365)
+
+
+_FEATURES = ("mean_value", "cv", "zero_share")
+
+
+@query(f"SELECT gauge, {', '.join(half(f'median({c})', 6) + f' AS median_{c}' for c in _FEATURES)}, median(n) AS median_n, count(n) AS n_lags FROM ({_LONG_TRAILING}) GROUP BY gauge")
+def basin_dynamic_medians(spark, sf_dir):
+    return recovery.dynamic_by_group(trailing_three_years(spark, sf_dir), _FEATURES, lag="n")
+
+
+@query(f"SELECT gauge, {', '.join(half(f'avg({c})', 6) + f' AS mean_{c}' for c in _FEATURES)} FROM ({_LONG_TRAILING}) GROUP BY gauge")
+def basin_dynamic_means(spark, sf_dir):
+    return recovery.dynamic_by_group(trailing_three_years(spark, sf_dir), _FEATURES, how="mean")
+
+
+_GAPS = f"""SELECT g.gauge, g.period, m.value FROM (SELECT gauge, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS period
+ FROM (SELECT gauge, min(period) AS a, max(period) AS b FROM ({BASE['D']}) GROUP BY gauge)) g LEFT JOIN ({BASE['D']}) m ON m.gauge = g.gauge AND m.period = g.period"""
+
+
+@query(f"""SELECT h.gauge, n_days, {half('n_days / 365.25', 1)} AS data_years, CASE WHEN n_days >= 70 THEN k.k END AS recession_k, CASE WHEN n_days >= 70 THEN k.iqr END AS recession_k_iqr, CASE WHEN n_days >= 70 THEN {half('m', 2)} END AS mean_value,
+ CASE WHEN n_days >= 70 AND m > 0 THEN round(s / m, 4) END AS cv, CASE WHEN n_days >= 70 THEN {half('z', 4)} END AS zero_share
+ FROM (SELECT gauge, count(value) AS n_days, avg(value) AS m, stddev_pop(value) AS s, avg(CASE WHEN value = 0 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END) AS z FROM ({_GAPS}) GROUP BY gauge) h
+ LEFT JOIN (SELECT gauge, round(-1 / b, 2) AS k, round(iqr, 2) AS iqr FROM (SELECT gauge, count(s) AS used, median(s) AS b, quantile_cont(-1 / s, 0.75) - quantile_cont(-1 / s, 0.25) AS iqr
+  FROM (SELECT gauge, CASE WHEN has_zero = 0 AND slope < 0 THEN slope END AS s FROM ({_segments_sql(f"SELECT gauge, period, coalesce(value, 0) AS value FROM ({_GAPS})")})) GROUP BY gauge) WHERE used >= 1) k ON k.gauge = h.gauge""")
+def static_memory(spark, sf_dir):
+    """Whole-record features of monthly series with gaps."""
+    return hydro.static_features(se.densify(series(spark, sf_dir, "D")), least=70, segments=1)
+
+
+def _baseflow_sql(definition: str, least: int = 10, alpha: float = 0.925) -> str:
+    """Three passes of the recursion, forward, backward, forward, as recursive tables."""
+    bound = "least(greatest(0, {x}), n.b)" if definition == "A" else "greatest(0, {x})"
+    text = [f"WITH RECURSIVE v0 AS (SELECT gauge, row_number() OVER (PARTITION BY gauge ORDER BY period) AS i, value AS q, value AS b FROM ({BASE['D']}))"]
+    for k in range(3):
+        turn = "DESC" if k % 2 else "ASC"
+        text.append(f"o{k} AS (SELECT gauge, i, q, b, row_number() OVER (PARTITION BY gauge ORDER BY i {turn}) AS j FROM v{k})")
+        step = bound.format(x=f"{alpha} * r.f + {(1 + alpha) / 2} * (n.b - r.b)")
+        text.append(f"r{k} AS (SELECT gauge, j, b, CAST(0 AS DOUBLE) AS f FROM o{k} WHERE j = 1 UNION ALL SELECT n.gauge, n.j, n.b, {step} FROM r{k} r JOIN o{k} n ON n.gauge = r.gauge AND n.j = r.j + 1)")
+        rest = "greatest(o.b - r.f, 0)"
+        text.append(f"v{k + 1} AS (SELECT o.gauge, o.i, o.q, {f'least({rest}, o.q)' if definition == 'A' else rest} AS b FROM o{k} o JOIN r{k} r ON r.gauge = o.gauge AND r.j = o.j)")
+    return ", ".join(text) + f" SELECT gauge, count(*) AS n, round(sum(b) / sum(q), {4 if definition == 'A' else 9}) AS bfi FROM v3 GROUP BY gauge HAVING count(*) >= {least} AND sum(q) <> 0"
+
+
+@query(_baseflow_sql("A"))
 def baseflow_index_a(spark, sf_dir):
     return hydro.baseflow_index(series(spark, sf_dir, "D"), least=10)
 
 
-@query()
+@query(_baseflow_sql("B"))
 def baseflow_index_b(spark, sf_dir):
     return hydro.baseflow_index(series(spark, sf_dir, "D"), least=10, definition="B")
 
@@ -436,7 +537,7 @@ _PAIRED = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
 
 @query("SELECT " + ", ".join(f"round(corr({a}, {b}), 6) AS r_{a}_{b}" for a, b in _PAIRED) + " FROM lineitem")
 def pearson_matrix(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(*[F.round(F.corr(a, b), 6).alias(f"r_{a}_{b}") for a, b in _PAIRED])
+    return table(spark, sf_dir, "lineitem").agg(*[F.round(fc.correlation(F.col(a), F.col(b)), 6).alias(f"r_{a}_{b}") for a, b in _PAIRED])
 
 
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS name, n, round(rho, 6) AS rho FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
@@ -446,14 +547,24 @@ def spearman_vs_target(spark, sf_dir):
     return spark.createDataFrame([(name, n, round(rho, 6)) for name, n, rho, _ in rows], "name string, n long, rho double")
 
 
-@query(f"""SELECT gauge, n, round(rho, 6) AS rho, CASE WHEN rho < -0.3 AND b < 0.4 THEN 'climate' WHEN b > 0.6 AND n > 20 THEN 'memory' ELSE 'mixed' END AS regime FROM (SELECT gauge, count(*) AS n, corr(rx, ry) AS rho, avg(share) AS b FROM (
- SELECT gauge, share, rank() OVER (PARTITION BY gauge ORDER BY x) + (count(*) OVER (PARTITION BY gauge, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY gauge ORDER BY y) + (count(*) OVER (PARTITION BY gauge, y) - 1) / 2.0 AS ry
- FROM (SELECT a.gauge, a.value AS x, b.value AS y, a.value / (a.value + 50.0) AS share FROM ({BASE['D']}) a JOIN ({BASE['E']}) b ON a.gauge = b.gauge AND a.period = b.period)) GROUP BY gauge) WHERE n >= 5""")
+_REGIME_ROWS = f"""SELECT gauge, x, y, x / (x + 50.0) AS bfi, y / 1000.0 AS k FROM (SELECT a.gauge, a.period, a.value AS x, b.value AS y FROM ({BASE['D']}) a JOIN ({BASE['E']}) b ON a.gauge = b.gauge AND a.period = b.period)
+ UNION ALL SELECT gauge + 100000, x, CASE WHEN place > 1 THEN y END, x / (x + 50.0), y / 1000.0 FROM (SELECT a.gauge, a.value AS x, b.value AS y, row_number() OVER (PARTITION BY a.gauge ORDER BY a.period) AS place
+  FROM ({BASE['D']}) a JOIN ({BASE['E']}) b ON a.gauge = b.gauge AND a.period = b.period) WHERE place <= gauge % 7 + 1"""
+
+
+@query(f"""WITH t AS ({_REGIME_ROWS}), g AS (SELECT gauge, count(*) AS n, median(bfi) AS bfi, median(k) AS k FROM t GROUP BY gauge),
+c AS (SELECT gauge, corr(rx, ry) AS rho FROM (SELECT gauge, rank() OVER (PARTITION BY gauge ORDER BY x) + (count(*) OVER (PARTITION BY gauge, x) - 1) / 2.0 AS rx,
+ rank() OVER (PARTITION BY gauge ORDER BY y) + (count(*) OVER (PARTITION BY gauge, y) - 1) / 2.0 AS ry FROM t WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY gauge HAVING count(*) > 4)
+SELECT g.gauge, n, round(rho, 6) AS rho, round(bfi, 6) AS bfi, {half("k", 2)} AS k, CASE WHEN rho < -0.3 AND bfi < 0.4 THEN 'Climate-controlled' WHEN bfi > 0.6 AND k > 20 THEN 'Memory-controlled' ELSE 'Mixed' END AS regime
+FROM g LEFT JOIN c ON c.gauge = g.gauge WHERE n >= 3""")
 def group_spearman_regime(spark, sf_dir):
+    """Regimes of suppliers, and of their first one to seven months, of which the first has no y."""
     both = series(spark, sf_dir, "D").withColumnRenamed("value", "x").join(series(spark, sf_dir, "E").withColumnRenamed("value", "y"), ["gauge", "period"])
-    share = both.groupBy("gauge").agg(F.avg(F.col("x") / (F.col("x") + 50.0)).alias("b"))
-    out = stats.grouped_spearman(both, "x", "y").join(share, "gauge")
-    return out.select("gauge", "n", F.round("rho", 6).alias("rho"), stats.regime(F.col("rho"), F.col("b"), F.col("n")).alias("regime"))
+    few = both.withColumn("place", F.row_number().over(W.partitionBy("gauge").orderBy("period"))).filter(F.col("place") <= F.col("gauge") % 7 + 1)
+    few = few.select((F.col("gauge") + 100000).alias("gauge"), "x", F.when(F.col("place") > 1, F.col("y")).alias("y0"), "y")
+    rows = both.select("gauge", "x", F.col("y").alias("y0"), "y").unionByName(few).withColumns({"bfi": F.col("x") / (F.col("x") + 50.0), "k": F.col("y") / 1000.0})
+    out = stats.regimes(rows.drop("y").withColumnRenamed("y0", "y"), "x", "y", "bfi", "k")
+    return out.select("gauge", "n", F.round("rho", 6).alias("rho"), F.round("bfi", 6).alias("bfi"), fc.rounded(F.col("k"), 2).alias("k"), "regime")
 
 
 @query("SELECT " + ", ".join(f"round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_{c}, round(stddev_samp({c}), 6) AS std_{c}" for c in NUMERIC) + " FROM lineitem")
@@ -470,9 +581,15 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 GROUPS = {"amount": ["l_quantity"], "terms": ["l_discount", "l_tax"], "part": ["p_size", "p_retailprice"]}
 
 
-@query()
+_SCREENED = ["l_quantity", "l_extendedprice", "gross", "l_discount", "l_tax", "p_size", "p_retailprice"]
+_JOINED_PART = "SELECT *, l_extendedprice * (1 + l_tax) AS gross FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+@query(f"""WITH j AS ({_JOINED_PART}), r AS ({' UNION ALL '.join(f"SELECT '{b}' AS name, corr({a}, {b}) AS r FROM j" for i, a in enumerate(_SCREENED) for b in _SCREENED[i + 1:])})
+SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS place, name FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(_SCREENED))}) n(place, name)
+WHERE name NOT IN (SELECT name FROM r WHERE abs(r) >= 0.7)""")  # variance inflation takes nothing more here
 def screened_predictors(spark, sf_dir):
-    names = ["l_quantity", "l_extendedprice", "gross", "l_discount", "l_tax", "p_size", "p_retailprice"]
+    names = _SCREENED
     return spark.createDataFrame([(i, c) for i, c in enumerate(stats.screen(_features(spark, sf_dir), names))], "place int, name string")
 
 
@@ -530,3 +647,183 @@ def tree_shap_summary(spark, sf_dir):
     df = _features(spark, sf_dir)
     model = ml.boosted(FEATURES, "l_extendedprice").fit(ml.assembled(df, FEATURES, "l_extendedprice"))
     return ml.shap_summary(model, df, FEATURES).select("feature", F.round("mean_abs_shap", 4).alias("mean_abs_shap"), F.round("mean_shap", 4).alias("mean_shap"))
+
+
+# ---- models of subsets -------------------------------------------------------------------------
+
+
+@query("""SELECT l_returnflag AS subset, count(*) AS n, 1 AS predictors, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / (count(*) - 2)), 2) AS rmse FROM lineitem GROUP BY 1 HAVING count(*) >= 100
+ UNION ALL SELECT 'All', count(*), 1, round(regr_r2(l_extendedprice, l_quantity), 6), round(sqrt(regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) / (count(*) - 2)), 2) FROM lineitem""")
+def model_grid(spark, sf_dir):
+    rows = stats.grid(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", ["l_quantity"])
+    return spark.createDataFrame([(s, n, k, round(r2, 6), round(e, 2)) for s, n, k, r2, _, e in rows], "subset string, n long, predictors int, r2 double, rmse double")
+
+
+_PREDICTORS = ("dyn_BFI", "dyn_cv_Q", "mean_dyn_BFI", "mean_antecedent_ssi", "antecedent_ssi", "spei_intensity", "ssi_false_rec", "BFI_AVE", "ELEV_MEAN")
+
+
+@query("SELECT name, CASE WHEN name IN ('dyn_BFI', 'dyn_recession_k_days', 'dyn_cv_Q', 'antecedent_ssi', 'mean_antecedent_ssi') OR name LIKE 'mean\\_dyn\\_%' ESCAPE '\\' THEN 'DYN' WHEN name IN ('spei_intensity', 'ssi_intensity', 'spei_false_rec', 'ssi_false_rec') THEN 'EVENT' ELSE 'STATIC' END AS type FROM (VALUES " + ", ".join(f"('{c}')" for c in _PREDICTORS) + ") n(name)")
+def predictor_types(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in _PREDICTORS], "name string").withColumn("type", stats.predictor_type(F.col("name")))
+
+
+_RATED = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+@query("SELECT l_returnflag, name, round(r, 6) AS r, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY abs(r) DESC, name) AS place FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS name, corr({c}, l_extendedprice) AS r FROM lineitem GROUP BY 1" for c in _RATED) + ")) WHERE place <= 2")
+def top_predictors(spark, sf_dir):
+    """The two predictors of each subset that correlate most with the target."""
+    wide = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[fc.correlation(F.col(c), F.col("l_extendedprice")).alias(c) for c in _RATED])
+    w = W.partitionBy("l_returnflag").orderBy(F.abs("r").desc(), "name")
+    return wide.unpivot(["l_returnflag"], list(_RATED), "name", "r").withColumn("place", F.row_number().over(w)).filter("place <= 2").withColumn("r", F.round("r", 6))
+
+
+@query("""WITH p AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0, 1000000.0]) AS penalty), f AS (SELECT l_orderkey % 5 AS fold, count(*) AS n, sum(l_quantity) AS x, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy, sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem GROUP BY 1),
+a AS (SELECT sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM f),
+t AS (SELECT penalty, f.*, (a.xy - f.xy - (a.x - f.x) * (a.y - f.y) / (a.n - f.n)) / (a.xx - f.xx - (a.x - f.x) * (a.x - f.x) / (a.n - f.n) + penalty) AS b, (a.x - f.x) / (a.n - f.n) AS mx, (a.y - f.y) / (a.n - f.n) AS my FROM p, f, a),
+e AS (SELECT penalty, (yy - 2 * b * xy + b * b * xx - 2 * (my - b * mx) * (y - b * x) + n * (my - b * mx) * (my - b * mx)) / n AS e FROM t)
+SELECT CAST(penalty AS DOUBLE) AS penalty, round(sqrt(avg(e)), 2) AS error FROM e GROUP BY penalty""")
+def ridge_penalties(spark, sf_dir):
+    """Root of the mean squared error over five folds for each penalty."""
+    _, rows = stats.ridge_cv(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], F.col("l_orderkey") % 5, (0.01, 0.1, 1.0, 10.0, 100.0, 1e6))
+    return spark.createDataFrame([(a, round(e**0.5, 2)) for a, e in rows], "penalty double, error double")
+
+
+# ---- two timescales ----------------------------------------------------------------------------
+
+_SCALES = {3: _S3, 6: _Sql(6)}
+
+
+def _both(text: Callable[[_Sql], str], columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS timescale, {columns} FROM ({text(x)})" for k, x in _SCALES.items())
+
+
+@query(_both(lambda x: x.pairs, _PAIR_COLS))
+def matched_pairs_by_timescale(spark, sf_dir):
+    return _Matched(spark, sf_dir, (3, 6)).pairs.select("timescale", *_PAIR_COLS.split(", "))
+
+
+@query(_both(lambda x: _rollup_sql(_recovery_sql(x)), "*"))
+def recovery_rollup_by_timescale(spark, sf_dir):
+    m = _Matched(spark, sf_dir, (3, 6))
+    return recovery.rollup(recovery.recovery(m.pairs, _panel(spark, sf_dir, (3, 6)), by=_BY), _BY)
+
+
+@query("SELECT gauge, " + ", ".join(f"coalesce(max(CASE WHEN timescale = {k} AND kind = '{name}' THEN n END), 0) AS {name}_{k}" for k in (3, 6) for name in ("drivers", "responses", "matched", "buffered", "independent")) + " FROM ("
+       + " UNION ALL ".join(f"SELECT {k} AS timescale, '{name}' AS kind, gauge, count(*) AS n FROM ({text}) GROUP BY gauge" for k, x in _SCALES.items() for name, text in (("drivers", x.driver), ("responses", x.response), ("matched", x.pairs), ("buffered", x.buffered), ("independent", x.alone))) + ") GROUP BY gauge")
+def classification_wide(spark, sf_dir):
+    """One row for each gauge, counts of both timescales side by side."""
+    m, names = _Matched(spark, sf_dir, (3, 6)), ("drivers", "responses", "matched", "buffered", "independent")
+    found = ev.classify(m.driver, m.response, m.pairs, m.buffered, m.alone, _BY)
+    wide = found.groupBy("gauge").pivot("timescale", [3, 6]).agg(*[F.first(c).alias(c) for c in names])
+    return wide.select("gauge", *[F.coalesce(F.col(f"{k}_{c}"), F.lit(0)).alias(f"{c}_{k}") for k in (3, 6) for c in names])
+
+
+@query(f"""SELECT *, unique_drivers + buffered = drivers AS drivers_add_up, matched + independent = responses AS responses_add_up, least_lag >= 0 AS lags_not_negative FROM (SELECT
+ (SELECT count(*) FROM ({_DRIVER})) AS drivers, (SELECT count(*) FROM ({_RESPONSE})) AS responses, (SELECT count(*) FROM ({_PAIRS})) AS matched, (SELECT count(*) FROM (SELECT DISTINCT gauge, d_onset_idx FROM ({_PAIRS}))) AS unique_drivers,
+ (SELECT count(*) FROM ({_BUFFERED})) AS buffered, (SELECT count(*) FROM ({_ALONE})) AS independent, (SELECT coalesce(min(propagation_lag), 0) FROM ({_PAIRS})) AS least_lag)""".replace("SELECT *, unique", "SELECT drivers, responses, matched, unique_drivers, buffered, independent, unique", 1))
+def event_accounts(spark, sf_dir):
+    m = _Matched(spark, sf_dir)
+    return ev.accounts(m.driver, m.response, m.pairs, m.buffered, m.alone)
+
+
+# ---- further shapes ----------------------------------------------------------------------------
+
+
+@query(f"SELECT a.gauge, a.period, round(a.value - b.value, 2) AS balance FROM ({BASE['A']}) a JOIN ({BASE['B']}) b ON a.gauge = b.gauge AND a.period = b.period")
+def balance(spark, sf_dir):
+    """Difference of two inputs that share gauge and period."""
+    a, b = series(spark, sf_dir, "A"), series(spark, sf_dir, "B").withColumnRenamed("value", "less")
+    return a.join(b, ["gauge", "period"]).select("gauge", "period", F.round(F.col("value") - F.col("less"), 2).alias("balance"))
+
+
+@query("SELECT o_orderkey, coalesce(c_name, '') AS c_name FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def lookup_or_empty(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return readers.lookup(table(spark, sf_dir, "orders"), names, "o_custkey", "c_name").select("o_orderkey", "c_name")
+
+
+@query("""SELECT coalesce(a.k, b.k, c.k) AS s_suppkey, s_name, s_acctbal, s_nationkey FROM (SELECT s_suppkey AS k, s_name FROM supplier WHERE s_suppkey % 2 = 0) a
+ FULL JOIN (SELECT s_suppkey AS k, s_acctbal FROM supplier WHERE s_acctbal > 0) b ON a.k = b.k FULL JOIN (SELECT s_suppkey AS k, s_nationkey FROM supplier WHERE s_nationkey < 12) c ON c.k = coalesce(a.k, b.k)""")
+def attribute_chain(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    parts = [s.filter("s_suppkey % 2 = 0").select("s_suppkey", "s_name"), s.filter("s_acctbal > 0").select("s_suppkey", "s_acctbal"), s.filter("s_nationkey < 12").select("s_suppkey", "s_nationkey", "s_name")]
+    return readers.outer_chain(parts, "s_suppkey")
+
+
+@query("SELECT quantile_cont(l_extendedprice, 0.99) AS x_limit, round(quantile_cont(l_extendedprice * (1 - l_discount), 0.99), 4) AS y_limit FROM lineitem")
+def percentile_limits(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return t.agg(F.percentile("l_extendedprice", F.lit(0.99)).alias("x_limit"), F.round(F.percentile(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.lit(0.99)), 4).alias("y_limit"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def first_rows(spark, sf_dir):
+    return readers.head(table(spark, sf_dir, "orders"), 1000, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey) LIMIT 500")
+def seeded_sample(spark, sf_dir):
+    return readers.sample(table(spark, sf_dir, "orders"), 500, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (VALUES (0, 'l_orderkey'), (1, 'l_partkey'), (2, 'l_suppkey'), (3, 'l_linenumber'), (4, 'l_quantity'), (5, 'l_discount'), (6, 'l_tax')) n(place, name)")
+def numeric_predictors(spark, sf_dir):
+    """Number columns without those that are left out for a subset."""
+    names = readers.numeric_columns(table(spark, sf_dir, "lineitem"), but=("l_extendedprice",))
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+# ---- sources, from files that the query writes -------------------------------------------------
+
+
+@query("SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS site, s_name, s_acctbal FROM supplier")
+def csv_source(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    readers.write_table(table(spark, sf_dir, "supplier").select(F.format_string(" %d ", "s_suppkey").alias("site"), "s_name", "s_acctbal"), path, "csv")
+    return readers.read_csv(spark, path, "site string, s_name string, s_acctbal double", keys=["site"])
+
+
+@query("SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS \"STAID\", CAST(s_acctbal AS DOUBLE) AS elevation FROM supplier")
+def latin1_attributes(spark, sf_dir):
+    path = scratch_path(spark, "attributes")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("STAID"), F.concat(F.lit("é"), "s_name").alias("name"), F.col("s_acctbal").alias("elevation"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    found = readers.read_attributes(spark, path, columns=["elevation", "no such column"])
+    return readers.as_numbers(found, ["elevation"])
+
+
+_FLOW = "SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS day, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_suppkey <= 6 GROUP BY 1, 2"
+_RDB = f"""SELECT file, site, day, CASE WHEN day_of_month = 13 THEN -1.0 ELSE q + file END AS flow, copy FROM (SELECT *, day(day) AS day_of_month FROM ({_FLOW})), (VALUES (0), (1)) f(file), (VALUES (0), (1)) c(copy)
+ WHERE site BETWEEN 1 + 2 * file AND 4 + 2 * file AND (copy = 0 OR day_of_month = 7)"""
+
+
+def _rdb_files(spark, sf_dir) -> str:
+    """Two gzipped files of one section a site: sites 1 to 4 and 3 to 6; days 7 come twice, days 13 have negative flow."""
+    path = scratch_path(spark, "rdb")
+    t = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 6")
+    flow = t.groupBy(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    head = [F.lit("agency_cd\tsite_no\tdatetime\t9_00060_00003\t9_00060_00003_cd"), F.lit("5s\t15s\t20d\t14n\t10s")]
+    for k in (0, 1):
+        mine = flow.filter(F.col("site").between(1 + 2 * k, 4 + 2 * k))
+        q = F.when(F.dayofmonth("day") == 13, F.lit("-1")).otherwise((F.col("q") + k).cast("string"))
+        copies = F.when(F.dayofmonth("day") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        rows = mine.select("site", F.explode(copies).alias("copy"), "day", q.alias("q")).select("site", (2 + F.col("copy")).alias("kind"), "day", F.format_string("USGS\t%08d\t%s\t%s\tA", "site", F.col("day").cast("string"), "q").alias("value"))
+        heads = mine.select("site").distinct().select("site", F.posexplode(F.array(*head)).alias("kind", "value")).select("site", "kind", F.lit(None).cast("date").alias("day"), "value")
+        lines = rows.unionByName(heads).repartition(1).sortWithinPartitions("site", "kind", "day").select("value")  # one file is one task
+        lines.write.option("compression", "gzip").text(f"{path}/file{k}")
+    return f"{path}/*/*.gz"
+
+
+def _rdb(mode: str) -> Query:
+    return lambda spark, sf_dir: readers.read_rdb(spark, _rdb_files(spark, sf_dir), mode)
+
+
+_RDB_KEPT = {
+    "a": "SELECT site, day, flow FROM r WHERE file = last",
+    "b": "SELECT site, day, flow FROM r WHERE file = last AND copy = 0",
+    "c": "SELECT site, day, flow FROM (SELECT *, row_number() OVER (PARTITION BY site, day ORDER BY file, copy) AS k FROM r WHERE flow >= 0) WHERE k = 1",
+}
+for _m, _kept in _RDB_KEPT.items():
+    QUERIES[f"rdb_source_{_m}"] = _rdb(_m.upper())
+    ORACLES[f"rdb_source_{_m}"] = f"WITH r AS (SELECT *, max(file) OVER (PARTITION BY site) AS last FROM ({_RDB})) SELECT lpad(CAST(site AS VARCHAR), 8, '0') AS site, day, flow FROM ({_kept})"

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import canonical_key
 
@@ -52,55 +53,80 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, schema: str, en
 
 
 RDB = "site string, day date, flow double, section int, row_no long, path string"
+Row = tuple[str, dt.date, float | None, int]
 
 
-def parse_rdb(text: str, mode: str = "B") -> Iterator[tuple[str, dt.date, float | None, int]]:
-    """(site, day, flow, section) of tab-separated daily values.
+def _day(text: str) -> dt.date | None:
+    try:
+        return dt.date.fromisoformat(text.strip()[:10])
+    except ValueError:
+        return None
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def _flow_column(header: list[str], mode: str) -> int:
+    flows = [i for i, c in enumerate(header) if "00060" in c and "_cd" not in c]
+    mean = [i for i in flows if header[i].endswith("_00060_00003") or (mode == "C" and "00003" in header[i])]
+    return ({"A": flows, "B": mean, "C": mean or flows}[mode] or [-1])[0]
+
+
+def _sections(lines: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """(header fields, lines after the format line) of every section."""
+    at = [i for i, x in enumerate(lines) if x.startswith("agency_cd")]
+    for i, j in zip(at, [*at[1:], len(lines)], strict=True):
+        yield lines[i].strip().split("\t"), lines[i + 2 : j]
+
+
+def parse_rdb(text: str, mode: str = "B") -> Iterator[Row]:
+    """(site, day, flow, section) of tab-separated daily values, in the order of the file.
 
     Lines with # are comments; a line that starts with agency_cd opens a section and is followed by a format line.
-    Mode A: the site of a section's first row, the first flow column of any statistic, days 1980 to 2025.
-    Mode B: the site of each row, the daily mean column of each section.
-    Mode C: the columns of the first section for all, daily mean first and else any; negative flow is dropped."""
-    header, column, section, skip, first_site = [], -1, -1, False, ""
-    for line in text.splitlines():
-        if line.startswith("#") or not line.strip():
-            continue
-        parts = line.rstrip("\r\n").split("\t")
-        if parts[0] == "agency_cd":
-            section, skip, first_site = section + 1, True, ""
-            if mode != "C" or section == 0:
-                header = parts
-                flows = [i for i, c in enumerate(header) if "_00060" in c and not c.endswith("_cd")]
-                mean = [i for i in flows if header[i].endswith("_00060_00003")]
-                column = {"A": flows, "B": mean, "C": mean or flows}[mode][:1] or [-1]
-                column = column[0]
-            continue
-        if skip:
-            skip = False
-            continue
-        if section < 0 or column < 0 or len(parts) < 3 or "datetime" not in header or "site_no" not in header:
-            continue
-        first_site = first_site or parts[header.index("site_no")]
-        site = first_site if mode == "A" else parts[header.index("site_no")]
-        try:
-            day = dt.date.fromisoformat(parts[header.index("datetime")].strip()[:10])
-        except ValueError:
+    Mode A: stripped rows of three fields or more; the site of a section's first row, the first flow column of any
+    statistic, days 1980 to 2025; a section with a row longer than its columns is dropped, and so is one without days.
+    Mode B: site and day of each row by place, the daily mean column of each section.
+    Mode C: the columns of the first section for all, daily mean first and else any; rows without flow or with negative
+    flow are dropped."""
+    lines = [x for x in text.splitlines() if not x.startswith("#")]
+    first: list[str] | None = None
+    for section, (header, rows) in enumerate(_sections(lines)):
+        first = first or header
+        if mode == "A":
+            fields = [y for x in rows if len(y := x.strip().split("\t")) >= 3]
+            names = header[: len(fields[0])] if fields else []
+            column = _flow_column(names, mode)
+            if column < 0 or "site_no" not in names or "datetime" not in names or max(map(len, fields)) > len(names):
+                continue
+            site, at = fields[0][names.index("site_no")], names.index("datetime")
+            for y in fields:
+                if at < len(y) and (day := _day(y[at])) and dt.date(1980, 1, 1) <= day <= dt.date(2025, 12, 31):
+                    yield site, day, _number(y[column]) if column < len(y) else None, section
             continue
-        try:
-            flow = float(parts[column]) if column < len(parts) and parts[column].strip() else None
-        except ValueError:
-            flow = None
-        if mode == "A" and not dt.date(1980, 1, 1) <= day <= dt.date(2025, 12, 31):
+        names = first if mode == "C" else header
+        column = _flow_column(names, mode)
+        if column < 0 or (mode == "C" and not {"site_no", "datetime"} <= set(names)):
             continue
-        if mode == "C" and (flow is None or flow < 0):
-            continue
-        yield site.strip(), day, flow, section
+        place, at = (names.index("site_no"), names.index("datetime")) if mode == "C" else (1, 2)
+        for x in rows:
+            y = x.split("\t")
+            if len(y) <= max(place, at, column) or not (day := _day(y[at])):
+                continue
+            flow = _number(y[column])
+            if mode == "B" or (flow is not None and flow >= 0):
+                yield y[place].strip(), day, flow, section
 
 
 def read_rdb(spark: SparkSession, path: str, mode: str = "B") -> DataFrame:
-    """Daily flow of gzipped (or plain) RDB files: site, day, flow; one row for each site and day.
+    """Daily flow of gzipped (or plain) RDB files, in the order of their paths: site, day, flow.
 
-    Of repeated days the first row of the last section (mode A) or of the last file (mode B, C) counts."""
+    Mode A: the last section that a site has, in the last file, replaces the others; its rows are kept as they are, so a
+    day may come twice.  Mode B: the last file that a site has replaces the others, its first row of a day counts.
+    Mode C: all files together, the first row of a day counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,8 +136,44 @@ def read_rdb(spark: SparkSession, path: str, mode: str = "B") -> DataFrame:
                 yield pd.DataFrame(rows, columns=["site", "day", "flow", "section", "row_no", "path"])
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RDB).withColumn("site", canonical_key(F.col("site")))
-    place = F.struct("path", F.col("section") if mode == "A" else F.lit(0), -F.col("row_no"))
-    return rows.groupBy("site", "day").agg(F.max_by("flow", place).alias("flow"))
+    if mode == "C":
+        return rows.groupBy("site", "day").agg(F.min_by("flow", F.struct("path", "row_no")).alias("flow"))
+    if mode == "A":
+        last = rows.groupBy("site").agg(F.max(F.struct("path", "section")).alias("l")).select("site", "l.*")
+        return rows.join(last, ["site", "path", "section"], "left_semi").select("site", "day", "flow")
+    last = rows.groupBy("site").agg(F.max("path").alias("path"))
+    return rows.join(last, ["site", "path"], "left_semi").groupBy("site", "day").agg(F.min_by("flow", "row_no").alias("flow"))
+
+
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows; by `order` if given."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, missing: str | None = "") -> DataFrame:
+    """Adds the value of a key from a small table of one row a key; missing ones get `missing`, or go if it is None."""
+    small = table.select(key, value)
+    if missing is None:
+        return df.join(small, key)
+    return df.join(small, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(missing)))
+
+
+def outer_chain(tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """Full outer join of attribute tables; a column that an earlier one has is not taken again."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t.select(key, *[c for c in t.columns if c not in out.columns]), key, "full")
+    return out
+
+
+def numeric_columns(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
+    """Names of number columns, without those to leave out, decided at plan time."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
+
+
+def sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """n rows that a hash of their key chooses: the same ones wherever the rows lie."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit("42"), *[F.col(k).cast("string") for k in key]))).limit(n)
 
 
 def manifest_files(manifest: DataFrame, wanted: DataFrame, file: str = "raw_file", sites: str = "sites", key: str = "gauge") -> DataFrame:
