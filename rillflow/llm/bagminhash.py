@@ -111,7 +111,7 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def signed_texts(base: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """One row per different text with words: v (its number), c1 and c2 (its 128-bit hash), n shingles, band keys, sketch."""
+    """One row per different text with words: v (its number), c1 and c2 (its 96-bit hash), n shingles, band keys, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,7 @@ def signed_texts(base: DataFrame, bands: int, rows: int, size: int) -> DataFrame
                 at = pa.array(full + b.first)
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(n[full]), lists, pa.array([x.tobytes() for x in small], pa.binary())], names=["c1", "c2", "n", "bands", "sketch"])
 
-    found = base.select("text", "c1", "c2").mapInArrow(sign, "c1 long, c2 long, n long, bands array<long>, sketch binary")
+    found = base.select("text", "c1", "c2").mapInArrow(sign, "c1 long, c2 int, n long, bands array<long>, sketch binary")
     one = found.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     return one.withColumn("v", F.monotonically_increasing_id())  # fixed by the table it is written to
 
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     So any two texts that share a bucket have been compared or are joined by links.  Comparisons whose sketches are 4.5
     standard deviations below the threshold are skipped; links within one class change nothing and are not looked for.
 
-    Equal texts (128 bits of hash) are one vertex.  Texts without words (null and empty alike) join only equal
+    Equal texts (96 bits of hash) are one vertex.  Texts without words (null and empty alike) join only equal
     texts.  A null id never becomes the class id unless the class has no other.  Ties and repeated
     rows share their class.  Columns of the names added here are replaced; an empty table gives no rows."""
     scope = scratch.Scope(docs.sparkSession)
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     vertex = base.groupBy("c1", "c2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     vertex = scope.table(vertex.join(spread(named), ["c1", "c2"], "left"), "vertices")
     classes = vertex.filter("c is not null").groupBy("c").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    alone = vertex.filter("c is null").select("c1", "c2", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.struct("c1", "c2").alias("class_key"))
+    alone = vertex.filter("c is null").select("c1", "c2", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.struct("c1", F.col("c2").cast("long").alias("c2")).alias("class_key"))
     joined = vertex.filter("c is not null").join(spread(classes), "c").select("c1", "c2", "class_id", "class_size", "n_links", F.struct(F.col("c").alias("c1"), F.lit(-1).cast("long").alias("c2")).alias("class_key"))
     per_text = scratch.table(alone.unionByName(joined), "classes")
     scope.close()

@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textblocks import _SYMBOLS, Anchors, blocks, range_hashes, signed, window_hashes
-OCCURRENCE = "key long, ctx long, c1 long, c2 long, lo int, n int"
+OCCURRENCE = "key long, ctx long, c1 long, c2 int, lo int, n int"
 LOC = F.xxhash64  # place of an occurrence: LOC("c1", "c2", "lo")
 RUNS = "key long, ctx long, run_lo array<int>, run_hi array<int>"
 
 
 def with_content(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds c1, c2: two independent 64-bit hashes that stand for the text."""
+    """Adds c1, c2: two independent hashes of 64 and 32 bits that together stand for the text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({"c1": F.xxhash64(t), "c2": F.xxhash64(F.lit(20011), t)})
+    return df.withColumns({"c1": F.xxhash64(t), "c2": F.hash(F.lit(20011), t)})
 
 
 def carried(docs: DataFrame, text: str) -> DataFrame:
@@ -63,11 +63,23 @@ def units_of(block, unit: str):
     return w.hashes(), w.row_lo, w.row_hi
 
 
+def first_of_copies(seen: set[tuple[int, int]], c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Marks rows whose text this task has not had before; copies add nothing to what their first one shows."""
+    new = np.zeros(len(c1), bool)
+    for i, pair in enumerate(zip(c1.tolist(), c2.tolist(), strict=True)):
+        if pair not in seen:
+            seen.add(pair)
+            new[i] = True
+    return new
+
+
 def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """docs(text, c1, c2) -> one row per anchor occurrence."""
+    """docs(text, c1, c2) -> one row per anchor occurrence, of each different text at least once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()  # no more than the rows of one input split
+        for whole in batches:
+            batch = whole.filter(pa.array(first_of_copies(seen, *(whole.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))))
             c1, c2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for b in blocks(batch.column(0)):
                 values, row_lo, row_hi = units_of(b, unit)
@@ -85,17 +97,17 @@ def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
 
 
 def candidates(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """Stored occurrences of anchors found at two places or more, with `multi`: their contexts differ."""
-    found, path = scratch.stored(occurrences(docs, unit, length, gram), f"anchors-{unit}")
+    """Stored occurrences of anchors found at two places or more, with `multi`: their contexts differ.
+
+    Occurrences are worked out twice, for the counts and for what these leave: cheaper than a table of all of them."""
+    found = occurrences(docs, unit, length, gram)
     known = (
         found.groupBy("key")
         .agg(F.min(LOC("c1", "c2", "lo")).alias("l0"), F.max(LOC("c1", "c2", "lo")).alias("l1"), F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
         .filter("l0 != l1")
         .select("key", F.expr("x0 != x1").alias("multi"))
     )
-    out = scratch.table(found.join(spread(known), "key"), f"candidates-{unit}")
-    scratch.drop(docs.sparkSession, path)
-    return out
+    return scratch.table(found.join(spread(known), "key"), f"candidates-{unit}")
 
 
 def contexts(cand: DataFrame) -> DataFrame:
@@ -111,7 +123,19 @@ def contexts(cand: DataFrame) -> DataFrame:
 def expand(docs: DataFrame, ctxs: DataFrame, make: Callable, schema: str) -> DataFrame:
     """Reads contexts again from their texts: make(block rows) for docs that hold a representative."""
     per_text = ctxs.groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("want"))
-    return docs.join(spread(per_text), ["c1", "c2"]).select("text", "want").mapInArrow(make, schema)
+    joined = docs.join(spread(per_text), ["c1", "c2"]).select("text", "want", "c1", "c2")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a text: copies lie together after the join."""
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                c1, c2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                new = np.append((c1[0], c2[0]) != last, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+                last = (c1[-1], c2[-1])
+                yield batch.filter(pa.array(new))
+
+    return joined.mapInArrow(lambda b: make(once(b)), schema)
 
 
 def _wanted(batch: pa.RecordBatch, unit: str):
