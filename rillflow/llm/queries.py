@@ -21,23 +21,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Crawl records made from pages: a full response each, and a revisit in a later crawl.
-
-    Every seventh page has changed (another tag), every fifth revisit has no tag but a date, every eleventh no validator."""
-    body, n = F.coalesce(F.col("html"), F.lit("")), F.col("page_id")
-    tag = F.concat(F.lit('"'), F.substring(F.md5(body.cast("binary")), 1, 16), F.lit('"'))
-    date = F.concat(F.lit("day "), (n % 365).cast("string"))
-    first = pages.select(
-        (n * 2).alias("record_id"), "url", (n * 60).alias("ts"), F.lit("response").alias("kind"), F.when(n % 13 == 0, 404).otherwise(200).alias("http_status"),
-        tag.alias("etag"), date.alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), F.concat(F.lit("t"), n.cast("string"))).alias("headers"),
+    """Crawl records made from pages: three full responses each, under different spellings of the URL, and two revisits.
+
+    The first revisit follows the second response, the second one the third.  Every thirteenth page's last response is a
+    404.  Every seventh page's revisits still hold the first tag, every fifth have no tag but a date, every eleventh no
+    validator."""
+    body, n, k = F.coalesce(F.col("html"), F.lit("")), F.col("page_id"), F.col("k")
+    text = lambda c: c.cast("string")
+    tag = lambda k: F.concat(F.lit('"'), F.substring(F.md5(body.cast("binary")), 1, 16), text(k), F.lit('"'))
+    date = lambda k: F.concat(F.lit("day "), text(n % 365), F.lit("."), text(k))
+    bare = F.regexp_replace("url", "^https?://", "")
+    spelled = F.when(k == 0, F.col("url")).when(k == 1, F.concat("url", F.lit("#part"))).otherwise(F.concat(F.lit("HTTP://user@www."), bare))
+    first = pages.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select(
+        (n * 8 + k).alias("record_id"), spelled.alias("url"), (n * 60 + k * 200_000).alias("ts"), F.lit("response").alias("kind"), F.when((n % 13 == 0) & (k == 2), 404).otherwise(200).alias("http_status"),
+        tag(k).alias("etag"), date(k).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag(k), F.lit("date"), F.concat(F.lit("t"), text(n))).alias("headers"),
     )
-    seen = F.when(n % 7 == 0, F.lit('"changed"')).when(n % 3 == 0, F.concat(F.lit("W/"), tag)).otherwise(tag)
-    bare = n % 11 == 0
-    again = pages.select(
-        (n * 2 + 1).alias("record_id"), "url", (n * 60 + 600_000).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("http_status"),
-        F.when(~bare & (n % 5 != 0), seen).alias("etag"), F.when(~bare & (n % 5 == 0), date).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("date"), F.concat(F.lit("r"), n.cast("string")), F.lit("expires"), F.lit("later"), F.lit("server"), F.lit("x")).alias("headers"),
+    latest = F.when(n % 13 == 0, F.lit(1)).otherwise(k + 1)
+    seen = F.when(n % 7 == 0, tag(F.lit(0))).when(n % 3 == 0, F.concat(F.lit("W/"), tag(latest))).otherwise(tag(latest))
+    bare_ = n % 11 == 0
+    again = pages.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (n * 8 + 4 + k).alias("record_id"), "url", (n * 60 + 300_000 + k * 300_000).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("http_status"),
+        F.when(~bare_ & (n % 5 != 0), seen).alias("etag"), F.when(~bare_ & (n % 5 == 0), date(latest)).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("Date"), F.concat(F.lit("r"), text(n)), F.lit("expires"), F.lit("later"), F.lit("server"), F.lit("x")).alias("headers"),
     )
     return first.unionByName(again)
 
@@ -118,12 +124,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
 
-_RECORDS = """
-SELECT page_id * 2 AS record_id, url, page_id * 60 AS ts, TRUE AS is_full, CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS http_status,
-  '"' || substring(md5(coalesce(html, '')), 1, 16) || '"' AS etag, 'day ' || (page_id % 365) AS last_modified, page_id FROM pages
-UNION ALL SELECT page_id * 2 + 1, url, page_id * 60 + 600000, FALSE, 304,
-  CASE WHEN page_id % 11 <> 0 AND page_id % 5 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 3 = 0 THEN 'W/"' || substring(md5(coalesce(html, '')), 1, 16) || '"' ELSE '"' || substring(md5(coalesce(html, '')), 1, 16) || '"' END END,
-  CASE WHEN page_id % 11 <> 0 AND page_id % 5 = 0 THEN 'day ' || (page_id % 365) END, page_id FROM pages"""
+_TAG = "'\"' || substring(md5(coalesce(html, '')), 1, 16) || {} || '\"'"
+_LATEST = "(CASE WHEN page_id % 13 = 0 THEN 1 ELSE k + 1 END)"
+_RECORDS = f"""
+SELECT page_id * 8 + k AS record_id, CASE k WHEN 0 THEN url WHEN 1 THEN url || '#part' ELSE 'HTTP://user@www.' || regexp_replace(url, '^https?://', '') END AS url, page_id * 60 + k * 200000 AS ts, TRUE AS is_full,
+  CASE WHEN page_id % 13 = 0 AND k = 2 THEN 404 ELSE 200 END AS http_status, {_TAG.format('k')} AS etag, 'day ' || (page_id % 365) || '.' || k AS last_modified, page_id FROM pages, (VALUES (0), (1), (2)) v(k)
+UNION ALL SELECT page_id * 8 + 4 + k, url, page_id * 60 + 300000 + k * 300000, FALSE, 304,
+  CASE WHEN page_id % 11 <> 0 AND page_id % 5 <> 0 THEN CASE WHEN page_id % 7 = 0 THEN {_TAG.format("'0'")} WHEN page_id % 3 = 0 THEN 'W/' || {_TAG.format(_LATEST)} ELSE {_TAG.format(_LATEST)} END END,
+  CASE WHEN page_id % 11 <> 0 AND page_id % 5 = 0 THEN 'day ' || (page_id % 365) || '.' || {_LATEST} END, page_id FROM pages, (VALUES (0), (1)) v(k)"""
 _CANONICAL = r"""
 SELECT *, host || path || CASE WHEN parts <> '' THEN '?' || parts ELSE '' END AS canonical FROM (
  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,

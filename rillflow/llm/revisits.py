@@ -12,7 +12,9 @@ over the slices.
 Defined results: status is `resolved`, `mismatch` (a validator differs),
 `no_validator` (none that both sides have) or `no_response`; a response at the
 same time is not earlier; of several responses at one time the greatest id
-counts; a null URL or time matches nothing; null headers are no headers.
+counts; a null URL or time matches nothing; null headers are no headers.  Field names are
+compared in lower case, and so are merged ones.  A repeated revisit gives a row each time;
+other columns of the records are not carried, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +44,17 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
+def _entries(headers: Column) -> Column:
+    """Entries with field names in lower case, one for each name (the least value), sorted by name."""
+    plain = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    whole = F.transform(F.array(plain), lambda a: F.filter(a, lambda e, i: (i == 0) | (F.get(a, i - 1)["key"] != e["key"])))
+    return F.element_at(whole, 1)
+
+
 def _merged(old: Column, new: Column) -> Column:
-    fresh = F.map_filter(new, lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    return F.map_from_entries(F.array_sort(F.concat(F.map_entries(kept), F.map_entries(fresh))))
+    fresh = F.filter(_entries(new), lambda e: e["key"].isin(*PERMITTED))
+    kept = F.filter(_entries(old), lambda e: ~F.array_contains(F.transform(fresh, lambda f: f["key"]), e["key"]))
+    return F.map_from_entries(F.array_sort(F.concat(kept, fresh)))
 
 
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
