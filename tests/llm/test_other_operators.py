@@ -1,6 +1,8 @@
 """Revisits, page text, toxicity and the pipeline."""
 
+import math
 import random
+import re
 
 import pytest
 
@@ -26,7 +28,7 @@ def test_revisits(spark, slices):
         full = rng.random() < 0.5
         tag = rng.choice([None, '"a"', 'W/"a"', '"b"'])
         rows.append((i, rng.choice(["http://x.org/1", "https://www.x.org/1/", "http://y.org", None]), rng.choice([None, *range(40)]) if rng.random() < 0.9 else 5, "response" if full else "revisit",
-                     rng.choice([200, 200, 404]) if full else 304, tag, rng.choice([None, "d1", "d2"]), None, rng.choice([None, {"server": f"s{i}", "date": f"t{i}"}])))
+                     rng.choice([200, 200, 404]) if full else 304, tag, rng.choice([None, "d1", "d2"]), None, rng.choice([None, {"server": f"s{i}", "Date": f"t{i}", "ETag": f"e{i}"}, {"Server": f"s{i}", "date": f"t{i}"}])))
     got = {r.record_id: r for r in revisits.resolve(spark.createDataFrame(rows, RECORDS), slices).collect()}
     name = {"http://x.org/1": "x", "https://www.x.org/1/": "x", "http://y.org": "y", None: None}
     assert set(got) == {r[0] for r in rows if r[3] == "revisit"}
@@ -43,8 +45,11 @@ def test_revisits(spark, slices):
         want = "mismatch" if any(a != b for a, b in pairs) else "resolved" if pairs else "no_validator"
         assert (mine.status, mine.response_id) == (want, best[0])
         if want == "resolved":
-            assert mine.headers == (best[8] or {}) | {k: v for k, v in (r[8] or {}).items() if k in revisits.PERMITTED}
+            low = lambda h: {k.lower(): v for k, v in (h or {}).items()}
+            assert mine.headers == low(best[8]) | {k: v for k, v in low(r[8]).items() if k in revisits.PERMITTED}
     assert revisits.resolve(spark.createDataFrame([], RECORDS)).count() == 0
+    twice = spark.createDataFrame([*rows, *rows], RECORDS).withColumn("canonical", revisits.F.lit("clash")).withColumn("status", revisits.F.lit("clash"))
+    assert revisits.resolve(twice, slices).count() == 2 * len(got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="ad-free"><header><a href=/>Site name</a></header>
@@ -65,8 +70,54 @@ def test_page_text():
     assert tagpaths.main_text(deep) == "deep words, here."
 
 
+BARE = """<body><div><a href=/>Home</a> <a href=/b>More</a></div><div>Buy this now.</div><div><h1>A title</h1><p>The first paragraph, which says much, and more; it goes on.</p>
+<p>The second, with as many marks, and words, and turns; so it goes.</p><p>Third, last, and longest of all of them, it ends here, or nearly so.</p></div><div>&copy; somebody, some year</div></body>"""
+
+
+def test_ratios_decide_without_names(monkeypatch):
+    want = tagpaths.main_text(BARE)
+    assert want.startswith("A title\nThe first") and want.endswith("nearly so.") and "Buy" not in want and "Home" not in want and "somebody" not in want
+    monkeypatch.setattr(tagpaths, "selected", lambda page: page.nodes)
+    assert tagpaths.main_text(BARE) != want  # no element of the page has a name, only the ratios leave text out
+    monkeypatch.undo()
+    monkeypatch.setattr(tagpaths, "_out", lambda *a: False)
+    assert tagpaths.main_text(BARE) == want
+    named = tagpaths.main_text(PAGE)
+    monkeypatch.undo()
+    assert tagpaths.main_text(PAGE) != named  # names help where reader comments look like an article
+
+
+def test_names_are_rarely_needed(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    both = [tagpaths.main_text(p) for p in pages]
+    monkeypatch.setattr(tagpaths, "_out", lambda *a: False)
+    same = sum(tagpaths.main_text(p) == t for p, t in zip(pages, both, strict=True))
+    assert same >= 0.85 * len(pages)
+
+
+def test_path_statistics():
+    """Ratios against a plain reading of the tree: text and marks outside links, blocks of each path."""
+    page = tagpaths.Page("<div><p>One, two.<p>Three <a>link, here</a> four!<ul><li>x<li>y;</ul></div><div><p>Five.</p></div>")
+    ratios = tagpaths.path_ratios(page.nodes)
+    by_text = {x.text.strip(): ratios[x.path] for x in page.nodes}
+    p = (9 + 5 + 5 + 5) / 3 * (1 + (2 + 0 + 1 + 1) / 3)  # "One, two." "Three" "four!" "Five." in three blocks, of which one comes back
+    assert by_text["One, two."] == by_text["Five."] == p
+    assert by_text["link, here"] == 0 and by_text["x"] == by_text["y;"] == (1 + 2) / 2 * (1 + 1 / 2)
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    for page in ("<div>word, " * 10_000, "<b>" * 10_000 + "<p>x, y" * 10_000 + "</i></b>" * 10_000, "<div>" * 10_000 + "</p>" * 10_000, "<br>" * 50_000 + "text, here."):
+        began = time.process_time()
+        tagpaths.main_text(page)
+        assert time.process_time() - began < 2
+    assert len(tagpaths.main_text("<div>word, " * 10_000)) > 40_000
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string")
+    assert tagpaths.extract(df.unionByName(df)).count() == 4
     out = {r.page_id: r for r in tagpaths.extract(df).collect()}
     assert out[2].text == "" and out[1].text.startswith("A & B\nFirst") and out[1].url == "u"
     assert tagpaths.extract(df.limit(0)).count() == 0
@@ -102,15 +153,40 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, seen = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.scratch.table(stage(spark, docs, sf_dir), name)
-        if name != "packing":
-            assert docs.columns == columns and docs.count() <= seen
-            seen = docs.count()
-    assert docs.select("doc_id").distinct().count() == seen
-    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+def test_dictionaries_are_what_scores(monkeypatch):
+    """The toxic dictionary is trained from windows, differs from a list of words, and the same again; without it nothing is found."""
+    rows = labelled(900)
+    held, train = rows[::3], [(t, y) for i, (_, t, y) in enumerate(rows) if i % 3]
+    model = toxicity.fit(train, 0.2)
+    assert model == toxicity.fit(train, 0.2)
+    assert 512 < len(model.toxic) <= toxicity.TOXIC_BYTES and len(model.ordinary) > 4096
+    texts = toxicity.pa.array([t for _, t, _ in held])
+    caught = lambda m: sum(s >= 0.3 for s, (_, _, y) in zip(m.scorer().scores(texts), held, strict=True) if y) / sum(y for _, _, y in held)
+    assert caught(model) > 0.8
+    blind = toxicity.Model(model.ordinary, model.ordinary[: len(model.toxic)], model.weights, model.centre, model.scale, model.share)
+    assert caught(blind) < 0.3
+
+
+def test_scores_are_those_of_single_windows():
+    """Scores against one compression a window, windows cut by a plain loop; very long texts too."""
+    rows = labelled(200)
+    model = toxicity.fit([(t, y) for _, t, y in rows], 0.2)
+    scorer, texts = model.scorer(), [t for _, t, _ in rows[:20]] + ["", None, " \n", "x" * 5000, "Ünö " * 50, " ".join(t for _, t, _ in rows) * 20]
+    got = scorer.scores(toxicity.pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        raw, cuts, at = (text or "").lower().encode(), {}, 0
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            k = m.start() // toxicity.WINDOW
+            cuts[k] = (cuts.get(k, (m.start(), 0))[0], m.end())
+        pieces = []
+        for lo, hi in cuts.values():
+            parts = -(-(hi - lo) // (4 * toxicity.WINDOW))
+            step = -(-(hi - lo) // parts)
+            pieces += [raw[at : min(at + step, hi)] for at in range(lo, hi, step)]
+        gain = sorted((len(scorer.plain.compress(x)) - len(scorer.toxic.compress(x)) for x in pieces), reverse=True)
+        x = [0.0] * 9
+        if gain:
+            x[: min(3, len(gain))] = gain[:3]
+            x[3:] = [sum(gain) / len(gain), *(math.log1p(sum(g >= t for g in gain)) for t in toxicity.STEPS), sum(g > 3 for g in gain) / len(gain), math.log(len(gain))]
+        z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.centre, model.scale, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9

@@ -184,19 +184,51 @@ def test_near_duplicates_of_a_hot_family(spark, monkeypatch):
         assert len({(got[i], g) for i, g in enumerate(group)}) == len(set(group)) == len(set(got.values()))
 
 
-def test_ring():
-    for slack in (0.0, 0.1):
-        loads = {c: c % 7 for c in range(0, ring.CELLS, 5)} | {3: 5000}
-        total = sum(loads.values())
-        caps = ring.capacities(total, 24, slack)
-        parts = ring.stretches(loads, caps)
-        held = Counter()
-        for cell, lo, hi, shard, place in parts:
-            assert place == held[shard]
-            held[shard] += hi - lo
-        assert sum(held.values()) == total and all(held[s] <= caps[s] for s in held)
-        spans = sorted((cell, lo, hi) for cell, lo, hi, _, _ in parts)
-        assert all(a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(spans, spans[1:], strict=False))
+@pytest.mark.parametrize(("shards", "slack"), [(24, 0.0), (24, 0.1), (2000, 0.0), (3, 0.5)])
+def test_ring(shards, slack):
+    nodes, bits = ring.sized(shards)
+    cells, owner = ring.ring(shards, nodes, 1 << bits)
+    assert len(cells) == shards * nodes and set(owner) == set(range(shards))
+    loads = {c: c % 7 for c in range(0, 1 << bits, 5)} | {3: 5000}
+    total = sum(loads.values())
+    caps = ring.capacities(total, shards, slack)
+    parts = ring.stretches(loads, caps)
+    held = Counter()
+    for cell, lo, hi, shard, place in parts:
+        assert place == held[shard]
+        held[shard] += hi - lo
+    assert sum(held.values()) == total and all(held[s] <= caps[s] for s in held)
+    spans = sorted((cell, lo, hi) for cell, lo, hi, _, _ in parts)
+    assert all(a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(spans, spans[1:], strict=False))
+    with pytest.raises(ValueError, match="smaller"):
+        ring.stretches(loads, [1] * shards)
+
+
+def test_overflow_goes_on_clockwise():
+    """Each load is walked along the ring by hand, round by round."""
+    nodes, bits = ring.sized(4, 3)
+    cells, owner = ring.ring(4, nodes, 1 << bits)
+    rng = random.Random(2)
+    loads = {rng.randrange(1 << bits): rng.randint(1, 9) for _ in range(300)}
+    caps = ring.capacities(sum(loads.values()), 4, 0.0)
+    room, where = list(caps), {}
+    waiting = sorted((min((i for i, c in enumerate(cells) if c >= cell), default=0), cell, 0, n) for cell, n in loads.items())
+    while waiting:
+        later = []
+        for node, cell, lo, hi in waiting:
+            take = min(room[owner[node]], hi - lo)
+            room[owner[node]] -= take
+            where.update({(cell, k): owner[node] for k in range(lo, lo + take)})
+            if lo + take < hi:
+                later.append((node, cell, lo + take, hi))
+        waiting = []
+        for node, cell, lo, hi in later:
+            while not room[owner[node]]:
+                node = (node + 1) % len(cells)
+            waiting.append((node, cell, lo, hi))
+        waiting.sort()
+    got = {(cell, k): shard for cell, lo, hi, shard, _ in ring.stretches(loads, caps, 3) for k in range(lo, hi)}
+    assert got == where
 
 
 def test_ring_rows(docs, nothing):
@@ -212,6 +244,43 @@ def test_ring_rows(docs, nothing):
     assert ring.place(nothing, 5).count() == 0
 
 
+def test_encoder():
+    """Unit by unit gives the ids of whole texts, whatever the characters."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    signs = list("aAbzZ09 .,'\"#$<|>-_\t\n\r\x0b\x0c\x1c\x1d\x85\xa0éÉßñİıΣσςΑ中文。…—“”’\u0338\u0301\u200b\u3000\u2028😀ﬁ½²٣\ufeff")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["it's don't I'LL we'Ve 's'S rock'scene 'em", "<|endoftext|> a <|ENDOFTEXT|> b<|startoftext|>c", "a\x1cb", "a\x0bb", "", None, "a" * 5000, "word " * 30_000]
+    whole, encoder, got = Tokenizer.from_file(word_tokenizer()), packing.Encoder(word_tokenizer()), []
+    for b in textblocks.blocks(pa.array(texts), 1 << 14):
+        ids, n = encoder.encode_rows(b, 1)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def round_robin(lengths, shares, window):
+    """Tokens of each queue in each window when tokens are taken one by one, least virtual time first."""
+    order = sorted(((i + 0.5) / shares[q], q) for q, n in enumerate(lengths) for i in range(n))
+    return [Counter(q for _, q in order[k : k + window]) for k in range(0, len(order), window)]
+
+
+def test_mixture_is_that_of_a_plain_round_robin():
+    rng = np.random.default_rng(4)
+    for queues in (1, 3, 40):
+        n, w = rng.integers(1, 900, queues).tolist(), (rng.random(queues) + 0.05).tolist()
+        plan = packing.Plan(n, w, 64)
+        c = plan.allocated(np.arange(0, -(-plan.total // 64) + 1))
+        want = round_robin(n, [x / sum(w) for x in w], 64)
+        assert [{q: k for q, k in enumerate(row) if k} for row in np.diff(c, axis=0).tolist()] == [dict(x) for x in want]
+
+
+def test_sources_that_share_a_queue(docs):
+    whole = docs.withColumn("doc_id", F.col("n_words"))
+    rows = packing.pack(whole, word_tokenizer(), window=64, max_queues=1, shares={"hot": 0.5, "s1": 0.25, "other": 0.25}).collect()
+    assert {r.doc_id for r in rows} == set(range(docs.count()))
+
+
 @pytest.mark.parametrize("shares", [None, {"hot": 0.5, "s1": 0.5}])
 def test_packing(docs, shares):
     from tokenizers import Tokenizer
@@ -334,6 +403,85 @@ def test_binomial_bound():
     assert abs(quality.upper_bound(0, 50, 0.05) - (1 - 0.05 ** (1 / 50))) < 1e-9
 
 
+def test_verdicts_of_quality_rules(spark):
+    """Cutoffs and verdicts of every row against exact sums of binomial terms."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(2400):
+        lang, bad = ("en", "de", None)[i % 3], rng.random() < 0.3
+        words = [rng.choice("abcdefgh") * rng.randint(2, 6) + str(rng.randint(0, 400)) for _ in range(60)]
+        if bad:
+            words = [w + rng.choice(["", "#", "%%", "$$$"]) for w in words]
+        rows.append((i, " ".join(words) if i % 200 else "short", lang))
+        if i % 5 == 0:
+            labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.risk_controlled(docs, spark.createDataFrame(labels, "doc_id long, quality int"), alpha=0.2, delta=0.1).collect()}
+    value = lambda r: {"symbols": r.n_symbols / r.n_words, "dup_lines": 10 * r.n_dup_lines / r.n_words, "repeats": r.n_repeat_words / r.n_words, "long_words": r.word_chars / r.n_words, "short_words": r.n_words / r.word_chars}
+    good = {i for i, y in labels if y}
+    strata = {lang: [value(got[i]) for i, _, x in rows if x == lang and i in good and not got[i].base_failed] for lang in ("en", "de", None)}
+    share, level = Fraction(1, 5) / 5, Fraction(1, 10) / 15
+    cutoffs = {}
+    for lang, held in strata.items():
+        for rule, (_, grid) in quality.RULES.items():
+            for cutoff in grid:
+                k, n = sum(v[rule] > cutoff for v in held), len(held)
+                if sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) > level:
+                    break
+                cutoffs[lang, rule] = cutoff
+    assert any(rule == "symbols" for _, rule in cutoffs)
+    for i, _, lang in rows:
+        over = not got[i].base_failed and any(value(got[i])[rule] > c for (x, rule), c in cutoffs.items() if x == lang)
+        assert got[i].kept == (not got[i].base_failed and not over)
+
+
+def test_recall_of_near_duplicates(spark, sf_dir):
+    """Every pair of 0.8 or more of the ids divisible by 20, against all rows: at least 0.9 are in one class; none is joined without links."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.class_id, r.text) for r in bagminhash.near_duplicates(docs).collect()}
+    bags = {i: bag(t) for i, (_, t) in got.items()}
+    pairs = [(i, j) for i in got if i % 20 == 0 for j in got if j != i and bags[i] and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())]
+    assert pairs and sum(got[i][0] == got[j][0] for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_long_texts(spark):
+    """Texts of over a million words beside short ones."""
+    rng = random.Random(12)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(1_000_000)]
+    texts = [" ".join(long), "before " + " ".join(long[500_000:500_100]) + " after", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(df).select("doc_id", "n_removed").collect()}
+    assert got == {0: 100, 1: 100, 2: 0}
+    got = {r.doc_id: r.n_removed for r in suffix.remove_repeated_bytes(df).select("doc_id", "n_removed").collect()}
+    middle = " " + " ".join(long[500_000:500_100]) + " "
+    assert got == {0: len(middle), 1: len(middle), 2: 0}
+    assert bagminhash.near_duplicates(df).select("class_id").distinct().count() == 3
+
+
+def test_a_shared_folder_is_asked_for(monkeypatch):
+    from rillflow.llm import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch.root(Session())
+
+
 def test_empty_tables(nothing):
     assert substring.remove_repeats(nothing).count() == 0
     assert suffix.remove_repeated_bytes(nothing).count() == 0
