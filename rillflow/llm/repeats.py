@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
     return docs.select("text", "c1", "c2").mapInArrow(find, OCCURRENCE)
 
 
-def candidates(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
+def candidates(docs: DataFrame, unit: str, length: int, gram: int, scope: scratch.Scope) -> DataFrame:
     """Stored occurrences of anchors found at two places or more, with `multi`: their contexts differ.
 
     Occurrences are worked out twice, for the counts and for what these leave: cheaper than a table of all of them."""
@@ -107,7 +107,7 @@ def candidates(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
         .filter("l0 != l1")
         .select("key", F.expr("x0 != x1").alias("multi"))
     )
-    return scratch.table(found.join(spread(known), "key"), f"candidates-{unit}")
+    return scope.table(found.join(spread(known), "key"), f"candidates-{unit}")
 
 
 def contexts(cand: DataFrame) -> DataFrame:

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
+from ..session import shared_folder as root
 
-
-def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the folder given to setCheckpointDir; a folder of the driver only in local mode."""
-    context = spark.sparkContext
-    if shared := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return shared
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="rillflow-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -38,7 +24,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the table stands for the plan from here on, whose shuffle files may go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     system, where = _hadoop(spark, path)
     system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path

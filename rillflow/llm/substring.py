@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .repeats import WINDOW, candidates, carried, contexts, covered, expand, removals, restored, shared_windows, windows_of, with_content
 
 SEED_WORDS = 8
@@ -31,11 +32,12 @@ def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", joiner
     joiner "space": kept words joined by one space.  joiner "source": the text
     as it was, without the removed words and the white space after them."""
     seed = min(seed, length)
-    base = with_content(carried(docs, text))
-    cand = candidates(base, "word", length, seed)
+    base, scope = with_content(carried(docs, text)), scratch.Scope(docs.sparkSession)
+    cand = candidates(base, "word", length, seed, scope)
     ctxs = contexts(cand)
     shared = shared_windows(expand(base, ctxs, windows_of("word", length), WINDOW))
-    found = removals(base, cand, ctxs, shared)
+    found = scratch.table(removals(base, cand, ctxs, shared), "removals")
+    scope.close()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

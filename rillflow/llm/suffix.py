@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .repeats import RUNS, WINDOW, _wanted, candidates, carried, contexts, covered, expand, removals, restored, runs, shared_windows, spread, windows_of, with_content
 
 SEED_BYTES = 40
@@ -200,15 +201,16 @@ def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", seed: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (remaining bytes, binary) to every row."""
     seed = min(seed, length)
-    base = with_content(carried(docs, text))
-    cand = candidates(base, "byte", length, seed)
+    base, scope = with_content(carried(docs, text)), scratch.Scope(docs.sparkSession)
+    cand = candidates(base, "byte", length, seed, scope)
     ctxs = contexts(cand)
     sized = ctxs.join(spread(ctxs.groupBy("key").agg((F.count("*") > hot).alias("hot"))), "key")
     hashed = shared_windows(expand(base, sized.filter("hot"), windows_of("byte", length), WINDOW))
     parts = expand(base, sized.filter("not hot"), lambda b: _segments(b, length), SEGMENT)
     dealt = parts.repartition("key").sortWithinPartitions("key")
     factored = dealt.mapInArrow(lambda b: _factor_blocks(b, length), RUNS).filter("size(run_lo) > 0")
-    found = removals(base, cand, ctxs, hashed.unionByName(factored))
+    found = scratch.table(removals(base, cand, ctxs, hashed.unionByName(factored)), "removals")
+    scope.close()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -479,7 +479,7 @@ def test_a_shared_folder_is_asked_for(monkeypatch):
                 return default
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
-        scratch.root(Session())
+        scratch.root(Session())  # on a cluster a folder of the driver would lose rows
 
 
 def test_empty_tables(nothing):
