@@ -97,17 +97,17 @@ def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
 
 
 def candidates(docs: DataFrame, unit: str, length: int, gram: int, scope: scratch.Scope) -> DataFrame:
-    """Stored occurrences of anchors found at two places or more, with `multi`: their contexts differ.
-
-    Occurrences are worked out twice, for the counts and for what these leave: cheaper than a table of all of them."""
-    found = occurrences(docs, unit, length, gram)
+    """Stored occurrences of anchors found at two places or more, with `multi`: their contexts differ."""
+    found, path = scratch.stored(occurrences(docs, unit, length, gram), f"anchors-{unit}")
     known = (
         found.groupBy("key")
         .agg(F.min(LOC("c1", "c2", "lo")).alias("l0"), F.max(LOC("c1", "c2", "lo")).alias("l1"), F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
         .filter("l0 != l1")
         .select("key", F.expr("x0 != x1").alias("multi"))
     )
-    return scope.table(found.join(spread(known), "key"), f"candidates-{unit}")
+    out = scope.table(found.join(spread(known), "key"), f"candidates-{unit}")
+    scratch.drop(docs.sparkSession, path)
+    return out
 
 
 def contexts(cand: DataFrame) -> DataFrame:
