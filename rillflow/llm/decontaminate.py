@@ -9,8 +9,9 @@ The test set is the stated query side: it is sent to the tasks in blocks of at
 most BLOCK_WORDS words, each of which meets all documents; documents are never
 shuffled.  Words are compared in lower case without punctuation.
 
-Defined results: null and empty texts and items match nothing; repeated items are
-separate items; ties go to the least item id; an empty item table flags nothing.
+Defined results: null and empty texts and items match nothing, and neither do items of fewer words than
+a seed has (three): so short a passage is no evidence of a copy; repeated items are separate items; ties go
+to the least item id; an empty item table flags nothing; columns named as the added ones are replaced.
 """
 
 from __future__ import annotations

@@ -7,12 +7,13 @@ the strictest; a cutoff is taken while the exact binomial test rejects "more tha
 alpha / rules of the good texts would be lost" at level delta / (rules x strata).
 Walking in a fixed order needs no further correction, Bonferroni covers rules and
 strata, and the shares alpha / rules add up: with probability 1 - delta no stratum
-loses more than alpha of its good texts.
+loses more than alpha of those of its good texts that pass the base rule to these rules.
 
 Defined results: null text has no words; a null language is a stratum of its own;
-strata beyond the `max_strata` largest share one; a stratum without enough labels
+every stratum is tested on its own, and one without enough labels
 for a test keeps everything that the base rule keeps; a doc_id with several labels
-counts once, as good if one label says so; labels of unknown ids are ignored.
+counts once, as good if one label says so; labels of unknown ids are ignored; columns named as the
+added ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,14 +139,15 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float, delta: fl
     return out
 
 
-def risk_controlled(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, stratum: str = "lang", id_col: str = "doc_id", text: str = "text", label: str = "quality", max_strata: int = 64) -> DataFrame:
+def risk_controlled(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, stratum: str = "lang", id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Base counts, base_failed and kept for every row; the text is not carried along."""
     name = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null"))
     counts = scratch.table(base_counts(docs.withColumn("stratum#", name), text), "counts")
-    top = [r[0] for r in counts.groupBy("stratum#").count().orderBy(F.desc("count"), "stratum#").limit(max_strata).collect()]
-    counts = counts.withColumn("stratum#", F.when(F.col("stratum#").isin(top), F.col("stratum#")).otherwise("other"))
     cutoffs = choose_cutoffs(counts, labels, alpha, delta, "stratum#", id_col, label)
+    rows = [(s, *(cutoffs.get((s, rule)) for rule in RULES)) for s in sorted({s for s, _ in cutoffs})]  # strata with labels
+    table = docs.sparkSession.createDataFrame(rows, "`stratum#` string, " + ", ".join(f"`{rule}#` double" for rule in RULES))
     rejected = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        rejected = rejected | ((F.col("stratum#") == s) & (F.expr(RULES[rule][0]) > cutoff))
-    return counts.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).drop("stratum#")
+    for rule, (ratio, _) in RULES.items():
+        rejected = rejected | F.coalesce(F.expr(ratio) > F.col(f"{rule}#"), F.lit(False))
+    out = counts.join(table, "stratum#", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return out.drop("stratum#", *[f"{rule}#" for rule in RULES])
