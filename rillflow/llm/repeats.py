@@ -73,14 +73,16 @@ def first_of_copies(seen: set[tuple[int, int]], c1: np.ndarray, c2: np.ndarray)
     return new
 
 
-def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """docs(text, c1, c2) -> one row per anchor occurrence, of each different text at least once."""
+def occurrences(docs: DataFrame, unit: str, length: int, gram: int, order: bool = False) -> DataFrame:
+    """docs(text, c1, c2) -> one row per anchor occurrence, of each different text at least once.
+
+    order: docs also has `o`, the place of the row among all; occurrences of every row are given, with it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # no more than the rows of one input split
         for whole in batches:
-            batch = whole.filter(pa.array(first_of_copies(seen, *(whole.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))))
-            c1, c2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            batch = whole if order else whole.filter(pa.array(first_of_copies(seen, *(whole.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))))
+            c1, c2, *o = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns))
             for b in blocks(batch.column(0)):
                 values, row_lo, row_hi = units_of(b, unit)
                 a = Anchors(values, row_lo, row_hi, length, gram)
@@ -89,11 +91,11 @@ def occurrences(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
                 row, lo = a.row + b.first, (a.lo - row_lo[a.row])
                 ctx = range_hashes(values, a.lo, a.hi + length, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (signed(a.key), signed(ctx), c1[row], c2[row], lo.astype(np.int32), (a.hi - a.lo + 1).astype(np.int32))],
-                    names=["key", "ctx", "c1", "c2", "lo", "n"],
+                    [pa.array(x) for x in (signed(a.key), signed(ctx), c1[row], c2[row], lo.astype(np.int32), (a.hi - a.lo + 1).astype(np.int32), *(x[row] for x in o))],
+                    names=["key", "ctx", "c1", "c2", "lo", "n", "o"][: 6 + len(o)],
                 )
 
-    return docs.select("text", "c1", "c2").mapInArrow(find, OCCURRENCE)
+    return docs.select("text", "c1", "c2", *["o"] * order).mapInArrow(find, OCCURRENCE + ", o long" * order)
 
 
 def candidates(docs: DataFrame, unit: str, length: int, gram: int, scope: scratch.Scope) -> DataFrame:
@@ -122,7 +124,7 @@ def contexts(cand: DataFrame) -> DataFrame:
 
 def expand(docs: DataFrame, ctxs: DataFrame, make: Callable, schema: str) -> DataFrame:
     """Reads contexts again from their texts: make(block rows) for docs that hold a representative."""
-    per_text = ctxs.groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("want"))
+    per_text = ctxs.groupBy("c1", "c2").agg(F.collect_list(F.struct("key", "ctx", "lo", "n", *["o"] * ("o" in ctxs.columns))).alias("want"))
     joined = docs.join(spread(per_text), ["c1", "c2"]).select("text", "want", "c1", "c2")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +187,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
-    """Runs of windows that two different contexts hold: RUNS."""
-    twice = (
-        windows.groupBy("w", "key")
-        .agg(F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
-        .filter("x0 != x1")
-        .select("w", "key")
-    )
-    listed = windows.join(spread(twice), ["w", "key"]).groupBy("key", "ctx").agg(F.collect_set("i").alias("i"))
+def window_runs(listed: DataFrame) -> DataFrame:
+    """key, ctx, i: the windows of each context as runs: RUNS."""
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +201,25 @@ def shared_windows(windows: DataFrame) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lo, kind), pa.array(hi, kind)], names=["key", "ctx", "run_lo", "run_hi"])
 
-    return listed.mapInArrow(to_runs, RUNS)
+    return listed.groupBy("key", "ctx").agg(F.collect_set("i").alias("i")).mapInArrow(to_runs, RUNS)
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """Runs of windows that two different contexts hold."""
+    twice = (
+        windows.groupBy("w", "key")
+        .agg(F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
+        .filter("x0 != x1")
+        .select("w", "key")
+    )
+    return window_runs(windows.join(spread(twice), ["w", "key"]))
+
+
+def later_windows(windows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Runs of windows that another context, of an earlier place (firsts: key, ctx, o, c1, c2, lo), holds too."""
+    placed = windows.join(spread(firsts.select("key", "ctx", F.struct("o", "c1", "c2", "lo").alias("place"))), ["key", "ctx"])
+    first = placed.groupBy("w", "key").agg(F.min(F.struct("place", "i", "ctx")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("w", "key", F.col("f.ctx").alias("fctx"), F.col("f.i").alias("fi"))
+    return window_runs(placed.join(spread(first), ["w", "key"]).filter("ctx != fctx or i != fi"))
 
 
 def removals(docs: DataFrame, cand: DataFrame, ctxs: DataFrame, shared: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ anchors are dealt by anchor and put through the arrays in blocks of bounded
 size.  An anchor with more than HOT different contexts is not sent to one task:
 its windows are hashed and counted with map-side combination, which is as exact.
 
+`remove_repeated_bytes` takes all copies away, `remove_later_copies` keeps the first one: there a window goes
+only if an earlier one is equal, so contexts are put into the arrays in the order of their places and only
+earlier matches count.
+
 Defined results: null text is empty; matches never cross documents; a text that
 occurs twice loses all its bytes if it has `length` of them.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .repeats import RUNS, WINDOW, _wanted, candidates, carried, contexts, covered, expand, removals, restored, runs, shared_windows, spread, windows_of, with_content
+from .repeats import RUNS, WINDOW, _wanted, candidates, carried, contexts, covered, expand, later_windows, occurrences, removals, restored, runs, shared_windows, spread, windows_of, with_content
 
 SEED_BYTES = 40
 HOT = 16384
@@ -171,15 +175,14 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary())], names=["key", "ctx", "n", "bytes"])
 
 
-def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor -> runs of windows with an earlier or later match, in blocks of whole anchors."""
+def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int, sides: tuple[bool, ...] = (False, True)) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor -> runs of windows with an earlier (False) or later (True) match, in blocks of whole anchors."""
     keys, ctxs, counts, parts, held = [], [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         data, starts = joined(parts)
         order = SuffixOrder(data, length, levels=False)
-        earlier, later = (longest_previous_factor(data, length, later=x, order=order, full=True)[0] for x in (False, True))
-        hit = (earlier >= length) | (later >= length)
+        hit = np.any([longest_previous_factor(data, length, later=x, order=order, full=True)[0] >= length for x in sides], axis=0)
         lo, hi = zip(*(runs(hit[s : s + n]) for s, n in zip(starts.tolist(), counts, strict=True)), strict=True)
         kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ctxs, pa.int64()), pa.array(lo, kind), pa.array(hi, kind)], names=["key", "ctx", "run_lo", "run_hi"])
@@ -198,19 +201,8 @@ def _factor_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield flush()
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", seed: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and kept (remaining bytes, binary) to every row."""
-    seed = min(seed, length)
-    base, scope = with_content(carried(docs, text)), scratch.Scope(docs.sparkSession)
-    cand = candidates(base, "byte", length, seed, scope)
-    ctxs = contexts(cand)
-    sized = ctxs.join(spread(ctxs.groupBy("key").agg((F.count("*") > hot).alias("hot"))), "key")
-    hashed = shared_windows(expand(base, sized.filter("hot"), windows_of("byte", length), WINDOW))
-    parts = expand(base, sized.filter("not hot"), lambda b: _segments(b, length), SEGMENT)
-    dealt = parts.repartition("key").sortWithinPartitions("key")
-    factored = dealt.mapInArrow(lambda b: _factor_blocks(b, length), RUNS).filter("size(run_lo) > 0")
-    found = scratch.table(removals(base, cand, ctxs, hashed.unionByName(factored)), "removals")
-    scope.close()
+def _without(wide: DataFrame, docs: DataFrame, text: str, length: int) -> DataFrame:
+    """wide(row, text, run_lo, run_hi): the columns of docs with n_bytes, n_removed, n_spans and kept."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +226,66 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text"
                 names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    row = base.schema["row"].dataType.simpleString()
-    wide = base.join(found, ["c1", "c2"], "left").select("row", "text", "run_lo", "run_hi")
-    out = wide.mapInArrow(cut, f"row {row}, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    row = wide.schema["row"].dataType.simpleString()
+    out = wide.select("row", "text", "run_lo", "run_hi").mapInArrow(cut, f"row {row}, text string, n_bytes long, n_removed long, n_spans long, kept binary")
     return restored(out, docs, text, ["n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", seed: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans and kept (remaining bytes, binary) to every row."""
+    seed = min(seed, length)
+    base, scope = with_content(carried(docs, text)), scratch.Scope(docs.sparkSession)
+    cand = candidates(base, "byte", length, seed, scope)
+    ctxs = contexts(cand)
+    sized = ctxs.join(spread(ctxs.groupBy("key").agg((F.count("*") > hot).alias("hot"))), "key")
+    hashed = shared_windows(expand(base, sized.filter("hot"), windows_of("byte", length), WINDOW))
+    parts = expand(base, sized.filter("not hot"), lambda b: _segments(b, length), SEGMENT)
+    dealt = parts.repartition("key").sortWithinPartitions("key")
+    factored = dealt.mapInArrow(lambda b: _factor_blocks(b, length), RUNS).filter("size(run_lo) > 0")
+    found = scratch.table(removals(base, cand, ctxs, hashed.unionByName(factored)), "removals")
+    scope.close()
+
+    return _without(base.join(found, ["c1", "c2"], "left"), docs, text, length)
+
+
+def _placed_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """As `_segments`, with the place of each context."""
+    for batch in batches:
+        want = batch.column(1)
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(want.offsets))))
+        flat, parts = want.flatten(), list(_segments(iter([batch]), length))
+        if parts:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            columns = [t[name].combine_chunks() for name in ("key", "ctx", "n", "bytes")]
+            yield pa.RecordBatch.from_arrays([*columns, flat.field(4), batch.column(2).take(rows), batch.column(3).take(rows), flat.field(2)], names=["key", "ctx", "n", "bytes", "o", "c1", "c2", "lo"])
+
+
+def remove_later_copies(docs: DataFrame, length: int = 200, order: str = "doc_id", text: str = "text", seed: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
+    """As `remove_repeated_bytes`, but the first copy of everything stays: a byte goes if a string of `length` bytes that
+    covers it also starts earlier, in a row of smaller `order` (a whole number, null last; ties by text) or before in the
+    same text.  Rows of equal order and text are one document and stay or go alike."""
+    seed, scope = min(seed, length), scratch.Scope(docs.sparkSession)
+    base = with_content(carried(docs, text))
+    base = base.withColumn("o", F.coalesce(F.col("row").getField(order).cast("long"), F.lit((1 << 63) - 1)))
+    found = scope.table(occurrences(base, "byte", length, seed, order=True), "anchors")
+    place = F.struct("o", "c1", "c2", "lo")
+    known = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("ctx").alias("x0"), F.max("ctx").alias("x1"))
+    known = known.filter("first != last").select("key", "first", F.expr("x0 != x1").alias("multi"))
+    cand = scope.table(found.join(spread(known), "key"), "candidates")
+    ends = [F.col("lo").alias("a"), F.expr("lo + n - 1").alias("b")]
+    whole = cand.filter(~F.col("multi") & (place != F.col("first"))).select("o", "c1", "c2", *ends)
+    firsts = cand.filter("multi").groupBy("key", "ctx").agg(F.min(F.struct("o", "c1", "c2", "lo", "n")).alias("at"))
+    again = cand.filter("multi").join(spread(firsts.select("key", "ctx", F.struct("at.o", "at.c1", "at.c2", "at.lo").alias("f"))), ["key", "ctx"])
+    again = again.filter(place != F.col("f")).select("o", "c1", "c2", *ends)
+    firsts = firsts.select("key", "ctx", "at.*")
+    sized = firsts.join(spread(firsts.groupBy("key").agg((F.count("*") > hot).alias("hot"))), "key")
+    hashed = later_windows(expand(base, sized.filter("hot"), windows_of("byte", length), WINDOW), firsts)
+    parts = expand(base, sized.filter("not hot"), lambda b: _placed_segments(b, length), SEGMENT + ", o long, c1 long, c2 int, lo int")
+    dealt = parts.repartition("key").sortWithinPartitions("key", "o", "c1", "c2", "lo")
+    factored = dealt.mapInArrow(lambda b: _factor_blocks(b, length, (False,)), RUNS).filter("size(run_lo) > 0")
+    runs_ = firsts.join(hashed.unionByName(factored), ["key", "ctx"]).select("o", "c1", "c2", "lo", F.explode(F.arrays_zip("run_lo", "run_hi")).alias("r"))
+    part = runs_.select("o", "c1", "c2", F.expr("lo + r.run_lo").alias("a"), F.expr("lo + r.run_hi").alias("b"))
+    ranges = whole.unionByName(again).unionByName(part).groupBy("o", "c1", "c2").agg(F.collect_list("a").alias("run_lo"), F.collect_list("b").alias("run_hi"))
+    found = scratch.table(spread(ranges), "removals")
+    scope.close()
+    return _without(base.join(found, ["o", "c1", "c2"], "left"), docs, text, length)

@@ -101,6 +101,25 @@ def test_suffix(docs, hot):
         assert bytes(r.kept) == bytes(b for b, m in zip(x, mask, strict=True) if not m)
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 1])
+def test_first_copies_stay(docs, nothing, hot):
+    length = 60
+    unique = docs.withColumn("row", F.col("n_words"))  # n_words numbers the rows of the fixture
+    rows = suffix.remove_later_copies(unique, length, order="row", hot=hot, seed=12).collect()
+    seen = set()
+    for r in sorted(rows, key=lambda r: r.row):
+        x = (r.text or "").encode()
+        mask = bytearray(len(x))
+        for k in range(len(x) - length + 1):
+            if x[k : k + length] in seen:
+                mask[k : k + length] = b"\1" * length
+            seen.add(x[k : k + length])
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(x), sum(mask), len(re.findall(b"\1+", bytes(mask))))
+        assert bytes(r.kept) == bytes(b for b, m in zip(x, mask, strict=True) if not m)
+    assert any(0 < r.n_removed < r.n_bytes for r in rows)
+    assert suffix.remove_later_copies(nothing).count() == 0
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for _ in range(60):
