@@ -110,15 +110,24 @@ def screen(df: DataFrame, names: Sequence[str], missing: float = 0.2, least_std:
     number = lambda c: F.col(c).cast("double")
     row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(x for c in names for x in (F.avg(F.col(c).isNull().cast("double")), F.stddev_samp(number(c))))]).first()
     kept = [c for i, c in enumerate(names) if row[2 * i] is not None and row[2 * i] < missing and (row[2 * i + 1] or 0.0) > least_std]
+    if len(kept) < 2:
+        return kept
+    # without nulls one matrix serves all steps
+    whole = Gram.of(df, kept) if not any(row[2 * i] for i, c in enumerate(names) if c in kept) else None
     pairs = list(itertools.combinations(range(len(kept)), 2))
-    if pairs:
+    if whole:
+        matrix = whole.correlation()
+        r = [matrix[i, j] for i, j in pairs]
+    else:
         r = df.agg(*[correlation(number(kept[i]), number(kept[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]).first()
-        gone = {j for k, (_, j) in enumerate(pairs) if r[k] is not None and abs(r[k]) >= most_r}
-        kept = [c for i, c in enumerate(kept) if i not in gone]
+    gone = {j for k, (_, j) in enumerate(pairs) if r[k] is not None and abs(r[k]) >= most_r}
+    kept = [c for i, c in enumerate(kept) if i not in gone]
     for _ in range(rounds):
         if len(kept) < 3:
             break
-        vif = np.diag(np.linalg.inv(Gram.of(df, kept).correlation() + 1e-8 * np.eye(len(kept))))
+        gram = whole or Gram.of(df, kept)
+        at = gram.at(kept)
+        vif = np.diag(np.linalg.inv(gram.correlation()[np.ix_(at, at)] + 1e-8 * np.eye(len(kept))))
         worst = int(vif.argmax())
         if vif[worst] <= most_vif:
             break
@@ -152,33 +161,50 @@ def average_rank(c: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
 
 
-def value_ranks(values: DataFrame, c: str, pieces: int = 64) -> DataFrame:
+def value_edges(df: DataFrame, names: Sequence[str], pieces: int = 64) -> list[list[float]]:
+    """For each column, values that cut it into about equal pieces."""
+    found = df.approxQuantile(list(names), [i / pieces for i in range(1, pieces)], 0.25 / pieces) if pieces > 1 else [[] for _ in names]
+    return [sorted(set(x)) for x in found]
+
+
+def value_ranks(values: DataFrame, c: str, edges: Sequence[float]) -> DataFrame:
     """Every different value of c with its rank among all rows, ties at their mean (column `rank`).
 
-    Values are counted with map-side combination and cut at quantiles, so each piece is ranked by a task of its own."""
+    Values are counted with map-side combination and cut at the edges, so each piece is ranked by a task of its own."""
     held = values.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-    edges = sorted(set(held.approxQuantile(c, [i / pieces for i in range(1, pieces)], 0.25 / pieces))) if pieces > 1 else []
     held = held.withColumn("piece", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(c))) if edges else F.lit(0))
-    before = held.groupBy("piece").agg(F.sum("k").alias("n"))  # `pieces` rows at most
+    before = held.groupBy("piece").agg(F.sum("k").alias("n"))  # a row for each edge at most
     before = before.select("piece", F.coalesce(F.sum("n").over(W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("k").over(W.partitionBy("piece").orderBy(c))
     return held.join(F.broadcast(before), "piece").select(c, (F.col("before") + inside - (F.col("k") - 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, names: Sequence[str], target: str, least: int = 10) -> list[tuple[str, int, float, float]]:
-    """(name, n, rho, p) of every name with the target, over rows where both have values."""
+    """(name, n, rho, p) of every name with the target, over rows where both have values.
+
+    Columns without nulls are ranked once for all and compared in one pass."""
+    columns = [*names, target]
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    edges = dict(zip(columns, value_edges(df, columns), strict=True))
+
+    def compared(rows: DataFrame, some: Sequence[str]) -> list[tuple[int, float | None]]:
+        ranked = rows
+        for c in (*some, target):
+            ranked = ranked.join(value_ranks(rows, c, edges[c]).withColumnRenamed("rank", f"{c}#"), c)
+        found = ranked.agg(F.count(F.lit(1)), *[correlation(F.col(f"{c}#"), F.col(f"{target}#")) for c in some]).first()
+        return [(found[0], rho) for rho in found[1:]]
+
+    full = [c for c in names if not gaps[c] and not gaps[target]]
+    results = dict(zip(full, compared(df.select(*full, target), full), strict=True)) if full else {}
+    for c in names:
+        if c not in results:
+            (results[c],) = compared(df.select(c, target).na.drop(), [c])
     out = []
-    for name in names:
-        pairs = df.select(F.col(name).cast("double").alias("x"), F.col(target).cast("double").alias("y")).na.drop()
-        ranked = pairs
-        for c in "xy":
-            ranked = ranked.join(value_ranks(pairs, c).withColumnRenamed("rank", f"r{c}"), c)
-        row = ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).first()
-        n, rho = row["n"], row["rho"]
-        if n < least or rho is None:
-            continue
-        t = rho * math.sqrt((n - 2) / max(1e-300, 1 - rho * rho))
-        out.append((name, n, rho, t_two_sided(t, n - 2)))
+    for c in names:
+        n, rho = results[c]
+        if n >= least and rho is not None:
+            out.append((c, n, rho, t_two_sided(rho * math.sqrt((n - 2) / max(1e-300, 1 - rho * rho)), n - 2)))
     return out
 
 

@@ -96,10 +96,21 @@ def test_value_ranks(spark):
     values = [3, 1, 1, 2, 9, 9, 9, 4, None]
     df = spark.createDataFrame([(x,) for x in values], "x int").select(F.col("x").cast("double")).na.drop()
     for pieces in (1, 2, 64):
-        got = {r.x: r["rank"] for r in stats.value_ranks(df, "x", pieces).collect()}
+        (edges,) = stats.value_edges(df, ["x"], pieces)
+        got = {r.x: r["rank"] for r in stats.value_ranks(df, "x", edges).collect()}
         assert got == {1.0: 1.5, 2.0: 3.0, 3.0: 4.0, 4.0: 5.0, 9.0: 7.0}
 
 
+def test_spearman_with_gaps(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 9, 200), rng.integers(0, 12, 200)
+    rows = [(float(a), None if i % 4 == 0 else float(a * a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    got = {name: (n, rho) for name, n, rho, _ in stats.spearman(spark.createDataFrame(rows, "x double, gap double, y double"), ["x", "gap"], "y")}
+    for name, at in (("x", np.arange(200)), ("gap", np.arange(200)[np.arange(200) % 4 > 0])):
+        rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+        assert got[name][0] == len(at) and got[name][1] == pytest.approx(np.corrcoef(rank(x[at]), rank(y[at]))[0, 1])
+
+
 def test_grid_and_ridge(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 2))
