@@ -33,7 +33,7 @@ from .textblocks import Block, blocks, mix64, range_hashes, signed
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 19
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 17
 STEP = 1 << 18
 _U = np.uint64
 
@@ -256,7 +256,7 @@ def in_rivalry(blocks_: DataFrame, threshold: float, least: float) -> DataFrame:
     """The rows that some other row of their group is to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in whole_groups(batches, 1 << 22):
+        for t, cut in whole_groups(batches, 1 << 20):
             a, b, _ = rivals(t, cut, threshold, least)
             yield from t.take(pa.array(np.union1d(a, b))).to_batches()
 
@@ -265,12 +265,12 @@ def in_rivalry(blocks_: DataFrame, threshold: float, least: float) -> DataFrame:
 
 def multiset(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, cut): the shingles of each text as a set of numbers, the k-th repeat of one as a number of its own."""
-    (block,) = blocks(column, 1 << 62)
-    row, h, w = bags(*shingles(block, size))
+    parts = [(row + b.first, h) for b in blocks(column, 1 << 20) for row, h in [shingles(b, size)]]
+    row, h, w = bags(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     repeat = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
     row, h = np.repeat(row, w), np.repeat(h, w)
     h = np.where(repeat > 0, mix64(h + mix64(repeat.astype(np.uint64))), h)
-    return np.unique(h, return_inverse=True)[1], np.searchsorted(row, np.arange(block.n + 1))
+    return np.unique(h, return_inverse=True)[1], np.searchsorted(row, np.arange(len(column) + 1))
 
 
 def shared_counts(number: np.ndarray, cut: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -293,7 +293,7 @@ def block_links(rows: DataFrame, threshold: float, least: float, size: int) -> D
     """Compares all pairs of `rivals` that no link found in the same task has joined meanwhile, likeliest first; the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in whole_groups(batches, 1 << 20):
+        for t, cut in whole_groups(batches, 1 << 18):
             a, b, alike = rivals(t, cut, threshold, least)
             if not len(a):
                 continue

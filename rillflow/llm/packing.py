@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textblocks import _SYMBOLS, Block, blocks, range_hashes
 
-CACHE_UNITS = 500_000
+CACHE_UNITS = 250_000
 MAX_QUEUES = 1024
 BLOCK = 1 << 20
 _encoders: dict[str, Encoder] = {}
@@ -232,6 +232,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str, id_col: str, q
                     [mine.column(0), mine.column(2), pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64()), pa.array(n), ids_array(ids, n)],
                     names=["id", "queue", "part", "place", "n", "ids"],
                 )
+        enc.known.clear()  # the worker goes on to other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(queue).alias("queue")).mapInArrow(run, f"id {kind}, queue int, part int, place long, n long, ids binary")
