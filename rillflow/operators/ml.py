@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -36,11 +38,16 @@ def boosted(names: Sequence[str], target: str, trees: int = 300, depth: int = 6,
 def cross_validated(df: DataFrame, names: Sequence[str], target: str, folds: int = 5, fold_key: str | None = None, **options) -> list[tuple[int, float, float]]:
     """(fold, R2, RMSE); folds by a hash of the row, so they do not depend on partitions."""
     data = assembled(df, names, target).withColumn("fold", F.pmod(F.xxhash64(*([fold_key] if fold_key else names)), F.lit(folds)).cast("int")).cache()
-    out = []
-    for k in range(folds):
-        scored = boosted(names, target, **options).fit(data.filter(F.col("fold") != k)).transform(data.filter(F.col("fold") == k))
-        score = lambda m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored)
-        out.append((k, score("r2"), score("rmse")))
+
+    @inheritable_thread_target(df.sparkSession)
+    def score(k: int) -> tuple[int, float, float]:
+        scored = boosted(names, target, **options).fit(data.filter(F.col("fold") != k)).transform(data.filter(F.col("fold") == k)).cache()
+        found = (k, *(RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored) for m in ("r2", "rmse")))
+        scored.unpersist()
+        return found
+
+    with ThreadPoolExecutor(folds) as pool:  # boosting is a long chain of small jobs: folds side by side fill the cluster
+        out = list(pool.map(score, range(folds)))
     data.unpersist()
     return out
 

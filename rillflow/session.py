@@ -12,15 +12,19 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it.
+    """Lets Python workers import this package from where the driver has it, and sends them batches of 2,000 rows.
 
-    Where the package is installed on the executors this changes nothing."""
+    Where the package is installed on the executors, the former changes nothing."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{have}" if have else ROOT
+    if spark.conf.get(BATCH) == "10000":  # the default: long texts make such batches too large for small executors
+        spark.conf.set(BATCH, "2000")
     return spark
 
 
