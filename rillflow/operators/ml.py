@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
+from .stats import predictor_type
 
 
 def assembled(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
@@ -30,6 +31,12 @@ def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: i
     return list(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
+def grouped_importance(importance: Sequence[tuple[str, float]], groups: dict[str, list[str]]) -> list[tuple[str, float]]:
+    """(group, sum of its members' importance), largest first."""
+    held = dict(importance)
+    return sorted(((g, sum(held.get(c, 0.0) for c in cols)) for g, cols in groups.items()), key=lambda x: -x[1])
+
+
 def boosted(names: Sequence[str], target: str, trees: int = 300, depth: int = 6, seed: int = 42) -> GBTRegressor:
     share = str(max(1, round(0.8 * len(names))))
     return GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy=share, minInstancesPerNode=20, seed=seed)
@@ -112,7 +119,8 @@ def _weight(s: int, m: int) -> float:
 
 
 def shap_summary(model, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """feature, mean |SHAP| and mean SHAP over all rows; the trees travel in the closure, partial sums are aggregated."""
+    """feature, mean |SHAP| and mean SHAP over all rows, gain importance and type of predictor; the trees travel in the
+    closure, partial sums are aggregated."""
     weights = list(model.treeWeights)
     trees = [exported(t) for t in model.trees]
 
@@ -125,4 +133,6 @@ def shap_summary(model, df: DataFrame, names: Sequence[str]) -> DataFrame:
         yield pd.DataFrame({"feature": list(names), "a": total, "s": signed, "n": [n] * len(names)})
 
     part = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop().mapInPandas(run, "feature string, a double, s double, n long")
-    return part.groupBy("feature").agg((F.sum("a") / F.sum("n")).alias("mean_abs_shap"), (F.sum("s") / F.sum("n")).alias("mean_shap"))
+    out = part.groupBy("feature").agg((F.sum("a") / F.sum("n")).alias("mean_abs_shap"), (F.sum("s") / F.sum("n")).alias("mean_shap"))
+    gain = F.create_map(*[F.lit(x) for pair in zip(names, model.featureImportances.toArray().tolist(), strict=True) for x in pair])
+    return out.withColumns({"gain": F.element_at(gain, F.col("feature")), "type": predictor_type(F.col("feature"))})

@@ -633,7 +633,9 @@ def ridge_fit(spark, sf_dir):
 @query()
 def rf_importance(spark, sf_dir):
     rows = ml.forest_importance(_features(spark, sf_dir), FEATURES, "l_extendedprice")
-    return spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "feature string, importance double")
+    block = {c: g for g, cols in GROUPS.items() for c in cols}
+    total = dict(ml.grouped_importance(rows, GROUPS))
+    return spark.createDataFrame([(n, round(v, 6), block[n], round(total[block[n]], 6)) for n, v in rows], "feature string, importance double, block string, block_importance double")
 
 
 @query()
@@ -646,7 +648,7 @@ def gbt_cv_metrics(spark, sf_dir):
 def tree_shap_summary(spark, sf_dir):
     df = _features(spark, sf_dir)
     model = ml.boosted(FEATURES, "l_extendedprice").fit(ml.assembled(df, FEATURES, "l_extendedprice"))
-    return ml.shap_summary(model, df, FEATURES).select("feature", F.round("mean_abs_shap", 4).alias("mean_abs_shap"), F.round("mean_shap", 4).alias("mean_shap"))
+    return ml.shap_summary(model, df, FEATURES).select("feature", *[F.round(c, 4).alias(c) for c in ("mean_abs_shap", "mean_shap", "gain")], "type")
 
 
 # ---- models of subsets -------------------------------------------------------------------------

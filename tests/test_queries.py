@@ -50,7 +50,7 @@ def test_model_queries_have_the_size_of_the_reference(spark, sf_dir, monkeypatch
 
     monkeypatch.setattr(ml, "RandomForestRegressor", Fake)
     monkeypatch.setattr(ml, "GBTRegressor", Fake)
-    monkeypatch.setattr(ml, "shap_summary", lambda model, df, names: spark.createDataFrame([("x", 0.0, 0.0)], "feature string, mean_abs_shap double, mean_shap double"))
+    monkeypatch.setattr(ml, "shap_summary", lambda model, df, names: spark.createDataFrame([("x", 0.0, 0.0, 0.0, "")], "feature string, mean_abs_shap double, mean_shap double, gain double, type string"))
     QUERIES["rf_importance"](spark, sf_dir)
     assert made == [(150, 12)]
     assert QUERIES["gbt_cv_metrics"](spark, sf_dir).count() == 5
