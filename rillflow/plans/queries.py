@@ -614,6 +614,15 @@ def shapley_r2(spark, sf_dir):
     return spark.createDataFrame(rows, "block string, mean double, std double, least double, most double")
 
 
+@query("""WITH c AS (SELECT corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_discount) AS b, corr(l_quantity, l_discount) AS x FROM lineitem), r AS (SELECT a * a AS ra, b * b AS rb, (a * a + b * b - 2 * a * b * x) / (1 - x * x) AS rab FROM c),
+g AS (SELECT 'amount' AS block, ra AS g1, rab - rb AS g2 FROM r UNION ALL SELECT 'terms', rb, rab - ra FROM r)
+SELECT block, round((g1 + g2) / 2, 6) AS mean, round(abs(g1 - g2) / 2, 6) AS std, round(least(g1, g2), 6) AS least, round(greatest(g1, g2), 6) AS most FROM g""")
+def shapley_two_blocks(spark, sf_dir):
+    gram = stats.Gram.of(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"])
+    rows = [(g, *(round(float(v), 6) + 0.0 for v in x)) for g, *x in stats.shapley(gram, "l_extendedprice", {"amount": ["l_quantity"], "terms": ["l_discount"]})]
+    return spark.createDataFrame(rows, "block string, mean double, std double, least double, most double")
+
+
 @query()
 def stepwise_fit(spark, sf_dir):
     fit = stats.stepwise(stats.Gram.of(_features(spark, sf_dir), ["gross", "l_extendedprice", *FEATURES]), "gross", ["l_extendedprice", *FEATURES])
