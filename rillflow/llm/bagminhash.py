@@ -115,7 +115,7 @@ def signed_texts(base: DataFrame, bands: int, rows: int, size: int) -> DataFrame
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(0), 1 << 20):
+            for b in blocks(batch.column(0)):
                 row, h = shingles(b, size)
                 row, h, w = bags(row, h)
                 n = np.bincount(row, weights=w, minlength=b.n).astype(np.int64)
@@ -160,7 +160,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for x in blocks(batch.column(0), 1 << 20):
+            for x in blocks(batch.column(0)):
                 (y,) = blocks(batch.column(1).slice(x.first, x.n), 1 << 62)
                 left, right = bags(*shingles(x, size)), bags(*shingles(y, size))
                 a_cut, b_cut = np.searchsorted(left[0], np.arange(x.n + 1)), np.searchsorted(right[0], np.arange(x.n + 1))
@@ -265,7 +265,7 @@ def in_rivalry(blocks_: DataFrame, threshold: float, least: float) -> DataFrame:
 
 def multiset(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, cut): the shingles of each text as a set of numbers, the k-th repeat of one as a number of its own."""
-    parts = [(row + b.first, h) for b in blocks(column, 1 << 20) for row, h in [shingles(b, size)]]
+    parts = [(row + b.first, h) for b in blocks(column) for row, h in [shingles(b, size)]]
     row, h, w = bags(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     repeat = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
     row, h = np.repeat(row, w), np.repeat(h, w)

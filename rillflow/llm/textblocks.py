@@ -3,7 +3,7 @@
 A batch of texts is one byte buffer plus row offsets.  Words, word hashes,
 hashes of word or byte windows and winnowed anchors of a whole block of rows
 are computed with a few NumPy passes, never with a Python loop over words.
-Blocks are cut to a few megabytes, so memory does not follow the batch size;
+Blocks are cut to half a megabyte, so memory does not follow the batch size;
 a single text longer than a block forms a block of its own.
 
 Null texts count as empty.  Hashes are 64 bit; callers that need certainty
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
