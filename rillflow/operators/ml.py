@@ -27,7 +27,7 @@ def assembled(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
 
 
 def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: int = 150, depth: int = 12, seed: int = 42) -> list[tuple[str, float]]:
-    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(df, names, target))
+    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(assembled(df, names, target))
     return list(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
