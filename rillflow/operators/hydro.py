@@ -107,6 +107,118 @@ def baseflow(q: np.ndarray, alpha: float = 0.925, passes: int = 3, definition: s
     return base
 
 
+def windows_baseflow(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, alpha: float = 0.925, passes: int = 3, definition: str = "A") -> np.ndarray:
+    """Sum of the baseflow of every window q[lo:hi]: one recursion moves all windows on, a column of steps at a time.
+
+    Each pass starts anew in each window, so overlapping windows share no result."""
+    size = hi - lo
+    longest = int(size.max(initial=0))
+    at = np.arange(longest)
+    inside = at < size[:, None]
+    flow = np.where(inside, q[np.minimum(lo[:, None] + at, max(0, len(q) - 1))], 0.0)
+    turned = np.where(inside, size[:, None] - 1 - at, at)  # places of the reversed window
+    base, half = flow, (1 + alpha) / 2
+    for k in range(passes):
+        run = np.ascontiguousarray((np.take_along_axis(base, turned, 1) if k % 2 else base).T)
+        quick = np.zeros_like(run)
+        for i in range(1, longest):
+            step = np.maximum(alpha * quick[i - 1] + half * (run[i] - run[i - 1]), 0.0)
+            quick[i] = np.minimum(step, run[i]) if definition == "A" else step
+        rest = np.maximum(run - quick, 0.0).T
+        rest = np.take_along_axis(rest, turned, 1) if k % 2 else rest
+        base = np.where(inside, np.minimum(rest, flow) if definition == "A" else rest, 0.0)
+    return base.sum(axis=1)
+
+
+def _recession_slopes(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, points: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """k and its interquartile range for every window: runs are found once, and cut at the ends of each window."""
+    k, spread = np.full(len(lo), np.nan), np.full(len(lo), np.nan)
+    q = np.maximum(q, 0.0)
+    falls = np.append((q[1:] <= q[:-1]) & (q[:-1] > 0), False)
+    edge = np.diff(np.concatenate(([0], falls.astype(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # points first..last, both included
+    y = np.log(np.where(q > 0, q, 1.0))
+    t = np.arange(len(q), dtype=float)
+    sums = [np.concatenate(([0.0], np.cumsum(v))) for v in (y - y.mean(), (y - y.mean()) * t)]
+    for e in range(len(lo)):
+        some = slice(np.searchsorted(last, lo[e] + 1), np.searchsorted(first, hi[e] - 1))
+        a, b = np.maximum(first[some], lo[e]), np.minimum(last[some], hi[e] - 1)
+        long = b - a + 1 >= points
+        a, b = a[long], b[long]
+        if len(a) < segments:
+            continue
+        m = (b - a + 1).astype(float)
+        sy, sty = sums[0][b + 1] - sums[0][a], sums[1][b + 1] - sums[1][a]
+        slope = (sty - (a + b) / 2 * sy) / (m * (m * m - 1) / 12)
+        slope = slope[(q[b] > 0) & (slope < -1e-13)]  # only the last point of a segment can be zero
+        if len(slope) >= segments:
+            k[e] = -1 / np.median(slope)
+            spread[e] = np.subtract(*np.percentile(-1 / slope, [75, 25]))
+    return k, spread
+
+
+def _recession_ratios(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> np.ndarray:
+    k = np.full(len(lo), np.nan)
+    change = np.diff(q)
+    with np.errstate(divide="ignore"):
+        ratio = -q[:-1] / change
+    for e in range(len(lo)):
+        falls = change[lo[e] : hi[e] - 1] < 0
+        if falls.sum() > least:
+            r = ratio[lo[e] : hi[e] - 1][falls]
+            r = r[(r > 0) & (r < 1000)]
+            k[e] = np.median(r) if len(r) else np.nan
+    return k
+
+
+def event_memory(events: DataFrame, daily: DataFrame, definition: str = "A", days: int = 1095, least: int = 365) -> DataFrame:
+    """Memory of the flow before each event: values in its window, baseflow index, recession constant and its
+    interquartile range, mean, variation and zero share.
+
+    A: the `days` days before the event, null values left out first; recession by slopes of at least three segments of five points.
+    B: the event's own day too, values of zero and more only; recession by ratios of more than ten falling days, no range.
+    Windows of fewer than `least` values give their number alone; every event (gauge, event_date) gives one row.
+
+    Series are cut into blocks of `days` days.  An event meets its own block and the one before, so a group holds two
+    blocks of daily rows and the dates of one, whatever the length of the series; its windows advance together."""
+    kind = events.schema["gauge"].dataType.simpleString()
+    block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days).cast("long")
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    asked = events.select("gauge", "event_date").filter("event_date is not null").distinct()
+    asked = asked.select("gauge", block(F.col("event_date")).alias("block"), number(F.col("event_date")).alias("day"))
+    held = daily.filter(F.col("value").isNotNull() if definition == "A" else F.col("value") >= 0)
+    held = held.select("gauge", F.explode(F.array(block(F.col("period")), block(F.col("period")) + 1)).alias("block"), number(F.col("period")).alias("day"), F.col("value").cast("double").alias("q"))
+    own = 0 if definition == "A" else 1
+
+    def run(keys: tuple, dates: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
+        flow = flow.sort_values("day", kind="stable")
+        at, q, day = flow["day"].to_numpy(), flow["q"].to_numpy(float), np.sort(dates["day"].to_numpy())
+        lo, hi = np.searchsorted(at, day - days), np.searchsorted(at, day + own)
+        n = hi - lo
+        out = {c: np.full(len(day), np.nan) for c in ("bfi", "k", "k_iqr", "m", "s", "z")}
+        full = np.flatnonzero(n >= max(1, least))
+        if len(full):
+            a, b = lo[full], hi[full]
+            total = np.array([q[i:j].sum() for i, j in zip(a, b, strict=True)])
+            whole = (b - a >= 30) & (total != 0) if definition == "A" else total > 0
+            out["bfi"][full[whole]] = windows_baseflow(q, a[whole], b[whole], definition=definition) / total[whole]
+            if definition == "A":
+                out["k"][full], out["k_iqr"][full] = _recession_slopes(q, a, b, 5, 3)
+            else:
+                out["k"][full] = _recession_ratios(q, a, b, 10)
+            out["m"][full] = total / n[full]
+            out["s"][full] = [q[i:j].std() for i, j in zip(a, b, strict=True)]
+            out["z"][full] = [(q[i:j] == 0).mean() for i, j in zip(a, b, strict=True)]
+        return pd.DataFrame({"gauge": [keys[0]] * len(day), "day": day, "n": n, **out})
+
+    found = asked.groupBy("gauge", "block").cogroup(held.groupBy("gauge", "block")).applyInPandas(run, f"gauge {kind}, day int, n long, bfi double, k double, k_iqr double, m double, s double, z double")
+    found = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bfi", "k", "k_iqr", "m", "s", "z")})
+    digits = (4, 2, 2, 2, 4, 4) if definition == "A" else (9,) * 6
+    values = (F.col("bfi"), F.col("k"), F.col("k_iqr"), F.col("m"), F.when(F.col("m") > 0, F.col("s") / F.nullif(F.col("m"), F.lit(0.0))), F.col("z"))
+    names = ("bfi", "recession_k", "recession_k_iqr", "mean_value", "cv", "zero_share")
+    return found.select("gauge", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("event_date"), "n", *[rounded(v, d).alias(name) for v, d, name in zip(values, digits, names, strict=True)])
+
+
 def baseflow_index(series: DataFrame, least: int = 30, definition: str = "A") -> DataFrame:
     """Share of baseflow in the flow of each gauge; the recursion needs a gauge's rows in order, one group at a time."""
 

@@ -479,6 +479,65 @@ def baseflow_index_b(spark, sf_dir):
     return hydro.baseflow_index(series(spark, sf_dir, "D"), least=10, definition="B")
 
 
+def _memory_sql(definition: str, alpha: float = 0.925) -> str:
+    """Windows of F before events of B: three passes of the recursion for each window as recursive tables, recessions as islands."""
+    one, digits = definition == "A", (4, 2, 2, 2, 4, 4) if definition == "A" else (9,) * 6
+    bound = "least(greatest(0, {x}), n.b)" if one else "greatest(0, {x})"
+    text = [f"""WITH RECURSIVE ev AS (SELECT DISTINCT gauge, onset_date AS event_date FROM ({events_sql("B")})), d AS ({BASE['F']}),
+ w AS (SELECT e.gauge || '|' || e.event_date AS e, d.value AS q, row_number() OVER (PARTITION BY e.gauge, e.event_date ORDER BY d.period) AS i
+  FROM ev e JOIN d ON d.gauge = e.gauge AND d.period >= e.event_date - 1095 AND {'d.period < e.event_date' if one else 'd.period <= e.event_date AND d.value >= 0'}),
+ c AS (SELECT e, count(*) AS n, avg(q) AS m, stddev_pop(q) AS s, avg(CASE WHEN q = 0 THEN 1.0 ELSE 0.0 END) AS z FROM w GROUP BY e),
+ v0 AS (SELECT e, i, q, q AS b FROM w WHERE e IN (SELECT e FROM c WHERE n >= 365))"""]
+    for k in range(3):
+        text.append(f"o{k} AS (SELECT e, i, q, b, row_number() OVER (PARTITION BY e ORDER BY i {'DESC' if k % 2 else 'ASC'}) AS j FROM v{k})")
+        step = bound.format(x=f"{alpha} * r.f + {(1 + alpha) / 2} * (n.b - r.b)")
+        text.append(f"r{k} AS (SELECT e, j, b, CAST(0 AS DOUBLE) AS f FROM o{k} WHERE j = 1 UNION ALL SELECT n.e, n.j, n.b, {step} FROM r{k} r JOIN o{k} n ON n.e = r.e AND n.j = r.j + 1)")
+        rest = "greatest(o.b - r.f, 0)"
+        text.append(f"v{k + 1} AS (SELECT o.e, o.i, o.q, {f'least({rest}, o.q)' if one else rest} AS b FROM o{k} o JOIN r{k} r ON r.e = o.e AND r.j = o.j)")
+    text.append("f AS (SELECT e, sum(b) / sum(q) AS bfi FROM v3 GROUP BY e HAVING sum(q) <> 0)")
+    if one:
+        slopes = _segments_sql("SELECT e AS gauge, i AS period, greatest(q, 0) AS value FROM v0")
+        text.append(f"""k AS (SELECT e, -1 / median(s) AS k, quantile_cont(-1 / s, 0.75) - quantile_cont(-1 / s, 0.25) AS spread FROM (SELECT gauge AS e, CASE WHEN has_zero = 0 AND slope < -1e-13 THEN slope END AS s FROM ({slopes}))
+ GROUP BY e HAVING count(s) >= 3)""")
+    else:
+        text.append("""k AS (SELECT e, CASE WHEN count(*) > 10 THEN median(CASE WHEN -q / x > 0 AND -q / x < 1000 THEN -q / x END) END AS k, CAST(NULL AS DOUBLE) AS spread
+ FROM (SELECT e, q, lead(q) OVER (PARTITION BY e ORDER BY i) - q AS x FROM v0) WHERE x < 0 GROUP BY e)""")
+    full = lambda x, at: f"CASE WHEN n >= 365 THEN {half(x, digits[at])} END"
+    return ", ".join(text) + f""" SELECT ev.gauge, ev.event_date, coalesce(n, 0) AS n, {full('bfi', 0)} AS bfi, {full('k', 1)} AS recession_k, {full('spread', 2)} AS recession_k_iqr, {full('m', 3)} AS mean_value,
+ {full('CASE WHEN m > 0 THEN s / m END', 4)} AS cv, {full('z', 5)} AS zero_share FROM ev LEFT JOIN c ON c.e = ev.gauge || '|' || ev.event_date LEFT JOIN f ON f.e = c.e LEFT JOIN k ON k.e = c.e"""
+
+
+def _memory(spark, sf_dir, definition: str) -> DataFrame:
+    onsets = _events(spark, sf_dir, "B").select("gauge", F.col("onset_date").alias("event_date"))
+    return hydro.event_memory(onsets, series(spark, sf_dir, "F"), definition)
+
+
+_MEMORY = {d: _memory_sql(d) for d in "AB"}
+_MEMORY_COLS = ("bfi", "recession_k", "cv", "zero_share", "mean_value")
+
+
+@query(_MEMORY["A"])
+def event_memory_a(spark, sf_dir):
+    """Baseflow, recession and flow of the three years before each event, the event's day left out."""
+    return _memory(spark, sf_dir, "A")
+
+
+@query(_MEMORY["B"])
+def event_memory_b(spark, sf_dir):
+    """The same by the other definitions, the event's day included."""
+    return _memory(spark, sf_dir, "B")
+
+
+@query(f"SELECT gauge, {', '.join(half(f'median({c})', 6) + f' AS median_{c}' for c in _MEMORY_COLS)} FROM ({_MEMORY['A']}) GROUP BY gauge")
+def basin_memory_medians(spark, sf_dir):
+    return recovery.dynamic_by_group(_memory(spark, sf_dir, "A"), _MEMORY_COLS)
+
+
+@query(f"SELECT gauge, {', '.join(half(f'avg({c})', 6) + f' AS mean_{c}' for c in _MEMORY_COLS)} FROM ({_MEMORY['B']}) GROUP BY gauge")
+def basin_memory_means(spark, sf_dir):
+    return recovery.dynamic_by_group(_memory(spark, sf_dir, "B"), _MEMORY_COLS, how="mean")
+
+
 # ---- relational shapes -------------------------------------------------------------------------
 
 
