@@ -76,7 +76,11 @@ class Chains:
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part: str = "lang", chain_bytes: int = 1 << 26) -> RDD:
-    """(id, part, mask, rows) of all rows."""
+    """(id, part, mask, rows) of all rows.
+
+    The bytes of all texts are summed first: the chains of a task of the second step then hold half of `chain_bytes` on
+    average, however well the input is compressed."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).rdd
 
     def locally(batch: Iterable) -> Iterator[tuple[int, tuple]]:
@@ -105,7 +109,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part:
                 yield i, part, mask, n
 
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = max(4 * rows.getNumPartitions(), shuffled)  # a task's chains are a quarter of a split of the input
+    pieces = max(2 * total // max(1, chain_bytes) + 1, shuffled)
     return rows.mapPartitions(locally).partitionBy(pieces, lambda digest: digest).mapPartitions(finally_)
 
 
