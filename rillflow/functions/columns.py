@@ -41,6 +41,14 @@ def resolve_columns(df: DataFrame, want: Sequence[str] | Callable[[str], bool])
     return [c for c in df.columns if want(c)] if callable(want) else [c for c in want if c in df.columns]
 
 
+def quantile_bin(c: Column, edges: Sequence[float]) -> Column:
+    """Bin of a value, from 1, closed on the right (the first one on both sides); equal edges are one, so bins that could
+    hold nothing are not numbered.  Null outside the edges, and null stays null."""
+    steps = sorted(set(edges))
+    inner = sum(((c > e).cast("int") for e in steps[1:-1]), F.lit(1))
+    return F.when((c >= steps[0]) & (c <= steps[-1]), inner)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once: a lambda variable instead of a copy of the expression at each use.
 

@@ -160,7 +160,7 @@ def _recession_slopes(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, points: int
 def _recession_ratios(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> np.ndarray:
     k = np.full(len(lo), np.nan)
     change = np.diff(q)
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         ratio = -q[:-1] / change
     for e in range(len(lo)):
         falls = change[lo[e] : hi[e] - 1] < 0
@@ -190,7 +190,7 @@ def event_memory(events: DataFrame, daily: DataFrame, definition: str = "A", day
     held = held.select("gauge", F.explode(F.array(block(F.col("period")), block(F.col("period")) + 1)).alias("block"), number(F.col("period")).alias("day"), F.col("value").cast("double").alias("q"))
     own = 0 if definition == "A" else 1
 
-    def run(keys: tuple, dates: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
+    def run(dates: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
         flow = flow.sort_values("day", kind="stable")
         at, q, day = flow["day"].to_numpy(), flow["q"].to_numpy(float), np.sort(dates["day"].to_numpy())
         lo, hi = np.searchsorted(at, day - days), np.searchsorted(at, day + own)
@@ -209,7 +209,7 @@ def event_memory(events: DataFrame, daily: DataFrame, definition: str = "A", day
             out["m"][full] = total / n[full]
             out["s"][full] = [q[i:j].std() for i, j in zip(a, b, strict=True)]
             out["z"][full] = [(q[i:j] == 0).mean() for i, j in zip(a, b, strict=True)]
-        return pd.DataFrame({"gauge": [keys[0]] * len(day), "day": day, "n": n, **out})
+        return pd.DataFrame({"gauge": dates["gauge"].to_numpy(), "day": day, "n": n, **out})
 
     found = asked.groupBy("gauge", "block").cogroup(held.groupBy("gauge", "block")).applyInPandas(run, f"gauge {kind}, day int, n long, bfi double, k double, k_iqr double, m double, s double, z double")
     found = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bfi", "k", "k_iqr", "m", "s", "z")})

@@ -1,33 +1,22 @@
-"""Tree ensembles: importance, cross-validation and exact Shapley values of a fitted forest."""
+"""Importance of predictors in a random forest."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-from .stats import predictor_type
-
 
 def assembled(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # boosting cuts its lineage there
-        context.setCheckpointDir(shared_folder(df.sparkSession))
     full = df.select(*[F.col(c).cast("double").alias(c) for c in (*names, target)]).na.drop()
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(full)
 
 
-def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: int = 150, depth: int = 12, seed: int = 42) -> list[tuple[str, float]]:
-    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(assembled(df, names, target))
+def forest_importance(df: DataFrame, names: Sequence[str], target: str, trees: int = 150, depth: int = 12, least: int = 1, seed: int = 42) -> list[tuple[str, float]]:
+    model = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed).fit(assembled(df, names, target))
     return list(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
@@ -35,104 +24,3 @@ def grouped_importance(importance: Sequence[tuple[str, float]], groups: dict[str
     """(group, sum of its members' importance), largest first."""
     held = dict(importance)
     return sorted(((g, sum(held.get(c, 0.0) for c in cols)) for g, cols in groups.items()), key=lambda x: -x[1])
-
-
-def boosted(names: Sequence[str], target: str, trees: int = 300, depth: int = 6, seed: int = 42) -> GBTRegressor:
-    share = str(max(1, round(0.8 * len(names))))
-    return GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy=share, minInstancesPerNode=20, seed=seed)
-
-
-def cross_validated(df: DataFrame, names: Sequence[str], target: str, folds: int = 5, fold_key: str | None = None, **options) -> list[tuple[int, float, float]]:
-    """(fold, R2, RMSE); folds by a hash of the row, so they do not depend on partitions."""
-    data = assembled(df, names, target).withColumn("fold", F.pmod(F.xxhash64(*([fold_key] if fold_key else names)), F.lit(folds)).cast("int")).cache()
-
-    @inheritable_thread_target(df.sparkSession)
-    def score(k: int) -> tuple[int, float, float]:
-        scored = boosted(names, target, **options).fit(data.filter(F.col("fold") != k)).transform(data.filter(F.col("fold") == k)).cache()
-        found = (k, *(RegressionEvaluator(labelCol=target, metricName=m).evaluate(scored) for m in ("r2", "rmse")))
-        scored.unpersist()
-        return found
-
-    with ThreadPoolExecutor(folds) as pool:  # boosting is a long chain of small jobs: folds side by side fill the cluster
-        out = list(pool.map(score, range(folds)))
-    data.unpersist()
-    return out
-
-
-def exported(tree) -> dict[str, np.ndarray]:
-    """A fitted tree as arrays: feature (-1 at leaves), threshold, left, right, value, cover."""
-    rows: list[list[float]] = []
-
-    def walk(node) -> int:
-        at = len(rows)
-        leaf = node.numDescendants() == 0
-        rows.append([-1, 0.0, -1, -1, node.prediction(), float(node.impurityStats().count())])
-        if not leaf:
-            split = node.split()
-            rows[at][0], rows[at][1] = split.featureIndex(), split.threshold()
-            rows[at][2], rows[at][3] = walk(node.leftChild()), walk(node.rightChild())
-        return at
-
-    walk(tree._call_java("rootNode"))
-    a = np.array(rows)
-    return {"feature": a[:, 0].astype(int), "threshold": a[:, 1], "left": a[:, 2].astype(int), "right": a[:, 3].astype(int), "value": a[:, 4], "cover": a[:, 5]}
-
-
-def tree_shap(tree: dict[str, np.ndarray], x: np.ndarray, players: int) -> np.ndarray:
-    """Exact Shapley values (rows, players) of one tree, path-dependent.
-
-    For every leaf, each feature on its path has a factor if present (1 where the row satisfies all its splits, else 0) and one if
-    absent (product of cover shares); a leaf's game is the product of these factors, whose Shapley values follow from the
-    polynomial of subset sizes."""
-    out = np.zeros((len(x), players))
-    stack = [(0, {})]
-    while stack:
-        at, held = stack.pop()
-        f = tree["feature"][at]
-        if f >= 0:
-            go = x[:, f] <= tree["threshold"][at]
-            for child, side in ((tree["left"][at], go), (tree["right"][at], ~go)):
-                share = tree["cover"][child] / tree["cover"][at]
-                one, zero = held.get(f, (np.ones(len(x)), 1.0))
-                stack.append((child, held | {f: (one * side, zero * share)}))
-            continue
-        names = list(held)
-        m = len(names)
-        for i in names:
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for size, j in enumerate(k for k in names if k != i):
-                one, zero = held[j]
-                new = poly[:, : size + 2] * zero
-                new[:, 1:] += poly[:, : size + 1] * one[:, None]
-                poly[:, : size + 2] = new
-            weight = np.array([_weight(s, m) for s in range(m)])
-            one, zero = held[i]
-            out[:, i] += (poly @ weight) * (one - zero) * tree["value"][at]
-    return out
-
-
-def _weight(s: int, m: int) -> float:
-    from math import factorial
-
-    return factorial(s) * factorial(m - s - 1) / factorial(m)
-
-
-def shap_summary(model, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """feature, mean |SHAP| and mean SHAP over all rows, gain importance and type of predictor; the trees travel in the
-    closure, partial sums are aggregated."""
-    weights = list(model.treeWeights)
-    trees = [exported(t) for t in model.trees]
-
-    def run(batches):
-        total, signed, n = np.zeros(len(names)), np.zeros(len(names)), 0
-        for pdf in batches:
-            x = pdf.to_numpy(float)
-            phi = sum(w * tree_shap(t, x, len(names)) for w, t in zip(weights, trees, strict=True))
-            total, signed, n = total + np.abs(phi).sum(axis=0), signed + phi.sum(axis=0), n + len(x)
-        yield pd.DataFrame({"feature": list(names), "a": total, "s": signed, "n": [n] * len(names)})
-
-    part = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop().mapInPandas(run, "feature string, a double, s double, n long")
-    out = part.groupBy("feature").agg((F.sum("a") / F.sum("n")).alias("mean_abs_shap"), (F.sum("s") / F.sum("n")).alias("mean_shap"))
-    gain = F.create_map(*[F.lit(x) for pair in zip(names, model.featureImportances.toArray().tolist(), strict=True) for x in pair])
-    return out.withColumns({"gain": F.element_at(gain, F.col("feature")), "type": predictor_type(F.col("feature"))})

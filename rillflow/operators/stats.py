@@ -267,32 +267,145 @@ def grid(df: DataFrame, by: str, target: str, names: Sequence[str], least: int =
     return out
 
 
-def ridge_cv(df: DataFrame, target: str, names: Sequence[str], fold: Column, penalties: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> tuple[float, list[tuple[float, float]]]:
-    """The penalty with the least mean squared error over folds, and all (penalty, error).
+Part = tuple[int, np.ndarray, np.ndarray]  # rows, sums, sums of products
 
-    Matrices of all folds come from one aggregation; a fold's training matrix is that of the others together, and its
-    error follows from its own matrix."""
+
+def fold_parts(df: DataFrame, target: str, names: Sequence[str], fold: Column) -> dict[int, Part]:
+    """Sums and products of target and names by fold, from one aggregation; any training set is a sum of parts."""
     columns = [target, *names]
     full = df.select(fold.alias("#"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
     pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
     sums = [F.count(F.lit(1)), *[F.sum(c) for c in columns], *[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]]
-    parts, m = [], len(columns)
+    parts, m = {}, len(columns)
     for row in full.groupBy("#").agg(*[a.alias(f"a{i}") for i, a in enumerate(sums)]).collect():  # one row a fold
         values = list(row[1:])
         raw = np.zeros((m, m))
         for k, (i, j) in enumerate(pairs):
             raw[i, j] = raw[j, i] = values[1 + m + k]
-        parts.append((values[0], np.array(values[1 : 1 + m]), raw))
+        parts[row[0]] = (values[0], np.array(values[1 : 1 + m]), raw)
+    return parts
+
+
+def _joined(parts: Sequence[Part]) -> Part:
+    return sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
+
+
+def _ridge(train: Part, columns: list[str], penalty: float) -> dict:
+    n, total, raw = train
+    return Gram(columns, n, total / n, raw - np.outer(total, total) / n).fit(columns[0], columns[1:], ridge=penalty)
+
+
+def _error(fit: dict, part: Part) -> float:
+    """Sum of squared errors of a fit over the rows of a part."""
+    n, own, square = part
+    b = np.concatenate(([1.0], -np.asarray(fit["beta"])))  # y - x beta - intercept
+    return float(b @ square @ b - 2 * fit["intercept"] * (b @ own) + n * fit["intercept"] ** 2)
+
+
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def ridge_cv(df: DataFrame, target: str, names: Sequence[str], fold: Column, penalties: Sequence[float] = PENALTIES) -> tuple[float, list[tuple[float, float]]]:
+    """The penalty with the least mean squared error over folds, and all (penalty, error).
+
+    Matrices of all folds come from one aggregation; a fold's training matrix is that of the others together, and its
+    error follows from its own matrix."""
+    return _choose_penalty(fold_parts(df, target, names, fold), [target, *names], penalties)
+
+
+def _choose_penalty(parts: dict[int, Part], columns: list[str], penalties: Sequence[float]) -> tuple[float, list[tuple[float, float]]]:
     out = []
     for penalty in penalties:
-        errors = []
-        for held in range(len(parts)):
-            n = sum(p[0] for i, p in enumerate(parts) if i != held)
-            total = sum(p[1] for i, p in enumerate(parts) if i != held)
-            raw = sum(p[2] for i, p in enumerate(parts) if i != held)
-            fit = Gram(columns, n, total / n, raw - np.outer(total, total) / n).fit(target, list(names), ridge=penalty)
-            k, own, square = parts[held]
-            b = np.concatenate(([1.0], -np.asarray(fit["beta"])))  # y - x beta - intercept
-            errors.append((b @ square @ b - 2 * fit["intercept"] * (b @ own) + k * fit["intercept"] ** 2) / k)
+        errors = [_error(_ridge(_joined([p for i, p in parts.items() if i != held]), columns, penalty), part) / part[0] for held, part in parts.items()]
         out.append((penalty, float(np.mean(errors))))
     return min(out, key=lambda x: x[1])[0], out
+
+
+def nested_ridge(df: DataFrame, target: str, names: Sequence[str], fold: Column, penalties: Sequence[float] = PENALTIES) -> list[tuple[int, int, float, float, float]]:
+    """(fold, rows, penalty, R2, root mean squared error) of each outer fold: the penalty is chosen by cross-validation
+    over the other folds alone, the fit on all of them is judged on the one left out.
+
+    All training sets, also those that leave out two folds, are sums of the same parts; data are read once."""
+    parts, columns, out = fold_parts(df, target, names, fold), [target, *names], []
+    for held, part in sorted(parts.items()):
+        inner = {i: p for i, p in parts.items() if i != held}
+        penalty, _ = _choose_penalty(inner, columns, penalties)
+        n, own, square = part
+        error = _error(_ridge(_joined(list(inner.values())), columns, penalty), part)
+        out.append((held, n, penalty, float(1 - error / (square[0, 0] - own[0] ** 2 / n)), math.sqrt(error / n)))
+    return out
+
+
+def order_table(gram: Gram, target: str, groups: dict[str, list[str]], spark) -> DataFrame:
+    """order_no, order_text, place, block, gain: what each group adds to R2 in every order of the groups.
+
+    There are 2**k subsets (solved from the matrix) and k! orders: orders are decoded from their numbers by factorial
+    digits in the cluster, and each step looks up the subsets before and after it by bit mask."""
+    names, k = list(groups), len(groups)
+    subsets = [(s, float(gram.fit(target, [c for i, g in enumerate(names) if s >> i & 1 for c in groups[g]])["r2"])) for s in range(1 << k)]
+    left, picked, number = F.array(*[F.lit(i) for i in range(k)]), [], F.col("id")
+    orders = spark.range(math.factorial(k)).withColumn("left", left)
+    for i in range(k):
+        base = math.factorial(k - 1 - i)
+        at = F.element_at("left", (F.floor(number / base) % (k - i) + 1).cast("int"))
+        orders = orders.withColumn(f"g{i}", at).withColumn("left", F.array_except("left", F.array(F.col(f"g{i}"))))
+        picked.append(F.col(f"g{i}"))
+    label, bit = F.array(*[F.lit(g) for g in names]), lambda g: F.element_at(F.array(*[F.lit(1 << i) for i in range(k)]), g + 1)
+    steps = [
+        F.struct(F.lit(i + 1).alias("place"), g.alias("g"), sum((bit(h) for h in picked[:i]), F.lit(0)).alias("before"))
+        for i, g in enumerate(picked)
+    ]
+    table = orders.select("id", F.array_join(F.array(*[F.element_at(label, g + 1) for g in picked]), ",").alias("order_text"), F.inline(F.array(*steps)))
+    lattice = spark.createDataFrame(subsets, "mask int, r2 double")
+    one, two = (lattice.select(F.col("mask").alias(m), F.col("r2").alias(r)) for m, r in (("before", "r0"), ("after", "r1")))
+    table = table.withColumn("after", F.col("before") + bit(F.col("g")))
+    found = table.join(F.broadcast(one), "before").join(F.broadcast(two), "after")  # 2**k rows each
+    return found.select(F.col("id").alias("order_no"), "order_text", "place", F.element_at(label, F.col("g") + 1).alias("block"), (F.col("r1") - F.col("r0")).alias("gain"))
+
+
+def grid_sets(
+    df: DataFrame, sets: Sequence[tuple[Sequence[str], int, bool]], targets: Sequence[str], names: Sequence[str], without: tuple[str, object, Sequence[str]] | None = None
+) -> list[dict]:
+    """Fits of every target in every subset that the grouping sets name, from one pass over the rows.
+
+    sets: (columns, least rows, keep): a subset of fewer complete rows is left out, or kept without a fit.
+    without: (column, value, predictors): these predictors are no part of subsets where the column has that value, and
+    their nulls leave out no row there.  Rows are dicts of the grouping columns (None where not grouped; groups of null
+    keys are left out), level (the set's number), target, n, predictors, r2, adj_r2, rmse."""
+    dims = list(dict.fromkeys(c for columns, *_ in sets for c in columns))
+    lists = {False: list(names), True: [c for c in names if not without or c not in without[2]]}
+    number = {c: F.col(c).cast("double") for c in dict.fromkeys([*targets, *names])}
+    aggs, wanted = [], [(t, short) for t in targets for short in (False, True) if short is False or without]
+    for t, short in wanted:
+        columns = [t, *lists[short]]
+        full = F.lit(True)
+        for c in columns:
+            full = full & number[c].isNotNull()
+        held = [F.when(full, number[c]) for c in columns]
+        pairs = itertools.combinations_with_replacement(range(len(columns)), 2)
+        aggs.append(F.struct(F.count(held[0]).alias("n"), F.array(*[F.avg(c) for c in held]).alias("mean"), F.array(*[F.covar_pop(held[i], held[j]) for i, j in pairs]).alias("cov")))
+    groups = df.groupingSets([[F.col(c) for c in columns] for columns, *_ in sets], *[F.col(c) for c in dims])
+    rows = groups.agg(F.grouping_id().alias("#"), *[a.alias(f"a{i}") for i, a in enumerate(aggs)]).collect()  # a row for each subset
+    codes = {sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in columns): k for k, (columns, *_) in enumerate(sets)}
+    out = []
+    for row in rows:
+        level = codes[row["#"]]
+        columns, least, keep = sets[level]
+        if any(row[c] is None for c in columns):
+            continue
+        short = bool(without) and without[0] in columns and row[without[0]] == without[1]
+        for i, (t, s) in enumerate(wanted):
+            if s != short:
+                continue
+            n, used = row[f"a{i}"]["n"], lists[short]
+            base = {c: row[c] if c in columns else None for c in dims} | {"level": level, "target": t, "n": n, "predictors": len(used), "r2": None, "adj_r2": None, "rmse": None}
+            if n >= least:
+                m = len(used) + 1
+                cross = np.zeros((m, m))
+                for (x, y), v in zip(itertools.combinations_with_replacement(range(m), 2), row[f"a{i}"]["cov"], strict=True):
+                    cross[x, y] = cross[y, x] = (v or 0.0) * n
+                fit = Gram([t, *used], n, np.array([v or 0.0 for v in row[f"a{i}"]["mean"]]), cross).fit(t, used)
+                out.append(base | {"r2": float(fit["r2"]), "adj_r2": float(fit["adj_r2"]), "rmse": float(fit["rmse"])})
+            elif keep:
+                out.append(base)
+    return out

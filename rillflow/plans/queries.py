@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import events as ev
-from ..operators import hydro, ml, recovery, stats
+from ..operators import boosting, hydro, ml, recovery, stats
+from ..operators import order as od
 from ..operators import series as se
 from ..session import scratch_path
 from ..sources import readers
@@ -342,22 +343,30 @@ def value_counts(spark, sf_dir):
 _JOINED = "SELECT c_acctbal, o_totalprice, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
-def _binned(c: str, edges: list[float]) :
-    inner = sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    return inner + 1
-
-
 @query(f"""WITH j AS ({_JOINED}), e AS (SELECT quantile_cont(c_acctbal, 0.25) AS a1, quantile_cont(c_acctbal, 0.5) AS a2, quantile_cont(c_acctbal, 0.75) AS a3, quantile_cont(o_totalprice, 1.0/3) AS b1, quantile_cont(o_totalprice, 2.0/3) AS b2 FROM j),
 b AS (SELECT 1 + (c_acctbal > a1)::INT + (c_acctbal > a2)::INT + (c_acctbal > a3)::INT AS balance_bin, 1 + (o_totalprice > b1)::INT + (o_totalprice > b2)::INT AS price_bin, o_totalprice FROM j, e)
 SELECT balance_bin, {half('median(CASE WHEN price_bin = 1 THEN o_totalprice END)', 2)} AS p1, {half('median(CASE WHEN price_bin = 2 THEN o_totalprice END)', 2)} AS p2, {half('median(CASE WHEN price_bin = 3 THEN o_totalprice END)', 2)} AS p3 FROM b GROUP BY balance_bin""")
 def quantile_bin_pivot(spark, sf_dir):
     j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     edges = j.agg(F.percentile("c_acctbal", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("a"), F.percentile("o_totalprice", [0.0, 1 / 3, 2 / 3, 1.0]).alias("b")).first()
-    binned = j.withColumns({"balance_bin": _binned("c_acctbal", edges["a"]), "price_bin": _binned("o_totalprice", edges["b"])})
+    binned = j.withColumns({"balance_bin": fc.quantile_bin(F.col("c_acctbal"), edges["a"]), "price_bin": fc.quantile_bin(F.col("o_totalprice"), edges["b"])})
     out = binned.groupBy("balance_bin").pivot("price_bin", [1, 2, 3]).agg(fc.rounded(F.median("o_totalprice"), 2))
     return out.withColumnsRenamed({"1": "p1", "2": "p2", "3": "p3"})
 
 
+_TIED = ", ".join(str(i / 20) for i in range(21))
+
+
+@query(f"""WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_discount, [{_TIED}]))) AS e FROM lineitem)
+SELECT CAST(1 + len(list_filter(e[2:len(e) - 1], lambda x: l_discount > x)) AS INTEGER) AS bin, count(*) AS n, min(l_discount) AS least, max(l_discount) AS most FROM lineitem, e GROUP BY 1""")
+def tied_quantile_bins(spark, sf_dir):
+    """Twenty bins asked of a column with eleven values: equal edges are one."""
+    t = table(spark, sf_dir, "lineitem")
+    edges = t.agg(F.percentile("l_discount", [i / 20 for i in range(21)])).first()[0]
+    bins = t.select(fc.quantile_bin(F.col("l_discount"), edges).alias("bin"), "l_discount")
+    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("l_discount").alias("least"), F.max("l_discount").alias("most"))
+
+
 @query("""SELECT bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * 2000.0), 9) AS density FROM (
  SELECT CAST(least(49, floor(greatest(0, least(100000.0, l_extendedprice)) / 2000)) AS INTEGER) AS bin FROM lineitem) GROUP BY bin""")
 def histogram_density(spark, sf_dir):
@@ -588,6 +597,16 @@ def centred_average(spark, sf_dir):
     return series(spark, sf_dir, "D").select("gauge", "period", F.round(F.avg("value").over(w), 2).alias("smooth"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS y, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n, greatest(count(*) OVER () // 15, 15) AS w FROM orders),
+m AS (SELECT i AS pos, y FROM o UNION ALL SELECT -i - 1, y FROM o WHERE i < w UNION ALL SELECT 2 * n - 1 - i, y FROM o WHERE i >= n - w), p AS (SELECT pos, sum(y) OVER (ORDER BY pos) AS run FROM m)
+SELECT o_orderkey, round((b.run - a.run) / w, 4) AS smooth FROM o JOIN p a ON a.pos = i - w // 2 - 1 JOIN p b ON b.pos = i - w // 2 + w - 1""")
+def smoothed_trend(spark, sf_dir):
+    """Mean customer key around each order by price, over a fifteenth of all orders, mirrored at both ends."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    out = od.reflected_average(t, ["o_totalprice", "o_orderkey"], "o_custkey", max(t.count() // 15, 15))
+    return out.select("o_orderkey", F.round("smooth", 4).alias("smooth"))
+
+
 # ---- statistics --------------------------------------------------------------------------------
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -706,17 +725,37 @@ def rf_importance(spark, sf_dir):
     return spark.createDataFrame([(n, round(v, 6), block[n], round(total[block[n]], 6)) for n, v in rows], "feature string, importance double, block string, block_importance double")
 
 
+LINE = ("l_orderkey", "l_linenumber")
+
+
 @query()
 def gbt_cv_metrics(spark, sf_dir):
-    rows = ml.cross_validated(_features(spark, sf_dir), FEATURES, "l_extendedprice")
-    return spark.createDataFrame([(k, round(r2, 6), round(rmse, 4)) for k, r2, rmse in rows], "fold int, r2 double, rmse double")
+    """Five folds of the order of a seeded shuffle; their models grow side by side."""
+    rows = od.folds(_features(spark, sf_dir).select(*FEATURES, "l_extendedprice", *LINE), [od.by_seed(*LINE)], 5)
+    _, scores = boosting.fit(rows, FEATURES, "l_extendedprice", LINE, F.col("fold"), 5)
+    return spark.createDataFrame([(k, round(r2, 6), round(rmse, 4)) for k, r2, rmse in scores], "fold int, r2 double, rmse double")
 
 
 @query()
 def tree_shap_summary(spark, sf_dir):
     df = _features(spark, sf_dir)
-    model = ml.boosted(FEATURES, "l_extendedprice").fit(ml.assembled(df, FEATURES, "l_extendedprice"))
-    return ml.shap_summary(model, df, FEATURES).select("feature", *[F.round(c, 4).alias(c) for c in ("mean_abs_shap", "mean_shap", "gain")], "type")
+    model, _ = boosting.fit(df, FEATURES, "l_extendedprice", LINE)
+    return boosting.shap_summary(model, df).select("feature", *[F.round(c, 4).alias(c) for c in ("mean_abs_shap", "mean_shap", "gain")], "type")
+
+
+@query()
+def shap_by_class(spark, sf_dir):
+    """Values of single rows by class and feature: rows, means, correlation with the feature, and the largest gap between a
+    prediction and the sum of its values and the model's mean."""
+    df = _features(spark, sf_dir)
+    model, _ = boosting.fit(df, FEATURES, "l_extendedprice", LINE, options=boosting.Options(trees=50, depth=4))
+    rows = boosting.shap_rows(model, df.withColumn("row", F.monotonically_increasing_id()), ["row", "l_returnflag"])
+    total = F.sum("shap").over(W.partitionBy("row")) + model.expected()
+    rows = rows.withColumn("gap", F.abs(total - F.col("prediction")))
+    return rows.groupBy("l_returnflag", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("shap"), 4).alias("mean_shap"), F.round(F.avg(F.abs("shap")), 4).alias("mean_abs_shap"),
+        F.round(fc.correlation(F.col("x"), F.col("shap")), 4).alias("direction"), F.round(F.max("gap"), 6).alias("gap"),
+    )
 
 
 # ---- models of subsets -------------------------------------------------------------------------
@@ -732,9 +771,14 @@ def model_grid(spark, sf_dir):
 _PREDICTORS = ("dyn_BFI", "dyn_cv_Q", "mean_dyn_BFI", "mean_antecedent_ssi", "antecedent_ssi", "spei_intensity", "ssi_false_rec", "BFI_AVE", "ELEV_MEAN")
 
 
-@query("SELECT name, CASE WHEN name IN ('dyn_BFI', 'dyn_recession_k_days', 'dyn_cv_Q', 'antecedent_ssi', 'mean_antecedent_ssi') OR name LIKE 'mean\\_dyn\\_%' ESCAPE '\\' THEN 'DYN' WHEN name IN ('spei_intensity', 'ssi_intensity', 'spei_false_rec', 'ssi_false_rec') THEN 'EVENT' ELSE 'STATIC' END AS type FROM (VALUES " + ", ".join(f"('{c}')" for c in _PREDICTORS) + ") n(name)")
+_TYPE = "CASE WHEN name IN ('dyn_BFI', 'dyn_recession_k_days', 'dyn_cv_Q', 'antecedent_ssi', 'mean_antecedent_ssi') OR name LIKE 'mean\\_dyn\\_%' ESCAPE '\\' THEN 'DYN' WHEN name IN ('spei_intensity', 'ssi_intensity', 'spei_false_rec', 'ssi_false_rec') THEN 'EVENT' ELSE 'STATIC' END"
+
+
+@query(f"SELECT name, {_TYPE} AS type, count(*) AS n FROM (SELECT ({list(_PREDICTORS)})[p_partkey % {len(_PREDICTORS)} + 1] AS name FROM part) GROUP BY 1, 2")
 def predictor_types(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in _PREDICTORS], "name string").withColumn("type", stats.predictor_type(F.col("name")))
+    """Types of names that the rows of a table carry."""
+    names = table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, _PREDICTORS)), (F.col("p_partkey") % len(_PREDICTORS) + 1).cast("int")).alias("name"))
+    return names.withColumn("type", stats.predictor_type(F.col("name"))).groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RATED = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
@@ -759,6 +803,133 @@ def ridge_penalties(spark, sf_dir):
     return spark.createDataFrame([(a, round(e**0.5, 2)) for a, e in rows], "penalty double, error double")
 
 
+@query("""SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS fold, CAST(ntile(5) OVER (ORDER BY md5('42|' || o_orderkey)) - 1 AS INTEGER) AS shuffled FROM orders""")
+def row_folds(spark, sf_dir):
+    """Five folds of all orders along time, and five of them shuffled by a seed."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    along = od.folds(t, ["o_orderdate", "o_orderkey"], 5)
+    return od.folds(along, [od.by_seed("o_orderkey"), "o_orderkey"], 5, out="shuffled").select("o_orderkey", "fold", "shuffled")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+k AS (SELECT *, least(5, greatest(2, n // 4)) AS k FROM o)
+SELECT o_orderkey, CAST(CASE WHEN i < (n % k) * (n // k + 1) THEN i // (n // k + 1) ELSE n % k + (i - (n % k) * (n // k + 1)) // greatest(n // k, 1) END AS INTEGER) AS fold FROM k""")
+def customer_folds(spark, sf_dir):
+    """Folds inside each customer's orders; small customers have fewer of them."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return od.folds(t, ["o_orderdate", "o_orderkey"], None, ["o_custkey"], rows=4).select("o_orderkey", "fold")
+
+
+_FIVE = "SELECT l_orderkey % 5 AS fold, count(*) AS n, sum(l_quantity) AS x, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy, sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem GROUP BY 1"
+_SLOPE = "(t.xy - t.x * t.y / t.n) / (t.xx - t.x * t.x / t.n + {penalty})"
+_SQUARES = "(h.yy - 2 * b * h.xy + b * b * h.xx - 2 * (t.y - b * t.x) / t.n * (h.y - b * h.x) + h.n * power((t.y - b * t.x) / t.n, 2))"
+_SUMS = ", ".join(f"sum(f.{c}) AS {c}" for c in ("n", "x", "y", "xx", "xy", "yy"))
+
+
+@query(f"""WITH p AS (SELECT unnest([0.01, 1.0, 100.0, 1000000.0, 10000000.0]) AS penalty), f AS ({_FIVE}),
+i AS (SELECT o.fold AS outside, h.fold AS held, {_SUMS} FROM f o JOIN f h ON h.fold <> o.fold JOIN f ON f.fold <> o.fold AND f.fold <> h.fold GROUP BY 1, 2),
+e AS (SELECT outside, penalty, avg({_SQUARES} / h.n) AS e FROM (SELECT *, {_SLOPE.format(penalty='penalty')} AS b FROM i t, p) t JOIN f h ON h.fold = held GROUP BY 1, 2),
+c AS (SELECT outside, arg_min(penalty, e) AS penalty FROM e GROUP BY 1),
+w AS (SELECT o.fold AS outside, {_SUMS} FROM f o JOIN f ON f.fold <> o.fold GROUP BY 1)
+SELECT outside AS fold, h.n, CAST(t.penalty AS DOUBLE) AS penalty, round(1 - {_SQUARES} / (h.yy - h.y * h.y / h.n), 6) AS r2, round(sqrt({_SQUARES} / h.n), 2) AS rmse
+FROM (SELECT w.*, c.penalty, {_SLOPE.format(penalty='c.penalty').replace('t.', 'w.')} AS b FROM w JOIN c ON c.outside = w.outside) t JOIN f h ON h.fold = outside""")
+def nested_ridge(spark, sf_dir):
+    """Penalty chosen inside each of five outer folds, error of the fold outside."""
+    rows = stats.nested_ridge(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], F.col("l_orderkey") % 5, (0.01, 1.0, 100.0, 1e6, 1e7))
+    return spark.createDataFrame([(k, n, a, round(r2, 6), round(e, 2)) for k, n, a, r2, e in rows], "fold long, n long, penalty double, r2 double, rmse double")
+
+
+_LATTICE_COLS = ("l_quantity", "l_discount", "l_tax")
+
+
+def _lattice_sql() -> str:
+    """Explained share of a price by every subset of three columns, from correlations (adjugate over determinant)."""
+    r = {(i, j): f"corr({a}, {b})" for i, a in enumerate(_LATTICE_COLS) for j, b in enumerate(_LATTICE_COLS) if i < j}
+    c = ", ".join([f"corr(l_extendedprice, {x}) AS y{i}" for i, x in enumerate(_LATTICE_COLS)] + [f"{e} AS r{i}{j}" for (i, j), e in r.items()])
+    two = lambda i, j: f"(y{i} * y{i} + y{j} * y{j} - 2 * y{i} * y{j} * r{i}{j}) / (1 - r{i}{j} * r{i}{j})"
+    three = """(y0*y0*(1-r12*r12) + y1*y1*(1-r02*r02) + y2*y2*(1-r01*r01) + 2*y0*y1*(r02*r12-r01) + 2*y0*y2*(r01*r12-r02) + 2*y1*y2*(r01*r02-r12)) / (1 + 2*r01*r02*r12 - r01*r01 - r02*r02 - r12*r12)"""
+    values = ["0.0", "y0 * y0", "y1 * y1", two(0, 1), "y2 * y2", two(0, 2), two(1, 2), three]
+    return f"SELECT unnest(range(8)) AS mask, unnest([{', '.join(values)}]) AS r2 FROM (SELECT {c} FROM lineitem)"
+
+
+@query(f"""WITH g AS (SELECT unnest(['amount', 'rate', 'tax']) AS block, unnest([0, 1, 2]) AS g), l AS ({_lattice_sql()}),
+o AS (SELECT row_number() OVER (ORDER BY a.g, b.g, c.g) - 1 AS order_no, a.block || ',' || b.block || ',' || c.block AS order_text, [a.g, b.g, c.g] AS gs FROM g a, g b, g c WHERE a.g <> b.g AND a.g <> c.g AND b.g <> c.g),
+s AS (SELECT order_no, order_text, place, gs[place] AS g, coalesce(list_sum(list_transform(gs[1:place - 1], lambda x: CAST(power(2, x) AS INTEGER))), 0) AS before FROM o, (SELECT unnest([1, 2, 3]) AS place))
+SELECT order_no, order_text, CAST(place AS INTEGER) AS place, block, round(n.r2 - p.r2, 6) + 0.0 AS gain FROM s JOIN g ON g.g = s.g JOIN l p ON p.mask = before JOIN l n ON n.mask = before + CAST(power(2, s.g) AS INTEGER)""")
+def shapley_orders(spark, sf_dir):
+    """What each of three groups adds to the explained share, in each of their six orders."""
+    gram = stats.Gram.of(table(spark, sf_dir, "lineitem"), ["l_extendedprice", *_LATTICE_COLS])
+    groups = dict(zip(("amount", "rate", "tax"), ([c] for c in _LATTICE_COLS), strict=True))
+    return stats.order_table(gram, "l_extendedprice", groups, spark).withColumn("gain", F.round("gain", 6) + 0.0)
+
+
+_SUBSETS = """SELECT l.*, r_name, l_extendedprice * (1 + l_tax) AS gross FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def _subsets_sql() -> str:
+    parts = []
+    for t in ("l_extendedprice", "gross"):
+        a, b, x = f"corr({t}, l_quantity)", f"corr({t}, l_discount)", "corr(l_quantity, l_discount)"
+        parts.append(f"""SELECT l_linestatus, r_name, l_returnflag, CASE WHEN grouping(r_name) = 0 THEN 2 WHEN grouping(l_returnflag) = 0 THEN 1 ELSE 0 END AS level, '{t}' AS target, count(*) AS n,
+ coalesce(l_returnflag = 'R', FALSE) AS short, {a} * {a} AS r_one, ({a} * {a} + {b} * {b} - 2 * {a} * {b} * {x}) / (1 - {x} * {x}) AS r_two, regr_syy({t}, l_quantity) AS syy
+ FROM j GROUP BY GROUPING SETS ((l_linestatus), (l_linestatus, l_returnflag), (l_linestatus, r_name, l_returnflag))""")
+    return f"""WITH j AS ({_SUBSETS}), a AS ({' UNION ALL '.join(parts)}), b AS (SELECT *, CASE WHEN short THEN r_one ELSE r_two END AS r, CASE WHEN short THEN 1 ELSE 2 END AS predictors FROM a)
+SELECT l_linestatus, l_returnflag, r_name, level, target, n, predictors, CASE WHEN n >= 50 THEN round(r, 6) END AS r2, CASE WHEN n >= 50 THEN round(1 - (1 - r) * (n - 1) / (n - predictors - 1), 6) END AS adj_r2,
+ CASE WHEN n >= 50 THEN round(sqrt(syy * (1 - r) / (n - predictors - 1)), 2) END AS rmse FROM b WHERE level = 2 OR n >= 100"""
+
+
+@query(_subsets_sql())
+def model_grid_sets(spark, sf_dir):
+    """Two targets for each status, status and flag, and status, region and flag; the rate is no predictor where the flag is R."""
+    t = lambda name: table(spark, sf_dir, name)
+    places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
+    rows = t("lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
+    one, two, three = ["l_linestatus"], ["l_linestatus", "l_returnflag"], ["l_linestatus", "r_name", "l_returnflag"]
+    found = stats.grid_sets(rows, [(one, 100, False), (two, 100, False), (three, 50, True)], ["l_extendedprice", "gross"], ["l_quantity", "l_discount"], ("l_returnflag", "R", ["l_discount"]))
+    schema = "l_linestatus string, l_returnflag string, r_name string, level int, target string, n long, predictors int, r2 double, adj_r2 double, rmse double"
+    digits = {"r2": 6, "adj_r2": 6, "rmse": 2}
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(round(r[c], digits[c]) if c in digits and r[c] is not None else r[c] for c in names) for r in found], schema)
+
+
+def _tree_sql(l1: float, l2: float, least: int) -> str:
+    """One tree of depth two on three columns with few values: running sums over values, penalised gains, the best split of
+    each node, and the weights of its leaves."""
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {l1}, 0))"
+    score = lambda g, h: f"{soft(g)} * {soft(g)} / ({h} + {l2})"
+    cols = ("l_quantity", "l_discount", "l_tax")
+    long = lambda rows: " UNION ALL ".join(f"SELECT node, {f} AS feature, {c} AS x, g FROM ({rows})" for f, c in enumerate(cols))
+    best = lambda rows: f"""SELECT node, arg_min(feature, rank) AS feature, arg_min(x, rank) AS threshold, arg_min(gain, rank) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 3) DESC, feature, x) AS rank FROM (
+  SELECT node, feature, x, ({score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')}) / 2 AS gain, hl, h FROM (
+   SELECT node, feature, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY node, feature) AS g, sum(h) OVER (PARTITION BY node, feature) AS h
+   FROM (SELECT node, feature, x, sum(g) AS g, count(*) AS h FROM ({long(rows)}) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY node, feature ORDER BY x)))
+  WHERE hl >= {least} AND h - hl >= {least} AND gain > 1e-9) GROUP BY node"""
+    goes = lambda a: f"CASE {a}.feature " + " ".join(f"WHEN {f} THEN CASE WHEN r.{c} > {a}.threshold THEN 1 ELSE 0 END" for f, c in enumerate(cols)) + " END"
+    rows = "SELECT 0 AS node, avg(l_extendedprice) OVER () - l_extendedprice AS g, l_quantity, l_discount, l_tax FROM lineitem"
+    return f"""WITH r0 AS ({rows}), s0 AS ({best('SELECT * FROM r0')}), r1 AS (SELECT 1 + {goes('s')} AS node, g, l_quantity, l_discount, l_tax FROM r0 r, s0 s), s1 AS ({best('SELECT * FROM r1')}),
+ r2 AS (SELECT CASE WHEN s.feature IS NULL THEN NULL ELSE 2 * r.node + 1 + {goes('s')} END AS node, g FROM r1 r LEFT JOIN s1 s ON s.node = r.node), s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1),
+ n AS (SELECT node, g FROM r0 UNION ALL SELECT node, g FROM r1 UNION ALL SELECT node, g FROM r2 WHERE node IS NOT NULL)
+ SELECT '{l1},{l2}' AS penalty, CAST(a.node AS INTEGER) AS node, CAST(coalesce(s.feature, -1) AS INTEGER) AS feature, s.threshold, round(coalesce(s.gain, 0), 0) AS gain, a.h AS cover, round(-{soft('a.g')} / (a.h + {l2}), 4) AS value
+ FROM (SELECT node, sum(g) AS g, count(*) AS h FROM n GROUP BY node) a LEFT JOIN s ON s.node = a.node"""
+
+
+_PENALTIES = ((0.0, 0.0), (50000.0, 2000.0))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_tree_sql(a, b, 20)})" for a, b in _PENALTIES))
+def boosted_tree(spark, sf_dir):
+    """The first tree of depth two at full rate, without and with penalties."""
+    out = []
+    for l1, l2 in _PENALTIES:
+        o = boosting.Options(trees=1, depth=2, rate=1.0, rows=1.0, columns=1.0, l1=l1, l2=l2)
+        model, _ = boosting.fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"], options=o)
+        tree = model.trees[0]
+        for i in (tree.cover > 0).nonzero()[0].tolist():
+            f = int(tree.feature[i])
+            out.append((f"{l1},{l2}", i, f, float(tree.threshold[i]) if f >= 0 else None, round(float(tree.gain[i]), 0), int(tree.cover[i]), round(float(tree.value[i]), 4)))
+    return spark.createDataFrame(out, "penalty string, node int, feature int, threshold double, gain double, cover long, value double")
+
+
 # ---- two timescales ----------------------------------------------------------------------------
 
 _SCALES = {3: _S3, 6: _Sql(6)}
@@ -837,11 +1008,27 @@ def seeded_sample(spark, sf_dir):
     return readers.sample(table(spark, sf_dir, "orders"), 500, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT * FROM (VALUES (0, 'l_orderkey'), (1, 'l_partkey'), (2, 'l_suppkey'), (3, 'l_linenumber'), (4, 'l_quantity'), (5, 'l_discount'), (6, 'l_tax')) n(place, name)")
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, count({c}) AS n, count(DISTINCT {c}) AS \"values\", CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most FROM lineitem" for i, c in enumerate(_NUMBERS)))
 def numeric_predictors(spark, sf_dir):
-    """Number columns without those that are left out for a subset."""
-    names = readers.numeric_columns(table(spark, sf_dir, "lineitem"), but=("l_extendedprice",))
-    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    """Number columns without those that are left out for a subset, and what they hold."""
+    return readers.column_catalog(table(spark, sf_dir, "lineitem"), but=("l_extendedprice",))
+
+
+@query(f"SELECT gauge, period, value FROM (SELECT *, count(*) OVER (PARTITION BY gauge) AS n FROM ({_GAPS})) WHERE n >= 36")
+def long_series(spark, sf_dir):
+    """Monthly series with their gaps, of three years or more."""
+    return se.densify(series(spark, sf_dir, "D"), least=36).select("gauge", "period", "value")
+
+
+@query("""SELECT 'l_quantity' AS name, round(b, 4) AS beta, round(sqrt((1 - r) * syy / (n - 2) / sxx), 6) AS se, round(b / sqrt((1 - r) * syy / (n - 2) / sxx), 3) AS t, round(r, 6) AS r2, round(1 - (1 - r) * (n - 1) / (n - 2), 6) AS adj_r2, round(sqrt(syy * (1 - r) / (n - 2)), 2) AS rmse
+FROM (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_r2(l_extendedprice, l_quantity) AS r, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxx(l_extendedprice, l_quantity) AS sxx FROM lineitem)""")
+def ols_inference(spark, sf_dir):
+    fit = stats.Gram.of(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"]).fit("l_extendedprice", ["l_quantity"])
+    b, se_ = float(fit["beta"][0]), float(fit["se"][0])
+    return spark.createDataFrame([("l_quantity", round(b, 4), round(se_, 6), round(b / se_, 3), round(float(fit["r2"]), 6), round(float(fit["adj_r2"]), 6), round(float(fit["rmse"]), 2))], "name string, beta double, se double, t double, r2 double, adj_r2 double, rmse double")
 
 
 # ---- sources, from files that the query writes -------------------------------------------------
@@ -863,30 +1050,29 @@ def latin1_attributes(spark, sf_dir):
     return readers.as_numbers(found, ["elevation"])
 
 
-_FLOW = "SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS day, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_suppkey <= 6 GROUP BY 1, 2"
-_RDB = f"""SELECT file, site, day, CASE WHEN day_of_month = 13 THEN -1.0 ELSE q + file END AS flow, copy FROM (SELECT *, day(day) AS day_of_month FROM ({_FLOW})), (VALUES (0), (1)) f(file), (VALUES (0), (1)) c(copy)
- WHERE site BETWEEN 1 + 2 * file AND 4 + 2 * file AND (copy = 0 OR day_of_month = 7)"""
+_FLOW = "SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS day, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2"
+_RDB = f"""SELECT file, site, day, CASE WHEN day_of_month = 13 THEN -1.0 ELSE q + file END AS flow, copy FROM (SELECT *, unnest(list_distinct([site // 25, (site + 10) // 25])) AS file, day(day) AS day_of_month FROM ({_FLOW})), (VALUES (0), (1)) c(copy)
+ WHERE copy = 0 OR day_of_month = 7"""
 
 
 def _rdb_files(spark, sf_dir) -> str:
-    """Two gzipped files of one section a site: sites 1 to 4 and 3 to 6; days 7 come twice, days 13 have negative flow."""
+    """Gzipped files of about 25 sites, a section each; two in five sites are in two files, days 7 come twice, days 13 have negative flow."""
     path = scratch_path(spark, "rdb")
-    t = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 6")
-    flow = t.groupBy(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    site = F.col("l_suppkey").alias("site")
+    flow = table(spark, sf_dir, "lineitem").groupBy(site, F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    flow = flow.withColumn("file", F.explode(F.array_distinct(F.array(F.floor(F.col("site") / 25), F.floor((F.col("site") + 10) / 25)))))
     head = [F.lit("agency_cd\tsite_no\tdatetime\t9_00060_00003\t9_00060_00003_cd"), F.lit("5s\t15s\t20d\t14n\t10s")]
-    for k in (0, 1):
-        mine = flow.filter(F.col("site").between(1 + 2 * k, 4 + 2 * k))
-        q = F.when(F.dayofmonth("day") == 13, F.lit("-1")).otherwise((F.col("q") + k).cast("string"))
-        copies = F.when(F.dayofmonth("day") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        rows = mine.select("site", F.explode(copies).alias("copy"), "day", q.alias("q")).select("site", (2 + F.col("copy")).alias("kind"), "day", F.format_string("USGS\t%08d\t%s\t%s\tA", "site", F.col("day").cast("string"), "q").alias("value"))
-        heads = mine.select("site").distinct().select("site", F.posexplode(F.array(*head)).alias("kind", "value")).select("site", "kind", F.lit(None).cast("date").alias("day"), "value")
-        lines = rows.unionByName(heads).repartition(1).sortWithinPartitions("site", "kind", "day").select("value")  # one file is one task
-        lines.write.option("compression", "gzip").text(f"{path}/file{k}")
-    return f"{path}/*/*.gz"
+    q = F.when(F.dayofmonth("day") == 13, F.lit("-1")).otherwise((F.col("q") + F.col("file")).cast("string"))
+    copies = F.when(F.dayofmonth("day") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = flow.select("file", "site", F.explode(copies).alias("copy"), "day", q.alias("q")).select("file", "site", (2 + F.col("copy")).alias("kind"), "day", F.format_string("USGS\t%08d\t%s\t%s\tA", "site", F.col("day").cast("string"), "q").alias("value"))
+    heads = flow.select("file", "site").distinct().select("file", "site", F.posexplode(F.array(*head)).alias("kind", "value")).select("file", "site", "kind", F.lit(None).cast("date").alias("day"), "value")
+    lines = rows.unionByName(heads).withColumn("batch", F.format_string("b%08d", "file")).repartition("batch").sortWithinPartitions("batch", "site", "kind", "day")  # a file is written by one task
+    lines.select("batch", "value").write.partitionBy("batch").option("compression", "gzip").text(path)
+    return path
 
 
 def _rdb(mode: str) -> Query:
-    return lambda spark, sf_dir: readers.read_rdb(spark, _rdb_files(spark, sf_dir), mode)
+    return lambda spark, sf_dir: readers.read_rdb(spark, f"{_rdb_files(spark, sf_dir)}/*/*.gz", mode)
 
 
 _RDB_KEPT = {
@@ -897,3 +1083,24 @@ _RDB_KEPT = {
 for _m, _kept in _RDB_KEPT.items():
     QUERIES[f"rdb_source_{_m}"] = _rdb(_m.upper())
     ORACLES[f"rdb_source_{_m}"] = f"WITH r AS (SELECT *, max(file) OVER (PARTITION BY site) AS last FROM ({_RDB})) SELECT lpad(CAST(site AS VARCHAR), 8, '0') AS site, day, flow FROM ({_kept})"
+
+
+def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The files above, a manifest of their folders with one more that does not exist, and suppliers in debt as wanted sites."""
+    path, s = _rdb_files(spark, sf_dir), table(spark, sf_dir, "supplier")
+    listed = s.select(F.col("s_suppkey").alias("k"), F.explode(F.array_distinct(F.array(F.floor(F.col("s_suppkey") / 25), F.floor((F.col("s_suppkey") + 10) / 25), F.lit(99_999_999)))).alias("file"))
+    batches = listed.groupBy(F.format_string("batch=b%08d", "file").alias("raw_file")).agg(F.array_join(F.sort_array(F.collect_set(F.col("k").cast("string"))), ",").alias("sites"))  # 35 sites, or all: a line of the manifest
+    return readers.read_manifest(spark, batches, s.filter("s_acctbal < 0").select(F.col("s_suppkey").alias("gauge")), path)
+
+
+@query(f"""WITH r AS (SELECT *, max(file) OVER (PARTITION BY site) AS last FROM ({_RDB}))
+SELECT lpad(CAST(site AS VARCHAR), 8, '0') AS site, day, flow FROM r WHERE file = last AND copy = 0 AND site IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
+def manifest_source(spark, sf_dir):
+    """Flow of the wanted sites from the files that hold them; other files are not opened."""
+    return _manifest(spark, sf_dir)[0]
+
+
+@query("""SELECT DISTINCT 'batch=b' || lpad(CAST(file AS VARCHAR), 8, '0') AS file, file < 99999999 AS found FROM (SELECT unnest([s_suppkey // 25, (s_suppkey + 10) // 25, 99999999]) AS file FROM supplier WHERE s_acctbal < 0)""")
+def manifest_report(spark, sf_dir):
+    """Files that the manifest asks for, and whether they exist."""
+    return _manifest(spark, sf_dir)[1]

@@ -50,3 +50,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def stored_table(df, name: str):
+    """Writes `df` to the shared folder once and returns a reader of it: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import canonical_key
+from ..functions.columns import canonical_key, resolve_columns
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, keys: Sequence[str] = (), encoding: str = "UTF-8") -> DataFrame:
@@ -27,7 +27,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, keys: Se
 def read_attributes(spark: SparkSession, path: str, key: str = "STAID", columns: Sequence[str] | None = None) -> DataFrame:
     """Latin-1 attribute table: the key as text, everything else as number where it is one, columns that exist."""
     df = read_csv(spark, path, keys=[key], encoding="ISO-8859-1")
-    names = [c for c in (columns or df.columns) if c in df.columns and c != key]
+    names = [c for c in resolve_columns(df, columns or df.columns) if c != key]
     return df.select(key, *names)
 
 
@@ -121,7 +121,7 @@ def parse_rdb(text: str, mode: str = "B") -> Iterator[Row]:
                 yield y[place].strip(), day, flow, section
 
 
-def read_rdb(spark: SparkSession, path: str, mode: str = "B") -> DataFrame:
+def read_rdb(spark: SparkSession, path: str | list[str], mode: str = "B") -> DataFrame:
     """Daily flow of gzipped (or plain) RDB files, in the order of their paths: site, day, flow.
 
     Mode A: the last section that a site has, in the last file, replaces the others; its rows are kept as they are, so a
@@ -166,6 +166,13 @@ def outer_chain(tables: Sequence[DataFrame], key: str) -> DataFrame:
     return out
 
 
+def column_catalog(df: DataFrame, but: Sequence[str] = ()) -> DataFrame:
+    """place, name, n, distinct, least and greatest value of every number column that is not left out, from one pass."""
+    names = numeric_columns(df, but)
+    stats = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.count(c).alias("n"), F.count_distinct(c).alias("values"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most")) for i, c in enumerate(names)]
+    return df.agg(F.array(*stats).alias("all")).select(F.inline("all"))
+
+
 def numeric_columns(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
     """Names of number columns, without those to leave out, decided at plan time."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in but]
@@ -182,6 +189,23 @@ def manifest_files(manifest: DataFrame, wanted: DataFrame, file: str = "raw_file
     return listed.join(wanted.select(canonical_key(F.col(key)).alias(key)), key, "left_semi").select(file).distinct()
 
 
+def read_manifest(spark: SparkSession, manifest: DataFrame, wanted: DataFrame, folder: str, mode: str = "B", file: str = "raw_file", key: str = "gauge") -> tuple[DataFrame, DataFrame]:
+    """Daily flow of the wanted sites from those files of a folder that the manifest names for them, and a table of these
+    files (file, found).
+
+    The list of files is made first; only files that exist are opened, and only wanted sites of them are kept.  A file
+    that is listed but missing is reported, not an error."""
+    names = sorted(r[0] for r in manifest_files(manifest, wanted, file, key=key).collect() if r[0] is not None)  # names of files
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [name for name in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(root, name))]
+    report = spark.createDataFrame([(name, name in found) for name in names], "file string, found boolean")
+    if not found:
+        return spark.createDataFrame([], "site string, day date, flow double"), report
+    keys = wanted.select(canonical_key(F.col(key)).alias("site")).distinct()
+    return read_rdb(spark, [f"{folder}/{name}" for name in found], mode).join(keys, "site", "left_semi"), report
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Overwrites path; CSV gets a header."""
     writer = df.write.mode("overwrite")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import columns as fc
 from rillflow.functions.special import beta_i, gamma_p, t_two_sided
-from rillflow.operators import hydro, ml, stats
+from rillflow.operators import hydro, stats
 from rillflow.operators import series as se
 from rillflow.sources import readers
 
@@ -71,27 +71,6 @@ def test_linear_models(spark):
     assert abs(rho[2] - np.corrcoef(ranks(x[:, 0]), ranks(y))[0, 1]) < 1e-9
 
 
-def test_tree_shap_adds_up():
-    tree = {"feature": np.array([0, 1, -1, -1, 0, -1, -1]), "threshold": np.array([0.5, 0.3, 0, 0, 0.8, 0, 0]), "left": np.array([1, 2, -1, -1, 5, -1, -1]), "right": np.array([4, 3, -1, -1, 6, -1, -1]),
-            "value": np.array([0, 0, 1.0, 2.0, 0, 5.0, 9.0]), "cover": np.array([10.0, 6, 2, 4, 4, 1, 3])}
-    x = np.random.default_rng(0).random((50, 2))
-    phi = ml.tree_shap(tree, x, 2)
-
-    def value(row, known, at=0):
-        f = tree["feature"][at]
-        if f < 0:
-            return tree["value"][at]
-        left, right = tree["left"][at], tree["right"][at]
-        if f in known:
-            return value(row, known, left if row[f] <= tree["threshold"][at] else right)
-        return (value(row, known, left) * tree["cover"][left] + value(row, known, right) * tree["cover"][right]) / tree["cover"][at]
-
-    for row, p in zip(x, phi, strict=True):
-        v = {k: value(row, k) for k in (frozenset(), frozenset({0}), frozenset({1}), frozenset({0, 1}))}
-        a = (v[frozenset({0})] - v[frozenset()] + v[frozenset({0, 1})] - v[frozenset({1})]) / 2
-        assert abs(p[0] - a) < 1e-9 and abs(p.sum() - (v[frozenset({0, 1})] - v[frozenset()])) < 1e-9
-
-
 HEAD = "agency_cd\tsite_no\tdatetime\t{}\n5s\t15s\t20d\t14n\n"
 
 

@@ -3,7 +3,7 @@ from oracle import compare
 
 from rillflow.catalog import ORACLES, QUERIES
 
-SLOW = {"gbt_cv_metrics", "tree_shap_summary", "rf_importance"}
+SLOW = {"gbt_cv_metrics", "tree_shap_summary", "shap_by_class", "rf_importance"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -25,34 +25,22 @@ def test_entry(spark):
 
 
 def test_model_queries_have_the_size_of_the_reference(spark, sf_dir, monkeypatch):
-    import numpy as np
-    from pyspark.sql import functions as F
+    """Real learners; only the number of trees is cut, after it has been noted."""
+    from dataclasses import replace
 
-    from rillflow.operators import ml
+    from rillflow.operators import boosting, ml
 
-    made = []
+    made, forest, fit = [], ml.forest_importance, boosting.fit
 
-    class Fake:
-        def __init__(self, **options):
-            made.append((options.get("numTrees", options.get("maxIter")), options["maxDepth"]))
-            self.featureImportances = self
+    def fewer(df, names, target, key, fold=None, folds=0, options=boosting.Options()):
+        made.append((options.trees, options.depth, options.rate, options.rows, options.columns, options.least, options.l1, options.l2))
+        return fit(df, names, target, key, fold, folds, replace(options, trees=3))
 
-        def fit(self, data):
-            return self
-
-        def transform(self, data):
-            return data.withColumn("prediction", F.lit(0.0))
-
-        def toArray(self):
-            return np.zeros(9)[: len(queries.FEATURES)]
-
-    from rillflow.plans import queries
-
-    monkeypatch.setattr(ml, "RandomForestRegressor", Fake)
-    monkeypatch.setattr(ml, "GBTRegressor", Fake)
-    monkeypatch.setattr(ml, "shap_summary", lambda model, df, names: spark.createDataFrame([("x", 0.0, 0.0, 0.0, "")], "feature string, mean_abs_shap double, mean_shap double, gain double, type string"))
-    QUERIES["rf_importance"](spark, sf_dir)
-    assert made == [(150, 12)]
-    assert QUERIES["gbt_cv_metrics"](spark, sf_dir).count() == 5
-    QUERIES["tree_shap_summary"](spark, sf_dir)
-    assert made[1:] == [(300, 6)] * 6
+    monkeypatch.setattr(boosting, "fit", fewer)
+    monkeypatch.setattr(ml, "forest_importance", lambda df, names, target, trees=150, depth=12: made.append((trees, depth)) or forest(df, names, target, 5, 4))
+    assert QUERIES["rf_importance"](spark, sf_dir).count() == 5 and made == [(150, 12)]
+    assert [r.fold for r in QUERIES["gbt_cv_metrics"](spark, sf_dir).collect()] == [0, 1, 2, 3, 4]
+    assert {r.feature for r in QUERIES["tree_shap_summary"](spark, sf_dir).collect() if r.mean_abs_shap > 0} > {"p_retailprice"}
+    assert made[1:] == [(300, 6, 0.05, 0.8, 0.8, 20.0, 0.1, 1.0)] * 2
+    rows = QUERIES["shap_by_class"](spark, sf_dir).collect()
+    assert len(rows) == 15 and all(r.gap == 0 for r in rows)

@@ -139,20 +139,3 @@ def test_events_by_timescale(spark):
     df = spark.createDataFrame(rows, "gauge string, timescale int, period date, index double")
     got = events.detect(df, by=("gauge", "timescale")).collect()
     assert sorted((r.timescale, r.onset_idx, r.term_idx) for r in got) == [(1, 1, 3), (1, 7, 9), (2, 1, 3), (2, 7, 9)]
-
-
-def test_small_ensembles(spark):
-    from rillflow.operators import ml
-
-    rng = np.random.default_rng(1)
-    rows = [(i, float(a), float(b), float(5 * (a > 0) + 0.1 * rng.normal())) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
-    df = spark.createDataFrame(rows, "i int, dyn_BFI double, other double, y double")
-    names = ["dyn_BFI", "other"]
-    importance = ml.forest_importance(df, names, "y", trees=4, depth=3)
-    assert importance[0][1] > 0.9 and ml.grouped_importance(importance, {"one": ["other"], "two": ["dyn_BFI"]})[0][0] == "two"
-    scores = ml.cross_validated(df, names, "y", folds=3, trees=40, depth=2)
-    assert [k for k, _, _ in scores] == [0, 1, 2] and all(r2 > 0.7 for _, r2, _ in scores)
-    model = ml.boosted(names, "y", trees=5, depth=2).fit(ml.assembled(df, names, "y"))
-    found = {r.feature: r for r in ml.shap_summary(model, df, names).collect()}
-    assert found["dyn_BFI"].mean_abs_shap > 10 * found["other"].mean_abs_shap and found["dyn_BFI"].type == "DYN" and found["other"].type == "STATIC"
-    assert found["dyn_BFI"].gain > 0.8
