@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +13,7 @@ from ..operators import events as ev
 from ..operators import boosting, hydro, ml, recovery, stats
 from ..operators import order as od
 from ..operators import series as se
-from ..session import scratch_path
+from ..session import scratch_path, stored_table
 from ..sources import readers
 from .base import BASE, events_sql, half, index, index_sql, rolled_sql, series, table
 
@@ -222,27 +221,34 @@ _BY = ("gauge", "timescale")
 
 
 class _Matched:
-    """Events of D and E with their pairs and leftovers; with several timescales, for each of them."""
+    """Events of D and E with their pairs and leftovers; with several timescales, for each of them.
 
-    def __init__(self, spark, sf_dir, timescales: tuple[int, ...] = ()):
+    Both series come from one aggregation of lineitem and their events from one detection, stored once; so is the panel
+    (by, period, driver, response) where it is read again."""
+
+    def __init__(self, spark, sf_dir, timescales: tuple[int, ...] = (), keep_panel: bool = False):
         self.by = _BY if timescales else ("gauge",)
-        self.driver, self.response = (ev.detect(_indices(spark, sf_dir, w, timescales), by=self.by) for w in "DE")
+        panel = _panel(spark, sf_dir, timescales)
+        self.panel = stored_table(panel, "panel") if keep_panel else panel
+        events = ev.detect(self.panel.unpivot([*self.by, "period"], ["driver", "response"], "kind", "index"), by=("kind", *self.by))
+        events = stored_table(events, "events")
+        self.driver, self.response = (events.filter(F.col("kind") == k).drop("kind") for k in ("driver", "response"))
         self.pairs = ev.match(self.driver, self.response, self.by)
         self.buffered, self.alone = ev.buffered(self.driver, self.pairs, self.by), ev.independent(self.response, self.pairs, self.by)
 
 
-def _indices(spark, sf_dir, which: str, timescales: tuple[int, ...] = ()) -> DataFrame:
-    """gauge, period, index; with timescales (gauge, timescale, period, index) of all of them."""
-    if not timescales:
-        return index(spark, sf_dir, which).select("gauge", "period", "index")
-    parts = [index(spark, sf_dir, which, k).select("gauge", F.lit(k).alias("timescale"), "period", "index") for k in timescales]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _panel(spark, sf_dir, timescales: tuple[int, ...] = ()) -> DataFrame:
-    by = _BY if timescales else ("gauge",)
-    one, two = (_indices(spark, sf_dir, w, timescales).select(*by, "period", F.col("index").alias(name)) for w, name in (("D", "driver"), ("E", "response")))
-    return one.join(two, [*by, "period"])
+    """by, period, driver, response: the indices of D and E side by side."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("gauge"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("period"))
+    t = t.agg(fc.rounded(F.sum("l_quantity"), 2).alias("D"), fc.rounded(F.sum("l_extendedprice"), 2).alias("E"))
+    scales = timescales or (3,)
+    for k in scales:
+        for c in "DE":
+            t = se.zscore(se.rolling_sum(t, k, c, f"{c}{k}"), f"{c}{k}", f"index_{c}{k}")
+    if not timescales:
+        return t.select("gauge", "period", F.col("index_D3").alias("driver"), F.col("index_E3").alias("response"))
+    parts = [F.struct(F.lit(k).alias("timescale"), F.col(f"index_D{k}").alias("driver"), F.col(f"index_E{k}").alias("response")) for k in scales]
+    return t.select("gauge", "period", F.inline(F.array(*parts))).select("gauge", "timescale", "period", "driver", "response")
 
 
 @query(f"SELECT {_PAIR_COLS} FROM ({_PAIRS})")
@@ -309,7 +315,8 @@ _RECOVERY_COLS = "gauge r_onset_idx d_term_idx d_severity propagation_lag event_
 
 @query(_RECOVERY)
 def recovery_metrics(spark, sf_dir):
-    return recovery.recovery(_Matched(spark, sf_dir).pairs, _panel(spark, sf_dir)).select(*_RECOVERY_COLS)
+    m = _Matched(spark, sf_dir, keep_panel=True)
+    return recovery.recovery(m.pairs, m.panel).select(*_RECOVERY_COLS)
 
 
 def _rollup_sql(rows: str, by: str = "gauge") -> str:
@@ -946,8 +953,8 @@ def matched_pairs_by_timescale(spark, sf_dir):
 
 @query(_both(lambda x: _rollup_sql(_recovery_sql(x)), "*"))
 def recovery_rollup_by_timescale(spark, sf_dir):
-    m = _Matched(spark, sf_dir, (3, 6))
-    return recovery.rollup(recovery.recovery(m.pairs, _panel(spark, sf_dir, (3, 6)), by=_BY), _BY)
+    m = _Matched(spark, sf_dir, (3, 6), keep_panel=True)
+    return recovery.rollup(recovery.recovery(m.pairs, m.panel, by=_BY), _BY)
 
 
 @query("SELECT gauge, " + ", ".join(f"coalesce(max(CASE WHEN timescale = {k} AND kind = '{name}' THEN n END), 0) AS {name}_{k}" for k in (3, 6) for name in ("drivers", "responses", "matched", "buffered", "independent")) + " FROM ("
