@@ -12,11 +12,13 @@ one token of its target; a queue that runs dry leaves its share to the others.
 Steps: tokens are written once with their place in their partition's queues;
 totals per (partition, queue) give global places; documents are then cut in the
 order stored.  Token rows are joined with those places by broadcast while that table is
-small, so they are not shuffled.
+small, so they are not shuffled.  Counts are worked out for the edges of the windows that a batch touches, so memory
+follows CELLS, not pieces times queues.
 
 Defined results: null text is empty (one end token); sources beyond the
 `max_queues` largest (a window cannot hold tokens of more sources than it has tokens) share
-one queue, whose share is the sum of theirs; a null source is a queue of its own; ties
+one queue, whose share is the sum of theirs, and take turns in it by a second round robin of as many queues, each
+with the sources of one hash; a null source is a queue of its own; ties
 and repeated rows are packed like any other row; an empty table gives no rows; other
 columns are not carried, so their names cannot clash.
 """
@@ -40,6 +42,7 @@ from .textblocks import _SYMBOLS, Block, blocks, range_hashes
 CACHE_UNITS = 250_000
 MAX_QUEUES = 1024
 BLOCK = 1 << 20
+CELLS = 1 << 19
 _encoders: dict[str, Encoder] = {}
 
 # Kinds of bytes: 0 white space, 1 ASCII letter, 2 other ASCII sign, 3 apostrophe or part of another character.
@@ -179,40 +182,85 @@ class Plan:
         return (np.interp((place + 0.5) / self.w[queue], self.times, self.filled) // self.window).astype(np.int64)
 
     def allocated(self, t: np.ndarray) -> np.ndarray:
-        """C_s(t) for all t: an array (len(t), queues)."""
-        step = max(1, (1 << 20) // max(1, len(self.n)))
-        return np.concatenate([self._allocated(t[i : i + step]) for i in range(0, max(1, len(t)), step)])
+        """C_s(t) for all t: an array (len(t), queues).
 
-    def _allocated(self, t: np.ndarray) -> np.ndarray:
+        A count that is certainly not too high is raised by whole rounds: of the queues' next tokens all that come
+        before any queue's next but one are safe to take, in order of time, then queue."""
         goal = np.minimum(np.maximum(t, 0) * self.window, self.total)
-        v = np.interp(goal, self.filled, self.times)
-        got = np.minimum(self.n, np.floor(self.w * v[:, None] + 0.5).astype(np.int64))
+        counted = lambda v, w, n: np.minimum(n, np.floor(np.maximum(w * v[:, None], 0.0) + 0.5)).astype(np.int64)
+        v = np.interp(goal, self.filled, self.times) * (1 - 1e-12)
+        got = counted(v, self.w, self.n)
         short = goal - got.sum(axis=1)
-        last = len(self.n) - 1
-        while len(rows := np.flatnonzero(short > 0)):
-            following = np.where(got[rows] < self.n, (got[rows] + 0.5) / self.w, np.inf)
-            got[rows, following.argmin(axis=1)] += 1
-            short[rows] -= 1
+        free = lambda c: np.maximum((self.w * (c < self.n)).sum(axis=1), self.w.min(initial=1.0) / 2)
         while len(rows := np.flatnonzero(short < 0)):
-            latest = np.where(got[rows] > 0, (got[rows] - 0.5) / self.w, -np.inf)
-            got[rows, last - latest[:, ::-1].argmax(axis=1)] -= 1
-            short[rows] += 1
+            v[rows] += (short[rows] - 1) / np.maximum(self.w.sum(), 1e-300)
+            got[rows] = counted(v[rows], self.w, self.n)
+            short[rows] = goal[rows] - got[rows].sum(axis=1)
+        for _ in range(4):  # nearly all of what is missing, at once
+            rows = np.flatnonzero(short > 8)
+            if not len(rows):
+                break
+            step = (short[rows] - np.sqrt(len(self.n)) / 2) / free(got[rows])
+            tried = v[rows] + np.maximum(step, 0.0)
+            more = counted(tried, self.w, self.n)
+            missing = goal[rows] - more.sum(axis=1)
+            fits = missing >= 0
+            v[rows[fits]], got[rows[fits]], short[rows[fits]] = tried[fits], more[fits], missing[fits]
+        while len(rows := np.flatnonzero(short > 0)):
+            here, need = got[rows], short[rows]
+            following = np.where(here < self.n, (here + 0.5) / self.w, np.inf)
+            second = np.where(here + 1 < self.n, (here + 1.5) / self.w, np.inf).min(axis=1)
+            safe = np.where(following < second[:, None], following, np.inf)
+            many = np.isfinite(safe).sum(axis=1)
+            all_ = many <= need
+            here[all_] += np.isfinite(safe[all_])
+            some = np.flatnonzero(~all_)
+            if len(some):
+                order = np.argsort(safe[some], axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+                here[some] += place < need[some, None]
+            got[rows], short[rows] = here, goal[rows] - here.sum(axis=1)
         return got
 
     def cut(self, queue: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pieces of documents at `place` of their queues: document, start, length, window, offset there."""
+        """Pieces of documents at `place` of their queues: document, start, length, window, offset there.
+
+        Counts at a window's edges are worked out for all queues at once, CELLS of them at a time; a piece keeps those of
+        its own queue and the sum of those before it."""
         first = np.maximum(self.window_of(queue, place) - 2, 0)
         count = self.window_of(queue, place + n - 1) + 3 - first
         doc = np.repeat(np.arange(len(n)), count)
         t = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        wanted, at = np.unique(np.concatenate((t, t + 1)), return_inverse=True)
-        c = self.allocated(wanted)
-        before, after, q = c[at[: len(t)]], c[at[len(t) :]], queue[doc]
-        i = np.arange(len(t))
-        ahead = np.cumsum(after - before, axis=1)[i, q] - (after - before)[i, q]
-        lo, hi = np.maximum(place[doc], before[i, q]), np.minimum(place[doc] + n[doc], after[i, q])
+        edge, at = np.unique(np.concatenate((t, t + 1)), return_inverse=True)
+        q = np.tile(queue[doc], 2)
+        own, below = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        order, step = np.argsort(at, kind="stable"), max(1, CELLS // max(1, len(self.n)))
+        ends = np.searchsorted(at[order], np.arange(0, len(edge) + step, step))
+        for k, i in enumerate(range(0, len(edge), step)):
+            mine = order[ends[k] : ends[k + 1]]
+            c = self.allocated(edge[i : i + step])
+            own[mine] = c[at[mine] - i, q[mine]]
+            below[mine] = (np.cumsum(c, axis=1) - c)[at[mine] - i, q[mine]]
+        m = len(t)
+        before, after, ahead = own[:m], own[m:], below[m:] - below[:m]
+        lo, hi = np.maximum(place[doc], before), np.minimum(place[doc] + n[doc], after)
         keep = hi > lo
-        return doc[keep], (lo - place[doc])[keep], (hi - lo)[keep], t[keep], (ahead + lo - before[i, q])[keep]
+        return doc[keep], (lo - place[doc])[keep], (hi - lo)[keep], t[keep], (ahead + lo - before)[keep]
+
+
+def cut_nested(outer: Plan, inner: Plan, shared: int, queue: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """`Plan.cut` where queues from `shared` on are those of the inner plan, whose windows one after another are the
+    outer plan's queue of that number."""
+    doc, start, size = np.arange(len(n)), np.zeros(len(n), np.int64), n
+    small = queue >= shared
+    if small.any():
+        d, a, k, t, offset = inner.cut(queue[small] - shared, place[small], n[small])
+        big = np.flatnonzero(~small)
+        doc, start, size = np.concatenate((big, np.flatnonzero(small)[d])), np.concatenate((start[big], a)), np.concatenate((n[big], k))
+        place, queue = np.concatenate((place[big], t * inner.window + offset)), np.concatenate((queue[big], np.full(len(d), shared)))
+    piece, a, k, t, offset = outer.cut(queue, place, size)
+    return doc[piece], start[piece] + a, k, t, offset
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, text: str, id_col: str, queue: str) -> DataFrame:
@@ -247,17 +295,21 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source", text: str = "t
     sized = docs.groupBy(name.alias("s")).count().orderBy(F.desc("count"), "s").limit(most).collect()
     number = {r["s"]: i for i, r in enumerate(sized)}
     pairs = [x for s, i in number.items() for x in (F.lit(s), F.lit(i))]
-    queue = F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit(most)) if pairs else F.lit(most)
+    small = F.lit(most) + F.pmod(F.xxhash64(name), F.lit(most)).cast("int")
+    queue = F.coalesce(F.element_at(F.create_map(*pairs), name), small) if pairs else small
     tokens = scratch.table(tokenized(docs.withColumn("queue#", queue), tokenizer, end_id, text, id_col, "queue#"), "tokens")
     held = scratch.table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "held")
     totals = {r["queue"]: r["n"] for r in held.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one row a queue
-    order = sorted(totals)
-    wanted: dict[int, float] = {}
+    direct, rest = sorted(q for q in totals if q < most), sorted(q for q in totals if q >= most)
+    wanted: dict[str | int, float] = {}
     for s, x in (shares or {}).items():  # sources that share a queue add up
         q = number.get("=" + s, most)
         wanted[q] = wanted.get(q, 0.0) + x
-    plan = Plan([totals[q] for q in order], [wanted.get(q, totals[q] if not shares else 1e-9) for q in order], window)
-    rank = {q: i for i, q in enumerate(order)}
+    lengths = [totals[q] for q in direct] + ([sum(totals[q] for q in rest)] if rest else [])
+    plan = Plan(lengths, [wanted.get(q, n if not shares else 1e-9) for q, n in zip([*direct, most], lengths, strict=False)], window)
+    inner = Plan([totals[q] for q in rest], [totals[q] for q in rest], window)
+    rank = {q: i for i, q in enumerate([*direct, *rest])}
+    shared = len(direct)
     ahead = held.withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     # read from files, its size is known: Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and shuffles beyond
     ahead = scratch.table(ahead, "ahead")
@@ -268,7 +320,7 @@ def pack(docs: DataFrame, tokenizer: str, source: str = "source", text: str = "t
                 batch = whole.slice(at, 512)
                 q = np.array([rank[x] for x in batch.column(1).to_pylist()], np.int64)
                 n, place = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-                doc, start, length, t, offset = plan.cut(q, place, n)
+                doc, start, length, t, offset = cut_nested(plan, inner, shared, q, place, n)
                 _, ends, raw = batch.column(4).buffers()
                 begin = np.frombuffer(ends, np.int32)[batch.column(4).offset :][: batch.num_rows].astype(np.int64) // 4
                 ids, first = np.frombuffer(raw, "<u4"), np.cumsum(length) - length

@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from rillflow.llm import audit, queries, secrets, spelling
+from rillflow.llm import audit, packing, queries, secrets, spelling
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -229,3 +231,64 @@ def test_keys_of_long_words():
     assert len(set(blanked)) == 40_000 and len(set(deleted)) == 40_000
     assert own not in blanked and spelling.word_keys("ab" * 19_999 + "a")[0] == deleted[0]
     assert spelling.word_keys("aab")[1][0] == spelling.word_keys("aac")[1][0] and len(spelling.word_keys("aaaa")[2]) == 1
+
+
+# ---- packing of many sources -------------------------------------------------------------------
+
+
+def first_counts(lengths, shares, window):
+    """Counts at every window's edge by sorting all tokens."""
+    w = np.array(shares, float) / np.sum(shares)
+    tokens = sorted(((i + 0.5) / w[s], s) for s, n in enumerate(lengths) for i in range(n))
+    c, out = np.zeros(len(lengths), int), []
+    for k, (_, s) in enumerate(tokens):
+        if k % window == 0:
+            out.append(c.copy())
+        c[s] += 1
+    return np.array([*out, c])
+
+
+def test_counts_of_the_round_robin():
+    rng = np.random.default_rng(6)
+    for trial in range(120):
+        q = int(rng.integers(1, 12))
+        lengths = rng.integers(1, 200, q)
+        shares = (lengths, rng.integers(1, 6, q), rng.random(q) ** 4 + 1e-6)[trial % 3]
+        window = int(rng.integers(q, 40))
+        want = first_counts(lengths, shares, window)
+        assert (packing.Plan(lengths.tolist(), [float(x) for x in shares], window).allocated(np.arange(len(want))) == want).all()
+
+
+def test_a_thousand_queues_in_bounded_memory():
+    """512 documents of 1,000 tokens, as a task holds them: about 250,000 pieces."""
+    rng = np.random.default_rng(0)
+    plan = packing.Plan([1_000_000] * 1000, [1.0] * 1000, 2048)
+    queue, place, n = rng.integers(0, 1000, 512), 5000 + rng.integers(0, 3000, 512), np.full(512, 1000)
+    tracemalloc.start()
+    doc, start, length, t, offset = plan.cut(queue, place, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and len(doc) > 200_000
+    assert (np.bincount(doc, weights=length) == 1000).all() and (offset + length <= 2048).all()
+
+
+def test_small_sources_take_turns(spark):
+    """Beyond `max_queues` sources share a queue by hash and are mixed there too."""
+    words = "alpha beta gamma delta".split()
+    docs = [(i, " ".join(words * 30), "big" if i % 2 else f"s{i % 20}") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    rows = packing.pack(df, queries.word_tokenizer(), window=64, max_queues=4).collect()
+    source, total, windows = {i: s for i, _, s in docs}, Counter(), {}
+    for r in rows:
+        total[r.doc_id] += r.length
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length, source[r.doc_id]))
+    assert len(total) == 200 and all(total[r.doc_id] == r.doc_tokens for r in rows)
+    for pieces in windows.values():
+        at = 0
+        for offset, length, _ in sorted(pieces):
+            assert offset == at
+            at += length
+    full = [w for w in windows.values() if sum(k for _, k, _ in w) == 64]
+    assert len(full) >= len(windows) - 1
+    small = [len({s for _, _, s in w} - {"big"}) for w in full]
+    assert np.mean(small) > 3  # several small sources in a window, not one after another
