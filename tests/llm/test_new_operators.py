@@ -9,9 +9,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rillflow.llm import audit, packing, queries, secrets, spelling
+from rillflow.llm import audit, decontaminate, packing, queries, secrets, spelling
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -292,3 +293,40 @@ def test_small_sources_take_turns(spark):
     assert len(full) >= len(windows) - 1
     small = [len({s for _, _, s in w} - {"big"}) for w in full]
     assert np.mean(small) > 3  # several small sources in a window, not one after another
+
+
+# ---- seeds of benchmark items ------------------------------------------------------------------
+
+
+def test_alignments_do_not_follow_the_number_of_items():
+    """Edited copies of 30 items among chance look-alikes of 30 and of 300 items: the same finds, no more alignments."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(1500)] + ["the", "of", "to"] * 60
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [text(rng.randrange(12, 40)) for _ in range(300)]
+    docs, copies = [text(rng.randrange(20, 600)) for _ in range(600)], set()
+    for k in range(150):
+        own = items[k % 30].split()
+        for at in range(len(own)):
+            if rng.random() < 0.15:
+                own[at] = rng.choice([rng.choice(words), "", own[at] + " " + rng.choice(words)])
+        docs[k] = f"{docs[k]} {' '.join(own)} {text(30)}"
+        copies.add((k, k % 30))
+    made, found = {}, {}
+    aligned = decontaminate.align_many
+    for n in (30, 300):
+        count = []
+        decontaminate.align_many = lambda a, b, count=count: count.append(len(a)) or aligned(a, b)
+        try:
+            block = decontaminate.Items(list(range(n)), items[:n], 3)
+            (held,) = decontaminate.blocks(pa.array(docs), 1 << 30)
+            every = {(r, i) for r, i, s, _ in block.matches(held) if s >= 0.45 and i < 30}
+            count.clear()
+            block.choose(block.held(held), len(docs))
+            found[n] = {(r, i) for r, i, s, _ in block.matches(held, 0.45) if s >= 0.45 and i < 30}
+            made[n] = sum(count)
+        finally:
+            decontaminate.align_many = aligned
+        assert not block.rare.all() and len(found[n] & copies) >= 0.97 * len(every & copies) and len(every & copies) > 100
+    assert found[30] >= found[300] - {x for x in found[300] if x not in copies}
+    assert made[300] <= 3 * made[30]
