@@ -5,19 +5,19 @@ statistics: characters and punctuation marks for each block, where text of links
 nothing.  The fused ratio of a path is (characters / blocks) x (1 + marks / blocks); it is
 smoothed over neighbouring runs of one path, and paths above a share of the best one hold
 content.  The smallest container that encloses nearly all of that content is the
-article.  Nodes inside it are taken when their own or their smoothed ratio passes, so short
-ones (headings, list items) go with the text around them; rows of blocks that are nothing
-but links are menus and left out.
+article.  All of an article or main element is taken, captions, terms and references included; of another container
+what lies between its first and last part with content, but for parts that are mostly links.  Lists of nothing but
+short links, or before any text, are menus and left out.
 
-Names of elements that are never main text (navigation, footers, forms, adverts, notices, reader
-comments: by tag, role, class or id) only help: their text counts nothing in the ratios and is not
-taken.  Where a page holds such parts beside the article, the ratios leave them out without any name.
+Names of elements that are never main text (navigation, footers, forms, adverts, notices, reader comments: by tag, role,
+or a class or id made of such words alone) only help: their text counts nothing in the ratios and is not taken.  Where a
+page holds such parts beside the article, the ratios leave them out without any name.
 
 Every step is linear in the page: open elements are counted, paths and elements have numbers.
 
 Defined results: null or empty html, or a page without content, gives an empty
 text; unclosed and stray tags are tolerated; rows, repeated or not, are independent of each other;
-a column named as the new one is replaced.
+a column named exactly as the new one is replaced, other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .anyname import field, kept_fields, map_arrow
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|audio|video|title"
 _TOKEN = re.compile(
@@ -43,15 +44,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("nav footer aside form button menu dialog fieldset head".split())
 OWN_SIBLING = frozenset("p li dt dd tr td th option".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|nav\w*|menus?|breadcrumbs?|sidebars?|side-?bar|aside|widgets?|footers?|foot|masthead|site-?header|page-?header|topbar|toolbar|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|"
-    r"pagination|pager|skip-?link|legal|copyright|hidden|sr-only)(?:$|[\s_-])",
-    re.I,
+# parts of class names and ids that say what is no main text; a name counts if all its parts are of one of the two kinds
+_BAD = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot sponsor sponsors sponsored promo promos promotion banner nav navi navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars aside "
+    "widget widgets footer footers foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login share sharing social "
+    "related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager skip copyright hidden".split()
 )
+_PLAIN = frozenset("site page main top bottom left right inner outer list item items box container wrapper wrap block section area bar panel unit slot link links button buttons primary secondary global header text content form group row col column media icons sr only to google dfp thread area count title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _PUNCT = re.compile(r"[.,;:!?…、。，！？]")
 SHARE, INSIDE = 0.08, 0.8
+SHORT, SENTENCE = 25, 40
 
 
 def _out(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -65,11 +68,16 @@ def _out(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "hidden" and not m[0].lower().startswith("hidden-") or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and _BAD.search(value):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and any(map(_bad, value.lower().split())):
             return True
     return False
 
 
+def _bad(name: str) -> bool:
+    parts = [x for x in re.split(r"[-_\d]+", name) if x]
+    return any(x in _BAD for x in parts) and all(x in _BAD or x in _PLAIN for x in parts) or "sr-only" == name
+
+
 class Node:
     """A text node: path and element numbers, block number, parts of its text, and whether it is in a link or a named part."""
 
@@ -204,29 +212,70 @@ def article(page: Page, core: list[Node], fused: dict[int, float]) -> int:
     return best
 
 
-def menus(found: list[Node]) -> set[int]:
-    """Blocks of links only with another such block beside them."""
-    text, linked = defaultdict(int), defaultdict(int)
+def menus(page: Page, found: list[Node]) -> set[int]:
+    """Blocks of lists that hold nothing but links, of two items or more, before any other text or short throughout."""
+    text, linked, lists = defaultdict(int), defaultdict(int), {}
+    around = [0] * len(page.parent)  # the list that an element belongs to, through its items
+    for e in range(1, len(around)):
+        around[e] = e if page.tag[e] in ("ul", "ol", "menu", "dl") else around[page.parent[e]] if page.tag[e] in ("li", "p", "div", "span") else 0
     for x in found:
         n = len(x.text.strip())
         text[x.block] += n
         linked[x.block] += n * x.linked
-    order = sorted(text)
-    only = [text[b] == linked[b] for b in order]
-    return {b for i, b in enumerate(order) if only[i] and (only[i - 1 : i] == [True] or only[i + 1 : i + 2] == [True])}
+        lists.setdefault(x.block, around[x.element])
+    first = min((b for b, n in text.items() if n != linked[b] and n >= SENTENCE), default=math.inf)
+    members: dict[int, list[int]] = defaultdict(list)
+    for block in sorted(text):
+        members[lists[block]].append(block)
+    out: set[int] = set()
+    for e, mine in members.items():
+        links_only = e and len(mine) > 1 and all(text[b] == linked[b] for b in mine)
+        if links_only and (mine[0] < first or sum(text[b] for b in mine) < SHORT * len(mine)):
+            out.update(mine)
+    return out
+
+
+def between(page: Page, top: int, inside: list[Node], core: set[int]) -> list[Node]:
+    """Of a container that is not marked as article or main: its parts from the first with content to the last, and
+    headings before; parts without content that are no paragraphs go if they are mostly links."""
+    groups: list[tuple[int, list[Node]]] = []
+    child = {top: top}
+    for e in range(top + 1, page.end[top]):
+        child[e] = e if page.parent[e] == top else child[page.parent[e]]
+    for x in inside:
+        e = child[x.element]
+        if not groups or groups[-1][0] != e or e == top:
+            groups.append((e, []))
+        groups[-1][1].append(x)
+    full = [any(id(x) in core for x in g) for _, g in groups]
+    if not any(full):
+        return []
+    first, last = full.index(True), len(full) - 1 - full[::-1].index(True)
+    while first and all(re.fullmatch("h[1-6]", page.tag[x.element]) for x in groups[first - 1][1]):
+        first -= 1
+    out = []
+    for k in range(first, last + 1):
+        mine = groups[k][1]
+        size = sum(len(x.text) for x in mine)
+        if full[k] or page.tag[groups[k][0]] == "p" or 2 * sum(len(x.text) for x in mine if x.linked) < size:
+            out += mine
+    return out
 
 
 def selected(page: Page) -> list[Node]:
-    """Nodes whose path, fused and smoothed, is content, inside the article."""
+    """The ratios of paths, fused and smoothed, choose the article; of what lies in it, parts named as something else
+    and menus go, and nothing else does."""
     fused = path_ratios(page.nodes)
     limit = SHARE * max(fused.values(), default=0.0)
     if limit <= 0:
         return []
-    core = [x for x in page.nodes if fused[x.path] >= limit and not (x.linked or x.named)]
+    core = [x for x, s in zip(page.nodes, smoothed(page.nodes, fused), strict=True) if max(s, fused[x.path]) >= limit and fused[x.path] > 0 and not (x.linked or x.named)]
     top = article(page, core, fused)
-    inside = [top <= x.element < page.end[top] and not x.named for x in page.nodes]
-    links = menus([x for x, i in zip(page.nodes, inside, strict=True) if i])
-    return [x for x, i, s in zip(page.nodes, inside, smoothed(page.nodes, fused), strict=True) if i and x.block not in links and max(s, fused[x.path]) >= limit]
+    inside = [x for x in page.nodes if top <= x.element < page.end[top] and not x.named]
+    if page.tag[top] not in ("article", "main"):
+        inside = between(page, top, inside, {id(x) for x in core})
+    links = menus(page, inside)
+    return [x for x in inside if x.block not in links]
 
 
 def main_text(page: str | None) -> str:
@@ -244,12 +293,12 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
     """Replaces the html column by the main text."""
-    names = [c for c in pages.columns if c not in (html, column)]
+    fields = kept_fields(pages, (html, column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x.as_py()) for x in batch.column(len(names))], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), texts], names=[*names, column])
+            texts = pa.array([main_text(x.as_py()) for x in batch.column(batch.schema.names.index(html))], pa.string())
+            kept = [i for i, c in enumerate(batch.schema.names) if c not in (html, column)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), texts], names=[*(batch.schema.names[i] for i in kept), column])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in names]
-    return pages.select(*[F.col(f"`{c}`") for c in names], F.col(html)).mapInArrow(run, ", ".join([*kept, f"`{column}` string"]))
+    return map_arrow(pages, run, [*fields, field(column, "string")])

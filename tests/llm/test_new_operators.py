@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import tracemalloc
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rillflow.llm import audit, decontaminate, packing, queries, secrets, spelling
+from rillflow.llm import audit, decontaminate, packing, queries, secrets, spelling, tagpaths
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -330,3 +331,49 @@ def test_alignments_do_not_follow_the_number_of_items():
         assert not block.rare.all() and len(found[n] & copies) >= 0.97 * len(every & copies) and len(every & copies) > 100
     assert found[30] >= found[300] - {x for x in found[300] if x not in copies}
     assert made[300] <= 3 * made[30]
+
+
+# ---- main text ---------------------------------------------------------------------------------
+
+LONG = "This is a sentence of the article, with commas, and it goes on for a while; then it ends. Another one follows, as they do."
+
+
+@pytest.mark.parametrize("frame", ["article", "main", "div"])
+def test_nothing_else_is_dropped(frame):
+    body = f"""<h1>Head</h1><p>{LONG}</p><p class="share-price">Shares cost 5.</p><p class="legal">By law.</p><figure><img src=x><figcaption>Caption</figcaption></figure>
+<dl><dt>Term</dt><dd>Meaning</dd></dl><p><a href=1>First reference of the text</a></p><p><a href=2>Second reference of the text</a></p><p>{LONG}</p>"""
+    page = f"""<html><body><nav><ul><li><a href=/>One</a></li><li><a href=/b>Two</a></li></ul></nav><{frame}>{body}<div class="comment-list"><p>{LONG}</p></div><div class="ad-box">Buy, buy, buy.</div></{frame}>
+<div><ul><li><a href=/c>Three</a></li><li><a href=/d>Four</a></li></ul></div><footer>Made by us, all rights reserved.</footer></body></html>"""
+    want = ["Head", LONG, "Shares cost 5.", "By law.", "Caption", "Term", "Meaning", "First reference of the text", "Second reference of the text", LONG]
+    assert tagpaths.main_text(page).split("\n") == want
+
+
+def test_ratios_and_names_both_matter(monkeypatch):
+    """Unnamed boxes of links are left to the ratios, comments in prose to their names; neither alone gives the text."""
+    links = "".join(f"<li><a href=/{i}>Entry number {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div></div><div>Short line</div><div><ul>{links}</ul></div></body>"
+    want = f"Head\n{LONG}\n{LONG}"
+    assert tagpaths.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(tagpaths, "_out", lambda *a: False)
+        assert tagpaths.main_text(page) != want
+    with monkeypatch.context() as m:
+        m.setattr(tagpaths, "selected", lambda p: [x for x in p.nodes if not x.named])
+        assert tagpaths.main_text(page) != want
+
+
+def test_path_statistics_by_hand():
+    page = tagpaths.Page(f"<body><div><p>{LONG}</p><p>A, b.</p></div><ul><li><a href=x>Go, now.</a></li></ul></body>")
+    found = tagpaths.path_ratios(page.nodes)
+    one, two, link = page.nodes
+    marks = sum(c in ".,;" for c in LONG + "A, b.")
+    assert one.path == two.path and abs(found[one.path] - (len(LONG) + 5) / 2 * (1 + marks / 2)) < 1e-9 and found[link.path] == 0
+    run = tagpaths.smoothed(page.nodes, found)
+    weight = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+    assert run[0] == run[1] and abs(run[0] - weight[2] * found[one.path] / sum(weight)) < 1e-9 and abs(run[2] - weight[1] * found[one.path] / sum(weight)) < 1e-9
+
+
+def test_names_of_columns(spark):
+    rows = [(1, "<article><p>a, b.</p></article>", "x", "y")]
+    out = tagpaths.extract(spark.createDataFrame(rows, "page_id long, html string, TEXT string, `a.b` string"))
+    assert out.columns == ["page_id", "TEXT", "a.b", "text"] and [tuple(r) for r in out.collect()] == [(1, "x", "y", "a, b.")]
