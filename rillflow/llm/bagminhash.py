@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .anyname import any_names
 from .graph import components
 from .repeats import carried, restored, spread, with_content
 from .textblocks import Block, blocks, mix64, range_hashes, signed
@@ -331,8 +332,9 @@ def block_links(rows: DataFrame, threshold: float, least: float, size: int) -> D
     return grouped(rows).mapInArrow(run, "a long, b long")
 
 
+@any_names("id_col", "text")
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """Every row with class_id (least id of its class), class_size, n_links (links found at its text, see below) and class_key.
+    """Every row with class_id (least id of its class), class_size, n_joins (links at its text that joined classes, see below) and class_key.
 
     1. Every text is compared with one pivot, the most central text of its buckets: one pair a text, however large a
        family is.  Texts with the same pivot are one class from here on.
@@ -363,21 +365,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     found = scope.table(block_links(rivals_.join(texts, "v"), threshold, least, size), "links")
 
     edges = starred.unionByName(found)
-    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    named = components(edges).join(ends, "v").join(signs.select("v", "c1", "c2"), "v").select("c1", "c2", "c", "n_links")
+    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("n_joins"))
+    named = components(edges).join(ends, "v").join(signs.select("v", "c1", "c2"), "v").select("c1", "c2", "c", "n_joins")
     vertex = base.groupBy("c1", "c2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     vertex = scope.table(vertex.join(spread(named), ["c1", "c2"], "left"), "vertices")
     classes = vertex.filter("c is not null").groupBy("c").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    alone = vertex.filter("c is null").select("c1", "c2", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.struct("c1", F.col("c2").cast("long").alias("c2")).alias("class_key"))
-    joined = vertex.filter("c is not null").join(spread(classes), "c").select("c1", "c2", "class_id", "class_size", "n_links", F.struct(F.col("c").alias("c1"), F.lit(-1).cast("long").alias("c2")).alias("class_key"))
+    alone = vertex.filter("c is null").select("c1", "c2", F.col("least").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("n_joins"), F.struct("c1", F.col("c2").cast("long").alias("c2")).alias("class_key"))
+    joined = vertex.filter("c is not null").join(spread(classes), "c").select("c1", "c2", "class_id", "class_size", "n_joins", F.struct(F.col("c").alias("c1"), F.lit(-1).cast("long").alias("c2")).alias("class_key"))
     per_text = scratch.table(alone.unionByName(joined), "classes")
     scope.close()
     held_rows = with_content(carried(docs, text))
-    return restored(held_rows.join(spread(per_text), ["c1", "c2"]), docs, text, ["class_id", "class_size", "n_links", "class_key"])
+    return restored(held_rows.join(spread(per_text), ["c1", "c2"]), docs, text, ["class_id", "class_size", "n_joins", "class_key"])
 
 
+@any_names("id_col", "text")
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class, columns as they were: the one with the least id; of rows that share it, any one."""
+    """One row of each class, columns as they were: the one with the least id, of rows that share it the one with the
+    least text (null first); rows alike in both are one document, and any of them stays."""
     found = near_duplicates(docs, id_col=id_col, text=text, **options).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
     twice = found.groupBy("class_key", id_col).count().filter("count > 1").limit(1).count()
-    return (found.dropDuplicates(["class_key", id_col]) if twice else found).select(*docs.columns)
+    if twice:
+        least = F.struct(F.col(text).isNotNull(), F.col(text))
+        found = found.groupBy("class_key", F.col(id_col).alias("id#")).agg(F.min_by(F.struct(*docs.columns), least).alias("row#")).select("row#.*")
+    return found.select(*docs.columns)

@@ -77,7 +77,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, threshold=0.8).select("doc_id", "class_id", "class_size", "n_links")
+    return near_duplicates(docs, threshold=0.8).select("doc_id", "class_id", "class_size", "n_joins")
 
 
 def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,15 @@ other columns of the records are not carried, so their names cannot clash; an em
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .anyname import any_names
+
 #: Header fields that a 304 answer carries for the stored response (RFC 9110, 15.4.5), lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 SLICES = 256
@@ -57,27 +62,38 @@ def _merged(old: Column, new: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.concat(kept, fresh)))
 
 
+COLUMNS = ("record_id", "url", "ts", "kind", "http_status", "etag", "last_modified", "digest", "headers")
+
+
+@any_names(fixed=COLUMNS)
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """records(record_id, url, ts, kind, http_status, etag, last_modified, digest, headers: map) ->
-    one row for each record of kind `revisit`: record_id, canonical, response_id, status, headers (merged if resolved)."""
+    one row for each record of kind `revisit`: record_id, canonical, response_id, status, headers (merged if resolved).
+
+    Time is cut at quantiles of all records, so slices hold about as many records each, whatever the range of their
+    times.  Records of one URL and time are one place of the time line (of responses the greatest id): ties are combined
+    before they are shuffled.  Records without URL or time never reach the windows."""
     none = F.create_map().cast("map<string,string>")
     full = (F.col("kind") == "response") & (F.col("http_status") == 200)
     rows = records.select(
         "record_id", canonical(F.col("url")).alias("canonical"), "ts", full.alias("full"), (F.col("kind") == "revisit").alias("revisit"),
         F.struct("record_id", "etag", "last_modified", "digest", F.coalesce("headers", none).alias("headers")).alias("r"),
     ).filter("full or revisit")
-    span = rows.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).first()
-    width = max(1, ((span["t1"] or 0) - (span["t0"] or 0)) // slices + 1)
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - F.lit(span["t0"] or 0)) / width))
-    response = F.when(F.col("full"), F.col("r"))
-    ends = rows.filter("full and canonical is not null and ts is not null").groupBy("canonical", "slice").agg(F.max_by("r", F.struct("ts", "record_id")).alias("end"))
-    seen = rows.filter("revisit").select("canonical", "slice").distinct()
+    known = rows.filter("canonical is not null and ts is not null").withColumn("t#", F.col("ts").cast("double"))
+    cuts = known.approxQuantile("t#", [k / slices for k in range(1, slices)], 0.25 / slices) if slices > 1 else []
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
+    placed = Bucketizer(splits=splits, inputCol="t#", outputCol="slice").transform(known)
+    line = placed.groupBy("canonical", "slice", "ts").agg(F.max_by(F.when(F.col("full"), F.col("r")), F.when(F.col("full"), F.struct("record_id"))).alias("here"), F.max("revisit").alias("asked"))
+    ends = line.filter("here is not null").groupBy("canonical", "slice").agg(F.max_by("here", "ts").alias("end"))
+    seen = line.filter("asked").select("canonical", "slice").distinct()
     over = W.partitionBy("canonical").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = seen.join(ends, ["canonical", "slice"], "full").withColumn("before", F.last("end", ignorenulls=True).over(over)).select("canonical", "slice", "before")
-    inside = W.partitionBy("canonical", "slice").orderBy("ts", F.col("full").asc(), "record_id").rowsBetween(W.unboundedPreceding, -1)
-    found = rows.withColumn("here", F.last(response, ignorenulls=True).over(inside)).filter("revisit").join(carried, ["canonical", "slice"], "left")
-    known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    found = found.withColumn("old", F.when(known, F.coalesce("here", "before")))
+    inside = W.partitionBy("canonical", "slice").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
+    answers = line.withColumn("last", F.last("here", ignorenulls=True).over(inside)).filter("asked").join(carried, ["canonical", "slice"], "left")
+    answers = answers.select("canonical", "ts", F.coalesce("last", "before").alias("old"))
+    found = known.filter("revisit").drop("t#").join(answers, ["canonical", "ts"], "left").select("record_id", "canonical", "r", "old")
+    lost = rows.filter("revisit and (canonical is null or ts is null)").select("record_id", "canonical", "r", F.lit(None).cast(found.schema["old"].dataType).alias("old"))
+    found = found.unionByName(lost)
     pairs = [(_strong(F.col("r.etag")), _strong(F.col("old.etag"))), (F.col("r.last_modified"), F.col("old.last_modified")), (F.col("r.digest"), F.col("old.digest"))]
     compared = [F.when(a.isNotNull() & b.isNotNull(), a == b) for a, b in pairs]
     differs = F.lit(False)

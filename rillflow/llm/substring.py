@@ -20,17 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .anyname import any_names
 from .repeats import WINDOW, candidates, carried, contexts, covered, expand, removals, restored, shared_windows, windows_of, with_content
 
 SEED_WORDS = 8
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+@any_names("text")
 def remove_repeats(docs: DataFrame, length: int = 35, text: str = "text", joiner: str = "space", seed: int = SEED_WORDS) -> DataFrame:
     """Adds n_words, n_removed and kept (the remaining text) to every row.
 
     joiner "space": kept words joined by one space.  joiner "source": the text
-    as it was, without the removed words and the white space after them."""
+    as it was, without the removed words and the white space after them.
+
+    Null and empty texts have no words; repeated rows and ties are rows like any other and lose what they share; an empty
+    table gives no rows; columns named exactly as the added ones are replaced, others stay, whatever their names."""
     seed = min(seed, length)
     base, scope = with_content(carried(docs, text)), scratch.Scope(docs.sparkSession)
     cand = candidates(base, "word", length, seed, scope)

@@ -12,8 +12,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rillflow.llm import audit, decontaminate, packing, queries, secrets, spelling, tagpaths
+from rillflow.llm import audit, bagminhash, decontaminate, packing, queries, revisits, secrets, spelling, substring, tagpaths
+from rillflow.session import shared_folder
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -377,3 +379,52 @@ def test_names_of_columns(spark):
     rows = [(1, "<article><p>a, b.</p></article>", "x", "y")]
     out = tagpaths.extract(spark.createDataFrame(rows, "page_id long, html string, TEXT string, `a.b` string"))
     assert out.columns == ["page_id", "TEXT", "a.b", "text"] and [tuple(r) for r in out.collect()] == [(1, "x", "y", "a, b.")]
+
+
+# ---- hot URLs and names of columns -------------------------------------------------------------
+
+
+def test_slices_follow_the_records(spark):
+    """One record far off in time leaves the others of a URL spread; the answers stay the same."""
+    rows = [(0, "http://x.org/", 0, "response", 200, '"a"', None, None, None)]
+    rows += [(i, "http://x.org/", 10**12 + i // 3, "response" if i % 4 == 0 else "revisit", 200, '"a"', None, None, None) for i in range(1, 1200)]
+    rows += [(5000 + i, None if i % 2 else "http://x.org/", 7 if i % 2 else None, "revisit", 304, None, None, None, None) for i in range(300)]
+    schema = "record_id long, url string, ts long, kind string, http_status int, etag string, last_modified string, digest string, headers map<string,string>"
+    df = spark.createDataFrame(rows, schema).select("*", F.lit("clash").alias("URL"), F.lit(1).alias("a.b"))
+    got = {r.record_id: r for r in revisits.resolve(df, 64).collect()}
+    assert set(got) == {r[0] for r in rows if r[3] == "revisit"}
+    full = [(r[2], r[0]) for r in rows if r[3] == "response"]
+    for r in rows:
+        if r[3] == "revisit":
+            old = max((x for x in full if r[1] and r[2] is not None and x[0] < r[2]), default=(None, None))
+            assert got[r[0]].response_id == old[1]
+    known = spark.createDataFrame(rows, schema).filter("ts is not null and url is not null").select(F.col("ts").cast("double").alias("t"))
+    cuts = known.approxQuantile("t", [k / 64 for k in range(1, 64)], 0.25 / 64)
+    assert len(set(cuts)) > 50
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots and names that differ in case only, through whole operators and the pipeline's filtering stages."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text if i < 2 else f"{text} {i}" if i == 2 else " ".join(f"x{i}y{j}" for j in range(60)), "en", "s", 1, i, i, i, i, i) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, CLASS_ID int, N_REMOVED int, TEXT int, Doc_Id int")
+    left = bagminhash.one_of_each(df)
+    assert left.columns == df.columns and sorted(r[0] for r in left.collect()) == [0, 3, 4, 5]
+    cut = substring.remove_repeats(df, length=35)
+    assert cut.columns == [*df.columns, "n_words", "n_removed", "kept"] and cut.count() == 6
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    labels.write.mode("overwrite").parquet(f"{shared_folder(spark)}/names/labels.parquet")
+    spark.createDataFrame([(1, "no item of these words")], "item_id long, text string").write.mode("overwrite").parquet(f"{shared_folder(spark)}/names/benchmark.parquet")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{shared_folder(spark)}/names")
+        assert docs.columns == df.columns and docs.schema.simpleString() == df.schema.simpleString()
+    assert sorted(r[0] for r in docs.collect()) == [0, 3, 4, 5] and all(r[5] == r[0] == r[9] for r in docs.collect())
+
+
+def test_of_equal_ids_the_least_text_stays(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, f"{text} b"), (1, f"{text} a"), (1, f"{text} a"), (2, text)]
+    assert [tuple(r) for r in bagminhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [(1, f"{text} a")]
