@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import scratch, toxicity
+from rillflow.llm.anyname import shielded, unshielded
 from rillflow.llm.bagminhash import one_of_each
 from rillflow.llm.decontaminate import clean
 from rillflow.llm.packing import pack
@@ -24,15 +25,17 @@ TOXIC_FROM = 0.3
 SIMILARITY = 0.8
 REPEAT_WORDS = 35
 WINDOW = 2048
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def stage(work: Stage) -> Stage:
-    """A stage in a session that knows this package."""
+    """A stage in a session that knows this package; further columns of its table may have any names."""
 
     @wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return work(prepare(spark), docs, sf_dir)
+        plain, old = shielded(docs, COLUMNS)
+        return unshielded(work(prepare(spark), plain, sf_dir), old)
 
     return run
 
