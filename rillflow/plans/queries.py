@@ -724,6 +724,28 @@ def ridge_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "penalty double, r2 double")
 
 
+@query("""WITH r AS (SELECT corr(l_extendedprice, l_quantity) AS a, corr(l_extendedprice, l_discount) AS b, corr(l_quantity, l_discount) AS x FROM lineitem),
+s AS (SELECT 'l_quantity' AS name, (a - b * x) / (1 - x * x) AS beta FROM r UNION ALL SELECT 'l_discount', (b - a * x) / (1 - x * x) FROM r)
+SELECT CAST(row_number() OVER (ORDER BY abs(beta) DESC) AS INTEGER) AS place, name, round(beta, 6) AS beta FROM s""")
+def standardised_betas(spark, sf_dir):
+    """Coefficients of standardised columns, largest first."""
+    names = ["l_quantity", "l_discount"]
+    betas = stats.Gram.of(table(spark, sf_dir, "lineitem"), ["l_extendedprice", *names]).standard_betas("l_extendedprice", names).tolist()
+    ranked = sorted(zip(names, betas, strict=True), key=lambda x: -abs(x[1]))
+    return spark.createDataFrame([(i + 1, c, round(b, 6)) for i, (c, b) in enumerate(ranked)], "place int, name string, beta double")
+
+
+@query("""WITH j AS (SELECT p_size * l_quantity AS x, l_extendedprice AS y FROM lineitem JOIN part ON l_partkey = p_partkey), g AS (SELECT regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM j),
+p AS (SELECT unnest([0.01, 1.0, 100.0, 1000000.0, 1000000000.0]) AS penalty)
+SELECT CAST(penalty AS DOUBLE) AS penalty, round(sxy / (sxx + penalty), 6) AS beta, round((2 * sxy * sxy / (sxx + penalty) - sxy * sxy * sxx / power(sxx + penalty, 2)) / syy, 9) AS r2 FROM g, p""")
+def ridge_interaction(spark, sf_dir):
+    """Penalised fits on the product of two columns."""
+    df = _features(spark, sf_dir).withColumn("size_x_quantity", F.col("p_size") * F.col("l_quantity"))
+    gram = stats.Gram.of(df, ["l_extendedprice", "size_x_quantity"])
+    fits = [(a, gram.fit("l_extendedprice", ["size_x_quantity"], ridge=a)) for a in (0.01, 1.0, 100.0, 1e6, 1e9)]
+    return spark.createDataFrame([(a, round(float(f["beta"][0]), 6), round(float(f["r2"]), 9)) for a, f in fits], "penalty double, beta double, r2 double")
+
+
 @query()
 def rf_importance(spark, sf_dir):
     rows = ml.forest_importance(_features(spark, sf_dir), FEATURES, "l_extendedprice")
