@@ -184,4 +184,20 @@ ORACLES: dict[str, str] = {
    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
  SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
+    "op13_spelling_variants": r"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+ r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+ d AS (SELECT id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+ b AS (SELECT run, k, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END))) AS bytes FROM d),
+ h AS (SELECT run, k, xor(list_reduce(bytes, lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) AS h FROM b, t),
+ w AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM h),
+ v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+ p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+ g AS (SELECT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS z FROM p),
+ x AS (SELECT DISTINCT word, n, a || z AS short FROM g),
+ m AS (SELECT g.word, o.word AS other, o.n FROM g JOIN g o ON o.i = g.i AND o.a = g.a AND o.z = g.z AND o.word <> g.word
+  UNION ALL SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.short UNION ALL SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.short),
+ f AS MATERIALIZED (SELECT v.word, v.n, c.n_near, CASE WHEN c.best_n >= 5 * v.n THEN c.best END AS form, CASE WHEN c.best_n >= 5 * v.n THEN c.best_n END AS form_n FROM v LEFT JOIN
+  (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM m GROUP BY word) c ON c.word = v.word),
+ s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+ SELECT f.word, f.form, s.root, f.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM f JOIN s ON s.word = f.word JOIN f e ON e.word = s.root AND e.form IS NULL""",
 }

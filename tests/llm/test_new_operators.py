@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from rillflow.llm import audit, bagminhash, decontaminate, packing, queries, revisits, secrets, spelling, substring, tagpaths
@@ -237,6 +238,11 @@ def test_keys_of_long_words():
     assert spelling.word_keys("aab")[1][0] == spelling.word_keys("aac")[1][0] and len(spelling.word_keys("aaaa")[2]) == 1
 
 
+@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_spelling_variants"])
+def test_new_queries_match_sql(spark, sf_dir, name):
+    assert compare(spark, sf_dir, queries.QUERIES[name], queries.ORACLES[name]) > 0
+
+
 # ---- packing of many sources -------------------------------------------------------------------
 
 
