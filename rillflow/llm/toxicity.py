@@ -1,17 +1,24 @@
 """Toxicity by compression distance (operator 7).
 
-Two zstandard dictionaries are trained: one on windows of ordinary labelled text, one on
-windows of toxic text.  A window's lengths after compression with the ordinary dictionary and
-with ordinary plus toxic dictionary are compared: the difference (gain) says how much
-better the toxic dictionary explains it.  A logistic calibration on held-back labelled rows
-turns the gains of all windows of a text into a score.
+Two zstandard dictionaries are trained: one on words of ordinary labelled text, one on words
+of toxic text.  A window's lengths after compression with the ordinary dictionary and with
+ordinary plus toxic dictionary are compared: the difference (gain) says how much better the
+toxic dictionary explains it.  A logistic calibration on held-back labelled rows turns the
+gains of all windows of a text into a score.
+
+What is compressed is the window spelled by prefixes: every letter becomes four bytes that
+stand for its word up to and with it.  A match then always starts at the start of a
+word, a letter that the dictionary does not foresee costs four bytes instead of a fraction of
+one, and a common syllable inside another word saves nothing, so that the whole bytes in which
+lengths are counted suffice to tell one short word from noise.
 
 A toxic text holds mostly ordinary language, so the toxic dictionary is refined in ROUNDS:
 windows of toxic texts are dealt into two halves by their content (copies fall into one
-half); a dictionary trained on one half picks from the other the windows whose gain is
-above that of a share QUANTILE of ordinary windows not used for training; each picked
-window is narrowed to the passage around the word whose removal costs most gain.  A window
-never explains itself this way, only what different windows share is kept.
+half); a dictionary trained on the words of one half picks from the other the words whose gain,
+as a share of their length, is above that of a share QUANTILE of the words of ordinary windows
+not used for training.  A window never explains itself this way, only what different windows share
+is kept.  The ordinary dictionary's size is the frequency from which a beginning of words counts as
+ordinary: too large, it holds beginnings that are rare in ordinary text and frequent in toxic text.
 
 The model is fitted on the driver from at most `per_class` labelled rows and `most_bytes` bytes
 of each class, chosen by a hash of the id (a text longer than a sixteenth of most_bytes is
@@ -27,7 +34,9 @@ score is replaced.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,16 +48,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .textblocks import Block, blocks
+from .textblocks import Block, Roller, blocks, mix64
 
 PER_CLASS = 3000
 MOST_BYTES = 12 << 20
-WINDOW, TRAIN_WINDOW = 96, 64
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 4096
-SEGMENT = 14  # bytes of the pieces that the trainer puts a toxic dictionary together from
-QUANTILE, ROUNDS = 0.98, 6
+WINDOW, TRAIN_WINDOW = 48, 64
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 13
+CODE = 4  # bytes that stand for a letter
+SEGMENT, MATCH = 32, 8  # bytes of the pieces that the trainer puts a dictionary together from, and of what it counts
+QUANTILE, LEAST_SHARE, ROUNDS = 0.995, 0.1, 2
 LEVEL = 12
 STEPS = (3, 5, 7)
+CHUNK = 1 << 19
+RUN = re.compile(rb"[0-9a-z\x80-\xff]+")  # lower-case text
+LETTER = np.array([RUN.match(bytes([i])) is not None for i in range(256)])
+_PREFIXES = Roller(0x94D049BB133111EB)
 Cuts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -77,31 +91,63 @@ def packed(samples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(samples), np.uint8), np.cumsum(size) - size, np.cumsum(size)
 
 
-def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
-    """A trained dictionary's content; with too few samples for the trainer, the samples themselves."""
+def spelled(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all letters by the prefixes of their words, and where the code of each byte begins; a word ends at the
+    next start."""
+    inside = LETTER[buf]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = starts[starts < len(buf)]
+    first[starts] = inside[starts]
+    i = np.flatnonzero(inside)
+    lo = np.maximum.accumulate(np.where(first, np.arange(len(buf)), 0))[i]
+    codes = _PREFIXES.ranges(_PREFIXES.prefix(buf.astype(np.uint64) + np.uint64(1)), lo, i + 1)
+    return (mix64(codes) >> np.uint64(32)).astype("<u4").view(np.uint8), CODE * np.concatenate(([0], np.cumsum(inside)))
+
+
+def spelled_words(words: list[bytes]) -> list[bytes]:
+    buf, lo, hi = packed(words)
+    out, at = spelled(buf, lo)
+    return [out[a:b].tobytes() for a, b in zip(at[lo].tolist(), at[hi].tolist(), strict=True)]
+
+
+def trained(words: dict[bytes, int], size: int) -> bytes:
+    """The content of a dictionary trained on words, each as often as it counts, in an order by hash; with too few samples
+    for the trainer, the words themselves."""
+    names = sorted(w for w in words if len(w) > 1)
+    code = dict(zip(names, spelled_words(names), strict=True))
+    order = sorted((zlib.crc32(w + b"%d" % j), w) for w in names for j in range(words[w]))
     try:
-        return zstandard.train_dictionary(size, samples, **({"k": segment, "d": 6} if segment else {})).as_bytes()
+        return zstandard.train_dictionary(size, [code[w] for _, w in order], k=SEGMENT, d=MATCH).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(dict.fromkeys(samples))[:size]
+        return b"".join(code.values())[:size]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    raw = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = zstandard.ZstdCompressionDict(content or bytes(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, dict_size=len(raw), source_size=WINDOW, window_log=18, chain_log=18, hash_log=18, search_log=6, min_match=3,
+        LEVEL, dict_size=len(raw), source_size=CODE * WINDOW, window_log=17, chain_log=17, hash_log=17, search_log=4, min_match=CODE, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     raw.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=how)
 
 
-def compressed(with_: zstandard.ZstdCompressor, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Compressed length of every window, each on its own, in one call."""
-    if not len(lo):
-        return np.zeros(0, np.int64)
-    cuts = np.stack([lo, hi - lo], axis=1).astype(np.uint64)
-    got = with_.multi_compress_to_buffer(zstandard.BufferWithSegments(np.ascontiguousarray(buf), cuts.tobytes()), threads=1)
-    return np.fromiter(map(len, got), np.int64, len(lo))
+def compressed(with_: list[zstandard.ZstdCompressor], buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(compressors, windows): compressed length of every window, each spelled and compressed on its own; windows
+    (in order) go in chunks, so memory does not follow a long text.  A window without letters has length 0."""
+    out, s = np.zeros((len(with_), len(lo)), np.int64), 0
+    while s < len(lo):
+        e = max(s + 1, int(np.searchsorted(lo, lo[s] + CHUNK)))
+        codes, at = spelled(buf[lo[s] : hi[e - 1]], lo[s:e] - lo[s])
+        a, b = at[lo[s:e] - lo[s]], at[hi[s:e] - lo[s]]
+        full = np.flatnonzero(b > a)
+        if len(full):
+            cuts = np.stack([a[full], (b - a)[full]], axis=1).astype(np.uint64).tobytes()
+            for k, c in enumerate(with_):
+                out[k, s + full] = np.fromiter(map(len, c.multi_compress_to_buffer(zstandard.BufferWithSegments(codes, cuts), threads=1)), np.int64, len(full))
+        s = e
+    return out
 
 
 @dataclass
@@ -127,7 +173,8 @@ class Scorer:
             self.plain, self.toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
 
     def gains(self, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return compressed(self.plain, buf, lo, hi) - compressed(self.toxic, buf, lo, hi)
+        plain, toxic = compressed([self.plain, self.toxic], buf, lo, hi)
+        return plain - toxic
 
     def features(self, b: Block) -> np.ndarray:
         """For each text: its three largest gains, mean gain, windows (as logarithms) with at least STEPS, their share
@@ -163,35 +210,37 @@ def window_samples(texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
     return halves
 
 
-def narrowed(samples: list[bytes], scorer: Scorer) -> list[bytes]:
-    """Each window cut to the word whose removal costs most gain and its neighbours."""
-    words = [x.split() for x in samples]
-    own = [(i, k) for i, w in enumerate(words) for k in range(len(w))]
-    if not own:
-        return samples
-    at = np.array([i for i, _ in own])
-    loss = scorer.gains(*packed([b" ".join(w) for w in words]))[at] - scorer.gains(*packed([b" ".join(words[i][:k] + words[i][k + 1 :]) or b" " for i, k in own]))
-    best: dict[int, tuple[int, int]] = {}
-    for (i, k), x in zip(own, loss.tolist(), strict=True):
-        if i not in best or x > best[i][0]:
-            best[i] = (x, k)
-    return [b" " + b" ".join(words[i][max(0, k - 1) : k + 2]) + b" " for i, (_, k) in best.items()]
+def word_counts(samples: list[bytes], least: int) -> dict[bytes, int]:
+    """Words of at least so many bytes, with the number of samples that hold each."""
+    return Counter(w for x in samples for w in set(RUN.findall(x)) if len(w) >= least)
 
 
 def toxic_dictionary(ordinary: bytes, plain: list[bytes], halves: tuple[list[bytes], list[bytes]]) -> bytes:
-    """The refined toxic dictionary; `plain` are ordinary windows that the ordinary dictionary was not trained on."""
-    chosen = list(halves)
+    """The refined toxic dictionary; `plain` are ordinary windows that the ordinary dictionary was not trained on.
+
+    Words of fewer than four bytes are left out: their codes are shorter than what a match costs."""
+    known = word_counts(plain, 4)
+    held = [word_counts(x, 4) for x in halves]
+    chosen = list(held)
     for _ in range(ROUNDS):
-        following = []
+        following = list(chosen)
         for k in (1, 0):  # what half k teaches picks from the other half
-            scorer = Scorer(Model(ordinary, trained(chosen[k], TOXIC_BYTES, SEGMENT), [], [], [], 0.0))
-            limit = np.quantile(scorer.gains(*packed(plain)), QUANTILE) if plain else 0
-            gain = scorer.gains(*packed(halves[1 - k]))
-            following.append(narrowed([halves[1 - k][i] for i in np.flatnonzero(gain > limit)], scorer))
+            scorer = Scorer(Model(ordinary, trained(chosen[k], TOXIC_BYTES), [], [], [], 0.0))
+
+            def share(words: dict[bytes, int], scorer: Scorer = scorer) -> np.ndarray:
+                return scorer.gains(*packed(list(words))) / np.array([CODE * len(w) for w in words])
+
+            limit = LEAST_SHARE
+            if known:
+                found, times = share(known), np.array(list(known.values()))
+                order = np.argsort(found, kind="stable")
+                run = np.cumsum(times[order])
+                limit = max(limit, found[order][np.searchsorted(run, QUANTILE * run[-1])])
+            following[1 - k] = {w: n for (w, n), g in zip(held[1 - k].items(), share(held[1 - k]), strict=True) if g > limit}
         if not any(following):
             break
         chosen = following
-    return trained(chosen[0] + chosen[1], TOXIC_BYTES, SEGMENT)
+    return trained(dict(Counter(chosen[0]) + Counter(chosen[1])), TOXIC_BYTES)
 
 
 def fit(docs: list[tuple[str, int]], toxic_share: float) -> Model:
@@ -200,7 +249,7 @@ def fit(docs: list[tuple[str, int]], toxic_share: float) -> Model:
     if min(map(len, by.values())) < 4:
         return Model(b"", b"", [0.0], [], [], toxic_share, fitted=False)
     learn, plain = window_samples(by[0][::2])
-    ordinary = trained(learn, ORDINARY_BYTES)
+    ordinary = trained(Counter(w for x in learn for w in RUN.findall(x)), ORDINARY_BYTES)
     model = Model(ordinary, toxic_dictionary(ordinary, plain, window_samples(by[1][::2])), [], [], [], toxic_share)
     hold = by[0][1::2] + by[1][1::2]
     scorer, y = model.scorer(), np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
