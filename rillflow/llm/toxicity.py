@@ -19,6 +19,8 @@ as a share of their length, is above that of a share QUANTILE of the words of or
 not used for training.  A window never explains itself this way, only what different windows share
 is kept.  The ordinary dictionary's size is the frequency from which a beginning of words counts as
 ordinary: too large, it holds beginnings that are rare in ordinary text and frequent in toxic text.
+Both sizes follow the square root of the number of toxic texts that are learnt from (the toxic one has a
+quarter): the more there are, the rarer the beginnings that can be relied on.
 
 The model is fitted on the driver from at most `per_class` labelled rows and `most_bytes` bytes
 of each class, chosen by a hash of the id (a text longer than a sixteenth of most_bytes is
@@ -53,7 +55,8 @@ from .textblocks import Block, Roller, blocks, mix64
 PER_CLASS = 3000
 MOST_BYTES = 12 << 20
 WINDOW, TRAIN_WINDOW = 48, 64
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 13
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 15  # at most
+ROOT_BYTES = 2560  # bytes of the ordinary dictionary for the root of the number of toxic texts
 CODE = 4  # bytes that stand for a letter
 SEGMENT, MATCH = 32, 8  # bytes of the pieces that the trainer puts a dictionary together from, and of what it counts
 QUANTILE, LEAST_SHARE, ROUNDS = 0.995, 0.1, 2
@@ -215,7 +218,7 @@ def word_counts(samples: list[bytes], least: int) -> dict[bytes, int]:
     return Counter(w for x in samples for w in set(RUN.findall(x)) if len(w) >= least)
 
 
-def toxic_dictionary(ordinary: bytes, plain: list[bytes], halves: tuple[list[bytes], list[bytes]]) -> bytes:
+def toxic_dictionary(ordinary: bytes, size: int, plain: list[bytes], halves: tuple[list[bytes], list[bytes]]) -> bytes:
     """The refined toxic dictionary; `plain` are ordinary windows that the ordinary dictionary was not trained on.
 
     Words of fewer than four bytes are left out: their codes are shorter than what a match costs."""
@@ -225,7 +228,7 @@ def toxic_dictionary(ordinary: bytes, plain: list[bytes], halves: tuple[list[byt
     for _ in range(ROUNDS):
         following = list(chosen)
         for k in (1, 0):  # what half k teaches picks from the other half
-            scorer = Scorer(Model(ordinary, trained(chosen[k], TOXIC_BYTES), [], [], [], 0.0))
+            scorer = Scorer(Model(ordinary, trained(chosen[k], size), [], [], [], 0.0))
 
             def share(words: dict[bytes, int], scorer: Scorer = scorer) -> np.ndarray:
                 return scorer.gains(*packed(list(words))) / np.array([CODE * len(w) for w in words])
@@ -240,7 +243,7 @@ def toxic_dictionary(ordinary: bytes, plain: list[bytes], halves: tuple[list[byt
         if not any(following):
             break
         chosen = following
-    return trained(dict(Counter(chosen[0]) + Counter(chosen[1])), TOXIC_BYTES)
+    return trained(dict(Counter(chosen[0]) + Counter(chosen[1])), size)
 
 
 def fit(docs: list[tuple[str, int]], toxic_share: float) -> Model:
@@ -249,8 +252,9 @@ def fit(docs: list[tuple[str, int]], toxic_share: float) -> Model:
     if min(map(len, by.values())) < 4:
         return Model(b"", b"", [0.0], [], [], toxic_share, fitted=False)
     learn, plain = window_samples(by[0][::2])
-    ordinary = trained(Counter(w for x in learn for w in RUN.findall(x)), ORDINARY_BYTES)
-    model = Model(ordinary, toxic_dictionary(ordinary, plain, window_samples(by[1][::2])), [], [], [], toxic_share)
+    size = min(ORDINARY_BYTES, int(ROOT_BYTES * math.sqrt(len(by[1][::2]))))
+    ordinary = trained(Counter(w for x in learn for w in RUN.findall(x)), size)
+    model = Model(ordinary, toxic_dictionary(ordinary, min(TOXIC_BYTES, size // 4), plain, window_samples(by[1][::2])), [], [], [], toxic_share)
     hold = by[0][1::2] + by[1][1::2]
     scorer, y = model.scorer(), np.repeat([0.0, 1.0], [len(by[0][1::2]), len(by[1][1::2])])
     x = np.concatenate([scorer.features(b) for b in blocks(pc.utf8_lower(pa.array(hold, pa.string())))])
