@@ -22,6 +22,22 @@ def test_incomplete_gamma():
     assert np.isnan(gamma_p(np.array([-1.0]), np.array([1.0]))).all()
 
 
+@pytest.mark.parametrize("a", [2e3, 3e4, 3e5, 4e6])
+def test_incomplete_gamma_of_large_shapes(a):
+    """Sums that stop after a fixed number of terms are too small here."""
+    x = a + np.sqrt(a) * np.array([-4.0, -1.5, -0.3, 0.0, 0.4, 2.0, 3.5])
+
+    def plain(v):
+        log, total, n = a * math.log(v) - v - math.lgamma(a + 1), 0.0, 0
+        term = 1.0
+        while term > 1e-18 * max(total, 1.0):
+            total, n = total + term, n + 1
+            term *= v / (a + n)
+        return total * math.exp(log)
+
+    assert np.allclose(gamma_p(np.full(7, a), x), [plain(v) for v in x], rtol=2e-8, atol=1e-9)
+
+
 def test_student():
     assert abs(t_two_sided(1.0, 1) - 0.5) < 1e-12
     assert abs(t_two_sided(2.0, 2) - (1 - 2 / math.sqrt(6))) < 1e-10
