@@ -158,6 +158,25 @@ def test_numbers_folds_and_smoothing(spark):
     assert order.folds(df.limit(0), ["v"], 3).collect() == []
 
 
+def test_quantiles_without_a_map_of_all_values(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [(float(x), float(k), None) for x, k in zip(rng.normal(size=5000), rng.integers(0, 4, 5000), strict=True)] + [(None, None, None)] * 9
+    df = spark.createDataFrame(data, "x double, k double, nothing double").repartition(6)
+    shares = [0.0, 0.003, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+    got = order.quantiles(df, {c: shares for c in ("x", "k", "nothing")})
+    for i, c in enumerate(("x", "k")):
+        assert np.allclose(got[c], np.quantile([r[i] for r in data if r[i] is not None], shares), rtol=0, atol=1e-12)
+    assert got["nothing"] == [None] * 7 and order.quantiles(df.filter(F.col("x") == data[0][0]), {"x": [0.5]})["x"] == [data[0][0]]
+    from rillflow.catalog import QUERIES
+
+    def refused(*_):
+        raise AssertionError("percentile of a whole column")
+
+    monkeypatch.setattr(F, "percentile", refused)
+    for name in ("percentile_limits", "tied_quantile_bins", "quantile_bin_pivot"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
 def plain_memory(dates, q, day, definition):
     """The metrics of one window, one value at a time."""
     start = day - dt.timedelta(1095)
