@@ -271,3 +271,15 @@ def test_grid_without_a_predictor(spark):
             x, y = np.array([[1.0, *(r[k] for k in names)] for r in full]), np.array([r[4] for r in full])
             rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
             assert abs(f["r2"] - (1 - (rest**2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+
+
+def test_boosting_reads_cells_instead_of_rows(spark):
+    df = spark.range(4000).selectExpr("id", "double(id % 3) as a", "double(id % 2) as b", "double(id % 7) as y", "int(id % 5) as fold")
+    data = boosting.binned(df, ["a", "b"], "y", ["id"], F.col("fold"), 5)
+    blocks = data.rows.collect()
+    assert sum(b[0].shape[1] for b in blocks) <= 6 + len(blocks) and sum(len(b[4]) for b in blocks) == 4000
+    block = boosting.Block(*blocks[0], np.zeros((6, blocks[0][0].shape[1])))
+    o = boosting.Options(rows=1.0)
+    points = block.points(0, [1], o)
+    assert points.bins.shape[1] == 2 and points.h[-1].sum() == 4000 and np.allclose(points.h[:5].sum(axis=1), 3200)
+    data.release()
