@@ -283,3 +283,27 @@ def test_boosting_reads_cells_instead_of_rows(spark):
     points = block.points(0, [1], o)
     assert points.bins.shape[1] == 2 and points.h[-1].sum() == 4000 and np.allclose(points.h[:5].sum(axis=1), 3200)
     data.release()
+
+
+def test_boosted_tree_bins_rows_once(spark, sf_dir, monkeypatch):
+    from rillflow.catalog import QUERIES
+
+    made, binned = [], boosting.binned
+    monkeypatch.setattr(boosting, "binned", lambda *a, **k: made.append(a) or binned(*a, **k))
+    assert QUERIES["boosted_tree"](spark, sf_dir).count() == 14 and len(made) == 1
+
+
+def test_shapley_values_by_sets_of_features(noisy, monkeypatch):
+    """Tables that do not follow the number of trees give the values of the leaves' tables; a table too large leaves those."""
+    model, _ = boosting.fit(noisy, NAMES, "y", ["i"], options=boosting.Options(trees=12, depth=4, rate=0.3))
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    phi = boosting.Games(model).values(x)
+    assert np.abs(phi - boosting.Kernel(model).values(x)).max() < 1e-9
+    few = boosting.Games(boosting.Ensemble(NAMES, 1.0))
+    assert few.values(x).tolist() == [[0.0] * 3] * 300
+    one = {r.feature: r for r in boosting.shap_summary(model, noisy).collect()}
+    row = boosting.shap_rows(model, noisy, ["i"]).filter("i = 3").collect()
+    assert len(row) == 3 and abs(row[0].total - sum(r.shap for r in row)) < 1e-9
+    monkeypatch.setattr(boosting.Games, "fits", staticmethod(lambda model: False))
+    two = {r.feature: r for r in boosting.shap_summary(model, noisy).collect()}
+    assert all(abs(one[c].mean_abs_shap - two[c].mean_abs_shap) < 1e-9 for c in NAMES)
