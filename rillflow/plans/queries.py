@@ -947,13 +947,15 @@ _PENALTIES = ((0.0, 0.0), (50000.0, 2000.0))
 def boosted_tree(spark, sf_dir):
     """The first tree of depth two at full rate, without and with penalties."""
     out = []
+    rows = boosting.binned(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"])
     for l1, l2 in _PENALTIES:
         o = boosting.Options(trees=1, depth=2, rate=1.0, rows=1.0, columns=1.0, l1=l1, l2=l2)
-        model, _ = boosting.fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"], options=o)
+        model, _ = boosting.fit_binned(rows, o)
         tree = model.trees[0]
         for i in (tree.cover > 0).nonzero()[0].tolist():
             f = int(tree.feature[i])
             out.append((f"{l1},{l2}", i, f, float(tree.threshold[i]) if f >= 0 else None, round(float(tree.gain[i]), 0), int(tree.cover[i]), round(float(tree.value[i]), 4)))
+    rows.release()
     return spark.createDataFrame(out, "penalty string, node int, feature int, threshold double, gain double, cover long, value double")
 
 
