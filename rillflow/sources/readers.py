@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +53,7 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, schema: str, en
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
-RDB = "site string, day date, flow double, section int, row_no long, path string"
+CHUNK = 50_000  # rows of a frame that a task sends
 Row = tuple[str, dt.date, float | None, int]
 
 
@@ -126,23 +127,58 @@ def read_rdb(spark: SparkSession, path: str | list[str], mode: str = "B") -> Dat
 
     Mode A: the last section that a site has, in the last file, replaces the others; its rows are kept as they are, so a
     day may come twice.  Mode B: the last file that a site has replaces the others, its first row of a day counts.
-    Mode C: all files together, the first row of a day counts."""
+    Mode C: all files together, the first row of a day counts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Files are read twice: first for the sites they hold, from which follows what counts of each file (some sites a file),
+    then for these rows; so rows of A and B are not shuffled or joined, and none carries its file's name."""
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [(*r, i, name) for i, r in enumerate(parse_rdb(raw.decode("latin-1"), mode))]
-                yield pd.DataFrame(rows, columns=["site", "day", "flow", "section", "row_no", "path"])
+                last: dict[str, int] = {}
+                for site, _, _, section in parse_rdb(_text(content), mode):
+                    last[site] = section
+                yield pd.DataFrame([(name, *x) for x in last.items()], columns=["path", "raw", "section"])
+
+    held = files.mapInPandas(sites, "path string, raw string, section int").withColumn("site", canonical_key(F.col("raw")))
+    whose = F.struct("raw", "site", "section")
+    if mode != "C":  # a site's rows are all in one file
+        last = held.groupBy("site").agg(F.max(F.struct("path", "section")).alias("l")).select("site", "l.*")
+        held = held.join(last.hint("shuffle_hash"), ["site", "path", "section"] if mode == "A" else ["site", "path"], "left_semi").select("path", "raw", "site", "section")
+    kept = held.groupBy("path").agg(F.collect_list(whose).alias("kept"))
+    if mode == "C":
+        kept = kept.withColumn("place", F.row_number().over(W.orderBy("path")).cast("long"))  # a row for each file
+    else:
+        kept = kept.withColumn("place", F.lit(0).cast("long"))
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RDB).withColumn("site", canonical_key(F.col("site")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content, wanted, place in zip(pdf["content"], pdf["kept"], pdf["place"], strict=True):
+                names, seen, rows = {x["raw"]: (x["site"], x["section"]) for x in wanted}, set(), []
+                for raw, day, flow, section in parse_rdb(_text(content), mode):
+                    site, final = names.get(raw, (None, -1))
+                    if site is None or (mode == "A" and section != final):
+                        continue
+                    if mode != "A":
+                        if (site, day) in seen:
+                            continue
+                        seen.add((site, day))
+                    rows.append((site, day, flow, place))
+                    if len(rows) == CHUNK:
+                        yield pd.DataFrame(rows, columns=["site", "day", "flow", "place"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["site", "day", "flow", "place"])
+
+    rows = files.join(F.broadcast(kept), "path").select("content", "kept", "place").mapInPandas(run, "site string, day date, flow double, place long")
     if mode == "C":
-        return rows.groupBy("site", "day").agg(F.min_by("flow", F.struct("path", "row_no")).alias("flow"))
-    if mode == "A":
-        last = rows.groupBy("site").agg(F.max(F.struct("path", "section")).alias("l")).select("site", "l.*")
-        return rows.join(last, ["site", "path", "section"], "left_semi").select("site", "day", "flow")
-    last = rows.groupBy("site").agg(F.max("path").alias("path"))
-    return rows.join(last, ["site", "path"], "left_semi").groupBy("site", "day").agg(F.min_by("flow", "row_no").alias("flow"))
+        return rows.groupBy("site", "day").agg(F.min_by("flow", "place").alias("flow"))
+    return rows.select("site", "day", "flow")
+
+
+def _text(content: bytes) -> str:
+    return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("latin-1")
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:

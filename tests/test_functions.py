@@ -103,6 +103,18 @@ def test_rdb(spark, tmp_path, mode):
     assert got[("00000002", "2001-01-01")] == {"A": 4.0, "B": 6.0, "C": 0.0}[mode]
 
 
+def test_rdb_rows_meet_no_join(spark, tmp_path):
+    """Sites spelled in two ways, in two files: the last file counts; no row is shuffled in A and B, or carries a path."""
+    row = "USGS\t{}\t2001-01-0{}\t{}\n"
+    for name, rows in (("a", [("7", 1, 1), ("8", 1, 1)]), ("b", [("7", 1, 2), ("00000007", 1, 3), ("7", 2, 4)])):
+        (tmp_path / f"{name}.rdb").write_text(HEAD.format("9_00060_00003") + "".join(row.format(*r) for r in rows))
+    for mode, want in (("B", [("00000007", 1, 2.0), ("00000007", 2, 4.0), ("00000008", 1, 1.0)]), ("C", [("00000007", 1, 1.0), ("00000007", 2, 4.0), ("00000008", 1, 1.0)])):
+        assert sorted((r.site, r.day.day, r.flow) for r in readers.read_rdb(spark, str(tmp_path), mode).collect()) == want
+    plan = readers.read_rdb(spark, str(tmp_path), "B")._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("BroadcastExchange")]
+    assert "hashpartitioning" not in top and "day" in top
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("STAID,X,NOTE\n123,1.5,\xe9\n01013500,bad,y\n", encoding="latin-1")
     df = readers.as_numbers(readers.read_attributes(spark, str(tmp_path / "a.csv"), columns=["X", "MISSING"]), ["X"])
