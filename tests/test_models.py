@@ -307,3 +307,17 @@ def test_shapley_values_by_sets_of_features(noisy, monkeypatch):
     monkeypatch.setattr(boosting.Games, "fits", staticmethod(lambda model: False))
     two = {r.feature: r for r in boosting.shap_summary(model, noisy).collect()}
     assert all(abs(one[c].mean_abs_shap - two[c].mean_abs_shap) < 1e-9 for c in NAMES)
+
+
+def test_boosting_takes_two_levels_a_pass(noisy, monkeypatch):
+    passes, summed, x = [], boosting._summed, np.random.default_rng(5).normal(size=(200, 3))
+    monkeypatch.setattr(boosting, "_summed", lambda *a: passes.append(a) or summed(*a))
+    o = boosting.Options(trees=7, depth=5, rate=0.3, columns=1.0, bins=16)
+    folded = order.folds(noisy, [order.by_seed("i")], 3)
+    model, scores = boosting.fit(folded, NAMES, "y", ["i"], F.col("fold"), 3, o)
+    assert len(passes) == 1 + 7 * 3 + 1
+    monkeypatch.setattr(boosting, "PAIR_SUMS", 0)
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    other, found = boosting.fit(folded, NAMES, "y", ["i"], F.col("fold"), 3, o)
+    assert all((a.feature == b.feature).all() and (a.cover == b.cover).all() for a, b in zip(model.trees, other.trees, strict=True))
+    assert np.abs(model.predict(x) - other.predict(x)).max() < 1e-9 and np.allclose(scores, found)
