@@ -321,3 +321,41 @@ def test_boosting_takes_two_levels_a_pass(noisy, monkeypatch):
     other, found = boosting.fit(folded, NAMES, "y", ["i"], F.col("fold"), 3, o)
     assert all((a.feature == b.feature).all() and (a.cover == b.cover).all() for a, b in zip(model.trees, other.trees, strict=True))
     assert np.abs(model.predict(x) - other.predict(x)).max() < 1e-9 and np.allclose(scores, found)
+
+
+def test_forest_equals_plain_trees_on_its_draws(spark, monkeypatch):
+    """Trees grown on cells, level by level, have the gains of trees grown by trying every split; no job of Spark ML."""
+    import pyspark.ml.regression as regression
+
+    monkeypatch.setattr(regression.RandomForestRegressor, "_fit", lambda *a: pytest.fail("Spark ML"))
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(a * b + 3 * (b > 2) + rng.normal())) for i, (a, b) in enumerate(rng.integers(0, 6, (400, 2)))]
+    df = spark.createDataFrame([*rows, *rows[:50]], "i int, a double, b double, y double").repartition(3)
+    blocks = [b for b in boosting.binned(df, ["a", "b"], "y", ["i"]).rows.collect()]
+    mean = float(np.mean([r[3] for r in [*rows, *rows[:50]]]))
+    shares = []
+    for t in range(3):
+        held = [ml._draws(b, [t], mean, 42) for b in blocks]
+        x, w, s = np.concatenate([h[0] for h in held], axis=1).T, *(np.concatenate([h[k][0] for h in held]).astype(float) for k in (1, 2))
+        gain = np.zeros(2)
+
+        def grow(at, level, w=w, s=s, x=x, gain=gain):
+            best = (0.0, None, None)
+            for f, cut in itertools.product(range(2), range(6)) if level < 4 else ():
+                left, right = at & (x[:, f] <= cut), at & (x[:, f] > cut)
+                if w[left].sum() >= 2 and w[right].sum() >= 2:
+                    parts = [s[p].sum() ** 2 / w[p].sum() for p in (left, right, at)]
+                    if parts[0] + parts[1] - parts[2] > best[0] + 1e-9 * (parts[0] + parts[1]):
+                        best = (parts[0] + parts[1] - parts[2], f, cut)
+            if best[1] is not None:
+                gain[best[1]] += best[0]
+                for part in (x[:, best[1]] <= best[2], x[:, best[1]] > best[2]):
+                    grow(at & part, level + 1)
+
+        grow(np.ones(len(w), bool), 0)
+        shares.append(gain / gain.sum())
+        assert abs(w.sum() - 450) < 90
+    found = dict(ml.forest_importance(df, ["a", "b"], "y", trees=3, depth=4, least=2, key=["i"]))
+    assert np.allclose([found["a"], found["b"]], np.mean(shares, axis=0), atol=1e-5)
+    drawn = np.concatenate([ml._draws(b, [0], 0.0, 42)[1].sum(axis=1) for b in blocks])
+    assert drawn.sum() != 450 and ml.forest_importance(df.filter("i < 0"), ["a"], "y", trees=2) == [("a", 0.0)]
