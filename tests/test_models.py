@@ -359,3 +359,41 @@ def test_forest_equals_plain_trees_on_its_draws(spark, monkeypatch):
     assert np.allclose([found["a"], found["b"]], np.mean(shares, axis=0), atol=1e-5)
     drawn = np.concatenate([ml._draws(b, [0], 0.0, 42)[1].sum(axis=1) for b in blocks])
     assert drawn.sum() != 450 and ml.forest_importance(df.filter("i < 0"), ["a"], "y", trees=2) == [("a", 0.0)]
+
+
+def test_boosting_grows_a_tree_in_one_pass(noisy, monkeypatch):
+    """Sums by joint bins give the trees of passes by level, also where some trees' draws are summed up at once and the model
+    of all rows is left out; the driver gets no sums of trees."""
+    o = boosting.Options(trees=7, depth=5, rate=0.3, columns=0.7, bins=16)
+    folded = order.folds(noisy, [order.by_seed("i")], 3)
+    data = boosting.binned(folded, NAMES, "y", ["i"], F.col("fold"), 3, o.bins)
+    monkeypatch.setattr(boosting, "PAIR_SUMS", 0)
+    passes, summed = [], boosting._summed
+    monkeypatch.setattr(boosting, "_summed", lambda *a: passes.append(a) or summed(*a))
+    model, scores = boosting.fit_binned(data, o)
+    assert len(passes) == 2
+    none, alone = boosting.fit_binned(data, boosting.replace(o, whole=False))
+    assert len(passes) == 4 and none.trees == [] and np.allclose(scores, alone, rtol=1e-12)
+    monkeypatch.setattr(boosting, "CUBE", 0)
+    other, found = boosting.fit_binned(data, o)
+    data.release()
+    assert len(passes) == 4 + 2 + 7 * 5 and np.allclose(scores, found)
+    assert all((a.feature == b.feature).all() and (a.cover == b.cover).all() and np.allclose(a.value, b.value) for a, b in zip(model.trees, other.trees, strict=True))
+
+
+def test_leaves_by_masks_and_draws_in_pieces():
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 20, (3, 5000)).astype(np.uint8)
+    for depth in (1, 4, 6, 7):
+        tree = boosting._stump(depth)
+        inner = 2**depth - 1
+        tree["feature"][:inner] = np.where(rng.random(inner) < 0.8, rng.integers(0, 3, inner), -1)
+        for i in range(1, inner):
+            if tree["feature"][(i - 1) // 2] < 0:
+                tree["feature"][i] = -1
+        tree["bin"][:inner], tree["value"] = rng.integers(0, 19, inner), rng.normal(size=len(tree["value"]))
+        want = boosting._last_values(tree, depth)[boosting._places(tree, bins, depth)]
+        assert (boosting._steps(tree, bins, depth) == want).all()
+    key = rng.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2)
+    for share in (0.0, 0.3, 0.8, 1.0):
+        assert (boosting._drawn(key, 77, share) == (boosting._uniform(key, 77) < share)).all()
