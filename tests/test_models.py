@@ -397,3 +397,25 @@ def test_leaves_by_masks_and_draws_in_pieces():
     key = rng.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2)
     for share in (0.0, 0.3, 0.8, 1.0):
         assert (boosting._drawn(key, 77, share) == (boosting._uniform(key, 77) < share)).all()
+
+
+def test_rows_are_read_once_for_many_trees(spark, monkeypatch):
+    """Where cells hold many rows, draws of 25 trees are summed up in one pass, and rows are held once; trees stay the same."""
+    from pyspark import RDD
+
+    df = spark.range(6000).selectExpr("id", "double(id % 5) as a", "double(id % 3) as b", "double(pmod(hash(id), 97) + 9 * (id % 5) * (id % 3)) as y")
+    data = boosting.binned(df, ["a", "b"], "y", ["id"])
+    assert sum(data.rows.mapPartitions(lambda p: [len(list(p))]).collect()) == data.rows.getNumPartitions()  # a task's cells are whole
+    reads, zipped = [], RDD.zip
+    monkeypatch.setattr(RDD, "zip", lambda self, other: reads.append(1) or zipped(self, other))
+    o = boosting.Options(trees=30, depth=3, rate=0.3, columns=1.0)
+    model, _ = boosting.fit_binned(data, o)
+    assert len(reads) == 2
+    monkeypatch.setattr(boosting, "CUT", 5)
+    other, _ = boosting.fit_binned(data, o)
+    data.release()
+    assert len(reads) == 2 + 6
+    assert all((a.feature == b.feature).all() and np.allclose(a.value, b.value, rtol=1e-9) for a, b in zip(model.trees, other.trees, strict=True))
+    summary = {r.feature: r.mean_abs_shap for r in boosting.shap_summary(model, df).collect()}
+    monkeypatch.setattr(boosting, "CHUNK_ROWS", 7)
+    assert all(abs(r.mean_abs_shap - summary[r.feature]) < 1e-9 for r in boosting.shap_summary(model, df).collect())
