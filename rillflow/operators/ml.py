@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from . import boosting
 
 CHUNK = 64  # nodes that are shuffled together
-HELD = 1 << 26  # bytes of a block's draws; with more, fewer trees grow side by side
+HELD = 1 << 27  # bytes of a block's draws; with more, fewer trees grow side by side
 
 
 def _draws(block: tuple[np.ndarray, ...], trees: Sequence[int], mean: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
